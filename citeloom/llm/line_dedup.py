@@ -109,9 +109,11 @@ def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: texts without deleted lines; documents of which nothing but blanks is left go."""
+    """The pipeline's form: texts without deleted lines (n_chars follows); documents of which only blanks are left go."""
     done = dedup_lines(docs)
     left = (F.col("__gone") == 0) | (F.length(F.trim(F.col("text"))) > 0)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.filter(left).select(docs.columns)
 
 

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, lang_id, line_dedup, mix_sources, quality, simhash_dedup, substring_dedup
+from . import ann_search, chat_format, decontaminate, lang_id, line_dedup, mix_sources, pii, quality, simhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mix_sources": mix_sources.op3_mix_sources,
     "op4_lang_id": lang_id.op4_lang_id,
+    "op5_ann_search": ann_search.op5_ann_search,
     "op6_simhash": simhash_dedup.op6_simhash,
     "op7_quality": quality.op7_quality,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
