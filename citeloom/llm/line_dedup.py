@@ -97,7 +97,8 @@ def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block
     table gives none.
     """
     gone = materialize(duplicate_lines(docs, min_line_chars, min_block_chars), "line-gone").withColumnsRenamed({"doc_id": "__id", "th": "__th"})
-    both = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
+    # always a merge join: texts are shuffled once at any size, so cost stays in proportion
+    both = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     lines = F.split("text", "\n")
     # a map from the index looks each line up once, also in documents of very many lines
     drop = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
