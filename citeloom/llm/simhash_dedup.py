@@ -160,7 +160,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = near_groups(docs)
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
+    kept = docs.join(keep.hint("merge"), "doc_id", "left_semi")  # one plan at all sizes
     return kept.dropDuplicates(["doc_id"]).select(docs.columns)
 
 
