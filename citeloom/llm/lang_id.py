@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, materialize
 
 BUCKETS = 1 << 14
 SAMPLE_PER_LANG = 400  # labelled rows per language for training: those with the smallest hashes of their text
@@ -105,12 +105,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, bytes]]:
-    """The bounded training sample: of each language the rows with the smallest text hashes, not held out."""
+    """The bounded training sample: of each language the rows with the smallest text hashes, not held out.
+
+    Rows are chosen by hash alone; only the texts of the chosen ones, a bounded number, are read after that.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    rows = rows.select("lang", "doc_id", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang).orderBy("lang", "k")
-    return [(r["lang"], r["text"].encode()) for r in rows.select("lang", "text").toLocalIterator()]
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang)
+    chosen = materialize(chosen, "lang-sample")
+    texts = rows.join(chosen, ["lang", "h"]).select("lang", "h", F.lower("text").alias("text")).dropDuplicates(["lang", "h"])
+    found = texts.collect()
+    return [(r["lang"], r["text"].encode()) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))]
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
