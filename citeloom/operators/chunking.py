@@ -41,7 +41,7 @@ def window_starts(n: Column, config: Chunking) -> Column:
 
 def token_windows(docs: DataFrame, config: Chunking) -> DataFrame:
     """doc_id, ordinal, content, token_count: windows over whitespace tokens, natively."""
-    words = docs.select("doc_id", F.filter(F.split("text", r"\s+"), lambda t: t != "").alias("words"))
+    words = docs.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "").alias("words"))
     starts = words.select("doc_id", "words", F.posexplode(window_starts(F.size("words"), config)).alias("ordinal", "start"))
     size = F.when(F.size("words") <= config.max_tokens, F.size("words")).otherwise(F.lit(config.target_tokens))
     piece = F.slice("words", F.col("start") + 1, size)
