@@ -21,12 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,41 +39,73 @@ SPAN = WINDOW - GRAM + 1  # grams in a window
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
 
-def gram_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each 6 consecutive words."""
-    c = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    h = np.zeros(len(words) - GRAM + 1, np.uint64)
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each 6 consecutive words, from their codes."""
+    h = np.zeros(len(codes) - GRAM + 1, np.uint64)
     for i in range(GRAM):
-        h = (h ^ c[i : len(c) - GRAM + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ codes[i : len(codes) - GRAM + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram hashes, for each window the position of its anchor)."""
-    h = gram_hashes(words)
-    n = len(words) - WINDOW + 1
-    low, at = h[:n].copy(), np.arange(n)
-    for i in range(1, SPAN):
-        less = h[i : i + n] < low
-        np.copyto(low, h[i : i + n], where=less)
-        at[less] = np.flatnonzero(less) + i
-    return h, at
+def first_smallest(h: np.ndarray) -> np.ndarray:
+    """For each window of SPAN (15) hashes the position of its first smallest, by doubling: 2, 4, 8, then two eights that overlap."""
+    low, at = h, np.arange(len(h))
+    for step in (1, 2, 4, SPAN - 8):
+        less = low[step:] < low[:-step]
+        low, at = np.where(less, low[step:], low[:-step]), np.where(less, at[step:], at[:-step])
+    return at
+
+
+def passages_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, first window, windows) of each passage: the windows in a row that share an anchor.
+
+    The texts are hashed as one sequence; windows across two texts are left out.
+    """
+    sizes = np.array([len(w) for w in texts])
+    codes = np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
+    if len(codes) < WINDOW:
+        return (np.empty(0, np.int64),) * 4
+    h = gram_hashes(codes)
+    at = first_smallest(h)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    inside = text[: len(at)] == text[WINDOW - 1 :]
+    starts = np.flatnonzero(inside)
+    new = np.ones(len(starts), bool)
+    new[1:] = (np.diff(starts) > 1) | (np.diff(at[starts]) != 0) | (np.diff(text[starts]) != 0)
+    heads = np.flatnonzero(new)
+    s = starts[heads]
+    t = text[s]
+    return t, h[at[s]].view(np.int64), s - (np.cumsum(sizes) - sizes)[t], np.diff(np.append(heads, len(starts)))
 
 
 def _anchor_rows(cols: list[list]) -> list:
-    hs, ths, ps = [], [], []
+    made: list[list] = [[], [], [], []]
+    seen: set[int] = set()
+    held: list[list[bytes]] = []
+    ths: list[int] = []
+    words = 0
+
+    def flush() -> None:
+        t, anchor, start, n = passages_of(held)
+        for to, x in zip(made, (anchor, np.array(ths, np.int64)[t], start.astype(np.int32), n.astype(np.int32)), strict=True):
+            to.append(x)
+        held.clear()
+        ths.clear()
+
     for th, text in zip(*cols, strict=True):
-        words = text.split()
-        if len(words) >= WINDOW:
-            h, at = anchors(words)
-            p = at[np.flatnonzero(np.diff(at, prepend=-1))]
-            hs.append(h[p].view(np.int64))
-            ths.append(np.full(len(p), th, np.int64))
-            ps.append(p.astype(np.int32))
-    if not hs:
-        return [[], [], []]
-    return [np.concatenate(hs), np.concatenate(ths), np.concatenate(ps)]
+        if th in seen:
+            continue  # the copies of a text in a batch are one
+        seen.add(th)
+        held.append(text.split())
+        ths.append(th)
+        words += len(held[-1])
+        if words > 1 << 18:
+            flush()
+            words = 0
+    if held:
+        flush()
+    return [np.concatenate(m) if m else [] for m in made]
 
 
 def _digest(words: list[bytes]) -> str:
@@ -79,35 +113,28 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _settle(cols: list[list]) -> list:
-    """Final counts of copies and of documents without surviving anchors; the others keep their text and positions."""
+    """Final counts of copies and of documents without surviving anchors; the others keep text and passages."""
     out: list[list] = [[] for _ in range(6)]
-    for doc_id, text, copy, pos, hot in zip(*cols, strict=True):
+    for doc_id, text, copy, *marks in zip(*cols, strict=True):
         words = (text or b"").split()
         n = len(words)
         gone = n if copy and n >= WINDOW else 0
-        more = not gone and pos is not None and text is not None
-        row = (doc_id, n, gone, None if more else _digest([] if gone else words), text if more else None, (np.array(pos, np.int64) * 2 + np.array(hot, np.int64)).astype(np.int64).tobytes() if more else None)
+        more = not gone and marks[0] is not None and text is not None
+        row = (doc_id, n, gone, None if more else _digest([] if gone else words), text if more else None, np.array(marks, np.int64).tobytes() if more else None)
         for to, x in zip(out, row, strict=True):
             to.append(x)
     return out
 
 
 def passages(text: bytes, packed: bytes) -> Iterator[tuple[int, int, list[bytes], bool]]:
-    """(anchor, start, words, hot) of each passage of a document under its surviving anchors."""
+    """(anchor, start, words, hot) of each passage of a document whose anchor survives."""
     words = text.split()
-    h, at = anchors(words)
-    marks = np.frombuffer(packed, np.int64)
-    cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
-    hot = dict(zip((marks >> 1).tolist(), (marks & 1).tolist(), strict=True))
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        p = int(at[s])
-        if p in hot:
-            a = int(h[p].view(np.int64))
-            if hot[p]:
-                for j in range(s, e):
-                    yield a, j, words[j : j + WINDOW], True
-            else:
-                yield a, s, words[s : e + WINDOW - 1], False
+    for a, s, n, hot in np.frombuffer(packed, np.int64).reshape(4, -1).T.tolist():
+        if hot:
+            for j in range(s, s + n):
+                yield a, j, words[j : j + WINDOW], True
+        else:
+            yield a, s, words[s : s + n + WINDOW - 1], False
 
 
 def _keyed(cols: list[list]) -> Iterator[tuple[int, bytes, bytes, int, int]]:
@@ -140,36 +167,43 @@ def locate(f: pd.DataFrame) -> pd.DataFrame:
     firsts: the number of windows, then runs (offset, doc, base): from that offset on, window i is first seen in
     doc at base + i.
     """
-    numbers: dict[bytes, int] = {}
-    coded = [tuple(numbers.setdefault(w, len(numbers)) for w in p.split(b" ")) for p in f["passage"]]
-    docs, starts = f["doc"].tolist(), f["start"].tolist()
-    seen: set[tuple] = set()
-    recurs: dict[tuple, int] = {}
-    for c in coded:
-        for i in range(len(c) - WINDOW + 1):
-            w = c[i : i + WINDOW]
+    texts, shards, docs, starts = f["passage"].tolist(), f["shard"].tolist(), f["doc"].tolist(), f["start"].tolist()
+    alike = Counter(shards)
+    # two windows of one passage share its anchor at different offsets and so differ: alone, it has nothing to find
+    rivals = [x for x, k in enumerate(shards) if alike[k] > 1]
+    words = {x: texts[x].split(b" ") for x in rivals}
+    seen: set[bytes] = set()
+    recurs: dict[bytes, tuple[int, int]] = {}
+    for x in rivals:
+        ends = list(accumulate(map(len, words[x]), lambda a, b: a + b + 1))
+        for i in range(len(ends) - WINDOW + 1):
+            w = texts[x][ends[i - 1] + 1 if i else 0 : ends[i + WINDOW - 1]]
             if w in seen:
-                recurs.setdefault(w, len(recurs))
+                recurs[w] = (x, i)
             else:
                 seen.add(w)
     del seen
     first: list[tuple[int, int]] = [(LAST, LAST)] * len(recurs)
-    found: list[dict[int, int]] = [{} for _ in coded]
+    found: dict[int, list[tuple[int, int]]] = {}
     if recurs:
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, k in recurs.items():
-            machine.add_word(w, k)
+        numbers: dict[bytes, int] = {}
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, (x, i) in enumerate(recurs.values()):
+            machine.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words[x][i : i + WINDOW]), k)
+        recurs.clear()
         machine.make_automaton()
-        for x, c in enumerate(coded):
-            for end, k in machine.iter(c):
-                at = end - WINDOW + 1
-                found[x][at] = k
-                first[k] = min(first[k], (docs[x], starts[x] + at))
+        for x in rivals:
+            met = [(end - WINDOW + 1, k) for end, k in machine.iter(tuple(numbers.get(w, 0) for w in words[x]))]
+            if met:
+                found[x] = met
+                for at, k in met:
+                    first[k] = min(first[k], (docs[x], starts[x] + at))
     firsts = []
-    for x, c in enumerate(coded):
-        row, run = [len(c) - WINDOW + 1], None
-        for i in range(len(c) - WINDOW + 1):
-            d, at = first[found[x][i]] if i in found[x] else (docs[x], starts[x] + i)
+    for x, t in enumerate(texts):
+        n = t.count(b" ") + 2 - WINDOW
+        row, run, met = [n], None, dict(found.get(x, ()))
+        for i in range(n) if met else (0,):
+            d, at = first[met[i]] if i in met else (docs[x], starts[x] + i)
             if run != (d, at - i):
                 run = (d, at - i)
                 row += [i, *run]
@@ -216,16 +250,17 @@ def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows
     """
     L, B, I = T.LongType(), T.BinaryType(), T.IntegerType()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    rows = explode_text(docs.filter("text IS NOT NULL"), ["th", F.col("text").cast("binary").alias("t")], [("anchor", L), ("th", L), ("pos", I)], _anchor_rows)
-    places = rows.repartition("anchor").groupBy("anchor", "th", "pos").agg(F.count("*").alias("n"))  # a text's copies once
-    counts = places.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1")
-    alive = places.join(counts, "anchor").select("th", F.struct("pos", (F.col("places") > hot_anchor_rows).cast("int").alias("hot")).alias("x"))
+    fields = [("anchor", L), ("th", L), ("start", I), ("n", I)]
+    rows = explode_text(docs.filter("text IS NOT NULL"), ["th", F.col("text").cast("binary").alias("t")], fields, _anchor_rows)
+    places = rows.repartition("anchor").groupBy("anchor", "th", "start", "n").agg(F.lit(1).alias("one"))  # a text's copies once
+    places = places.withColumn("places", F.count("*").over(Window.partitionBy("anchor"))).filter("places > 1")
+    alive = places.select("th", F.struct("anchor", "start", "n", (F.col("places") > hot_anchor_rows).cast("int").alias("hot")).alias("x"))
     alive = alive.groupBy("th").agg(F.collect_list("x").alias("xs"))
     first = docs.groupBy("th").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.sha2("text", 256).alias("s"))).alias("first"))
     known = materialize(first.join(alive, "th", "left"), "substring-known")
     met = docs.join(known.withColumnRenamed("th", "k"), F.col("th") == F.col("k"))
     copy = (F.col("first.d") < F.coalesce("doc_id", F.lit(LAST))) & (F.col("first.s") == F.sha2("text", 256))
-    columns = ["doc_id", F.col("text").cast("binary").alias("t"), F.coalesce(copy, F.lit(False)).alias("copy"), F.col("xs.pos").alias("pos"), F.col("xs.hot").alias("hot")]
+    columns = ["doc_id", F.col("text").cast("binary").alias("t"), F.coalesce(copy, F.lit(False)).alias("copy"), *[F.col(f"xs.{c}").alias(c) for c in ("anchor", "start", "n", "hot")]]
     settled = explode_text(met, columns, [("doc_id", L), ("n_words", L), ("n_removed", L), ("kept_sha256", T.StringType()), ("t", B), ("packed", B)], _settle)
     settled = materialize(settled, "substring-settled")
     open_docs = settled.filter("packed IS NOT NULL")
