@@ -9,8 +9,9 @@ The work is cut down to what repeats, exactly:
 2. Texts meet the surviving anchors. Later copies of a whole text are settled here; documents without a
    surviving anchor too; the others are written out.
 3. The windows of one anchor at one place form a passage of at most 34 words. Equal passages are combined
-   before and after the shuffle to their first place, so a passage in a third of all documents is a row a batch. Passages are dealt to shards by anchor; an anchor with more than `hot_anchor_rows` places is dealt
-   by window instead, each window a passage of its own, so that no shard grows with one phrase.
+   before and after the shuffle to their first place, so a passage in a third of all documents is a row a batch.
+   Passages are dealt to shards by anchor; an anchor with more than `hot_anchor_rows` places is dealt by window
+   instead, each window a passage of its own, so that no shard grows with one phrase.
 4. Each shard confirms which windows recur in it, compiles an Aho-Corasick automaton of them over word
    numbers, and streams its passages through it to find every occurrence and the first. Comparison is on the
    words themselves. A passage gets the first place of each of its windows.
@@ -114,13 +115,13 @@ def _digest(words: list[bytes]) -> str:
 
 def _settle(cols: list[list]) -> list:
     """Final counts of copies and of documents without surviving anchors; the others keep text and passages."""
-    out: list[list] = [[] for _ in range(6)]
-    for doc_id, text, copy, *marks in zip(*cols, strict=True):
+    out: list[list] = [[] for _ in range(7)]
+    for doc_id, th, text, copy, *marks in zip(*cols, strict=True):
         words = (text or b"").split()
         n = len(words)
         gone = n if copy and n >= WINDOW else 0
         more = not gone and marks[0] is not None and text is not None
-        row = (doc_id, n, gone, None if more else _digest([] if gone else words), text if more else None, np.array(marks, np.int64).tobytes() if more else None)
+        row = (doc_id, th, n, gone, None if more else _digest([] if gone else words), text if more else None, np.array(marks, np.int64).tobytes() if more else None)
         for to, x in zip(out, row, strict=True):
             to.append(x)
     return out
@@ -137,24 +138,24 @@ def passages(text: bytes, packed: bytes) -> Iterator[tuple[int, int, list[bytes]
             yield a, s, words[s : s + n + WINDOW - 1], False
 
 
-def _keyed(cols: list[list]) -> Iterator[tuple[int, bytes, bytes, int, int]]:
-    """(shard key, passage, its digest, doc, start) of each passage of a batch."""
-    for doc, text, packed in zip(*cols, strict=True):
+def _keyed(cols: list[list]) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
+    """(shard key, passage, its digest, doc, text hash, start) of each passage of a batch."""
+    for doc, th, text, packed in zip(*cols, strict=True):
         for a, start, words, hot in passages(text, packed):
             joined = b" ".join(words)
             key = hashlib.md5(joined).digest()
-            yield int.from_bytes(key[:8], "little", signed=True) if hot else a, joined, key, doc, start
+            yield int.from_bytes(key[:8], "little", signed=True) if hot else a, joined, key, doc, th, start
 
 
 def _place_rows(cols: list[list]) -> list:
-    rows = [(shard, key, doc, start) for shard, _, key, doc, start in _keyed(cols)]
-    return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
+    rows = [(shard, key, doc, th, start) for shard, _, key, doc, th, start in _keyed(cols)]
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], [], []]
 
 
 def _passage_rows(cols: list[list]) -> list:
     """The passages of a batch, equal ones combined to their first place before anything is shuffled."""
     first: dict[tuple[int, bytes], tuple[int, int]] = {}
-    for shard, joined, _, doc, start in _keyed(cols):
+    for shard, joined, _, doc, _, start in _keyed(cols):
         k = (shard, joined)
         if k not in first or (doc, start) < first[k]:
             first[k] = (doc, start)
@@ -227,16 +228,16 @@ def _finish(cols: list[list]) -> list:
 
 
 def _late_spans(cols: list[list]) -> list:
-    """(doc, from, to) of the words under windows that start earlier elsewhere, merged within a passage."""
-    out: list[list] = [[] for _ in range(3)]
-    for doc, start, firsts in zip(*cols, strict=True):
+    """(doc, text hash, from, to) of the words under windows that start earlier elsewhere, merged within a passage."""
+    out: list[list] = [[] for _ in range(4)]
+    for doc, th, start, firsts in zip(*cols, strict=True):
         runs = np.array(firsts[1:], np.int64).reshape(-1, 3)
         late = np.repeat((runs[:, 1] < doc) | ((runs[:, 1] == doc) & (runs[:, 2] < start)), np.diff(runs[:, 0], append=firsts[0]))
         late = np.flatnonzero(late)
         if len(late):
             cuts = np.flatnonzero(np.diff(late) > 1)
             for s, e in zip(late[np.concatenate([[0], cuts + 1])].tolist(), late[np.concatenate([cuts, [len(late) - 1]])].tolist(), strict=True):
-                for to, x in zip(out, (doc, start + s, start + e + WINDOW), strict=True):
+                for to, x in zip(out, (doc, th, start + s, start + e + WINDOW), strict=True):
                     to.append(x)
     return out
 
@@ -260,23 +261,24 @@ def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows
     known = materialize(first.join(alive, "th", "left"), "substring-known")
     met = docs.join(known.withColumnRenamed("th", "k"), F.col("th") == F.col("k"))
     copy = (F.col("first.d") < F.coalesce("doc_id", F.lit(LAST))) & (F.col("first.s") == F.sha2("text", 256))
-    columns = ["doc_id", F.col("text").cast("binary").alias("t"), F.coalesce(copy, F.lit(False)).alias("copy"), *[F.col(f"xs.{c}").alias(c) for c in ("anchor", "start", "n", "hot")]]
-    settled = explode_text(met, columns, [("doc_id", L), ("n_words", L), ("n_removed", L), ("kept_sha256", T.StringType()), ("t", B), ("packed", B)], _settle)
+    columns = ["doc_id", "th", F.col("text").cast("binary").alias("t"), F.coalesce(copy, F.lit(False)).alias("copy"), *[F.col(f"xs.{c}").alias(c) for c in ("anchor", "start", "n", "hot")]]
+    settled = explode_text(met, columns, [("doc_id", L), ("th", L), ("n_words", L), ("n_removed", L), ("kept_sha256", T.StringType()), ("t", B), ("packed", B)], _settle)
     settled = materialize(settled, "substring-settled")
     open_docs = settled.filter("packed IS NOT NULL")
     order = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
 
-    of = [order, "t", "packed"]
+    of = [order, "th", "t", "packed"]
     shards = known.agg(F.sum(F.when(F.col("xs").isNotNull(), F.size("xs")))).first()[0] or 0
     shards = max(1, -(-shards // shard_rows))
     cut = explode_text(open_docs, of, [("shard", L), ("passage", B), ("doc", L), ("start", L)], _passage_rows)
     dealt = cut.withColumn("s", F.pmod(F.xxhash64("shard"), F.lit(shards))).repartition("s")
     dealt = dealt.groupBy("s", "shard", "passage").agg(F.min(F.struct("doc", "start")).alias("f")).select("s", "shard", "passage", "f.doc", "f.start")
     located = dealt.groupBy("s").applyInPandas(locate, "shard long, key binary, firsts array<long>")
-    placed = explode_text(open_docs, of, [("shard", L), ("key", B), ("doc", L), ("start", L)], _place_rows)
-    spans = explode_text(placed.join(located, ["shard", "key"]), ["doc", "start", "firsts"], [("doc", L), ("from", L), ("to", L)], _late_spans)
-    spans = spans.groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    late = open_docs.select("doc_id", "t", order).join(spans, F.col("doc") == F.col("k"), "left")
+    placed = explode_text(open_docs, of, [("shard", L), ("key", B), ("doc", L), ("th", L), ("start", L)], _place_rows)
+    spans = explode_text(placed.join(located, ["shard", "key"]), ["doc", "th", "start", "firsts"], [("doc", L), ("th", L), ("from", L), ("to", L)], _late_spans)
+    # rows that share a doc_id are told apart by their text
+    spans = spans.groupBy(F.col("doc").alias("k"), F.col("th").alias("kt")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    late = open_docs.select("doc_id", "th", "t", order).join(spans, (F.col("doc") == F.col("k")) & (F.col("th") == F.col("kt")), "left")
     done = explode_text(late, ["doc_id", "t", "spans"], [("doc_id", L), ("n_words", L), ("n_removed", L), ("kept_sha256", T.StringType())], _finish)
     return done.unionByName(settled.filter("packed IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
