@@ -5,13 +5,15 @@ The work is cut down to what repeats, exactly:
 
 1. Winnowing (Schleimer et al., 2003). A window's anchor is its first smallest hash of 6 consecutive words, so
    equal windows have equal anchors. One anchor in about eight words is shuffled, as two longs and a position;
-   anchors found at one place only (copies of a text count once) rule all their windows out.
+   anchors found at one place only (copies of a text count once) rule all their windows out. An anchor that
+   one batch of texts holds often is salted by text there: its rows survive for certain, and one marker row
+   tells the anchor's other rows, so no task gets all places of a common phrase.
 2. Texts meet the surviving anchors. Later copies of a whole text are settled here; documents without a
    surviving anchor too; the others are written out.
 3. The windows of one anchor at one place form a passage of at most 34 words. Equal passages are combined
    before and after the shuffle to their first place, so a passage in a third of all documents is a row a batch.
-   Passages are dealt to shards by anchor; an anchor with more than `hot_anchor_rows` places is dealt by window
-   instead, each window a passage of its own, so that no shard grows with one phrase.
+   Passages are dealt to shards by anchor; a salted one or one with more than `hot_anchor_rows` places is dealt
+   by window instead, each window a passage of its own, so that no shard grows with one phrase.
 4. Each shard confirms which windows recur in it, compiles an Aho-Corasick automaton of them over word
    numbers, and streams its passages through it to find every occurrence and the first. Comparison is on the
    words themselves. A passage gets the first place of each of its windows.
@@ -37,6 +39,7 @@ from .common import explode_text, materialize
 
 WINDOW, GRAM = 20, 6
 SPAN = WINDOW - GRAM + 1  # grams in a window
+SALTS = 64
 LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 
 
@@ -80,7 +83,11 @@ def passages_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nd
     return t, h[at[s]].view(np.int64), s - (np.cumsum(sizes) - sizes)[t], np.diff(np.append(heads, len(starts)))
 
 
-def _anchor_rows(cols: list[list]) -> list:
+def _anchor_rows(cols: list[list], heavy: int) -> list:
+    """anchor, salt, th, start, n of a batch's passages.
+
+    An anchor with more than `heavy` rows gets salts from 1 on, and one marker (salt 0, start -1).
+    """
     made: list[list] = [[], [], [], []]
     seen: set[int] = set()
     held: list[list[bytes]] = []
@@ -106,7 +113,14 @@ def _anchor_rows(cols: list[list]) -> list:
             words = 0
     if held:
         flush()
-    return [np.concatenate(m) if m else [] for m in made]
+    if not made[0]:
+        return [[]] * 5
+    anchor, th, start, n = map(np.concatenate, made)
+    values, counts = np.unique(anchor, return_counts=True)
+    often = values[counts > heavy]
+    salt = np.where(np.isin(anchor, often), 1 + th % SALTS, 0)
+    zero = np.zeros(len(often), np.int64)
+    return [np.concatenate(x) for x in ((anchor, often), (salt, zero), (th, zero), (start, zero - 1), (n, zero))]
 
 
 def _digest(words: list[bytes]) -> str:
@@ -242,7 +256,7 @@ def _late_spans(cols: list[list]) -> list:
     return out
 
 
-def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows: int = 20_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows: int = 20_000, heavy_in_batch: int = 256) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row per document.
 
     Earlier: a smaller doc_id, or the same document and an earlier start; a null doc_id comes last. Rows that
@@ -251,11 +265,14 @@ def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows
     """
     L, B, I = T.LongType(), T.BinaryType(), T.IntegerType()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    fields = [("anchor", L), ("th", L), ("start", I), ("n", I)]
-    rows = explode_text(docs.filter("text IS NOT NULL"), ["th", F.col("text").cast("binary").alias("t")], fields, _anchor_rows)
-    places = rows.repartition("anchor").groupBy("anchor", "th", "start", "n").agg(F.lit(1).alias("one"))  # a text's copies once
-    places = places.withColumn("places", F.count("*").over(Window.partitionBy("anchor"))).filter("places > 1")
-    alive = places.select("th", F.struct("anchor", "start", "n", (F.col("places") > hot_anchor_rows).cast("int").alias("hot")).alias("x"))
+    fields = [("anchor", L), ("salt", I), ("th", L), ("start", I), ("n", I)]
+    rows = explode_text(docs.filter("text IS NOT NULL"), ["th", F.col("text").cast("binary").alias("t")], fields, lambda cols: _anchor_rows(cols, heavy_in_batch))
+    places = rows.repartition("anchor", "salt").groupBy("anchor", "salt", "th", "start", "n").agg(F.lit(1).alias("one"))  # a text's copies once
+    alike = Window.partitionBy("anchor", "salt")
+    places = places.withColumns({"places": F.count("*").over(alike), "marked": F.min("start").over(alike) < 0})
+    places = places.filter("start >= 0 AND (places > 1 OR salt > 0)")
+    hot = (F.col("salt") > 0) | F.col("marked") | (F.col("places") > hot_anchor_rows)
+    alive = places.select("th", F.struct("anchor", "start", "n", hot.cast("int").alias("hot")).alias("x"))
     alive = alive.groupBy("th").agg(F.collect_list("x").alias("xs"))
     first = docs.groupBy("th").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.sha2("text", 256).alias("s"))).alias("first"))
     known = materialize(first.join(alive, "th", "left"), "substring-known")

@@ -259,10 +259,10 @@ def plain_substring_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 1])
-def test_substring_dedup(spark, hot):
+@pytest.mark.parametrize(("hot", "heavy"), [(100_000, 256), (1, 256), (100_000, 3), (100_000, 1)])
+def test_substring_dedup(spark, hot, heavy):
     rows = corpus(8)
-    found = [tuple(r) for r in sd.dedup_substrings(docs(spark, rows), hot_anchor_rows=hot, shard_rows=10).collect()]
+    found = [tuple(r) for r in sd.dedup_substrings(docs(spark, rows), hot_anchor_rows=hot, shard_rows=10, heavy_in_batch=heavy).collect()]
     assert sorted(map(str, found)) == sorted(map(str, plain_substring_dedup(rows)))
     assert sum(r[2] for r in found) > 500
 
