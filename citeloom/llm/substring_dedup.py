@@ -243,17 +243,19 @@ def _finish(cols: list[list]) -> list:
 
 def _late_spans(cols: list[list]) -> list:
     """(doc, text hash, from, to) of the words under windows that start earlier elsewhere, merged within a passage."""
-    out: list[list] = [[] for _ in range(4)]
+    rows: list[tuple] = []
     for doc, th, start, firsts in zip(*cols, strict=True):
-        runs = np.array(firsts[1:], np.int64).reshape(-1, 3)
-        late = np.repeat((runs[:, 1] < doc) | ((runs[:, 1] == doc) & (runs[:, 2] < start)), np.diff(runs[:, 0], append=firsts[0]))
-        late = np.flatnonzero(late)
-        if len(late):
-            cuts = np.flatnonzero(np.diff(late) > 1)
-            for s, e in zip(late[np.concatenate([[0], cuts + 1])].tolist(), late[np.concatenate([cuts, [len(late) - 1]])].tolist(), strict=True):
-                for to, x in zip(out, (doc, th, start + s, start + e + WINDOW), strict=True):
-                    to.append(x)
-    return out
+        late_from = -1
+        for k in range(1, len(firsts), 3):
+            first = firsts[k + 1]
+            if first < doc or (first == doc and firsts[k + 2] < start):
+                late_from = firsts[k] if late_from < 0 else late_from
+            elif late_from >= 0:
+                rows.append((doc, th, start + late_from, start + firsts[k] - 1 + WINDOW))
+                late_from = -1
+        if late_from >= 0:
+            rows.append((doc, th, start + late_from, start + firsts[0] - 1 + WINDOW))
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
 
 def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows: int = 20_000, heavy_in_batch: int = 256) -> DataFrame:
