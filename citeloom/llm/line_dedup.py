@@ -78,6 +78,7 @@ def duplicate_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_b
     held = held.groupBy("doc_id", "th", F.col("x.h").alias("h")).agg(F.count("*").alias("n")).filter("n = 1").select("doc_id", "th", "h")
     held = materialize(held, "line-holders")
     first = held.groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    first = materialize(first, "line-first").hint("merge")  # both sides are plain shuffles, so a common line's rows can be split
     pairs = held.join(first, "h").filter("first.doc_id < doc_id").select("doc_id", "th", F.col("first.doc_id").alias("a_id"), F.col("first.th").alias("a_th")).distinct()
     a = shape.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("h").alias("ha"))
     aligned = pairs.join(a, ["a_id", "a_th"]).join(shape, ["doc_id", "th"])
