@@ -25,7 +25,9 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda x: None if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)) else round(float(x), 9) if isinstance(x, float) else str(x)
+    # pandas holds longs with nulls as doubles or as nullable integers: whole numbers are written alike
+    whole = lambda x: str(int(x)) if math.isfinite(x) and x == int(x) else round(float(x), 9)
+    clean = lambda x: None if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else whole(x) if isinstance(x, float) else str(x)
     return sorted([tuple(map(clean, r)) for r in df.itertuples(index=False)], key=str)
 
 
