@@ -222,9 +222,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = 0.99, block_ite
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, all columns. Rows that share a doc_id with a leaked one go too; null ids stay."""
-    leaked = materialize(leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    """The documents without a leak, all columns.
+
+    Every row is judged by its own text, whatever its id: rows that only share an id with a leaked one stay, leaked
+    rows without an id go, repeated texts are treated alike.
+    """
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaked = materialize(leaks(texts, benchmark).select(F.col("doc_id").alias("__th")).distinct(), "leaked")
+    return docs.join(leaked, F.xxhash64("text") == F.col("__th"), "left_anti").select(docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,18 @@ def links(fps: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_edges, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), fp, root (the group's fingerprint) and component_id of every row."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    rows = materialize(fingerprints(rows, "text", ("doc_id", "th")), "simhash-docs")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
+    nodes = components(links(distinct))
+    member = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    member = materialize(member, "simhash-members")
+    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.join(member.join(lowest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fp, component_id: a row per document.
 
@@ -143,25 +155,21 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     component. Null or wordless texts have fingerprint 0 and are linked like others. Other columns are not
     looked at; an empty table gives no rows.
     """
-    rows = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text"), "simhash-docs")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
-    nodes = components(links(distinct))
-    member = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    member = materialize(member, "simhash-members")
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(member.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, text, doc_id).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id; all columns stay.
 
-    Of repeated rows with that id one stays (the smallest text). Of groups whose ids are all null none stays,
-    since no row of such a group can be told from another.
+    Of repeated rows with that id one stays. Of a group whose ids are all null one row with the text of the
+    smallest hash stays.
     """
-    groups = near_groups(docs)
+    groups = _grouped(docs, "text", "doc_id")
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep.hint("merge"), "doc_id", "left_semi")  # one plan at all sizes
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # one plan at all sizes
+    nameless = groups.filter("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("th").alias("__th")).select("__th")
+    others = docs.filter("doc_id IS NULL").withColumn("__th", F.xxhash64("text")).join(nameless, "__th", "left_semi").dropDuplicates(["__th"])
+    return kept.select(docs.columns).unionByName(others.select(docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

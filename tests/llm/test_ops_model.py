@@ -256,7 +256,10 @@ def test_leaks_equal_brute_force(spark):
         assert r["distance"] <= len(items[r["item_id"]]) // 5 and r["end"] > r["start"]
     clean = dc.drop_leaked(docs(spark, rows), bench)
     leaked = {i for i, _ in got}
-    assert sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(i) for i, *_ in rows if i is None or i not in leaked)
+    assert None in leaked
+    assert sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(i) for i, *_ in rows if i not in leaked)
+    shared = docs(spark, [(7, " ".join(items[3]), None, None), (7, "clean words only", None, None), (None, "clean as well", None, None)])
+    assert sorted(r["text"] for r in dc.drop_leaked(shared, bench).collect()) == ["clean as well", "clean words only"]
     assert dc.leaks(docs(spark, []), bench).count() == 0 and dc.leaks(docs(spark, rows), bench.filter("false")).count() == 0
     assert dc.leaks(docs(spark, rows), bench, block_items=7).count() == found.count()
 

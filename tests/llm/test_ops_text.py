@@ -179,6 +179,11 @@ def test_keep_one(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (8, "entirely other words in this one here")]
     kept = sh.keep_one(docs(spark, rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 8] and kept.columns == docs(spark, []).columns
+    nameless = [(None, "a b c d e f"), (None, "no one has this text but two"), (None, "no one has this text but two"), (None, None), (None, "")]
+    kept = sh.keep_one(docs(spark, rows + nameless)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "8", "None", "None"]
+    assert sum(r["text"] == "no one has this text but two" for r in kept) == 1
+    assert sh.keep_one(docs(spark, [])).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
