@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,17 @@ def absent(references: DataFrame, inventory: DataFrame) -> DataFrame:
     return references.join(inventory.select("workspace_id", "object_key"), ["workspace_id", "object_key"], "left_anti")
 
 
+def blockers(objects: DataFrame, key: str, references: dict[str, DataFrame]) -> DataFrame:
+    """`objects` with the number of references of each kind and deletable, where there are none.
+
+    References come as arrays of keys (`ids`); they are exploded and counted by key, so containment is an equi-join.
+    """
+    rows = reduce(DataFrame.union, [r.select(F.explode("ids").alias(key), F.lit(kind).alias("kind")) for kind, r in references.items()])
+    counts = rows.groupBy(key).agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in references])
+    done = objects.join(counts, key, "left").withColumns({kind: F.coalesce(kind, F.lit(0)) for kind in references})
+    return done.withColumn("deletable", reduce(Column.__and__, [F.col(kind) == 0 for kind in references]))
+
+
 def orphan_disposition(before: Column, retained_now: Column, deleted: Column) -> Column:
     """The next disposition of an orphan: suppressed once it is referred to again, reconciled once deleted."""
     return F.when(before.isin("reconciled", "suppressed"), before).when(retained_now, "suppressed").when(deleted, "reconciled").otherwise("reported")

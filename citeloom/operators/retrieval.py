@@ -71,9 +71,47 @@ def fts_matches(queries: DataFrame, chunks: DataFrame, every: bool, on: list[str
     return rows.select("query_id", "chunk_id", "native_rank")
 
 
+def covers(hits: Column, n: Column) -> Column:
+    """Cover density of `hits` (pos, lex: sorted by pos, all `n` lexemes among them).
+
+    A cover is a shortest stretch with every lexeme; each adds 0.1 over 1 plus the words in it that are no hits. One
+    pass: the place of each lexeme's last hit is kept, the least of them begins the cover that ends at this hit, and
+    it counts if it begins after the cover before.
+    """
+    start = F.struct(F.transform(F.sequence(F.lit(1), n), lambda _: F.lit(-1)).alias("last"), F.lit(0).alias("k"), F.lit(0).alias("floor"), F.lit(0.0).alias("rank"))
+
+    def step(s: Column, h: Column) -> Column:
+        last = F.transform(s["last"], lambda v, i: F.when(i == h["lex"], s["k"]).otherwise(v))
+        begin = F.array_min(last)
+        noise = h["pos"] - F.get(hits, begin)["pos"] - (s["k"] - begin)
+        return F.struct(
+            last.alias("last"),
+            (s["k"] + 1).alias("k"),
+            F.when(begin >= s["floor"], begin + 1).otherwise(s["floor"]).alias("floor"),
+            (s["rank"] + F.when(begin >= s["floor"], F.lit(0.1) / (1 + noise)).otherwise(0.0)).alias("rank"),
+        )
+
+    return F.aggregate(hits, start, step, lambda s: s["rank"])
+
+
+def cover_matches(queries: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:
+    """query_id, chunk_id and native_rank (cover density) of the chunks with every lexeme.
+
+    Matches are found by counts first; positions are gathered only for the pairs that have every lexeme.
+    """
+    held = fts_matches(queries, chunks, True, on).select("query_id", "chunk_id")
+    wanted = query_lexemes(queries).select("query_id", F.size("lexemes").alias("n"), F.posexplode("lexemes").alias("lex", "token"))
+    said = chunks.join(held.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.posexplode(tx.tokens(F.col("content"))).alias("pos", "token"))
+    hits = held.join(wanted, "query_id").join(said, ["chunk_id", "token"]).groupBy("query_id", "chunk_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "lex"))).alias("hits"))
+    return hits.select("query_id", "chunk_id", F.round(covers(F.col("hits"), F.col("n")), DECIMALS).alias("native_rank"))
+
+
 def fts_branch(queries: DataFrame, chunks: DataFrame, k: int, every: bool, on: list[str], ties: list[str] | None = None) -> DataFrame:
-    """Full-text top k: OR (every=False) or AND of the query's lexemes, by occurrences."""
-    rows = fts_matches(queries, chunks, every, on)
+    """Full-text top k: OR (every=False) of the query's lexemes by occurrences, or AND by cover density.
+
+    Under OR each occurrence is a cover of its own, so occurrences rank as cover density does.
+    """
+    rows = cover_matches(queries, chunks, on) if every else fts_matches(queries, chunks, False, on)
     if ties:
         rows = rows.join(chunks.select("chunk_id", *ties), "chunk_id")
     return top_k(rows, [F.desc("native_rank"), *[F.asc(t) for t in [*(ties or []), "chunk_id"]]], k)

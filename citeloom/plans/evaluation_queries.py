@@ -10,6 +10,7 @@ from ..functions import rational as ra
 from ..functions import text as tx
 from ..operators import evaluation as el
 from ..operators import evidence as ev
+from ..operators import lifecycle as li
 from ..operators import operations as op
 from ..operators import retrieval as rt
 from ..operators import validation as va
@@ -105,7 +106,7 @@ def metric_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibrated_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calibrated threshold over all cases; hard negatives are the nearest of another label of the first twentieth of queries by id."""
+    """The calibrated threshold over all cases; hard negatives are each query's farthest neighbour of another label, lowered by 1."""
     hard = neighbours(spark, sf_dir).filter(~F.col("same")).groupBy("query_id").agg(F.min("similarity").alias("similarity"))
     rows = cases(spark, sf_dir).select(F.col("query_id").alias("case_id"), "gold", "top")
     return el.calibrate(rows, hard.select((F.col("similarity") - 1).alias("similarity")), POLICY)
@@ -288,7 +289,29 @@ WITH r AS (SELECT quality::DOUBLE AS quality, toxic::DOUBLE AS toxic, n_chars::D
 u AS (SELECT 'quality' AS metric, quality AS value FROM r UNION ALL SELECT 'toxic', toxic FROM r UNION ALL SELECT 'n_chars', n_chars FROM r)
 SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM u GROUP BY metric"""
 
-QUERIES = {f.__name__: f for f in (case_metrics, recall_mrr, exact_rational_mean, category_breakdown, metric_breakdown, calibrated_threshold, contamination_audit, paired_comparison, improvement_claim, paired_latency, usage_cost, guardrails, failure_taxonomy, verdict, trace_validation, reference_closure, dataset_contract, semantic_report)}
+
+
+def retention_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many traces (retrieved and gold ids of all cases) and labels refer to each document."""
+    seen = cases(spark, sf_dir).select(F.concat("retrieved", "gold").alias("ids"))
+    labels = table(spark, sf_dir, "labels").select(F.array("doc_id").alias("ids"))
+    return li.blockers(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", {"traces": seen, "labels": labels})
+
+
+BLOCKERS_SQL = "WITH " + _CASES + """,
+t AS (SELECT id, count(*) AS n FROM (SELECT unnest(list_concat(retrieved, gold)) AS id FROM cs) GROUP BY id),
+l AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n, 0) AS traces, coalesce(l.n, 0) AS labels, t.n IS NULL AND l.n IS NULL AS deletable
+FROM documents d LEFT JOIN t ON t.id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id"""
+
+
+def offset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that holds the middle of each document."""
+    middle = F.floor(F.length("text") / 2).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.line_of(F.col("text"), middle).cast("long").alias("line"))
+
+
+QUERIES = {f.__name__: f for f in (case_metrics, recall_mrr, exact_rational_mean, category_breakdown, metric_breakdown, calibrated_threshold, contamination_audit, paired_comparison, improvement_claim, paired_latency, usage_cost, guardrails, failure_taxonomy, verdict, trace_validation, reference_closure, dataset_contract, semantic_report, retention_blockers, offset_lines)}
 
 ORACLE_SQL = {
     "case_metrics": "WITH " + _CASES + " SELECT query_id, hits, gold_size, first_rank FROM m",
@@ -309,4 +332,6 @@ ORACLE_SQL = {
     "reference_closure": CLOSURE_SQL,
     "dataset_contract": CONTRACT_SQL,
     "semantic_report": SEMANTIC_SQL,
+    "retention_blockers": BLOCKERS_SQL,
+    "offset_lines": "SELECT doc_id, length(substr(text, 1, length(text) // 2)) - length(replace(substr(text, 1, length(text) // 2), chr(10), '')) + 1 AS line FROM documents",
 }

@@ -141,6 +141,58 @@ SELECT job_id, attempt_count, CASE WHEN attempt_count >= 4 THEN 'failed' ELSE 'r
 FROM j, now WHERE state = 'processing' AND lease_until <= now"""
 
 
+def heartbeat_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leases after beats in mid-January from two thirds of the jobs, half of them with a stale fence."""
+    held = jobs(spark, sf_dir)
+    beats = held.filter("job_id % 3 <> 0").select("job_id", (F.col("job_id") % 2).cast("int").alias("fence"))
+    rows = li.heartbeat(held, beats, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), 86_400)
+    return rows.select("job_id", "state", F.unix_micros(F.col("lease_until").cast("timestamp")).alias("lease_until_us"))
+
+
+HEARTBEAT_SQL = "WITH " + _JOBS + """
+SELECT job_id, state, epoch_us(CASE WHEN state = 'processing' AND job_id % 3 <> 0 AND job_id % 2 = 0 AND lease_until > TIMESTAMP '2024-01-15'
+  THEN greatest(lease_until, TIMESTAMP '2024-01-16') ELSE lease_until END) AS lease_until_us FROM j"""
+
+
+def finalize_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a result of every job: half hold a stale fence, nations hold the documents' current versions."""
+    held = jobs(spark, sf_dir)
+    results = held.select("job_id", (F.col("job_id") % 2).alias("fence"), (F.col("job_id") % 50).alias("document_id"), (F.col("job_id") % 3).alias("target_version"))
+    current = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), (F.col("n_regionkey") % 3).cast("long").alias("current_version"))
+    return li.finalize(held, results, current)
+
+
+FINALIZE_SQL = "WITH " + _JOBS + """
+SELECT job_id, CASE WHEN job_id % 2 <> 0 OR state <> 'processing' THEN 'stale' WHEN job_id % 3 IS DISTINCT FROM n_regionkey % 3 THEN 'superseded' ELSE 'succeeded' END AS outcome
+FROM j LEFT JOIN nation ON n_nationkey = job_id % 50"""
+
+
+def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by state, those with a lease, with a retry time and over budget, and breaches of what the state demands."""
+    state, lease, retry = F.col("state"), F.col("lease_until").isNotNull(), F.col("next_attempt_at").isNotNull()
+    breach = ((state == "processing") != lease) | ((state == "retry_scheduled") != retry) | (F.col("attempt_count") > F.col("max_attempts"))
+    return jobs(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"), F.count_if(lease).alias("leased"), F.count_if(retry).alias("retrying"), F.count_if(F.col("attempt_count") == 0).alias("fresh"), F.count_if(breach).alias("breaches"))
+
+
+MATRIX_SQL = "WITH " + _JOBS + """
+SELECT state, count(*) AS n, CAST(count_if(lease_until IS NOT NULL) AS BIGINT) AS leased, CAST(count_if(next_attempt_at IS NOT NULL) AS BIGINT) AS retrying,
+  CAST(count_if(attempt_count = 0) AS BIGINT) AS fresh,
+  CAST(count_if(((state = 'processing') <> (lease_until IS NOT NULL)) OR ((state = 'retry_scheduled') <> (next_attempt_at IS NOT NULL)) OR attempt_count > 4) AS BIGINT) AS breaches
+FROM j GROUP BY state"""
+
+
+def replacement_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every finished order the earliest open one of its customer."""
+    o = table(spark, sf_dir, "orders")
+    first = o.filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("replacement"))
+    return o.filter("o_orderstatus = 'F'").join(first, "o_custkey", "left").select("o_orderkey", "replacement")
+
+
+REPLACEMENT_SQL = """
+WITH f AS (SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS replacement FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+SELECT o_orderkey, replacement FROM orders LEFT JOIN f USING (o_custkey) WHERE o_orderstatus = 'F'"""
+
+
 def job_status_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public status of every order: masked failure, serving state, polling hint."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -239,7 +291,7 @@ SUBMIT_SQL = """
 WITH f AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS k, arg_min(o_orderpriority, o_orderkey) AS fp FROM orders GROUP BY ALL)
 SELECT o_orderkey, CASE WHEN k % 2 <> 0 THEN 'created' WHEN fp = o_orderpriority THEN 'replayed' ELSE 'conflict' END AS outcome FROM orders JOIN f USING (o_custkey, o_orderstatus)"""
 
-QUERIES = {f.__name__: f for f in (ops_snapshot, claim_latency, claim_histogram, retry_decisions, due_queue, claim_step, expired_recovery, job_status_projection, version_allocation, orphans, inconsistent_records, retained_objects, lifecycle_states, alert_islands, idempotent_submit)}
+QUERIES = {f.__name__: f for f in (ops_snapshot, claim_latency, claim_histogram, retry_decisions, due_queue, claim_step, expired_recovery, job_status_projection, version_allocation, orphans, inconsistent_records, retained_objects, lifecycle_states, alert_islands, idempotent_submit, heartbeat_step, finalize_outcomes, job_matrix, replacement_jobs)}
 
 ORACLE_SQL = {
     "ops_snapshot": SNAPSHOT_SQL,
@@ -257,4 +309,8 @@ ORACLE_SQL = {
     "lifecycle_states": LIFECYCLE_SQL,
     "alert_islands": ALERT_SQL,
     "idempotent_submit": SUBMIT_SQL,
+    "heartbeat_step": HEARTBEAT_SQL,
+    "finalize_outcomes": FINALIZE_SQL,
+    "job_matrix": MATRIX_SQL,
+    "replacement_jobs": REPLACEMENT_SQL,
 }

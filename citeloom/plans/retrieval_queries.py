@@ -62,15 +62,32 @@ def fts_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with every lexeme of a benchmark text, the 8 best."""
+    """The documents with every lexeme of a benchmark text, the 8 best by cover density."""
     return rt.fts_branch(c.questions(spark, sf_dir), _whole(spark, sf_dir), c.K, True, []).select("query_id", "chunk_id", "native_rank", F.col("branch_rank").cast("long").alias("branch_rank"))
 
 
 FTS_SQL = (
-    "WITH lex AS (SELECT item_id AS query_id, len(" + c.sql_lexemes("text") + ") AS n, unnest(" + c.sql_lexemes("text") + ") AS token FROM benchmark), "
+    "WITH lex AS (SELECT item_id AS query_id, unnest(" + c.sql_lexemes("text") + ") AS token FROM benchmark), "
     "said AS (SELECT doc_id AS chunk_id, unnest(" + c.sql_tokens("text") + ") AS token FROM documents), "
-    "m AS (SELECT query_id, chunk_id, n, count(*) AS native_rank, count(DISTINCT token) AS found FROM said JOIN lex USING (token) GROUP BY ALL) "
-    "SELECT query_id, chunk_id, native_rank, row_number() OVER (PARTITION BY query_id ORDER BY native_rank DESC, chunk_id) AS branch_rank FROM m {where} QUALIFY branch_rank <= 8"
+    "m AS (SELECT query_id, chunk_id, count(*) AS native_rank FROM said JOIN lex USING (token) GROUP BY ALL) "
+    "SELECT query_id, chunk_id, native_rank, row_number() OVER (PARTITION BY query_id ORDER BY native_rank DESC, chunk_id) AS branch_rank FROM m QUALIFY branch_rank <= 8"
+)
+
+
+COVER_SQL = (
+    "WITH lex AS (SELECT item_id AS query_id, unnest(" + c.sql_lexemes("text") + ") AS token FROM benchmark), "
+    "toks AS (SELECT doc_id AS chunk_id, " + c.sql_tokens("text") + " AS t FROM documents), "
+    "said AS (SELECT chunk_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks), "
+    "h AS (SELECT query_id, chunk_id, token, pos, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS k FROM said JOIN lex USING (token)), "
+    "n AS (SELECT query_id, count(*) AS n FROM lex GROUP BY query_id), "
+    "ok AS (SELECT query_id, chunk_id FROM h JOIN n USING (query_id) GROUP BY query_id, chunk_id, n HAVING count(DISTINCT token) = n), "
+    "e AS (SELECT h.query_id, h.chunk_id, h.k, h.pos, max(CASE WHEN h.token = l.token THEN h.k END) OVER (PARTITION BY h.query_id, h.chunk_id, l.token ORDER BY h.k) AS seen "
+    "FROM h JOIN ok ON h.query_id = ok.query_id AND h.chunk_id = ok.chunk_id JOIN lex l ON l.query_id = h.query_id), "
+    "b AS (SELECT query_id, chunk_id, k, pos, min(seen) AS first FROM e GROUP BY query_id, chunk_id, k, pos HAVING count(seen) = count(*)), "
+    "v AS (SELECT query_id, chunk_id, first, min(k) AS k, min(pos) AS pos FROM b GROUP BY query_id, chunk_id, first), "
+    "m AS (SELECT v.query_id, v.chunk_id, round(sum(0.1::DOUBLE / (1 + (v.pos - h.pos) - (v.k - v.first))), 9) AS native_rank "
+    "FROM v JOIN h ON h.query_id = v.query_id AND h.chunk_id = v.chunk_id AND h.k = v.first GROUP BY v.query_id, v.chunk_id) "
+    "SELECT query_id, chunk_id, native_rank, row_number() OVER (PARTITION BY query_id ORDER BY native_rank DESC, chunk_id) AS branch_rank FROM m QUALIFY branch_rank <= 8"
 )
 
 
@@ -187,8 +204,8 @@ ORACLE_SQL = {
     "vector_norm_audit": "SELECT vec_id, len(embedding) AS dims, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS norm, len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS is_finite FROM embeddings",
     "lexeme_normalize": "SELECT item_id AS query_id, array_to_string(list_sort(" + c.sql_lexemes("text") + "), ' ') AS lexemes, array_to_string(list_sort(list_distinct(list_filter(" + c.sql_tokens("text") + ", lambda t: NOT " + c.sql_is_lexeme("t") + "))), ' ') AS omitted FROM benchmark",
     "tsvector_tokens": "SELECT doc_id, len(" + c.sql_tokens("text") + ") AS n_tokens, len(list_distinct(" + c.sql_tokens("text") + ")) AS n_distinct FROM documents",
-    "fts_or_topk": FTS_SQL.replace("{where}", ""),
-    "fts_and_topk": FTS_SQL.replace("{where}", "WHERE found = n"),
+    "fts_or_topk": FTS_SQL,
+    "fts_and_topk": COVER_SQL,
     "rrf_v1": RRF_SQL.replace("{ties}", ""),
     "rrf_v2": RRF_SQL.replace("{ties}", "source_key, ordinal, "),
     "branch_observations": OBSERVATIONS_SQL,

@@ -68,6 +68,21 @@ def test_identifier_is_found(spark):
     assert [r["chunk_id"] for r in rt.fts_branch(q, c, 8, True, []).collect()] == [1]
 
 
+def test_cover_density(spark):
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id long, question string")
+    texts = ["alpha beta", "alpha x1 x2 beta", "alpha beta alpha", "alpha only", "x1 beta x2 beta alpha", "gamma, gamma"]
+    c = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    found = {(r["query_id"], r["chunk_id"]): (r["branch_rank"], r["native_rank"]) for r in rt.fts_branch(q, c, 8, True, []).collect()}
+    third = pytest.approx(0.1 / 3)
+    assert found == {(1, 2): (1, 0.2), (1, 0): (2, 0.1), (1, 4): (3, 0.1), (1, 1): (4, third), (2, 5): (1, 0.2)}
+
+
+def test_blockers(spark):
+    objects = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    refs = {"a": spark.createDataFrame([([1, 2],), ([1],), (None,)], "ids array<long>"), "b": spark.createDataFrame([([9],)], "ids array<long>")}
+    assert sorted(map(tuple, li.blockers(objects, "k", refs).collect())) == [(1, 2, 0, False), (2, 1, 0, False), (3, 0, 0, True)]
+
+
 def test_answers_and_citations(spark):
     q = spark.createDataFrame([(1,), (2,)], "query_id long")
     e = spark.createDataFrame([(1, "E1", 1, "text", "doc", 3)], "query_id long, alias string, final_rank int, content string, source_key string, ordinal int")
