@@ -1,17 +1,11 @@
-"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: each item's word trigrams give the stretches to verify, Sellers' edit distance the leaks.
 
 A leak is a stretch of a document within word edit distance 20 % of a benchmark item (case and punctuation
-aside). The random walk of Chakraborty, Goldenberg and Koucky (2016) reads a word sequence with a pointer that
-moves on or stays by a random bit of (step, word); the words it reads are an embedding in which sequences of
-small edit distance have small Hamming distance. Sampled steps of it form LSH keys. The walk depends on where
-it starts, not on a length, so one walk from a start serves the windows of all item sizes; steps are sampled
-from the part that even the shortest item fills. The number of repeats is set on the benchmark itself: items
-with random edits at the threshold are embedded, and repeats are added until the target recall is reached.
-
-Starts that cannot begin a leak are passed over without loss: by the q-gram lemma a window within k edits of an
-item of L words shares at least L - 2 - 3k of its word trigrams, so a start walks only if that many trigrams
-of some item lie within the longest window after it. What the LSH finds is verified by Sellers' algorithm on
-the words themselves.
+aside). By the q-gram lemma a window within k edits of an item of L words, itself at most L + k words, shares at
+least L - 2 - 3k of its word trigrams, wherever the edits lie; that is at least one for every L and k here. An
+index from trigrams to items counts them for each item by itself, and every stretch that holds enough of them is
+verified by Sellers' algorithm on the words themselves. Nothing is sampled, so no leak is lost; random-walk
+embeddings with LSH keys, which stood here before, missed items edited at the front and cost more.
 
 The benchmark is the stated query set; it is taken in blocks of at most `block_items` items, each block a pass
 over the documents, so what a task holds is bounded.
@@ -31,6 +25,7 @@ from .common import explode_text, materialize
 #: ASCII other than letters and digits separates words; A-Z are folded here, the rest by lower() before.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SAMPLE = 4  # steps in an LSH key
+PAIRS = 1 << 22  # places times items that a task expands at once
 MAX_REPEATS = 64
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,24 +101,19 @@ def repeats_for(items: list[np.ndarray], steps: int, recall: float, trials: int
 class Block:
     """The tables of one block of items that tasks need."""
 
-    def __init__(self, items: list[tuple[int, bytes]], recall: float):
+    def __init__(self, items: list[tuple[int, bytes]]):
         found = [(i, w) for i, t in items if len(w := words_of(t)) >= 3]
         self.ids, self.words = [i for i, _ in found], [w for _, w in found]
         codes = [codes_of(w) for w in self.words]
-        self.most = max((len(c) + edits_allowed(len(c)) for c in codes), default=0)
-        self.least_hits = min((len(c) - 2 - 3 * edits_allowed(len(c)) for c in codes), default=1)
-        grams = np.unique(np.concatenate([trigrams(c) for c in codes])) if codes else np.empty(0, np.uint64)
-        self.grams = grams
+        sizes, edits = np.array([len(c) for c in codes], np.int64), np.array([edits_allowed(len(c)) for c in codes], np.int64)
+        self.longest = sizes + edits  # words of the longest window of each item
+        self.least_hits = sizes - 2 - 3 * edits  # at least 1 at all sizes
+        self.grams = np.unique(np.concatenate([trigrams(c) for c in codes])) if codes else np.empty(0, np.uint64)
+        # which items hold a trigram: sorted pairs, trigram's number * items + item
+        held = [np.searchsorted(self.grams, np.unique(trigrams(c))) * len(codes) + x for x, c in enumerate(codes)]
+        self.pairs = np.sort(np.concatenate(held)) if codes else np.empty(0, np.int64)
         self.bits = np.zeros(1 << 22, bool)
-        self.bits[grams >> np.uint64(42)] = True
-        steps = 2 * min((len(c) for c in codes), default=3)
-        self.walks = Walks(steps, repeats_for(codes, steps, recall) if codes else 1)
-        zero = np.zeros(1, np.int64)
-        pairs = [(int(self.walks.keys(c, zero, r)[0]), x) for x, c in enumerate(codes) for r in range(self.walks.repeats)]
-        self.keys = np.array(sorted({k for k, _ in pairs}), np.uint64)
-        self.owners: dict[int, list[int]] = {}
-        for k, x in pairs:
-            self.owners.setdefault(k, []).append(x)
+        self.bits[self.grams >> np.uint64(42)] = True
 
 
 def sellers(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -157,46 +147,67 @@ def best_stretch(item: list[bytes], words: list[bytes], lo: int, hi: int, k: int
     return int(d[end]), lo + end + 1 - int(row.argmin()), lo + end + 1
 
 
+def stretches(item: list[bytes], words: list[bytes], lo: int, hi: int, k: int) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of the stretches of words[lo:hi] within k of the item, the closest where several overlap."""
+    out, left = [], [(lo, hi)]
+    while left:
+        lo, hi = left.pop()
+        if hi - lo >= len(item) - k and (best := best_stretch(item, words, lo, hi, k)):
+            out.append(best)
+            left += [(lo, best[1]), (best[2], hi)]
+    return sorted(out, key=lambda s: s[1])
+
+
+def regions(gram_at: np.ndarray, gram: np.ndarray, bounds: np.ndarray, block: Block, first: int, last: int) -> list[tuple[int, int, int, int]]:
+    """(document, item, first word, word after the last) of the stretches that hold all windows with enough trigrams of an item.
+
+    `gram_at` and `gram`: places and numbers of the items' trigrams; of the items those from `first` to `last` - 1.
+    """
+    n = len(block.ids)
+    lo, hi = np.searchsorted(block.pairs, gram * n + first), np.searchsorted(block.pairs, gram * n + last)
+    count = hi - lo
+    item = block.pairs[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())] % n
+    at = np.repeat(gram_at, count)
+    order = np.argsort(item, kind="stable")  # places rise within an item
+    item, at = item[order], at[order]
+    doc = np.searchsorted(bounds, at, "right") - 1
+    i = np.arange(len(item))
+    j = i + block.least_hits[item] - 1
+    i, j = i[j < len(item)], j[j < len(item)]
+    kept = (item[i] == item[j]) & (doc[i] == doc[j]) & (at[j] - at[i] <= block.longest[item[i]] - 3)
+    i, j = i[kept], j[kept]
+    item, doc = item[i], doc[i]
+    lo = np.maximum(at[j] + 3 - block.longest[item], bounds[doc])
+    hi = np.minimum(at[i] + block.longest[item], bounds[doc + 1])
+    if not len(item):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] >= hi[:-1])]))
+    last = np.append(new[1:], len(item)) - 1
+    return sorted(zip(doc[new].tolist(), item[new].tolist(), (lo[new] - bounds[doc[new]]).tolist(), (hi[last] - bounds[doc[new]]).tolist(), strict=True))
+
+
 def find_leaks(docs: list[tuple[int, bytes]], block: Block) -> list[tuple[int, int, int, int, int]]:
     """(document's place in the list, item, distance, first word, word after the last)."""
     words = [words_of(t) for t in docs]
-    sizes = np.array([len(w) for w in words])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    codes = codes_of([w for x in words for w in x])
-    grams = trigrams(codes)
-    hit = block.bits[grams >> np.uint64(42)]
-    at = np.flatnonzero(hit)
-    hit[at] = np.isin(grams[at], block.grams)
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return []
-    # starts with enough trigrams of items after them; only those shortly before a hit can have any
-    near = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(near, np.maximum(at - block.most, 0), 1)
-    np.add.at(near, at + 1, -1)
-    starts = np.flatnonzero(np.cumsum(near[:-1]) >= block.least_hits)
-    found: dict[tuple[int, int], list[int]] = {}
-    for lo in range(0, len(starts), 1 << 16):
-        part = starts[lo : lo + (1 << 16)]
-        doc_of = np.searchsorted(bounds, part, "right") - 1
-        for r in range(block.walks.repeats):
-            keys = block.walks.keys(codes, part, r)
-            for i in np.flatnonzero(np.isin(keys, block.keys)).tolist():
-                for x in block.owners[int(keys[i])]:
-                    found.setdefault((int(doc_of[i]), x), []).append(int(part[i]))
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    grams = trigrams(codes_of([w for x in words for w in x]))
+    at = np.flatnonzero(block.bits[grams >> np.uint64(42)])
+    at = at[np.isin(grams[at], block.grams)]
+    gram, n = np.searchsorted(block.grams, grams[at]), len(block.ids)
+    pairs = np.searchsorted(block.pairs, (gram + 1) * n) - np.searchsorted(block.pairs, gram * n)
+    # whole documents of about PAIRS pairs at a time; if one document has more, a part of the items at a time
+    doc = np.searchsorted(bounds, at, "right") - 1
+    before = (np.cumsum(pairs) - pairs)[np.searchsorted(doc, doc)]
     out = []
-    for (d, x), places in sorted(found.items()):
-        places = np.unique(np.array(places) - bounds[d])
-        n, k = len(block.words[x]), edits_allowed(len(block.words[x]))
-        for group in np.split(places, np.flatnonzero(np.diff(places) > n) + 1):
-            lo, hi = max(0, int(group[0]) - k), min(int(sizes[d]), int(group[-1]) + n + 2 * k)
-            best = best_stretch(block.words[x], words[d], lo, hi, k)
-            if best and (not out or out[-1][:2] != (d, block.ids[x]) or out[-1][4] <= best[1]):
-                out.append((d, block.ids[x], *best))
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(before // PAIRS)) + 1):
+        step = max(1, n * PAIRS // max(PAIRS, int(pairs[part].sum())))
+        for x0 in range(0, n, step):
+            for d, x, lo, hi in regions(at[part], gram[part], bounds, block, x0, min(n, x0 + step)):
+                out += [(d, block.ids[x], *s) for s in stretches(block.words[x], words[d], lo, hi, edits_allowed(len(block.words[x])))]
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = 0.99, block_items: int = 4000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> DataFrame:
     """doc_id, item_id, distance, start, end (words): the leaks of `benchmark` (item_id, text) in `docs` (doc_id, text).
 
     A row for each stretch of a document that is within 20 % word edits of an item; the closest where several
@@ -211,7 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = 0.99, block_ite
     fields = [("doc_id", T.LongType()), ("item_id", T.LongType()), ("distance", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType())]
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start long, end long")
     for b in range(max(1, -(-n_items // block_items))):
-        block = docs.sparkSession.sparkContext.broadcast(Block([(r["item_id"], bytes(r["t"])) for r in items.filter(F.col("b") == b).sort("item_id", "t").collect()], recall))
+        block = docs.sparkSession.sparkContext.broadcast(Block([(r["item_id"], bytes(r["t"])) for r in items.filter(F.col("b") == b).sort("item_id", "t").collect()]))
 
         def run(cols: list[list], block=block) -> list:
             rows = find_leaks(cols[1], block.value) if block.value.ids else []

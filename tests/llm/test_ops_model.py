@@ -264,6 +264,29 @@ def test_leaks_equal_brute_force(spark):
     assert dc.leaks(docs(spark, rows), bench, block_items=7).count() == found.count()
 
 
+def test_leaks_with_edits_gathered_anywhere(monkeypatch):
+    rng = random.Random(8)
+    items = [[f"v{rng.randrange(4000)}" for _ in range(n)] for n in (8, 10, 15, 23, 31, 40, 52, 59, 75, 100) * 4]
+    pad = lambda n: [f"p{rng.randrange(900)}" for _ in range(n)]
+    texts, want = [], set()
+    for x, item in enumerate(items):
+        k = len(item) // 5
+        for at in (0, (len(item) - k) // 2, len(item) - k):
+            for put in ([], pad(k)):
+                want.add((len(texts), x))
+                texts.append((" ".join(pad(20) + item[:at] + put + item[at + k :] + pad(20))).encode())
+    block = dc.Block([(i, " ".join(t).encode()) for i, t in enumerate(items)])
+    found = dc.find_leaks(texts, block)
+    assert {(d, x) for d, x, *_ in found} == want
+    # copies next to each other are a row each, however the work is split
+    twice = [" ".join(items[4] + items[4] + ["so"] + items[5] + items[4]).encode(), b"", " ".join(items[5]).encode()]
+    n, m = len(items[4]), len(items[5])
+    places = [(0, 4, 0, 0, n), (0, 4, 0, n, 2 * n), (0, 4, 0, 2 * n + 1 + m, 3 * n + 1 + m), (0, 5, 0, 2 * n + 1, 2 * n + 1 + m), (2, 5, 0, 0, m)]
+    assert sorted(dc.find_leaks(twice, block)) == places
+    monkeypatch.setattr(dc, "PAIRS", 7)
+    assert sorted(dc.find_leaks(twice, block)) == places and sorted(dc.find_leaks(texts, block)) == sorted(found)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
