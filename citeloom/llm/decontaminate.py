@@ -5,7 +5,7 @@ aside). By the q-gram lemma a window within k edits of an item of L words, itsel
 least L - 2 - 3k of its word trigrams, wherever the edits lie; that is at least one for every L and k here. An
 index from trigrams to items counts them for each item by itself, and every stretch that holds enough of them is
 verified by Sellers' algorithm on the words themselves. Nothing is sampled, so no leak is lost; random-walk
-embeddings with LSH keys, which stood here before, missed items edited at the front and cost more.
+embeddings with LSH keys, which stood here before, missed items edited at the front.
 
 The benchmark is the stated query set; it is taken in blocks of at most `block_items` items, each block a pass
 over the documents, so what a task holds is bounded.
@@ -24,9 +24,7 @@ from .common import explode_text, materialize
 
 #: ASCII other than letters and digits separates words; A-Z are folded here, the rest by lower() before.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-SAMPLE = 4  # steps in an LSH key
 PAIRS = 1 << 22  # places times items that a task expands at once
-MAX_REPEATS = 64
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,29 +48,6 @@ def trigrams(codes: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) ^ codes[2:]) * MULT
 
 
-class Walks:
-    """`repeats` random walks of `steps` steps and the sampled steps of each."""
-
-    def __init__(self, steps: int, repeats: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.steps, self.repeats = steps, repeats
-        self.odd = rng.integers(0, 1 << 63, (MAX_REPEATS, steps), np.uint64)[:repeats] * np.uint64(2) + np.uint64(1)
-        self.sampled = np.stack([np.sort(rng.choice(steps, min(SAMPLE, steps), replace=False)) for _ in range(MAX_REPEATS)])[:repeats]
-
-    def keys(self, codes: np.ndarray, starts: np.ndarray, r: int) -> np.ndarray:
-        """The LSH key of walk r from each start; past the end the walk reads zeros."""
-        at, key = starts.copy(), np.full(len(starts), r + 1, np.uint64)
-        padded = np.concatenate([codes, np.zeros(self.steps + 1, np.uint64)])
-        sampled = set(self.sampled[r].tolist())
-        for j in range(max(sampled) + 1):
-            read = padded[at]
-            if j in sampled:
-                key = (key ^ read) * MULT
-                key ^= key >> np.uint64(32)
-            at = at + ((read * self.odd[r, j]) >> np.uint64(63)).astype(at.dtype)
-        return key
-
-
 def edited(codes: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """`codes` after k random substitutions, insertions and deletions."""
     out = codes.tolist()
@@ -87,17 +62,6 @@ def edited(codes: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def repeats_for(items: list[np.ndarray], steps: int, recall: float, trials: int = 6, seed: int = 5) -> int:
-    """The fewest walks that find `recall` of randomly edited items, each at its threshold."""
-    rng, walks, zero = np.random.default_rng(seed), Walks(steps, MAX_REPEATS), np.zeros(1, np.int64)
-    first = []
-    for codes in items[:: max(1, len(items) // 200)]:
-        for _ in range(trials):
-            other = edited(codes, edits_allowed(len(codes)), rng)
-            first.append(next((r for r in range(MAX_REPEATS) if walks.keys(codes, zero, r)[0] == walks.keys(other, zero, r)[0]), MAX_REPEATS))
-    return min(MAX_REPEATS, int(np.quantile(first, recall, method="higher")) + 1)
-
-
 class Block:
     """The tables of one block of items that tasks need."""
 

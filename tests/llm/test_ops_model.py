@@ -287,6 +287,18 @@ def test_leaks_with_edits_gathered_anywhere(monkeypatch):
     assert sorted(dc.find_leaks(twice, block)) == places and sorted(dc.find_leaks(texts, block)) == sorted(found)
 
 
+def test_no_leak_is_lost_beside_a_short_item():
+    rng = random.Random(9)
+    items = [[f"v{rng.randrange(4000)}" for _ in range(rng.randint(15, 59))] for _ in range(60)]
+    block = dc.Block([(i, " ".join(t).encode()) for i, t in enumerate(items)] + [(99, b"three word item")])
+    texts = []
+    for n in range(10 * len(items)):
+        item = items[n % len(items)]
+        part = dc.edited(np.arange(len(item), dtype=np.uint64), len(item) // 5, np.random.default_rng(n)).tolist()
+        texts.append(" ".join(["so"] * 9 + [item[p] if p < len(item) else "new" for p in part] + ["on"] * 9).encode())
+    assert {(d, x) for d, x, *_ in dc.find_leaks(texts, block)} == {(n, n % len(items)) for n in range(len(texts))}
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
