@@ -1,6 +1,14 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup: lines of a document that an earlier one holds as part of a block.
 
-A line is rare here if it occurs once in its document and has at least `min_line_chars` characters. Frequency
+`repeated_lines` is what the query and the pipeline use. A run of consecutive lines counts if it has at least
+`min_block_chars` characters and a line of at least `min_line_chars`. Every document gives, from each line on and
+back from each line, its shortest run that counts; each line of a common block lies in one of them. A run is
+deleted where its first holder (the smallest doc_id) is an earlier document, so all earlier documents are looked
+at with two keys a line and no pairs. These are all lines that alignment with every earlier document deletes, and
+those of blocks that stand several times in a document or in another order.
+
+`duplicate_lines` aligns with the first holders of single lines only, so it loses a block whose lines have
+different first holders. A line is rare here if it occurs once in its document and has at least `min_line_chars` characters. Frequency
 over documents is not bounded: a large group of copies shares all its lines, and a bound would lose it.
 Instead of pairing all holders of a line, each holder is paired with the line's first holder (the smallest
 doc_id), so pairs number at most as many as lines. Each pair is aligned by patience diff on line hashes: lines
@@ -12,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +30,7 @@ from .common import explode_text, materialize
 
 MIN_LINE_CHARS = 24
 MIN_BLOCK_CHARS = 60
+PRIME, BASE = (1 << 61) - 1, 0x1C3A5D7E9B2F4681
 
 
 def patience_blocks(a: list[int], b: list[int], rare_b: list[bool]) -> list[tuple[int, int, int]]:
@@ -69,11 +79,72 @@ def _deleted(cols: list[list], min_block_chars: int) -> list:
     return made
 
 
-def duplicate_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
-    """doc_id, th (xxhash64 of the text) and gone: the sorted indexes of lines that alignment deletes, where any are."""
+def _shapes(docs: DataFrame) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), h and size (hashes and lengths of the lines), once a document and text."""
     split = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("l"))
     shape = split.select("doc_id", "th", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.length(x)).alias("size"))
-    shape = materialize(shape.dropDuplicates(["doc_id", "th"]), "line-shapes")
+    return materialize(shape.dropDuplicates(["doc_id", "th"]), "line-shapes")
+
+
+def shortest_runs(size: list[int], min_line_chars: int, min_block_chars: int) -> set[tuple[int, int]]:
+    """(first line, line after the last) of the shortest runs that count, from each line on and back from each line."""
+    out, n = set(), len(size)
+    for places, back in ((range(n), False), (range(n - 1, -1, -1), True)):
+        ahead = iter(places)
+        chars = long = held = 0
+        for i in places:
+            while held < n and (chars < min_block_chars or not long):
+                x = size[next(ahead)]
+                chars, long, held = chars + x, long + (x >= min_line_chars), held + 1
+            if chars < min_block_chars or not long:
+                break
+            out.add((n - held, i + 1) if back else (i, held))
+            chars, long = chars - size[i], long - (size[i] >= min_line_chars)
+    return out
+
+
+def _runs(cols: list[list], min_line_chars: int, min_block_chars: int) -> list:
+    made: list[list] = [[], [], [], [], []]
+    for doc_id, th, h, size in zip(*cols, strict=True):
+        runs = shortest_runs(size, min_line_chars, min_block_chars)
+        if not runs:
+            continue
+        prefix, power = [0], [1]  # a run's hash from those of its ends, however long it is
+        for x in h:
+            prefix.append((prefix[-1] * BASE + x) % PRIME)
+            power.append(power[-1] * BASE % PRIME)
+        for i, j in runs:
+            for to, x in zip(made, (doc_id, th, (prefix[j] - prefix[i] * power[j - i]) % PRIME, i, j - i), strict=True):
+                to.append(x)
+    return made
+
+
+def _covered(cols: list[list]) -> list:
+    made: list[list] = [[], [], []]
+    for doc_id, th, runs in zip(*cols, strict=True):
+        gone: list[int] = []
+        for i, n in sorted((r["i"], r["n"]) for r in runs):
+            gone.extend(range(max(i, gone[-1] + 1) if gone else i, i + n))
+        for to, x in zip(made, (doc_id, th, gone), strict=True):
+            to.append(x)
+    return made
+
+
+def repeated_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+    """doc_id, th (xxhash64 of the text) and gone: the sorted indexes of lines in blocks that any earlier document has, where any are."""
+    keys = [("doc_id", T.LongType()), ("th", T.LongType())]
+    fields = [*keys, ("run", T.LongType()), ("i", T.IntegerType()), ("n", T.IntegerType())]
+    runs = materialize(explode_text(_shapes(docs), ["doc_id", "th", "h", "size"], fields, lambda cols: _runs(cols, min_line_chars, min_block_chars)), "line-runs")
+    first = runs.groupBy("run", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("run", "n", "first")
+    first = materialize(first, "line-first").hint("merge")  # both sides are plain shuffles, so a common run's rows can be split
+    found = runs.join(first, ["run", "n"]).filter("first < doc_id")
+    found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "n")).alias("runs"))
+    return explode_text(found, ["doc_id", "th", "runs"], [*keys, ("gone", T.ArrayType(T.IntegerType()))], _covered)
+
+
+def duplicate_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+    """doc_id, th (xxhash64 of the text) and gone: the sorted indexes of lines that alignment with their first holders deletes, where any are."""
+    shape = _shapes(docs)
     held = shape.select("doc_id", "th", F.explode(F.arrays_zip("h", "size")).alias("x")).filter(F.col("x.size") >= min_line_chars)
     held = held.groupBy("doc_id", "th", F.col("x.h").alias("h")).agg(F.count("*").alias("n")).filter("n = 1").select("doc_id", "th", "h")
     held = materialize(held, "line-holders")
@@ -89,15 +160,15 @@ def duplicate_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_b
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
-    """`docs` with __lines and __gone (counts) added and text without the deleted lines.
+def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS, find: Callable[..., DataFrame] = duplicate_lines) -> DataFrame:
+    """`docs` with __lines and __gone (counts) added and text without the lines that `find` returns.
 
     Null texts and rows with a null doc_id stay as they are. Rows that share a doc_id are no copies of each
     other (neither is later); they are told apart by their text, and repeated rows are treated alike. Lines are
     compared without blanks around them and joined again by \\n as they were. Extra columns stay; an empty
     table gives none.
     """
-    gone = materialize(duplicate_lines(docs, min_line_chars, min_block_chars), "line-gone").withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    gone = materialize(find(docs, min_line_chars, min_block_chars), "line-gone").withColumnsRenamed({"doc_id": "__id", "th": "__th"})
     # always a merge join: texts are shuffled once at any size, so cost stays in proportion
     both = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     lines = F.split("text", "\n")
@@ -112,7 +183,7 @@ def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     """The pipeline's form: texts without deleted lines (n_chars follows); documents of which only blanks are left go."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, find=repeated_lines)
     left = (F.col("__gone") == 0) | (F.length(F.trim(F.col("text"))) > 0)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -122,5 +193,5 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, deleted lines and the digest of the kept text of every document (null text: null digest)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, find=repeated_lines)
     return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

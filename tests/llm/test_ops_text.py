@@ -244,6 +244,42 @@ def test_line_dedup(spark):
     assert ld.dedup_lines(docs(spark, [])).count() == 0
 
 
+def lines_of_any_earlier(rows):
+    """Aligned blocks of every pair of documents, and all blocks that two documents have in common, by brute force."""
+    shape = {(i, t): [x.strip(" ") for x in t.split("\n")] for i, t in rows if i is not None and t is not None}
+    aligned, common = {k: set() for k in shape}, {k: set() for k in shape}
+    for (a, v), (b, w) in ((x, y) for x in shape.items() for y in shape.items() if x[0][0] < y[0][0]):
+        for _, t, n in ld.patience_blocks(v, w, [len(x) >= ld.MIN_LINE_CHARS for x in w]):
+            if sum(map(len, w[t : t + n])) >= ld.MIN_BLOCK_CHARS:
+                aligned[b] |= set(range(t, t + n))
+        for i in range(len(v)):
+            for j in range(len(w)):
+                n = 0
+                while i + n < len(v) and j + n < len(w) and v[i + n] == w[j + n]:
+                    n += 1
+                block = w[j : j + n]
+                if sum(map(len, block)) >= ld.MIN_BLOCK_CHARS and max(map(len, block)) >= ld.MIN_LINE_CHARS:
+                    common[b] |= set(range(j, j + n))
+    return aligned, common
+
+
+def test_line_dedup_with_all_earlier_documents(spark):
+    rng = random.Random(12)
+    one, two, twice = "the first of the shared lines", "the second of the shared lines, a bit more", "x" * 70
+    rows = [(1, one + "\nown words"), (2, two + "\nown words too"), (3, "so\n" + one + "\n\n" + two), (4, "other\n" + one + "\n\n" + two + "\non")]
+    rows += [(5, twice + "\na\n" + twice), (6, "b\n" + twice + "\nc\n" + twice), (3, "so\n" + one + "\n\n" + two + "\nd"), (None, twice), (7, None), (8, "")]
+    lines = [f"line {i} " + "word " * rng.randint(0, 9) for i in range(14)] + ["", "ab"]
+    rows += [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(10, 70)]
+    aligned, common = lines_of_any_earlier(rows)
+    ids = {(r["doc_id"], r["th"]): r["text"] for r in docs(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text").collect()}
+    found = {(r["doc_id"], ids[r["doc_id"], r["th"]]): r["gone"] for r in ld.repeated_lines(docs(spark, rows)).collect()}
+    assert found == {k: sorted(v) for k, v in common.items() if v}
+    assert all(v <= common[k] for k, v in aligned.items())
+    kept = {r["doc_id"]: r["text"] for r in ld.drop_duplicate_lines(docs(spark, rows)).filter("doc_id IN (3, 4, 5, 6)").collect()}
+    assert kept[4] == "other\non" and kept[6] == "b\nc" and kept[5] == twice + "\na\n" + twice
+    assert ld.repeated_lines(docs(spark, [])).count() == 0
+
+
 # --- substring dedup ----------------------------------------------------------------------------------------------
 
 
