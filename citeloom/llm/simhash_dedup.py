@@ -161,12 +161,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id; all columns stay.
 
-    Of repeated rows with that id one stays. Of a group whose ids are all null one row with the text of the
-    smallest hash stays.
+    Where rows share that id, or all ids of a group are null, one row with the text of the smallest hash stays. Groups
+    choose by themselves, so an id that is the smallest of several keeps a row in each.
     """
     groups = _grouped(docs, "text", "doc_id")
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # one plan at all sizes
+    keep = groups.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", F.col("th").alias("__th"))).alias("k")).select("k.*")
+    kept = docs.withColumn("__th", F.xxhash64("text")).join(keep.hint("merge"), ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id", "__th"])  # one plan at all sizes
     nameless = groups.filter("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("th").alias("__th")).select("__th")
     others = docs.filter("doc_id IS NULL").withColumn("__th", F.xxhash64("text")).join(nameless, "__th", "left_semi").dropDuplicates(["__th"])
     return kept.select(docs.columns).unionByName(others.select(docs.columns))

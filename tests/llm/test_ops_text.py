@@ -186,6 +186,12 @@ def test_keep_one(spark):
     assert sh.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_where_groups_share_their_smallest_id(spark):
+    rows = [(3, "a b c d e f"), (3, "entirely other words in this one here"), (5, "a b c d e f"), (8, "entirely other words in this one here"), (3, "a b c d e f")]
+    kept = sh.keep_one(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(set(rows[:2]))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
