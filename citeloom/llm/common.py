@@ -7,16 +7,18 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one in local runs and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="citeloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -31,6 +33,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    base = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().toUri().getPath() == base.toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """All columns of `docs` as one struct `row`, beside `columns`: names of the one never clash with those of the others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def map_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], fn: Callable[[list[bytes | None]], list], keep: Iterable[str] | None = None) -> DataFrame:
     """Append the columns that `fn` computes from the texts of one Arrow batch.
 
@@ -71,7 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long) as (node, root), root the smallest node of the component.
 
     Alternates large-star and small-star contraction (Kiveris et al., 2014), each round a few shuffles on
-    edges only; every round is written to the shared folder. A hub's edges meet only its single minimum, so
+    edges only; every round is written to the shared folder and the round before deleted. A hub's edges meet only its single minimum, so
     the joins on a hub can be split by adaptive skew handling. Nodes without an edge are not returned.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -83,7 +100,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small, "components")
+        old, e = e, materialize(small, "components")
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -1,89 +1,85 @@
-"""Line dedup: lines of a document that an earlier one holds as part of a block.
-
-`repeated_lines` is what the query and the pipeline use. A run of consecutive lines counts if it has at least
-`min_block_chars` characters and a line of at least `min_line_chars`. Every document gives, from each line on and
-back from each line, its shortest run that counts; each line of a common block lies in one of them. A run is
-deleted where its first holder (the smallest doc_id) is an earlier document, so all earlier documents are looked
-at with two keys a line and no pairs. These are all lines that alignment with every earlier document deletes, and
-those of blocks that stand several times in a document or in another order.
-
-`duplicate_lines` aligns with the first holders of single lines only, so it loses a block whose lines have
-different first holders. A line is rare here if it occurs once in its document and has at least `min_line_chars` characters. Frequency
-over documents is not bounded: a large group of copies shares all its lines, and a bound would lose it.
-Instead of pairing all holders of a line, each holder is paired with the line's first holder (the smallest
-doc_id), so pairs number at most as many as lines. Each pair is aligned by patience diff on line hashes: lines
-that are rare in both, thinned to a longest increasing subsequence, anchor runs that grow over equal
-neighbours. An aligned run with at least `min_block_chars` characters is deleted from the later document.
+"""Line dedup: pairwise patience alignment of documents that share rare runs of lines.
+
+A single line shared by many documents (a licence's first line) says little about which two documents overlap, and
+pairing all of its holders would be quadratic. The keys here are runs of consecutive lines: a run counts if it has
+at least `min_block_chars` characters and a line of at least `min_line_chars`. Every document gives, from each line
+on and back from each line, its shortest run that counts, so each line of a block that two documents have in common
+lies in a run that both give. A run is paired with its first holder (the smallest doc_id), so pairs number at most
+two a line and a block whose runs have different first holders is still found, run by run.
+
+Each document is aligned with each of its first holders by patience diff on the runs they share: runs that occur
+once in the document are the anchors, a longest increasing subsequence of them is the alignment, and anchors on
+one diagonal that touch grow into a block. Runs off that alignment (moved or repeated ones) are aligned by
+themselves, each diagonal its own. All blocks are deleted from the later document: these are all lines that alignment with
+every earlier document deletes. Only places of shared runs are shipped to a pair, never whole documents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import explode_text, materialize
+from .common import explode_text, materialize, packed
 
 MIN_LINE_CHARS = 24
 MIN_BLOCK_CHARS = 60
 PRIME, BASE = (1 << 61) - 1, 0x1C3A5D7E9B2F4681
 
 
-def patience_blocks(a: list[int], b: list[int], rare_b: list[bool]) -> list[tuple[int, int, int]]:
-    """Common blocks (start in a, start in b, length) of two sequences of line hashes.
-
-    Anchors are lines once in a, once in b and rare in b; among them the longest run that increases in both.
-    A block grows from its anchors over equal neighbours, not into the block before it.
-    """
-    if a == b:
-        return [(0, 0, len(a))] if a else []
-    n_a, n_b = Counter(a), Counter(b)
-    at = {x: i for i, x in enumerate(a) if n_a[x] == 1}
-    pairs = [(at[x], j) for j, x in enumerate(b) if rare_b[j] and n_b[x] == 1 and x in at]
+def longest_increasing(places: list[int]) -> list[int]:
+    """Indexes of a longest strictly increasing subsequence."""
     tails: list[int] = []
     last: list[int] = []
     back: list[int] = []
-    for k, (i, _) in enumerate(pairs):
-        p = bisect_left(tails, i)
+    for k, x in enumerate(places):
+        p = bisect_left(tails, x)
         back.append(last[p - 1] if p else -1)
-        tails[p : p + 1], last[p : p + 1] = [i], [k]
+        tails[p : p + 1], last[p : p + 1] = [x], [k]
     chain, k = [], last[-1] if last else -1
     while k >= 0:
-        chain.append(pairs[k])
+        chain.append(k)
         k = back[k]
-    blocks, end_a, end_b = [], 0, 0
-    for i, j in reversed(chain):
-        if i < end_a or j < end_b:
-            continue  # within the block before
-        s, t = i, j
-        while s > end_a and t > end_b and a[s - 1] == b[t - 1]:
-            s, t = s - 1, t - 1
-        end_a, end_b = i + 1, j + 1
-        while end_a < len(a) and end_b < len(b) and a[end_a] == b[end_b]:
-            end_a, end_b = end_a + 1, end_b + 1
-        blocks.append((s, t, end_b - t))
-    return blocks
-
-
-def _deleted(cols: list[list], min_block_chars: int) -> list:
-    made: list[list] = [[], [], []]
-    for later, th, a, b, size, rare in zip(*cols, strict=True):
-        gone = [j for _, t, n in patience_blocks(a, b, rare) if sum(size[t : t + n]) >= min_block_chars for j in range(t, t + n)]
-        if gone:
-            for to, x in zip(made, (later, th, gone), strict=True):
-                to.append(x)
-    return made
+    return chain[::-1]
+
+
+def grown(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs (start in a, start in b, length) that touch or overlap on one diagonal, as blocks."""
+    out: list[list[int]] = []
+    for a, b, n in sorted(runs, key=lambda r: (r[1] - r[0], r[1])):
+        if out and out[-1][1] - out[-1][0] == b - a and b <= out[-1][1] + out[-1][2]:
+            out[-1][2] = max(out[-1][2], b + n - out[-1][1])
+        else:
+            out.append([a, b, n])
+    return sorted((tuple(x) for x in out), key=lambda r: (r[1], r[0]))
+
+
+def align(runs: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(aligned blocks in order, moved or repeated blocks) of the runs (start in a, start in b, length) two documents share."""
+    often = Counter((a, n) for a, _, n in runs)
+    anchors = sorted((r for r in runs if often[r[0], r[2]] == 1), key=lambda r: (r[1], r[2], r[0]))
+    chosen = [anchors[k] for k in longest_increasing([r[0] for r in anchors])]
+    blocks = grown(chosen)
+    held: dict[int, list[tuple[int, int]]] = {}  # by diagonal: (first line, line after the last), apart and in order
+    for a, b, n in blocks:
+        held.setdefault(b - a, []).append((b, b + n))
+
+    def inside(a: int, b: int, n: int) -> bool:
+        on = held.get(b - a, [])
+        k = bisect_right(on, (b, 1 << 62)) - 1
+        return k >= 0 and b + n <= on[k][1]
+
+    return blocks, grown([r for r in runs if not inside(*r)])
 
 
 def _shapes(docs: DataFrame) -> DataFrame:
     """doc_id, th (xxhash64 of the text), h and size (hashes and lengths of the lines), once a document and text."""
     split = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("l"))
     shape = split.select("doc_id", "th", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: F.length(x)).alias("size"))
-    return materialize(shape.dropDuplicates(["doc_id", "th"]), "line-shapes")
+    return shape.dropDuplicates(["doc_id", "th"])
 
 
 def shortest_runs(size: list[int], min_line_chars: int, min_block_chars: int) -> set[tuple[int, int]]:
@@ -119,79 +115,91 @@ def _runs(cols: list[list], min_line_chars: int, min_block_chars: int) -> list:
     return made
 
 
-def _covered(cols: list[list]) -> list:
-    made: list[list] = [[], [], []]
+KEPT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
+BLOCKS = T.ArrayType(T.StructType([T.StructField("earlier", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("moved", T.BooleanType())]))
+
+
+def _aligned(cols: list[list]) -> list:
+    made: list[list] = [[], [], [], [], []]
     for doc_id, th, runs in zip(*cols, strict=True):
-        gone: list[int] = []
-        for i, n in sorted((r["i"], r["n"]) for r in runs):
-            gone.extend(range(max(i, gone[-1] + 1) if gone else i, i + n))
-        for to, x in zip(made, (doc_id, th, gone), strict=True):
+        pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for r in runs:
+            pairs.setdefault((r["first"], r["first_th"]), []).append((r["a"], r["b"], r["n"]))
+        blocks = []
+        for (earlier, _), shared in sorted(pairs.items()):
+            for moved, found in enumerate(align(shared)):
+                blocks += [{"earlier": earlier, "a": a, "b": b, "n": n, "moved": bool(moved)} for a, b, n in found]
+        left, kept, gone = 0, [], 0  # between the blocks, however they overlap
+        for b, n in sorted((x["b"], x["n"]) for x in blocks):
+            if b > left:
+                kept.append({"start": left, "n": b - left})
+            gone += max(0, b + n - max(b, left))
+            left = max(left, b + n)
+        kept.append({"start": left, "n": 1 << 30})
+        for to, x in zip(made, (doc_id, th, blocks, kept, gone), strict=True):
             to.append(x)
     return made
 
 
-def repeated_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
-    """doc_id, th (xxhash64 of the text) and gone: the sorted indexes of lines in blocks that any earlier document has, where any are."""
+def aligned_blocks(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+    """doc_id, th (xxhash64 of the text), blocks, kept and gone, for documents that share a block with an earlier one.
+
+    blocks: (earlier doc_id, its first line a, first line b here, lines n, moved) of each aligned block, by earlier
+    document; kept: (first line, lines) of the stretches between them, the last open; gone: how many lines the blocks cover. A document's runs meet in one row, however many
+    documents it shares them with; documents of any length are read whole.
+    """
     keys = [("doc_id", T.LongType()), ("th", T.LongType())]
     fields = [*keys, ("run", T.LongType()), ("i", T.IntegerType()), ("n", T.IntegerType())]
     runs = materialize(explode_text(_shapes(docs), ["doc_id", "th", "h", "size"], fields, lambda cols: _runs(cols, min_line_chars, min_block_chars)), "line-runs")
-    first = runs.groupBy("run", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("run", "n", "first")
+    first = runs.groupBy("run", "n").agg(F.min(F.struct("doc_id", "th", "i")).alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
+    first = first.select("run", "n", F.col("f.doc_id").alias("first"), F.col("f.th").alias("first_th"), F.col("f.i").alias("a"))
     first = materialize(first, "line-first").hint("merge")  # both sides are plain shuffles, so a common run's rows can be split
     found = runs.join(first, ["run", "n"]).filter("first < doc_id")
-    found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "n")).alias("runs"))
-    return explode_text(found, ["doc_id", "th", "runs"], [*keys, ("gone", T.ArrayType(T.IntegerType()))], _covered)
-
-
-def duplicate_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
-    """doc_id, th (xxhash64 of the text) and gone: the sorted indexes of lines that alignment with their first holders deletes, where any are."""
-    shape = _shapes(docs)
-    held = shape.select("doc_id", "th", F.explode(F.arrays_zip("h", "size")).alias("x")).filter(F.col("x.size") >= min_line_chars)
-    held = held.groupBy("doc_id", "th", F.col("x.h").alias("h")).agg(F.count("*").alias("n")).filter("n = 1").select("doc_id", "th", "h")
-    held = materialize(held, "line-holders")
-    first = held.groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    first = materialize(first, "line-first").hint("merge")  # both sides are plain shuffles, so a common line's rows can be split
-    pairs = held.join(first, "h").filter("first.doc_id < doc_id").select("doc_id", "th", F.col("first.doc_id").alias("a_id"), F.col("first.th").alias("a_th")).distinct()
-    a = shape.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("h").alias("ha"))
-    aligned = pairs.join(a, ["a_id", "a_th"]).join(shape, ["doc_id", "th"])
-    rare = F.transform("size", lambda n: n >= min_line_chars)
-    fields = [("doc_id", T.LongType()), ("th", T.LongType()), ("lines", T.ArrayType(T.IntegerType()))]
-    gone = explode_text(aligned, ["doc_id", "th", "ha", "h", "size", rare.alias("rare")], fields, lambda cols: _deleted(cols, min_block_chars))
-    gone = gone.select("doc_id", "th", F.explode("lines").alias("line")).distinct()
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS, find: Callable[..., DataFrame] = duplicate_lines) -> DataFrame:
-    """`docs` with __lines and __gone (counts) added and text without the lines that `find` returns.
+    found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "first_th", "a", F.col("i").alias("b"), "n")).alias("runs"))
+    return explode_text(found, ["doc_id", "th", "runs"], [*keys, ("blocks", BLOCKS), ("kept", KEPT), ("gone", T.LongType())], _aligned)
+
+
+def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS) -> DataFrame:
+    """`docs` with __lines and __gone (counts) added and text without the lines of aligned blocks.
 
     Null texts and rows with a null doc_id stay as they are. Rows that share a doc_id are no copies of each
-    other (neither is later); they are told apart by their text, and repeated rows are treated alike. Lines are
-    compared without blanks around them and joined again by \\n as they were. Extra columns stay; an empty
-    table gives none.
+    other (neither is later); they are told apart by their text, and repeated rows are treated alike. Of copies the
+    one with the smallest id stays. Lines are compared without blanks around them and joined again by \\n as they
+    were; texts of any length are read whole. Other columns stay, whatever their names; those named like a count
+    give way to it. An empty table gives none.
     """
-    gone = materialize(find(docs, min_line_chars, min_block_chars), "line-gone").withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    gone = aligned_blocks(docs, min_line_chars, min_block_chars).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "kept", "gone")
+    gone = materialize(gone, "line-gone")
+    rows = packed(docs, F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"))
     # always a merge join: texts are shuffled once at any size, so cost stays in proportion
-    both = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
-    lines = F.split("text", "\n")
-    # a map from the index looks each line up once, also in documents of very many lines
-    drop = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.element_at(drop, i), F.lit(False))), "\n")
-    both = both.withColumn("__lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("__lines")))
-    both = both.withColumn("__gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("__gone", F.greatest(F.col("__gone"), F.lit(0)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    return both.withColumn("text", text).select(*docs.columns, "__lines", "__gone")
+    both = rows.join(gone.hint("merge"), (F.col("doc_id") == F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
+    text = F.col("row.text")
+    lines = F.split(text, "\n")
+    # stretches are sliced, so a document of very many lines costs no more than its length
+    kept = F.array_join(F.flatten(F.transform("kept", lambda x: F.slice(lines, x["start"] + 1, x["n"]))), "\n")
+    made = {
+        "text": F.when(F.col("gone").isNull(), text).otherwise(kept),
+        "__lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        "__gone": F.coalesce("gone", F.lit(0)),
+    }
+    names = [*[c for c in docs.columns if c not in ("__lines", "__gone")], "__lines", "__gone"]
+    return both.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in names])
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: texts without deleted lines (n_chars follows); documents of which only blanks are left go."""
-    done = dedup_lines(docs, find=repeated_lines)
+    """The pipeline's form: texts without deleted lines (n_chars follows); documents of which only blanks are left go.
+
+    Columns stay as they are, apart from these two; the rest is as in `dedup_lines`.
+    """
+    done = dedup_lines(docs)
     left = (F.col("__gone") == 0) | (F.length(F.trim(F.col("text"))) > 0)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.filter(left).select(docs.columns)
+    return done.filter(left).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, deleted lines and the digest of the kept text of every document (null text: null digest)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = dedup_lines(docs, find=repeated_lines)
+    done = dedup_lines(docs)
     return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
