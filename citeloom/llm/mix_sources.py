@@ -6,8 +6,10 @@ Within a source, documents in key order form a weighted sample without replaceme
 their prefix sum reaches the budget, the last one in part.
 
 A source may hold any share of the rows, so no prefix sum runs over a whole source in one task: keys are cut
-into ranges of about `bucket_rows` documents, ranges are summed, and a document adds the sum of the ranges
-before its own to its prefix within the range.
+into ranges of at most about `bucket_rows` documents, ranges are summed, and a document adds the sum of the
+ranges before its own to its prefix within the range. Ranges are cut evenly in log2 of the key: a factor of two
+holds at most 0.26 of the keys of a source wherever it lies, as x exp(-x) is at most 1/e for every weight, so the
+bound holds for any weights and any mixture of them.
 """
 
 from __future__ import annotations
@@ -52,17 +54,18 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", bucket_rows: int = 4096) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) for `sized`.
 
-    `sized`: doc_id, source, size (words), weight (quality, above 0; null counts as 1). Repeated rows are
-    documents of their own with the same key, ordered by size; a null id draws one key for all null ids; a null
-    source is a source, the last. Documents without words take nothing. An empty table gives an empty mix.
+    `sized`: doc_id, source, size (words), weight (quality, above 0; null counts as 1) and, if present, draw: what
+    the key of a row without an id is drawn from (without it all null ids draw one key). Repeated rows are
+    documents of their own with the same key, ordered by size; a null source is a source, the last. Documents
+    without words take nothing. Other columns are not looked at. An empty table gives an empty mix.
     """
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    nameless = F.coalesce("draw", F.lit("null")) if "draw" in sized.columns else F.lit("null")
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), nameless))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     sized = sized.select("doc_id", "source", "size", (-F.log(u) / F.coalesce(F.col("weight"), F.lit(1.0))).alias("key"))
     sized = materialize(sized, "mix-sizes")
     targets = materialize(source_targets(sized, weights, share, most), "mix-targets").withColumnRenamed("source", "s")
     docs = sized.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ranges = F.ceil(F.col("n_docs") / bucket_rows)
-    docs = docs.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("long"))
+    docs = docs.withColumn("range", F.floor(F.log2("key") * F.ceil(F.col("n_docs") / (4 * bucket_rows))).cast("long"))
     sums = docs.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(upto), F.lit(0)).alias("before"))
@@ -76,11 +79,17 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
 
 
 def sized_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Word counts and quality weights: 1 for a document labelled good, 0.25 for bad, 0.5 without a label."""
+    """Word counts and quality weights: 1 for a document labelled good, 0.25 for bad, 0.5 without a label.
+
+    A row for each row of `docs`, however often its id is labelled (good if any label says so). Null texts have no
+    words; texts of any length are counted whole; rows without an id get the digest of their text as draw. Other
+    columns are not looked at; an empty table gives none.
+    """
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).join(good, "doc_id", "left")
+    draw = F.when(F.col("doc_id").isNull(), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw")).join(good, "doc_id", "left")
     weight = F.when(F.col("quality") == 1, QUALITY_WEIGHT[1]).when(F.col("quality") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None])
-    return sized.select("doc_id", "source", "size", weight.alias("weight"))
+    return sized.select("doc_id", "source", "size", weight.alias("weight"), "draw")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +101,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    (-ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0))
+    (-ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null:' || md5(coalesce(d.text, '')))), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0))
       / CASE WHEN l.quality = 1 THEN 1.0 WHEN l.quality = 0 THEN 0.25 ELSE 0.5 END AS k
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id),
 s AS (
