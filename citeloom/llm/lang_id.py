@@ -22,6 +22,7 @@ from .common import map_text, materialize
 BUCKETS = 1 << 14
 SAMPLE_PER_LANG = 400  # labelled rows per language for training: those with the smallest hashes of their text
 SAMPLE_CHARS = 100_000  # rows of longer texts are not used for training (all texts are predicted, whole)
+PARTS = 256
 LETTER = re.compile(r"[^\W\d_]")
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -107,13 +108,16 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, bytes]]:
     """The bounded training sample: of each language the rows with the smallest text hashes, not held out.
 
-    Rows are chosen by hash alone; only the texts of the chosen ones, a bounded number, are read after that.
+    Rows are chosen by hash alone; only the texts of the chosen ones, a bounded number, are read after that. A
+    language is dealt to `PARTS` tasks by the low bits of the hash, each gives its first `per_lang`, and those
+    meet: no task gets all rows of a language.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang)
-    chosen = materialize(chosen, "lang-sample")
+    chosen = rows.select("lang", "h", F.pmod("h", F.lit(PARTS)).alias("part")).distinct()
+    for by in (["lang", "part"], ["lang"]):
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("k") <= per_lang)
+    chosen = materialize(chosen.select("lang", "h"), "lang-sample")
     texts = rows.join(chosen, ["lang", "h"]).select("lang", "h", F.lower("text").alias("text")).dropDuplicates(["lang", "h"])
     found = texts.collect()
     return [(r["lang"], r["text"].encode()) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))]
@@ -123,8 +127,9 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     """`keep`, lang_pred, score (calibrated probability) and accepted, for the whole text of each row.
 
     und with score 0 where the text is null or has no letter, or nothing was learned. Others always get a learned
-    language; accepted tells whether the score reaches the calibrated threshold. Very long texts are summed in
-    pieces; repeated rows get the same result; an empty table gives no rows.
+    language, of equal scores the first by name; accepted tells whether the score reaches the calibrated
+    threshold. Very long texts are summed in pieces; repeated rows get the same result; an empty table gives no
+    rows. Columns other than `keep` and text are not looked at, so they may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
