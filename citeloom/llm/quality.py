@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, materialize
+from .common import map_text, materialize, packed
 
 MAX_LABELLED = 20_000  # labelled documents that the model is fitted on: those with the smallest hashes of their ids
 N_FEATURES = 16
@@ -59,11 +59,17 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tu
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model from labelled documents; only their features come to the driver. A doc_id with several labels counts as good if any is."""
+    """The model from at most `max_labelled` labelled documents; only their features come to the driver.
+
+    Those with the smallest hashes of id and text; a doc_id with several labels counts as good if any is, rows that
+    repeat id and text are one document.
+    """
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(materialize(chosen, "quality-labels"), "doc_id")
-    rows = map_text(rows, "text", [("x", T.ArrayType(T.DoubleType()))], lambda texts: [[features(t) for t in texts]], ("doc_id", "quality")).orderBy("doc_id", "x").limit(2 * max_labelled).collect()
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    chosen = named.select("doc_id", "th").join(marks, "doc_id").distinct().orderBy(F.xxhash64("doc_id", "th"), "doc_id", "th").limit(max_labelled)
+    rows = named.join(materialize(chosen, "quality-labels"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    rows = map_text(rows, "text", [("x", T.ArrayType(T.DoubleType()))], lambda texts: [[features(t) for t in texts]], ("doc_id", "th", "quality")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["th"]))
     if not rows:
         return np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES)
     return fit(np.array([r["x"] for r in rows]), np.array([float(r["quality"] > 0) for r in rows]))
@@ -111,32 +117,43 @@ def log_odds(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def _judged(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, least: float) -> DataFrame:
+    """row (all columns of `docs`), p, site, quality, keep."""
+    host = F.col("source") if host is None else host
+    path = F.to_json(F.struct("source", "lang")) if path is None else path  # leaves nulls out, so they differ from empty strings
+    model = train(docs, labels)
+    keyed = packed(docs, host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").alias("text"))
+    sites, mean = site_posteriors(scored(keyed, model, ["host", "path"]))
+    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "path_mean")
+    done = scored(keyed, model, ["row", "host", "path"])
+    done = done.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
+    site = F.coalesce("path_mean", F.lit(mean))
+    odds = log_odds(F.col("__p")) + log_odds(site) - log_odds(F.lit(mean))
+    done = done.select("row", F.col("__p").alias("p"), site.alias("site"), F.when(F.col("__p").isNotNull(), 1 / (1 + F.exp(-odds))).alias("quality"))
+    return done.withColumn("keep", F.coalesce(F.col("quality") >= least, F.lit(False)))
+
+
 def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = 0.5) -> DataFrame:
     """`docs` with __p (classifier), __site (shrunken mean of its path), __quality (posterior) and __keep.
 
     `host` and `path` are columns of `docs`, by default source, and source and lang. Null hosts and paths are
-    groups of their own. Texts without words have no evidence and are not kept (__p and __quality null). Rows
-    are judged one by one, repeated or not; without labels the evidence is even. An empty table gives no rows.
+    groups of their own, apart from empty ones. Texts without words have no evidence and are not kept (__p and
+    __quality null); whole texts are read, however long. Rows are judged one by one, repeated or not; without
+    labels the evidence is even. Other columns stay, whatever their names; those named like a result give way to
+    it. An empty table gives no rows.
     """
-    host = F.col("source") if host is None else host
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
-    model = train(docs, labels)
-    keyed = docs.withColumns({"__host": host.cast("string"), "__path": path.cast("string")})
-    scores = scored(keyed, model, ["__host", "__path"]).select(F.col("__host").alias("host"), F.col("__path").alias("path"), "__p")
-    sites, mean = site_posteriors(scores)
-    with_text = keyed.withColumn("__copy", F.col("text"))
-    done = scored(with_text, model, with_text.columns, "__copy").drop("__copy")
-    sites = sites.withColumnsRenamed({"host": "__h", "path": "__q", "path_mean": "__mean"})
-    done = done.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__q")), "left")
-    site = F.coalesce("__mean", F.lit(mean))
-    odds = log_odds(F.col("__p")) + log_odds(site) - log_odds(F.lit(mean))
-    done = done.withColumn("__site", site).withColumn("__quality", F.when(F.col("__p").isNotNull(), 1 / (1 + F.exp(-odds))))
-    return done.withColumn("__keep", F.coalesce(F.col("__quality") >= least, F.lit(False))).select(*docs.columns, "__p", "__site", "__quality", "__keep")
+    done = _judged(docs, labels, host, path, least)
+    made = {"__p": "p", "__site": "site", "__quality": "quality", "__keep": "keep"}
+    return done.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in made], *[F.col(old).alias(new) for new, old in made.items()])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with their own columns."""
-    return judge(docs, labels).filter("__keep").select(docs.columns)
+    """The documents that the classifier keeps, with their own columns.
+
+    Those whose posterior is at least even: a null or wordless text goes, an empty table gives none, repeated rows stay
+    or go alike, whole texts count and extra columns stay.
+    """
+    return _judged(docs, labels, None, None, 0.5).filter("keep").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
