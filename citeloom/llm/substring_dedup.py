@@ -7,16 +7,17 @@ The work is cut down to what repeats, exactly:
    equal windows have equal anchors. One anchor in about eight words is shuffled, as two longs and a position;
    anchors found at one place only (copies of a text count once) rule all their windows out. An anchor that
    one batch of texts holds often is salted by text there: its rows survive for certain, and one marker row
-   tells the anchor's other rows, so no task gets all places of a common phrase.
+   tells the anchor's other rows, so no task gets all places of a common phrase. `heavy_in_batch` rows
+   of the 10,000 texts of a batch are 0.3 % of them, so an anchor that stays whole is in fewer texts than that.
 2. Texts meet the surviving anchors. Later copies of a whole text are settled here; documents without a
    surviving anchor too; the others are written out.
 3. The windows of one anchor at one place form a passage of at most 34 words. Equal passages are combined
    before and after the shuffle to their first place, so a passage in a third of all documents is a row a batch.
    Passages are dealt to shards by anchor; a salted one or one with more than `hot_anchor_rows` places is dealt
    by window instead, each window a passage of its own, so that no shard grows with one phrase.
-4. Each shard confirms which windows recur in it, compiles an Aho-Corasick automaton of them over word
-   numbers, and streams its passages through it to find every occurrence and the first. Comparison is on the
-   words themselves. A passage gets the first place of each of its windows.
+4. Each shard confirms which windows recur in it (by hash), compiles an Aho-Corasick automaton of them over word
+   numbers, and streams its passages, the pieces of all documents that can match, through it. The automaton's
+   matches are the occurrences: they compare the words themselves and give the first place of each window.
 5. Places join their passage's row, and words under windows that start earlier are removed.
 """
 
@@ -26,7 +27,7 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -176,6 +177,50 @@ def _passage_rows(cols: list[list]) -> list:
     return [[k[0] for k in first], [k[1] for k in first], [d for d, _ in first.values()], [x for _, x in first.values()]]
 
 
+def window_hashes(numbers: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each 20 consecutive word numbers."""
+    h = np.zeros(max(0, len(numbers) - WINDOW + 1), np.uint64)
+    for i in range(WINDOW):
+        h = (h ^ numbers[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def occurrences(passages: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, place, pattern) of every occurrence of the windows that recur among passages of word numbers.
+
+    Windows whose hash recurs are confirmed and compiled into an Aho-Corasick automaton, one pattern for each hash,
+    and all passages are streamed through it. The automaton compares words: a window whose hash recurs and that no
+    pattern matches (two windows of one hash) is compiled too, and the stream repeated.
+    """
+    sizes = np.array([len(p) for p in passages], np.int64)
+    flat = np.fromiter(chain.from_iterable(passages), np.uint64, int(sizes.sum()))
+    h = window_hashes(flat)
+    owner = np.repeat(np.arange(len(passages)), sizes)
+    begin = (np.cumsum(sizes) - sizes)[owner]
+    whole = np.flatnonzero(owner[: len(h)] == owner[WINDOW - 1 :]) if len(h) else np.empty(0, np.int64)
+    _, first, which, counts = np.unique(h[whole], return_index=True, return_inverse=True, return_counts=True)
+    wanted = whole[counts[which] > 1]  # places of windows whose hash recurs
+    new = whole[first[counts > 1]]
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    n = 0
+    while len(new):
+        for x in new.tolist():
+            p, at = int(owner[x]), int(x - begin[x])
+            key = tuple(passages[p][at : at + WINDOW])
+            if key not in machine:
+                machine.add_word(key, n)
+                n += 1
+        machine.make_automaton()
+        met = [(x, end - WINDOW + 1, k) for x in np.unique(owner[wanted]).tolist() for end, k in machine.iter(tuple(passages[x]))]
+        found = np.array(met, np.int64).reshape(-1, 3)
+        starts = np.concatenate([[0], np.cumsum(sizes)])[found[:, 0]] + found[:, 1]
+        new = np.setdiff1d(wanted, starts)
+        if not len(new):
+            return found[:, 0], found[:, 1], found[:, 2]
+    return (np.empty(0, np.int64),) * 3
+
+
 def locate(f: pd.DataFrame) -> pd.DataFrame:
     """shard, passage, doc, start of one shard -> shard, key, firsts.
 
@@ -186,37 +231,18 @@ def locate(f: pd.DataFrame) -> pd.DataFrame:
     alike = Counter(shards)
     # two windows of one passage share its anchor at different offsets and so differ: alone, it has nothing to find
     rivals = [x for x, k in enumerate(shards) if alike[k] > 1]
-    words = {x: texts[x].split(b" ") for x in rivals}
-    seen: set[bytes] = set()
-    recurs: dict[bytes, tuple[int, int]] = {}
-    for x in rivals:
-        ends = list(accumulate(map(len, words[x]), lambda a, b: a + b + 1))
-        for i in range(len(ends) - WINDOW + 1):
-            w = texts[x][ends[i - 1] + 1 if i else 0 : ends[i + WINDOW - 1]]
-            if w in seen:
-                recurs[w] = (x, i)
-            else:
-                seen.add(w)
-    del seen
-    first: list[tuple[int, int]] = [(LAST, LAST)] * len(recurs)
-    found: dict[int, list[tuple[int, int]]] = {}
-    if recurs:
-        numbers: dict[bytes, int] = {}
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for k, (x, i) in enumerate(recurs.values()):
-            machine.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words[x][i : i + WINDOW]), k)
-        recurs.clear()
-        machine.make_automaton()
-        for x in rivals:
-            met = [(end - WINDOW + 1, k) for end, k in machine.iter(tuple(numbers.get(w, 0) for w in words[x]))]
-            if met:
-                found[x] = met
-                for at, k in met:
-                    first[k] = min(first[k], (docs[x], starts[x] + at))
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers) + 1) for w in texts[x].split(b" ")] for x in rivals]
+    first: dict[int, tuple[int, int]] = {}
+    found: dict[int, dict[int, int]] = {}
+    for r, at, k in zip(*(c.tolist() for c in occurrences(words)), strict=True):
+        x = rivals[r]
+        found.setdefault(x, {})[at] = k
+        first[k] = min(first.get(k, (LAST, LAST)), (docs[x], starts[x] + at))
     firsts = []
     for x, t in enumerate(texts):
         n = t.count(b" ") + 2 - WINDOW
-        row, run, met = [n], None, dict(found.get(x, ()))
+        row, run, met = [n], None, found.get(x, {})
         for i in range(n) if met else (0,):
             d, at = first[met[i]] if i in met else (docs[x], starts[x] + i)
             if run != (d, at - i):
@@ -258,12 +284,12 @@ def _late_spans(cols: list[list]) -> list:
     return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 
 
-def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows: int = 20_000, heavy_in_batch: int = 256) -> DataFrame:
+def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows: int = 20_000, heavy_in_batch: int = 32) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row per document.
 
     Earlier: a smaller doc_id, or the same document and an earlier start; a null doc_id comes last. Rows that
     share a doc_id start at the same places, so none of them is earlier than another's same place. Null text: no
-    words. Texts under 20 words have no window. Other columns are not looked at; an empty table gives no rows.
+    words. Texts under 20 words have no window; longer ones are read whole, whatever their length. Other columns are not looked at; an empty table gives no rows.
     """
     L, B, I = T.LongType(), T.BinaryType(), T.IntegerType()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
