@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import explode_text, materialize
+from .common import explode_text, materialize, packed
 
 #: ASCII other than letters and digits separates words; A-Z are folded here, the rest by lower() before.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -197,14 +197,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> Dat
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, all columns.
+    """The documents without a leak, all columns, whatever their names.
 
-    Every row is judged by its own text, whatever its id: rows that only share an id with a leaked one stay, leaked
-    rows without an id go, repeated texts are treated alike.
+    Every row is judged by its own whole text, whatever its id: rows that only share an id with a leaked one stay,
+    leaked rows without an id go, repeated texts are treated alike, null texts stay, an empty table gives none.
     """
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    leaked = materialize(leaks(texts, benchmark).select(F.col("doc_id").alias("__th")).distinct(), "leaked")
-    return docs.join(leaked, F.xxhash64("text") == F.col("__th"), "left_anti").select(docs.columns)
+    leaked = materialize(leaks(texts, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    rows = packed(docs, F.xxhash64("text").alias("th"))
+    return rows.join(leaked, F.col("th") == F.col("leaked"), "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

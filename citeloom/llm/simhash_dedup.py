@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, long_bits, map_text, materialize
+from .common import components, long_bits, map_text, materialize, packed
 
 MAX_BITS = 4
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
@@ -159,17 +159,19 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id; all columns stay.
+    """One document of each group, the one with the smallest id; all columns stay, whatever their names.
 
     Where rows share that id, or all ids of a group are null, one row with the text of the smallest hash stays. Groups
-    choose by themselves, so an id that is the smallest of several keeps a row in each.
+    choose by themselves, so an id that is the smallest of several keeps a row in each. Null and wordless texts are
+    one group; whole texts count; an empty table gives none.
     """
     groups = _grouped(docs, "text", "doc_id")
-    keep = groups.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", F.col("th").alias("__th"))).alias("k")).select("k.*")
-    kept = docs.withColumn("__th", F.xxhash64("text")).join(keep.hint("merge"), ["doc_id", "__th"], "left_semi").dropDuplicates(["doc_id", "__th"])  # one plan at all sizes
-    nameless = groups.filter("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("th").alias("__th")).select("__th")
-    others = docs.filter("doc_id IS NULL").withColumn("__th", F.xxhash64("text")).join(nameless, "__th", "left_semi").dropDuplicates(["__th"])
-    return kept.select(docs.columns).unionByName(others.select(docs.columns))
+    keep = groups.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*")
+    rows = packed(docs, F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("th"))
+    kept = rows.join(keep.hint("merge"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])  # one plan at all sizes
+    nameless = groups.filter("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("th").alias("th")).select("th")
+    others = rows.filter("doc_id IS NULL").join(nameless, "th", "left_semi").dropDuplicates(["th"])
+    return kept.select("row").unionByName(others.select("row")).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

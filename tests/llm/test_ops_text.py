@@ -1,6 +1,7 @@
 """Chat, mixing, SimHash, line and substring dedup against brute force, and their edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -117,6 +118,23 @@ def test_mix_of_nothing(spark):
     assert mx.mix(zero).first()["taken"] == 0
 
 
+def test_sized_documents(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (9, None)], "doc_id long, quality int")
+    rows = [(1, "one two"), (2, "three"), (3, None), (None, "a b c"), (None, "a b"), (9, " \t\n"), (4, "w " * 100_000), (1, "one two")]
+    sized = mx.sized_documents(docs(spark, rows), labels).collect()
+    assert sorted(map(str, [(r["doc_id"], r["size"], r["weight"]) for r in sized])) == sorted(map(str, [(1, 2, 1.0), (2, 1, 0.25), (3, 0, 0.5), (None, 3, 0.5), (None, 2, 0.5), (9, 0, 0.5), (4, 100_000, 0.5), (1, 2, 1.0)]))
+    assert len({r["draw"] for r in sized if r["doc_id"] is None}) == 2 and all(r["draw"] is None for r in sized if r["doc_id"] is not None)
+    assert mx.sized_documents(docs(spark, []), labels).count() == 0
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.5, 0.25, 0.01])
+def test_ranges_of_keys_are_bounded(weight):
+    rng, n, most = np.random.default_rng(1), 400_000, 256
+    keys = rng.exponential(size=n) / np.where(rng.random(n) < 0.7, weight, 1.0)
+    ranges = np.floor(np.log2(keys) * np.ceil(n / (4 * most))).astype(np.int64)
+    assert np.unique(ranges, return_counts=True)[1].max() <= 1.5 * most
+
+
 def test_good_documents_come_first(spark):
     rows = [(i, "a" if i % 2 else "b", 10, 1.0 if i % 4 < 2 else 0.05) for i in range(4000)]
     found = mx.mix(spark.createDataFrame(rows, "doc_id long, source string, size long, weight double"), share=1.25).filter("source = 'b'").collect()
@@ -201,36 +219,38 @@ def test_components_of_a_long_chain(spark):
 # --- line dedup ---------------------------------------------------------------------------------------------------
 
 
-def test_patience_blocks():
-    yes = lambda b: [True] * len(b)
-    assert ld.patience_blocks([1, 2, 3], [1, 2, 3], yes([1, 2, 3])) == [(0, 0, 3)]
-    assert ld.patience_blocks([1, 2, 3, 4], [9, 2, 3, 8], yes(range(4))) == [(1, 1, 2)]
-    assert ld.patience_blocks([1, 7, 2, 7, 3], [5, 7, 2, 7, 6], [True, False, True, False, True]) == [(1, 1, 3)]
-    assert ld.patience_blocks([1, 2], [2, 1], yes([0, 0])) in ([(1, 0, 1)], [(0, 1, 1)])
-    assert ld.patience_blocks([], [1], [True]) == []
-
-
-def plain_line_dedup(rows):
-    """Every earlier holder's first: pairs from first holders, aligned by the same diff, no Spark."""
-    shape = {(i, t): [x.strip(" ") for x in t.split("\n")] for i, t in rows if i is not None and t is not None}
-    rare = {k: [len(x) >= ld.MIN_LINE_CHARS for x in v] for k, v in shape.items()}
-    holders = {}
-    for k, v in shape.items():
-        for x in v:
-            if len(x) >= ld.MIN_LINE_CHARS and v.count(x) == 1:
-                holders.setdefault(x, set()).add(k)
-    pairs = set()
-    for held in holders.values():
-        low = min(i for i, _ in held)
-        firsts = [k for k in held if k[0] == low]
-        if len(firsts) == 1:
-            pairs |= {(firsts[0], k) for k in held if k[0] > low}
-    gone = {}
-    for a, b in pairs:
-        for _, t, n in ld.patience_blocks(shape[a], shape[b], rare[b]):
-            if sum(len(x) for x in shape[b][t : t + n]) >= ld.MIN_BLOCK_CHARS:
-                gone.setdefault(b, set()).update(range(t, t + n))
-    return {k: "\n".join(x for i, x in enumerate(k[1].split("\n")) if i not in gone.get(k, ())) for k in shape}
+def test_alignment():
+    assert ld.align([(0, 0, 2), (1, 1, 2)]) == ([(0, 0, 3)], [])
+    assert ld.align([(0, 5, 2), (7, 1, 2), (9, 7, 1)]) in (([(0, 5, 2), (9, 7, 1)], [(7, 1, 2)]), ([(7, 1, 2), (9, 7, 1)], [(0, 5, 2)]))
+    assert ld.align([(3, 0, 1), (3, 4, 1)]) == ([], [(3, 0, 1), (3, 4, 1)])  # repeated runs are no anchors
+    assert ld.align([]) == ([], [])
+    rng = random.Random(3)
+    for _ in range(200):
+        places = [rng.randrange(12) for _ in range(rng.randrange(10))]
+        best = [places[k] for k in ld.longest_increasing(places)]
+        longest = max((len(c) for n in range(len(places) + 1) for c in itertools.combinations(places, n) if all(x < y for x, y in zip(c, c[1:], strict=False))), default=0)
+        assert len(best) == longest and all(x < y for x, y in zip(best, best[1:], strict=False))
+
+
+def plain_patience(a, b):
+    """Common blocks (start in b, length) by patience diff in its plainest form, apart from the library's."""
+    once = lambda v: {x: i for i, x in enumerate(v) if v.count(x) == 1}
+    at_a, at_b = once(a), once(b)
+    pairs = sorted((at_b[x], at_a[x]) for x in at_a if x in at_b)
+    best = []
+    for k, (_, i) in enumerate(pairs):
+        before = max((best[m] for m in range(k) if pairs[m][1] < i), key=len, default=[])
+        best.append([*before, k])
+    out = []
+    for k in max(best, key=len, default=[]):
+        j, i = pairs[k]
+        s, e = j, j + 1
+        while s > 0 and i - (j - s) > 0 and a[i - (j - s) - 1] == b[s - 1]:
+            s -= 1
+        while e < len(b) and i + e - j < len(a) and a[i + e - j] == b[e]:
+            e += 1
+        out.append((s, e - s))
+    return out
 
 
 def test_line_dedup(spark):
@@ -239,10 +259,10 @@ def test_line_dedup(spark):
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(50)]
     rows += [(60, rows[0][1]), (61, None), (62, ""), (63, "short\n" * 40), (64, rows[1][1] + "\n" + "new line " * 9), (5, rows[5][1])]
     found = ld.dedup_lines(docs(spark, rows)).collect()
-    want = plain_line_dedup(rows)
+    _, common = lines_of_any_earlier(rows)
     assert len(found) == len(rows)
-    kept = sorted((r["doc_id"], r["text"] or "") for r in found)
-    assert kept == sorted((i, want[i, t] if t is not None else "") for i, t in rows)
+    left = lambda i, t: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in common[i, t]) if t is not None else ""
+    assert sorted((r["doc_id"], r["text"] or "") for r in found) == sorted((i, left(i, t)) for i, t in rows)
     assert next(r for r in found if r["doc_id"] == 61)["text"] is None
     again = ld.drop_duplicate_lines(docs(spark, rows))
     assert again.columns == docs(spark, []).columns
@@ -255,8 +275,8 @@ def lines_of_any_earlier(rows):
     shape = {(i, t): [x.strip(" ") for x in t.split("\n")] for i, t in rows if i is not None and t is not None}
     aligned, common = {k: set() for k in shape}, {k: set() for k in shape}
     for (a, v), (b, w) in ((x, y) for x in shape.items() for y in shape.items() if x[0][0] < y[0][0]):
-        for _, t, n in ld.patience_blocks(v, w, [len(x) >= ld.MIN_LINE_CHARS for x in w]):
-            if sum(map(len, w[t : t + n])) >= ld.MIN_BLOCK_CHARS:
+        for t, n in plain_patience(v, w):
+            if sum(map(len, w[t : t + n])) >= ld.MIN_BLOCK_CHARS and max(map(len, w[t : t + n])) >= ld.MIN_LINE_CHARS:
                 aligned[b] |= set(range(t, t + n))
         for i in range(len(v)):
             for j in range(len(w)):
@@ -278,12 +298,38 @@ def test_line_dedup_with_all_earlier_documents(spark):
     rows += [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(10, 70)]
     aligned, common = lines_of_any_earlier(rows)
     ids = {(r["doc_id"], r["th"]): r["text"] for r in docs(spark, rows).selectExpr("doc_id", "xxhash64(text) AS th", "text").collect()}
-    found = {(r["doc_id"], ids[r["doc_id"], r["th"]]): r["gone"] for r in ld.repeated_lines(docs(spark, rows)).collect()}
+    made = ld.aligned_blocks(docs(spark, rows)).collect()
+    found = {(r["doc_id"], ids[r["doc_id"], r["th"]]): sorted({k for x in r["blocks"] for k in range(x["b"], x["b"] + x["n"])}) for r in made}
+    assert all(r["gone"] == len(found[r["doc_id"], ids[r["doc_id"], r["th"]]]) for r in made)
+    for r in made:  # a block's lines are those of the earlier document
+        here = ids[r["doc_id"], r["th"]].split("\n")
+        for x in r["blocks"]:
+            assert x["earlier"] < r["doc_id"] and any(
+                [v.strip(" ") for v in t.split("\n")[x["a"] : x["a"] + x["n"]]] == [v.strip(" ") for v in here[x["b"] : x["b"] + x["n"]]] for i, t in rows if i == x["earlier"]
+            )
+    assert any(x["moved"] for r in made for x in r["blocks"]) and not all(x["moved"] for r in made for x in r["blocks"])
     assert found == {k: sorted(v) for k, v in common.items() if v}
     assert all(v <= common[k] for k, v in aligned.items())
     kept = {r["doc_id"]: r["text"] for r in ld.drop_duplicate_lines(docs(spark, rows)).filter("doc_id IN (3, 4, 5, 6)").collect()}
     assert kept[4] == "other\non" and kept[6] == "b\nc" and kept[5] == twice + "\na\n" + twice
-    assert ld.repeated_lines(docs(spark, [])).count() == 0
+    assert ld.aligned_blocks(docs(spark, [])).count() == 0
+
+
+def test_line_dedup_without_ids_of_long_texts_and_one_common_line(spark):
+    hot = "a line of more than sixty characters that every document of the table holds"
+    long = "\n".join(f"line number {i} of a very long document, with words" for i in range(30000))
+    rows = [(i, f"own {i}\n{hot}") for i in range(1, 300)] + [(None, hot), (None, None), (400, long), (401, "head\n" + long)]
+    found = {r["doc_id"]: r for r in ld.dedup_lines(docs(spark, rows)).collect() if r["doc_id"] is not None}
+    assert found[1]["__gone"] == 0 and all(found[i]["text"] == f"own {i}" for i in range(2, 300))
+    assert found[400]["__gone"] == 0 and found[401]["text"] == "head" and found[401]["__gone"] == 30000
+    assert ld.dedup_lines(docs(spark, rows)).filter("doc_id IS NULL").agg(F.sum("__gone")).first()[0] == 0
+
+
+def test_columns_named_like_results(spark):
+    frame = docs(spark, [(1, "x" * 70), (2, "x" * 70), (3, "other words of another kind altogether")])
+    named = frame.select("*", *[F.lit(7).alias(c) for c in ("__lines", "__gone", "gone", "gone_id", "row", "root", "__th", "leaked", "doc id.x")])
+    assert ld.drop_duplicate_lines(named).columns == named.columns and ld.drop_duplicate_lines(named).count() == 2
+    assert sh.keep_one(named).columns == named.columns and sh.keep_one(named).count() == 2
 
 
 # --- substring dedup ----------------------------------------------------------------------------------------------
@@ -314,6 +360,25 @@ def test_substring_dedup(spark, hot, heavy):
     assert sum(r[2] for r in found) > 500
 
 
+def test_automaton_tells_windows_of_one_hash_apart(monkeypatch):
+    rng = random.Random(2)
+    passages = [[rng.randrange(3) for _ in range(rng.randrange(30, 60))] for _ in range(12)] + [[1] * 40, [2] * 19, []]
+    passages += [passages[0][5:35], passages[1][2:30] + passages[0][5:30]]
+    keys = {}
+    for p in passages:
+        for i in range(len(p) - 19):
+            keys[tuple(p[i : i + 20])] = keys.get(tuple(p[i : i + 20]), 0) + 1
+    want = {(x, i) for x, p in enumerate(passages) for i in range(len(p) - 19) if keys[tuple(p[i : i + 20])] > 1}
+    for hashes in (sd.window_hashes, lambda numbers: np.zeros(max(0, len(numbers) - 19), np.uint64)):
+        monkeypatch.setattr(sd, "window_hashes", hashes)
+        x, at, k = sd.occurrences(passages)
+        found = {(a, b): c for a, b, c in zip(x.tolist(), at.tolist(), k.tolist(), strict=True)}
+        assert want <= found.keys()
+        for (a, b), c in found.items():
+            for (d, e), g in found.items():
+                assert (c == g) == (passages[a][b : b + 20] == passages[d][e : e + 20])
+
+
 def test_substring_dedup_of_nothing(spark):
     assert sd.dedup_substrings(docs(spark, [])).count() == 0
     assert [r["n_words"] for r in sd.dedup_substrings(docs(spark, [(1, None)])).collect()] == [0]
