@@ -20,6 +20,27 @@ IDEMPOTENCY_HOURS = 24
 DIAGNOSTIC_HOURS = 24
 ORPHAN_MIN_AGE_SECONDS = 86_400
 RETRY_RATE_WINDOW_SECONDS = 300
+# The closed failure taxonomy, by fixture: (class, stage it needs).
+TAXONOMY = {
+    "fixture-lexical-branch-miss": ("LEXICAL_MISS", "branch"),
+    "fixture-semantic-branch-miss": ("SEMANTIC_MISS", "branch"),
+    "fixture-fusion-union-ranked-low": ("FUSION_RANKING_ERROR", "fusion"),
+    "fixture-evidence-selection-excluded": ("EVIDENCE_SELECTION_ERROR", "evidence_selection"),
+    "fixture-answer-refused": ("FALSE_REFUSAL", None),
+    "fixture-citation-structure-invalid": ("CITATION_STRUCTURAL_ERROR", None),
+    "fixture-citation-semantic-unsupported": ("CITATION_SEMANTIC_UNSUPPORTED", None),
+    "fixture-corpus-or-config-mismatch": ("CORPUS_OR_CONFIGURATION_MISMATCH", None),
+    "fixture-observation-invalid": ("EVALUATION_OBSERVATION_FAILURE", None),
+    "fixture-provider-failure": ("PROVIDER_ERROR", None),
+    "fixture-infrastructure-failure": ("INFRASTRUCTURE_ERROR", None),
+    "fixture-insufficient-evidence-correct": ("INSUFFICIENT_EVIDENCE_CORRECT", None),
+}
+# The alert classes a configuration has to define, and the metrics they may watch.
+ALERT_CLASSES = ("queue_age_contention", "repeated_lease_expiry_recovery", "cleanup_backlog", "unreconciled_orphan_growth")
+METRICS = (
+    "queue_depth", "oldest_job_age", "claim_latency_count", "claim_latency_sum", "retry_rate", "lease_expiry_recovery_total",
+    "cleanup_attempt_total", "cleanup_failure_total", "orphan_discovery_total", "orphan_reconciliation_total",
+)
 MAX_SYNC_BYTES, MAX_SYNC_TOKENS, MAX_SYNC_CHUNKS = 1 << 20, 50_000, 100
 
 

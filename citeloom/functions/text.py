@@ -1,4 +1,4 @@
-"""Text functions as column expressions; `exact_fold` alone needs Python."""
+"""Text functions as column expressions; `exact_fold` and `compose` alone need Python."""
 
 from __future__ import annotations
 
@@ -26,6 +26,12 @@ def compose(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+def full_fold(text: Column) -> Column:
+    """NFKC and full case folding: lower case where a text is ASCII, `exact_fold` for the others only."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.when(plain, F.lower(text)).otherwise(exact_fold(F.when(~plain, text)))
+
+
 def fold(text: Column) -> Column:
     """Case folding for texts in Latin script: lower case, sharp s as ss."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -56,15 +62,15 @@ def omitted(text: Column, folded: bool = False) -> Column:
     return F.array_distinct(F.filter(tokens(text, folded), lambda t: ~is_lexeme(t)))
 
 
-def word_set(text: Column) -> Column:
+def word_set(text: Column, folded: bool = False) -> Column:
     """Folded whitespace tokens without marks at their edges, as a set; a token of marks only is the empty string."""
     words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    return F.array_distinct(F.transform(words, lambda t: F.btrim(fold(t), F.lit(EDGE_MARKS))))
+    return F.array_distinct(F.transform(words, lambda t: F.btrim(t if folded else fold(t), F.lit(EDGE_MARKS))))
 
 
-def word_characters(text: Column) -> Column:
+def word_characters(text: Column, folded: bool = False) -> Column:
     r"""Runs of word characters (\w, Unicode), folded."""
-    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
+    return F.regexp_extract_all(text if folded else fold(text), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,22 +30,40 @@ def embed(rows: DataFrame, text: str, dimensions: int = 64) -> DataFrame:
     return rows.withColumn("vector", vectors(F.col(text)))
 
 
-def ordered_digest(order: Column, value: Column, between: str = "\n") -> Column:
-    """SHA-256 of the values in order, joined: an aggregate."""
-    held = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    return F.sha2(F.array_join(F.transform(held, lambda x: x["v"]), between), 256)
-
-
 def chunk_set_digests(chunks: DataFrame) -> DataFrame:
-    """doc_id, n_chunks, digest over ordinal and content in order. A document's chunks meet in one task."""
-    value = F.concat_ws("\t", F.col("ordinal").cast("string"), F.sha2("content", 256))
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), ordered_digest(F.col("ordinal"), value).alias("digest"))
+    """doc_id, n_chunks, digest: SHA-256 over ordinal NUL checksum LF of the chunks in order. A document's chunks meet in one task."""
+    line = F.concat(F.col("ordinal").cast("string"), F.lit("\0"), F.sha2("content", 256), F.lit("\n"))
+    held = F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("o"), line.alias("v"))))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sha2(F.array_join(F.transform(held, lambda x: x["v"]), ""), 256).alias("digest"))
 
 
 def population_digests(sets: DataFrame, by: str) -> DataFrame:
-    """by, n_documents, digest over the documents' digests: two levels, so no text is gathered."""
-    value = F.concat_ws("\t", F.col("doc_id").cast("string"), F.col("digest"))
-    return sets.groupBy(by).agg(F.count("*").alias("n_documents"), ordered_digest(F.col("doc_id"), value).alias("digest"))
+    """by, n_documents, digest: SHA-256 over source_key NUL chunk_set_id NUL digest LF of the members by source key.
+
+    The digest is one hash over all members in order, so a population passes through one task; it is sorted there (and
+    spilled) and streamed, a member at a time, so that nothing but the hash is held.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, h = None, 0, hashlib.sha256()
+        for f in frames:
+            for k, *member in zip(f["by"], f["source_key"], f["chunk_set_id"], f["digest"], strict=True):
+                if n and k != key:
+                    yield pd.DataFrame({"by": [key], "n": [n], "digest": [h.hexdigest()]})
+                    n, h = 0, hashlib.sha256()
+                key, n = k, n + 1
+                h.update("\0".join(member).encode() + b"\n")
+        if n:
+            yield pd.DataFrame({"by": [key], "n": [n], "digest": [h.hexdigest()]})
+
+    rows = sets.select(F.col(by).alias("by"), "source_key", "chunk_set_id", "digest").repartition("by").sortWithinPartitions("by", "source_key", "chunk_set_id")
+    kind = dict(sets.dtypes)[by]
+    return rows.mapInPandas(run, f"by {kind}, n long, digest string").select(F.col("by").alias(by), F.col("n").alias("n_documents"), "digest")
+
+
+def ambiguous_members(sets: DataFrame, by: str) -> DataFrame:
+    """Members whose source key occurs more than once in their population: no digest of it is authoritative."""
+    return sets.groupBy(by, "source_key").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def reuse_or_create(prepared: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
@@ -66,17 +84,27 @@ def identities(docs: DataFrame) -> DataFrame:
     return rows.join(first, "checksum").select("doc_id", "checksum", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("is_duplicate"))
 
 
-def cutover(members: DataFrame) -> DataFrame:
-    """One row: allowed, pending and violations of a corpus (source_key, before_digest, after_digest, complete, vectors_new, v1_immutable)."""
-    key = F.col("source_key")
+def cutover_gaps(members: DataFrame) -> DataFrame:
+    """source_key, gap: a row for each thing that keeps a corpus from its cutover.
+
+    `members`: source_key, before_digest, after_digest, complete, vectors_new, v1_immutable. Gaps: PENDING, CHUNK_SET_CHANGED,
+    V2_VECTOR_NOT_NEW, V1_MUTATED, and DUPLICATE_MEMBER for a source key that occurs more than once.
+    """
     said = F.array_compact(
         F.array(
-            F.when(F.col("before_digest") != F.col("after_digest"), F.concat(key, F.lit(":CHUNK_SET_CHANGED"))),
-            F.when(~F.col("vectors_new"), F.concat(key, F.lit(":V2_VECTOR_NOT_NEW"))),
-            F.when(~F.col("v1_immutable"), F.concat(key, F.lit(":V1_MUTATED"))),
+            F.when(~F.col("complete"), F.lit("PENDING")),
+            F.when(F.col("before_digest") != F.col("after_digest"), F.lit("CHUNK_SET_CHANGED")),
+            F.when(~F.col("vectors_new"), F.lit("V2_VECTOR_NOT_NEW")),
+            F.when(~F.col("v1_immutable"), F.lit("V1_MUTATED")),
         )
     )
-    rows = members.select(key.alias("k"), F.when(~F.col("complete"), key).alias("pending"), said.alias("said"))
-    # only gaps are gathered, not members
-    gathered = rows.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("pending")).alias("pending"), F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("said") > 0, F.struct("k", "said")))), lambda x: x["said"])).alias("violations"))
-    return gathered.select(((F.col("n") > 0) & (F.size("pending") == 0) & (F.size("violations") == 0)).alias("allowed"), "pending", "violations")
+    twice = members.groupBy("source_key").agg(F.count("*").alias("n")).filter("n > 1")
+    return members.select("source_key", F.explode(said).alias("gap")).union(twice.select("source_key", F.lit("DUPLICATE_MEMBER")))
+
+
+def cutover(members: DataFrame) -> DataFrame:
+    """One row: allowed, n_members and the number of gaps of each kind; gaps themselves stay rows (`cutover_gaps`). No members, no cutover."""
+    gaps = cutover_gaps(members)
+    counts = gaps.agg(F.count_if(F.col("gap") == "PENDING").alias("n_pending"), F.count_if(F.col("gap") != "PENDING").alias("n_violations"))
+    total = members.agg(F.count("*").alias("n_members")).crossJoin(counts)
+    return total.select(((F.col("n_members") > 0) & (F.col("n_pending") == 0) & (F.col("n_violations") == 0)).alias("allowed"), "n_members", "n_pending", "n_violations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Calibration
+from ..config import TAXONOMY, Calibration
 from ..functions import rational as ra
 
 
@@ -67,21 +67,32 @@ def calibrate(cases: DataFrame, hard_negatives: DataFrame, policy: Calibration |
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
-    """left_id, right_id, common, smaller: pairs of token sets that share at least `least` of the smaller set.
+    """left_id, right_id, common, smaller, exact: pairs of token sets that share at least `least` of the smaller set.
 
-    `left` and `right`: id and words (distinct tokens). Prefix filtering instead of a cross join: in any fixed order
-    of tokens, a set that shares that much of itself has one of its first size - ceil(least * size) + 1 tokens in
-    common, so prefixes of one side meet all tokens of the other. Long tokens come first, as they are rare.
+    `left` and `right`: id, words (distinct tokens) and said (the normalized text: equal ones are exact copies). Prefix
+    filtering instead of a cross join: in any fixed order of tokens, a set that shares that much of itself has one of
+    its first size - ceil(least * size) + 1 tokens in common, so the prefix of the smaller set meets all tokens of the
+    larger. Rare tokens come first, by how many sets hold them, so frequent ones are in hardly any prefix. Common tokens
+    are counted on the pairs found; whole sets are looked at once a side.
     """
-    ordered = lambda w: F.transform(F.array_sort(F.transform(w, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
-    prefix = lambda w: F.slice(ordered(w), 1, F.size(w) - F.ceil(F.round(F.size(w) * least, 9)).cast("int") + 1)
-    a, b = left.filter(F.size("words") > 0), right.filter(F.size("words") > 0)
-    ids = lambda x, name, words: x.select(F.col("id").alias(name), F.explode(words).alias("token"))
-    one = ids(a, "left_id", prefix(F.col("words"))).join(ids(b, "right_id", F.col("words")), "token")
-    two = ids(a, "left_id", F.col("words")).join(ids(b, "right_id", prefix(F.col("words"))), "token")
-    pairs = one.select("left_id", "right_id").union(two.select("left_id", "right_id")).distinct()
-    full = pairs.join(a.select(F.col("id").alias("left_id"), F.col("words").alias("wa")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("words").alias("wb")), "right_id")
-    full = full.select("left_id", "right_id", F.size(F.array_intersect("wa", "wb")).alias("common"), F.least(F.size("wa"), F.size("wb")).alias("smaller"))
+    sized = lambda x: x.filter(F.size("words") > 0).select("id", "said", F.size("words").alias("n"), "words")
+    a, b = sized(left), sized(right)
+    exploded = a.select(F.explode("words").alias("token")).union(b.select(F.explode("words").alias("token")))
+    often = exploded.groupBy("token").agg(F.count("*").alias("df"))
+
+    def side(x: DataFrame, name: str) -> DataFrame:
+        rows = x.select("id", "n", F.explode("words").alias("token")).join(often, "token")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+        need = F.col("n") - F.ceil(F.round(F.col("n") * least, 9)).cast("int") + 1
+        return rows.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), "token", (place <= need).alias(f"{name}_prefix"))
+
+    one, two = side(a, "left"), side(b, "right")
+    from_left = one.filter("left_prefix").join(two, "token").filter("left_n <= right_n").select("left_id", "right_id")
+    from_right = two.filter("right_prefix").join(one, "token").filter("right_n < left_n").select("left_id", "right_id")
+    pairs = from_left.union(from_right).distinct()
+    full = pairs.join(a.select(F.col("id").alias("left_id"), F.col("words").alias("wa"), F.col("said").alias("sa")), "left_id")
+    full = full.join(b.select(F.col("id").alias("right_id"), F.col("words").alias("wb"), F.col("said").alias("sb")), "right_id")
+    full = full.select("left_id", "right_id", F.size(F.array_intersect("wa", "wb")).alias("common"), F.least(F.size("wa"), F.size("wb")).alias("smaller"), (F.col("sa") == F.col("sb")).alias("exact"))
     return full.filter(F.col("common") >= F.round(least * F.col("smaller"), 9))
 
 
@@ -92,11 +103,16 @@ def paired(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame
     return left.join(right, key, "full_outer").withColumns({f"{v}_delta": F.col(f"{v}_b") - F.col(f"{v}_a") for v in values})
 
 
+def exact_delta(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """b - a of two fractions (numerator, denominator) as a reduced fraction, by cross multiplication; no rounding decides its sign."""
+    return ra.reduced(b[0] * a[1] - a[0] * b[1], a[1] * b[1])
+
+
 def claim_decision(deltas: list[Column], guardrails: Column) -> Column:
-    """CLAIM if no delta is negative, one is positive and the guardrails hold."""
+    """CLAIM if no delta (a number, or the numerator of an exact one) is negative, one is positive and the guardrails hold."""
     none_below = ~sum(((d < 0).cast("int") for d in deltas[1:]), (deltas[0] < 0).cast("int")).cast("boolean")
     some_above = sum(((d > 0).cast("int") for d in deltas[1:]), (deltas[0] > 0).cast("int")) > 0
-    return F.when(~guardrails, "GUARDRAIL_FAILURE").when(none_below & some_above, "CLAIM").otherwise("NO_IMPROVEMENT")
+    return F.when(~guardrails, "GUARDRAIL_FAILURE").when(none_below & some_above, "CLAIM").otherwise("NO_QUALIFYING_DELTA")
 
 
 def summed_maps(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -114,5 +130,21 @@ def single_or_mixed(column: str) -> Column:
     return F.when(F.min(column) == F.max(column), F.min(column).cast("string")).otherwise(F.lit("mixed"))
 
 
-def first_per(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
+def classify_findings(findings: DataFrame) -> DataFrame:
+    """`findings` (fixture, stage, gold_present, miss_confirmed) with class of the closed taxonomy, or problem.
+
+    Fixtures of a stage need that stage, others none; a branch's miss also needs its evidence.
+    """
+    rows = [F.struct(F.lit(k).alias("fixture"), F.lit(v[0]).alias("class"), F.lit(v[1]).cast("string").alias("wanted")) for k, v in TAXONOMY.items()]
+    known = F.filter(F.array(*rows), lambda x: x["fixture"] == F.col("fixture"))
+    found = findings.withColumn("__t", F.get(known, 0))
+    wanted = F.col("__t.wanted")
+    proven = F.coalesce(F.col("gold_present") & F.col("miss_confirmed"), F.lit(False))
+    problem = F.when(F.col("__t").isNull(), "UNKNOWN_TAXONOMY_FIXTURE").when(~F.col("stage").eqNullSafe(wanted) | ((wanted == "branch") & ~proven), "STAGE_PRECONDITION_INVALID")
+    return found.withColumn("problem", problem).withColumn("class", F.when(F.col("problem").isNull(), F.col("__t.class"))).drop("__t")
+
+
+def review_verdict(findings: DataFrame, by: str) -> DataFrame:
+    """by, criticals, majors and verdict: BLOCK on any critical finding, REQUEST_CHANGES on any major one, else APPROVE."""
+    rows = findings.groupBy(by).agg(F.count_if(F.col("severity") == "critical").alias("criticals"), F.count_if(F.col("severity") == "major").alias("majors"))
+    return rows.withColumn("verdict", F.when(F.col("criticals") > 0, "BLOCK").when(F.col("majors") > 0, "REQUEST_CHANGES").otherwise("APPROVE"))

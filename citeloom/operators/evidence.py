@@ -26,7 +26,7 @@ def select_evidence(candidates: DataFrame, max_chunks: int = 5, max_tokens: int
     redundant, too many chunks, too many tokens, selected; what is skipped uses no budget. A query has at most
     the two branches' k candidates, so its list is short however large the corpus.
     """
-    item = F.struct(F.col("fused_rank"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("chunk_set").cast("string").alias("chunk_set"), F.col("ordinal").cast("long").alias("ordinal"), tx.word_set(F.col("content")).alias("words"), F.col("token_count").cast("long").alias("tokens"))
+    item = F.struct(F.col("fused_rank"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("chunk_set").cast("string").alias("chunk_set"), F.col("ordinal").cast("long").alias("ordinal"), tx.word_set(tx.full_fold(F.col("content")), folded=True).alias("words"), F.col("token_count").cast("long").alias("tokens"))
     listed = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.array().cast(STATE).alias("kept"), F.lit(0).cast("bigint").alias("tokens"), F.array().cast(DECISION).alias("decisions"))
 
@@ -52,8 +52,9 @@ def select_evidence(candidates: DataFrame, max_chunks: int = 5, max_tokens: int
 
 
 def final_decision(outcome: Column) -> tuple[Column, Column]:
-    """(final decision, reason) of an outcome."""
-    return F.when(outcome == "SELECTED", "SELECTED").otherwise("REJECTED"), F.when(outcome != "SELECTED", outcome)
+    """(final decision, reason) of an outcome: both budgets end in BUDGET_EXCEEDED with a reason, others stand for themselves."""
+    reason = F.when(outcome == "TOKEN_BUDGET_EXCEEDED", "TOKEN_BUDGET").when(outcome == "CHUNK_COUNT_LIMIT", "CHUNK_COUNT_LIMIT")
+    return F.when(reason.isNotNull(), "BUDGET_EXCEEDED").otherwise(outcome), reason
 
 
 def aliases(decisions: DataFrame) -> DataFrame:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operations import claim_order, due, micros, retry_decision
+from .operations import due, micros, retry_decision
 
 
 def claim(jobs: DataFrame, now: Column, lease_seconds: int, by: str = "workspace_id") -> DataFrame:
-    """The jobs after one claim a workspace: the first due job gets a lease, the next fence and attempt."""
-    first = F.row_number().over(Window.partitionBy(by, due(now)).orderBy(*claim_order()))
-    taken = due(now) & (F.col("__n") == 1)
-    rows = jobs.withColumn("__n", first).withColumn("__taken", taken)
+    """The jobs after one claim a workspace: the first due job gets a lease, the next fence and attempt.
+
+    The first of each workspace is a minimum, combined before the shuffle; its ids join back to the jobs.
+    """
+    order = F.struct(F.col("next_attempt_at").isNotNull(), "next_attempt_at", "created_at", "job_id")
+    first = jobs.filter(due(now)).groupBy(by).agg(F.min_by("job_id", order).alias("job_id")).select("job_id", F.lit(True).alias("__taken"))
+    rows = jobs.join(first, "job_id", "left").withColumn("__taken", F.coalesce("__taken", F.lit(False)))
     return rows.withColumns(
         {
             "state": F.when(F.col("__taken"), "processing").otherwise(F.col("state")),
@@ -22,7 +25,7 @@ def claim(jobs: DataFrame, now: Column, lease_seconds: int, by: str = "workspace
             "fence": F.col("fence") + F.col("__taken").cast("int"),
             "lease_until": F.when(F.col("__taken"), now + F.make_dt_interval(secs=F.lit(lease_seconds))).otherwise(F.col("lease_until")),
         }
-    ).drop("__n", "__taken")
+    ).drop("__taken")
 
 
 def heartbeat(jobs: DataFrame, beats: DataFrame, now: Column, lease_seconds: int) -> DataFrame:
@@ -92,9 +95,23 @@ def blockers(objects: DataFrame, key: str, references: dict[str, DataFrame]) ->
     return done.withColumn("deletable", reduce(Column.__and__, [F.col(kind) == 0 for kind in references]))
 
 
-def orphan_disposition(before: Column, retained_now: Column, deleted: Column) -> Column:
-    """The next disposition of an orphan: suppressed once it is referred to again, reconciled once deleted."""
-    return F.when(before.isin("reconciled", "suppressed"), before).when(retained_now, "suppressed").when(deleted, "reconciled").otherwise("reported")
+def orphan_disposition(artifact_class: Column, state: Column, before: Column, requested: Column) -> Column:
+    """The outcome of a corrective disposition of orphan work: applied, replayed, or why it is refused.
+
+    Orphans become repaired or deleted; a reported inconsistent record (orphan_report) only repaired, also after it
+    was reported. What is bound otherwise stays; corrections need work that succeeded.
+    """
+    report = artifact_class == "orphan_report"
+    free = before.isNull() | (report & (before == "reported") & (requested == "repaired"))
+    return (
+        F.when(~requested.isin("repaired", "deleted"), "UNSUPPORTED")
+        .when(~artifact_class.isin("orphan", "orphan_report"), "NOT_ORPHAN_WORK")
+        .when(report & (requested != "repaired"), "RECORD_CANNOT_BE_DELETED")
+        .when(before == requested, "replayed")
+        .when(~free, "ALREADY_BOUND")
+        .when(state != "succeeded", "NOT_COMPLETE")
+        .otherwise("applied")
+    )
 
 
 def fold_work(events: DataFrame) -> DataFrame:

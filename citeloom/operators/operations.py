@@ -46,17 +46,26 @@ def histogram(rows: DataFrame, micros_column: str, bounds: tuple[float, ...] = L
     return counts.select(F.explode(F.array(*pairs, F.struct(F.lit(float("inf")).alias("bound"), F.col("all").alias("count")))).alias("x")).select("x.*")
 
 
-def snapshot(jobs: DataFrame, attempts: DataFrame, now: Column, window_seconds: int) -> DataFrame:
+def snapshot(jobs: DataFrame, attempts: DataFrame, now: Column, window_seconds: int, cleanups: DataFrame | None = None, work: DataFrame | None = None) -> DataFrame:
     """One row of metrics: queue_depth, oldest_job_age_s, closures and retries of the window, retry_rate, recoveries.
 
-    Two scans, each one aggregate with partial sums; retry_rate is null, not 0, without closures.
+    With `cleanups` (closed_at, disposition) also cleanup_attempts and cleanup_failures; with `work` (artifact_class, state,
+    discovered_at, disposition) also orphan_discoveries and orphan_reconciliations. Each input is one scan and one
+    aggregate with partial sums; retry_rate is null, not 0, without closures.
     """
     ready = due(now)
     queue = jobs.agg(F.count_if(ready).alias("queue_depth"), F.min(F.when(ready, F.col("created_at"))).alias("oldest"))
-    queue = queue.select("queue_depth", F.coalesce(F.greatest(F.lit(0.0), micros(F.col("oldest"), now) / 1e6), F.lit(0.0)).alias("oldest_job_age_s"))
+    done = queue.select("queue_depth", F.coalesce(F.greatest(F.lit(0.0), micros(F.col("oldest"), now) / 1e6), F.lit(0.0)).alias("oldest_job_age_s"))
     recent = F.col("closed_at").between(now - F.make_dt_interval(secs=F.lit(window_seconds)), now)
     closed = attempts.agg(F.count_if(recent).alias("closures"), F.count_if(recent & (F.col("closure") == "schedule_retry")).alias("retries"), F.count_if(F.col("closure") == "lease_expired").alias("recoveries"))
-    return queue.crossJoin(closed).withColumn("retry_rate", F.try_divide(F.col("retries").cast("double"), F.col("closures")))
+    done = done.crossJoin(closed).withColumn("retry_rate", F.try_divide(F.col("retries").cast("double"), F.col("closures")))
+    if cleanups is not None:
+        done = done.crossJoin(cleanups.agg(F.count("*").alias("cleanup_attempts"), F.count_if(F.col("closed_at").isNotNull() & (F.col("disposition") == "failed")).alias("cleanup_failures")))
+    if work is not None:
+        orphan, report = F.col("artifact_class") == "orphan", F.col("artifact_class") == "orphan_report"
+        settled = (orphan & F.col("disposition").isin("repaired", "deleted")) | (report & (F.col("disposition") == "repaired"))
+        done = done.crossJoin(work.agg(F.count_if(orphan & F.col("discovered_at").isNotNull()).alias("orphan_discoveries"), F.count_if(settled & (F.col("state") == "succeeded")).alias("orphan_reconciliations")))
+    return done
 
 
 def retry_decision(cause: Column, attempt: Column, max_attempts: int = MAX_ATTEMPTS, jitter: Column | None = None) -> tuple[Column, Column, Column]:

@@ -14,6 +14,7 @@ from ..config import RRF_CONSTANT
 from ..functions import text as tx
 from ..functions import vectors as vx
 
+SALTS = 64
 DECIMALS = 9  # similarities are rounded before ranking, so that last bits never swap ties
 
 
@@ -36,12 +37,41 @@ def top_k(rows: DataFrame, order: list[Column], k: int, rank: str = "branch_rank
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def nearest_blocks(queries: DataFrame, chunks: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """The k nearest chunks, other than itself, of each of a stated set of queries, against all chunks in blocks.
+
+    Queries go in blocks of about `block`, chunks in `SALTS` parts; every block meets every part under a key of its own, so a
+    task holds one block and one part at most, and each part keeps its own first k before they meet.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    c = chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = similarities(q, c, ["block", "part"]).filter((F.col("query_id") != F.col("chunk_id")) & F.col("similarity").isNotNull())
+    for by in (["query_id", "part"], ["query_id"]):
+        rows = rows.withColumn("branch_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), F.asc("chunk_id")))).filter(F.col("branch_rank") <= k)
+    return rows.drop("block", "part")
+
+
 def vector_branch(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str], ties: list[str] | None = None) -> DataFrame:
     """Exact nearest neighbours at or above the threshold."""
     rows = similarities(queries, chunks, on).filter(F.col("similarity") >= min_similarity)
     return top_k(rows, [F.desc("similarity"), *[F.asc(t) for t in ties or ["chunk_id"]]], k)
 
 
+def vector_sides(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str], ties: list[str] | None = None) -> DataFrame:
+    """The first k of each query at or above the threshold (`eligible`) and the first k below it, from one pass over the pairs.
+
+    Each side is the branch of that name; similarities are computed once for both. Chunks are dealt to `SALTS` parts by their id
+    within a workspace, each part keeps its own first k, and those meet: a workspace with a third of all chunks is many tasks.
+    """
+    order = [F.desc("similarity"), *[F.asc(t) for t in ties or ["chunk_id"]]]
+    rows = similarities(queries, chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))), on)
+    rows = rows.filter(F.col("similarity").isNotNull()).withColumn("eligible", F.col("similarity") >= min_similarity)
+    for by in (["query_id", "eligible", "part"], ["query_id", "eligible"]):
+        rows = rows.withColumn("branch_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("branch_rank") <= k)
+    return rows.drop("part")
+
+
 def vector_below(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str]) -> DataFrame:
     """The nearest of those below the threshold, which observations report."""
     rows = similarities(queries, chunks, on).filter(F.col("similarity") < min_similarity)
@@ -55,7 +85,7 @@ def postings(chunks: DataFrame, keep: list[str]) -> DataFrame:
 
 def query_lexemes(queries: DataFrame) -> DataFrame:
     """query columns with lexemes; queries without any match nothing and are dropped here."""
-    return queries.withColumn("lexemes", tx.lexemes(F.col("question"))).filter(F.size("lexemes") > 0)
+    return queries.withColumn("lexemes", tx.lexemes(tx.full_fold(F.col("question")), folded=True)).filter(F.size("lexemes") > 0)
 
 
 def fts_matches(queries: DataFrame, chunks: DataFrame, every: bool, on: list[str]) -> DataFrame:

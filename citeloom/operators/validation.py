@@ -47,6 +47,13 @@ def require_none(found: DataFrame, limit: int = 20) -> None:
         raise ValueError("contract violated: " + "; ".join(f"{r['subject']}: {r['rule']}" for r in first))
 
 
+def out_of_order(rows: DataFrame, by: str, rank: str, rule: str) -> DataFrame:
+    """Groups whose ranks are not exactly 1, 2, ... n: by counts, sums and extremes, without sorting."""
+    n = F.count("*")
+    whole = (F.min(rank) == 1) & (F.max(rank) == n) & (F.count_distinct(rank) == n)
+    return rows.groupBy(by).agg(whole.alias("ok")).filter("NOT ok").select(F.col(by).cast("string").alias("subject"), F.lit(rule).alias("rule"))
+
+
 def embedding_rules(vector: Column, dimensions: int) -> dict[str, Column]:
     return {
         "dimensions": F.size(vector) == dimensions,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Chunking
@@ -13,16 +13,20 @@ from ..operators import derivation as de
 from ..operators import evidence as ev
 from ..sources.files import table
 from . import common as c
-from .retrieval_queries import fused
+from .retrieval_queries import COVER_SQL, fts_and_topk, fused
 
 WINDOWS = Chunking(target_tokens=100, overlap_tokens=20, max_tokens=130)
 MAX_CHUNKS, MAX_TOKENS = 5, 3000
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused candidates with what selection looks at: chunks are whole documents, their set is the workspace."""
-    chunks = c.hybrid_chunks(spark, sf_dir).select("chunk_id", F.col("workspace_id").alias("chunk_set"), "source_key", "ordinal", "content")
-    rows = fused(spark, sf_dir, False).select("query_id", "chunk_id", "fused_rank").join(chunks, "chunk_id")
+    """The fused candidates with what selection looks at: chunks are whole documents, their set is the workspace.
+
+    Ordinals number a question's candidates by id, so that neighbours, which may be redundant, occur.
+    """
+    chunks = c.hybrid_chunks(spark, sf_dir).select("chunk_id", F.col("workspace_id").alias("chunk_set"), "source_key", "content")
+    rows = fused(spark, sf_dir, "retrieval-m3-rrf-v1").select("query_id", "chunk_id", "fused_rank").join(chunks, "chunk_id")
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
     return rows.withColumn("token_count", F.size(F.filter(F.split("content", r"\s+"), lambda t: t != "")))
 
 
@@ -38,24 +42,31 @@ def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVIDENCE_SQL = (
-    "WITH RECURSIVE " + c.SQL_FUSED.replace("{ties}", "") + r""",
+    "WITH RECURSIVE " + c.tied(c.SQL_FUSED, "") + r""",
 cand AS (
-  SELECT f.query_id, f.chunk_id, f.fused_rank AS n, k.workspace_id, k.ordinal,
+  SELECT f.query_id, f.chunk_id, f.fused_rank AS n, row_number() OVER (PARTITION BY f.query_id ORDER BY f.chunk_id) AS ordinal,
+    list_distinct(list_transform(list_filter(string_split_regex(k.content, '\s+'), lambda t: t <> ''), lambda t: trim(""" + c.sql_fold("t") + r""", '.,!?;:()[]{}'))) AS words,
     len(list_filter(string_split_regex(k.content, '\s+'), lambda t: t <> '')) AS tokens
   FROM fused f JOIN chunks k USING (chunk_id)),
+alike AS (
+  SELECT a.query_id, a.n, b.n AS other FROM cand a JOIN cand b ON a.query_id = b.query_id AND b.n < a.n AND abs(a.ordinal - b.ordinal) = 1
+  WHERE least(len(a.words), len(b.words)) > 0 AND len(list_intersect(a.words, b.words)) >= 0.5 * least(len(a.words), len(b.words))),
+near AS (SELECT query_id, n, list(other) AS others FROM alike GROUP BY ALL),
+steps AS (SELECT d.*, coalesce(others, []::BIGINT[]) AS others FROM cand d LEFT JOIN near USING (query_id, n)),
 fold AS (
   SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS chunk_id, CAST(NULL AS VARCHAR) AS outcome,
-    CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS kept_before, CAST(0 AS BIGINT) AS used_before, CAST(0 AS BIGINT) AS tokens
+    CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS kept_before, CAST(0 AS BIGINT) AS used_before, CAST(0 AS BIGINT) AS tokens, []::BIGINT[] AS chosen
   FROM (SELECT DISTINCT query_id FROM cand)
   UNION ALL
-  SELECT f.query_id, d.n, d.chunk_id,
-    CASE WHEN f.kept >= 5 THEN 'CHUNK_COUNT_LIMIT' WHEN f.used + d.tokens > 3000 THEN 'TOKEN_BUDGET_EXCEEDED' ELSE 'SELECTED' END,
-    f.kept + CASE WHEN f.kept < 5 AND f.used + d.tokens <= 3000 THEN 1 ELSE 0 END,
-    f.used + CASE WHEN f.kept < 5 AND f.used + d.tokens <= 3000 THEN d.tokens ELSE 0 END,
-    f.kept, f.used, d.tokens
-  FROM fold f JOIN cand d ON d.query_id = f.query_id AND d.n = f.n + 1)
-SELECT query_id, chunk_id, n AS final_rank, outcome, CASE WHEN outcome = 'SELECTED' THEN 'SELECTED' ELSE 'REJECTED' END AS final_decision,
-  CASE WHEN outcome <> 'SELECTED' THEN outcome END AS decision_reason,
+  SELECT f.query_id, d.n, d.chunk_id, o.outcome, f.kept + CASE WHEN o.outcome = 'SELECTED' THEN 1 ELSE 0 END,
+    f.used + CASE WHEN o.outcome = 'SELECTED' THEN d.tokens ELSE 0 END, f.kept, f.used, d.tokens,
+    CASE WHEN o.outcome = 'SELECTED' THEN list_append(f.chosen, d.n) ELSE f.chosen END
+  FROM fold f JOIN steps d ON d.query_id = f.query_id AND d.n = f.n + 1,
+    LATERAL (SELECT CASE WHEN list_has_any(f.chosen, d.others) THEN 'REDUNDANT_OVERLAP' WHEN f.kept >= 5 THEN 'CHUNK_COUNT_LIMIT'
+      WHEN f.used + d.tokens > 3000 THEN 'TOKEN_BUDGET_EXCEEDED' ELSE 'SELECTED' END AS outcome) o)
+SELECT query_id, chunk_id, n AS final_rank, outcome,
+  CASE WHEN outcome IN ('TOKEN_BUDGET_EXCEEDED', 'CHUNK_COUNT_LIMIT') THEN 'BUDGET_EXCEEDED' ELSE outcome END AS final_decision,
+  CASE outcome WHEN 'TOKEN_BUDGET_EXCEEDED' THEN 'TOKEN_BUDGET' WHEN 'CHUNK_COUNT_LIMIT' THEN 'CHUNK_COUNT_LIMIT' END AS decision_reason,
   kept_before AS selected_chunk_count, used_before AS selected_token_count, used_before + tokens AS token_total
 FROM fold WHERE n > 0"""
 )
@@ -81,32 +92,29 @@ FROM benchmark b LEFT JOIN (SELECT query_id, content FROM chosen JOIN chunks USI
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of the deterministic answers: alias, reference and excerpt."""
+    """Citations of answers that cite all their evidence, the last first: alias, reference and excerpt in order of the markers."""
     found = evidence(spark, sf_dir)
-    rows = an.citations(an.answers(c.questions(spark, sf_dir), found), found)
+    last_first = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("final_rank", "alias")))), lambda x: F.concat(F.lit("[["), x["alias"], F.lit("]]"))), " and ")
+    answered = found.groupBy("query_id").agg(F.concat(F.lit("see "), last_first).alias("answer"))
+    rows = an.citations(answered, found)
     source, ordinal = tx.parse_reference(F.col("reference"))
     return rows.select("query_id", F.col("position").cast("long").alias("position"), "alias", "reference", source.alias("source_key"), ordinal.alias("ordinal"), F.sha2("excerpt", 256).alias("excerpt_sha256"))
 
 
-CITATIONS_SQL = _CHOSEN + """SELECT query_id, CAST(0 AS BIGINT) AS position, 'E1' AS alias, source_key || '#' || CAST(ordinal AS VARCHAR) AS reference,
-  source_key, ordinal, sha256(substring(content, 1, 500)) AS excerpt_sha256
-FROM chosen JOIN chunks USING (chunk_id) WHERE a = 1"""
+CITATIONS_SQL = _CHOSEN + """SELECT query_id, max(a) OVER (PARTITION BY query_id) - a AS position, 'E' || CAST(a AS VARCHAR) AS alias,
+  source_key || '#' || CAST(ordinal AS VARCHAR) AS reference, source_key, ordinal, sha256(substring(content, 1, 500)) AS excerpt_sha256
+FROM chosen JOIN chunks USING (chunk_id)"""
 
 
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions without any document that has all their lexemes are refused."""
-    from .retrieval_queries import fts_and_topk
-
     best = fts_and_topk(spark, sf_dir).filter("branch_rank = 1").select("query_id", F.col("chunk_id").alias("best"))
     rows = c.questions(spark, sf_dir).join(best, "query_id", "left")
     return rows.select("query_id", F.when(F.col("best").isNull(), "REFUSAL").otherwise("ANSWER").alias("decision"), "best")
 
 
 REFUSALS_SQL = (
-    "WITH lex AS (SELECT item_id AS query_id, len(" + c.sql_lexemes("text") + ") AS n, unnest(" + c.sql_lexemes("text") + ") AS token FROM benchmark), "
-    "said AS (SELECT doc_id AS chunk_id, unnest(" + c.sql_tokens("text") + ") AS token FROM documents), "
-    "m AS (SELECT query_id, chunk_id, n, count(*) AS r, count(DISTINCT token) AS found FROM said JOIN lex USING (token) GROUP BY ALL), "
-    "t AS (SELECT query_id, chunk_id FROM m WHERE found = n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id) = 1) "
+    "WITH t AS (SELECT query_id, chunk_id FROM (" + COVER_SQL + ") WHERE branch_rank = 1) "
     "SELECT item_id AS query_id, CASE WHEN t.chunk_id IS NULL THEN 'REFUSAL' ELSE 'ANSWER' END AS decision, t.chunk_id AS best FROM benchmark LEFT JOIN t ON t.query_id = item_id"
 )
 
@@ -167,13 +175,19 @@ def chunk_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return de.chunk_set_digests(ch.line_chunks(table(spark, sf_dir, "documents")))
 
 
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with chunks as a member of its workspace's population: source key, chunk set and digest."""
+    sets = chunk_set_digest(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    number = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    return sets.select("doc_id", F.col("source").alias("workspace_id"), F.concat(F.lit("doc/"), number).alias("source_key"), F.concat(F.lit("set-"), number).alias("chunk_set_id"), "digest")
+
+
 def population_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of every workspace's documents."""
-    sets = chunk_set_digest(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return de.population_digests(sets, "source").withColumnRenamed("source", "workspace_id")
+    return de.population_digests(members(spark, sf_dir), "workspace_id")
 
 
-_DIGEST = "WITH l AS (" + _LINES + "), d AS (SELECT doc_id, count(*) AS n_chunks, sha256(string_agg(CAST(ordinal AS VARCHAR) || chr(9) || sha256(content), chr(10) ORDER BY ordinal)) AS digest FROM l GROUP BY doc_id) "
+_DIGEST = "WITH l AS (" + _LINES + "), d AS (SELECT doc_id, count(*) AS n_chunks, sha256(string_agg(CAST(ordinal AS VARCHAR) || chr(0) || sha256(content) || chr(10), '' ORDER BY ordinal)) AS digest FROM l GROUP BY doc_id) "
 
 
 def dedupe_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +224,8 @@ def corpus_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the corpus of line chunks can be cut over to the vectors that exist."""
     sets = chunk_set_digest(spark, sf_dir).select(F.col("doc_id"), F.col("digest").alias("before_digest"))
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("has"))
-    members = sets.join(vecs, "doc_id", "left").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source_key"), "before_digest", F.col("before_digest").alias("after_digest"), F.coalesce("has", F.lit(False)).alias("complete"), F.lit(True).alias("vectors_new"), (F.col("doc_id") % 100 != 7).alias("v1_immutable"))
-    done = de.cutover(members)
-    return done.select("allowed", F.size("pending").cast("long").alias("n_pending"), F.size("violations").cast("long").alias("n_violations"), F.array_join("violations", ",").alias("violations"))
+    rows = sets.join(vecs, "doc_id", "left").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source_key"), "before_digest", F.col("before_digest").alias("after_digest"), F.coalesce("has", F.lit(False)).alias("complete"), F.lit(True).alias("vectors_new"), (F.col("doc_id") % 100 != 7).alias("v1_immutable"))
+    return de.cutover(rows)
 
 
 QUERIES = {f.__name__: f for f in (evidence_selection, answers, citations, refusals, marker_parse, paragraph_chunks, token_windows, page_normalize, chunk_set_digest, population_digest, dedupe_identity, reuse_outcome, deterministic_embedding, heading_chunks, page_chunks, corpus_cutover)}
@@ -227,8 +240,8 @@ ORACLE_SQL = {
     "token_windows": WINDOWS_SQL,
     "page_normalize": PAGES_SQL,
     "chunk_set_digest": _DIGEST + "SELECT * FROM d",
-    "population_digest": _DIGEST + "SELECT source AS workspace_id, count(*) AS n_documents, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(9) || digest, chr(10) ORDER BY doc_id)) AS digest FROM d JOIN documents USING (doc_id) GROUP BY source",
+    "population_digest": _DIGEST + "SELECT source AS workspace_id, count(*) AS n_documents, sha256(string_agg('doc/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(0) || 'set-' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(0) || digest || chr(10), '' ORDER BY doc_id)) AS digest FROM d JOIN documents USING (doc_id) GROUP BY source",
     "dedupe_identity": "SELECT doc_id, sha256(coalesce(text, '')) AS checksum, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_doc_id, doc_id <> first_doc_id AS is_duplicate FROM documents",
     "reuse_outcome": "SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) THEN 'reused' ELSE 'created' END AS outcome FROM documents",
-    "corpus_cutover": "WITH m AS (SELECT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS complete FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 0) SELECT count_if(NOT complete) = 0 AND count_if(doc_id % 100 = 7) = 0 AS allowed, CAST(count_if(NOT complete) AS BIGINT) AS n_pending, CAST(count_if(doc_id % 100 = 7) AS BIGINT) AS n_violations, coalesce(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':V1_MUTATED', ',' ORDER BY doc_id) FILTER (doc_id % 100 = 7), '') AS violations FROM m",
+    "corpus_cutover": "WITH m AS (SELECT doc_id, doc_id IN (SELECT vec_id FROM embeddings) AS complete FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 0) SELECT count_if(NOT complete) = 0 AND count_if(doc_id % 100 = 7) = 0 AS allowed, count(*) AS n_members, CAST(count_if(NOT complete) AS BIGINT) AS n_pending, CAST(count_if(doc_id % 100 = 7) AS BIGINT) AS n_violations FROM m",
 }

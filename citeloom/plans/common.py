@@ -84,13 +84,13 @@ matches AS (
   SELECT query_id, chunk_id, source_key, ordinal, count(*) AS native_rank
   FROM said JOIN lex USING (workspace_id, token) GROUP BY ALL),
 vec AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS vector_rank
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, source_key, ordinal, chunk_id) AS vector_rank
   FROM sims WHERE similarity >= 0.05 QUALIFY vector_rank <= 8),
 below AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, source_key, ordinal, chunk_id) AS r
   FROM sims WHERE similarity < 0.05 QUALIFY r <= 8),
 fts AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY native_rank DESC, chunk_id) AS fts_rank
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY native_rank DESC, {ties}chunk_id) AS fts_rank
   FROM matches QUALIFY fts_rank <= 8)"""
 
 SQL_FUSED = SQL_HYBRID + """,
@@ -101,3 +101,8 @@ merged AS (
   FROM vec v FULL JOIN fts f USING (query_id, chunk_id)),
 fused AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, {ties}chunk_id) AS fused_rank FROM merged)"""
+
+
+def tied(sql: str, ties: str) -> str:
+    """`sql` with the order that breaks ties of full-text and fused ranks."""
+    return sql.replace("{ties}", ties)

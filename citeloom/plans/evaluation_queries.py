@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Calibration
+from ..config import TAXONOMY, Calibration
 from ..functions import rational as ra
 from ..functions import text as tx
 from ..operators import evaluation as el
@@ -24,37 +24,37 @@ POLICY = Calibration(mean_recall=0.1, top_two=0.05, percentile=0.1, decimals=9)
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, chunk_id, same (its label is the query's), similarity, rank among the 8 nearest of the vectors whose ids differ by a multiple of 5.
-
-    That residue stands in for the workspace, so labels vary within it and can serve as relevance.
-    """
-    vecs = table(spark, sf_dir, "embeddings").withColumn("workspace_id", F.col("vec_id") % 5)
-    q = vecs.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "workspace_id", F.col("label").alias("query_label"), F.col("embedding").alias("query_vector"))
-    chunks = vecs.select(F.col("vec_id").alias("chunk_id"), "workspace_id", F.col("label").alias("chunk_label"), F.col("embedding").alias("chunk_vector"))
-    rows = rt.similarities(q, chunks, ["workspace_id"]).filter(F.col("query_id") != F.col("chunk_id"))
-    rows = rt.top_k(rows, [F.desc("similarity"), F.asc("chunk_id")], c.K)
+    """query_id, chunk_id, same (its label is the query's), similarity, rank: the 8 nearest of all other vectors, for every vector whose id is divisible by 20."""
+    vecs = table(spark, sf_dir, "embeddings")
+    q = vecs.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_vector"))
+    chunks = vecs.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("chunk_label"), F.col("embedding").alias("chunk_vector"))
+    rows = rt.nearest_blocks(q, chunks, c.K)
     return rows.select("query_id", "chunk_id", (F.col("query_label") == F.col("chunk_label")).alias("same"), "similarity", F.col("branch_rank").alias("rank"))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, category, gold (the first three other vectors of its label in its workspace by id), retrieved."""
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("w"))
-    q = vecs.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label", "w")
-    gold = q.join(vecs, ["label", "w"]).filter("vec_id <> query_id")
-    gold = rt.top_k(gold, [F.asc("vec_id")], 3, "n").groupBy("query_id", "label").agg(F.array_sort(F.collect_list("vec_id")).alias("gold"))
-    got = neighbours(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "similarity"))).alias("got"))
-    rows = gold.join(got, "query_id")
+    """query_id, category, gold, retrieved and top (chunk_id, similarity).
+
+    Gold pools judgements: the first three by id of what is retrieved with the query's label and of the first other vector
+    of that label, which is seldom retrieved.
+    """
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    first = rt.top_k(vecs, [F.asc("vec_id")], 2, "n", "label").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("low"))
+    got = neighbours(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "similarity", "same"))).alias("got"))
+    rows = got.join(vecs.withColumnRenamed("vec_id", "query_id"), "query_id").join(first, "label", "left")
+    other = F.slice(F.filter("low", lambda v: v != F.col("query_id")), 1, 1)
+    alike = F.transform(F.filter("got", lambda g: g["same"]), lambda g: g["chunk_id"])
+    gold = F.slice(F.array_sort(F.array_distinct(F.concat(alike, other))), 1, 3)
     top = F.transform("got", lambda g: F.struct(g["chunk_id"].alias("chunk_id"), g["similarity"].alias("similarity")))
-    return rows.select("query_id", F.col("label").cast("long").alias("category"), "gold", F.transform("got", lambda g: g["chunk_id"]).alias("retrieved"), top.alias("top"))
+    return rows.select("query_id", F.col("label").cast("long").alias("category"), gold.alias("gold"), F.transform("got", lambda g: g["chunk_id"]).alias("retrieved"), top.alias("top"))
 
 
 _CASES = (
-    "v AS (SELECT vec_id, label, embedding, vec_id % 5 AS w FROM embeddings), "
     "nn AS (SELECT q.vec_id AS query_id, k.vec_id AS chunk_id, q.label = k.label AS same, " + c.SQL_COS.format(a="q.embedding", b="k.embedding") + " AS similarity, "
-    "row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, k.vec_id) AS rank FROM v q JOIN v k ON q.w = k.w AND q.vec_id <> k.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 8), "
-    "g0 AS (SELECT q.vec_id AS query_id, q.label, k.vec_id FROM v q JOIN v k ON q.w = k.w AND q.label = k.label AND q.vec_id <> k.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY k.vec_id) <= 3), "
-    "g AS (SELECT query_id, CAST(any_value(label) AS BIGINT) AS category, list(vec_id ORDER BY vec_id) AS gold FROM g0 GROUP BY query_id), "
-    "cs AS (SELECT query_id, category, gold, list(chunk_id ORDER BY rank) AS retrieved, list(similarity ORDER BY rank) AS sims FROM g JOIN nn USING (query_id) GROUP BY ALL), "
+    "row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, k.vec_id) AS rank FROM embeddings q JOIN embeddings k ON q.vec_id <> k.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 8), "
+    "got AS (SELECT query_id, list(chunk_id ORDER BY rank) AS retrieved, list(similarity ORDER BY rank) AS sims, list(chunk_id ORDER BY rank) FILTER (same) AS alike FROM nn GROUP BY query_id), "
+    "other AS (SELECT q.vec_id AS query_id, CAST(q.label AS BIGINT) AS category, min(k.vec_id) AS first FROM embeddings q LEFT JOIN embeddings k ON q.label = k.label AND q.vec_id <> k.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL), "
+    "cs AS (SELECT query_id, category, list_sort(list_distinct(list_filter(list_append(coalesce(alike, []::BIGINT[]), first), lambda x: x IS NOT NULL)))[1:3] AS gold, retrieved, sims FROM got JOIN other USING (query_id)), "
     "m AS (SELECT *, len(list_intersect(retrieved[1:8], gold)) AS hits, len(gold) AS gold_size, list_min(list_filter(list_transform(retrieved, lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda r: r IS NOT NULL)) AS first_rank FROM cs)"
 )
 
@@ -125,41 +125,58 @@ SELECT gate_1 AND gate_2 AND gate_3 AND gate_4 AS passed, CASE WHEN gate_1 AND g
 
 def contamination_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and benchmark pairs whose word sets share at least 80 % of the smaller, and exact copies."""
-    words = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("id"), F.array_distinct(tx.word_characters(F.col("text"))).alias("words"))
+    words = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("id"), tx.word_characters(tx.full_fold(F.col("text")), True).alias("w")).select("id", F.array_distinct("w").alias("words"), F.array_join("w", " ").alias("said"))
     found = el.overlap_pairs(words("documents", "doc_id"), words("benchmark", "item_id"))
-    return found.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.col("common").cast("long").alias("common"), F.col("smaller").cast("long").alias("smaller"))
+    return found.select("exact", F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.col("common").cast("long").alias("common"), F.col("smaller").cast("long").alias("smaller"))
 
 
 CONTAMINATION_SQL = (
-    "WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(" + c.sql_fold("text") + r", '[\p{L}\p{N}\p{M}_]+')) AS w FROM documents), "
-    "b AS (SELECT item_id, list_distinct(regexp_extract_all(" + c.sql_fold("text") + r", '[\p{L}\p{N}\p{M}_]+')) AS w FROM benchmark), "
-    "p AS (SELECT doc_id, item_id, len(list_intersect(d.w, b.w)) AS common, least(len(d.w), len(b.w)) AS smaller FROM d, b) SELECT * FROM p WHERE smaller > 0 AND common >= round(0.8 * smaller, 9)"
+    "WITH d AS (SELECT doc_id, regexp_extract_all(" + c.sql_fold("text") + r", '[\p{L}\p{N}\p{M}_]+') AS l, list_distinct(l) AS w FROM documents), "
+    "b AS (SELECT item_id, regexp_extract_all(" + c.sql_fold("text") + r", '[\p{L}\p{N}\p{M}_]+') AS l, list_distinct(l) AS w FROM benchmark), "
+    "p AS (SELECT d.l = b.l AS exact, doc_id, item_id, len(list_intersect(d.w, b.w)) AS common, least(len(d.w), len(b.w)) AS smaller FROM d, b) SELECT * FROM p WHERE smaller > 0 AND common >= round(0.8 * smaller, 9)"
 )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two runs over the cases: ranks as retrieved, and without the nearest."""
-    base = cases(spark, sf_dir)
-    measure = lambda rows: el.case_metrics(rows).select("query_id", (F.col("hits") / F.col("gold_size")).alias("recall"), F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("rr"))
+    base = cases(spark, sf_dir).filter(F.size("gold") > 0)
+    measure = lambda rows: el.case_metrics(rows).select("query_id", "hits", "gold_size", "first_rank", (F.col("hits") / F.col("gold_size")).alias("recall"), F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("rr"))
     return measure(base), measure(base.withColumn("retrieved", F.slice("retrieved", 2, 8)))
 
 
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and reciprocal rank of both runs by case with their differences."""
     rows = el.paired(*runs(spark, sf_dir), "query_id", ["recall", "rr"])
-    return rows.select("query_id", *[F.round(x, 9).alias(x) for x in rows.columns if x != "query_id"])
+    return rows.select("query_id", *[F.round(x, 9).alias(x) for x in rows.columns if x != "query_id"])  # both runs have the same cases: see `comparison_contract`
 
 
 _PAIRED = _CASES + """,
 m2 AS (SELECT query_id, len(list_intersect(retrieved[2:9], gold)) AS hits, list_min(list_filter(list_transform(retrieved[2:9], lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda r: r IS NOT NULL)) AS first_rank, len(gold) AS gold_size FROM cs),
-p AS (SELECT query_id, m.hits / m.gold_size AS recall_a, coalesce(1.0::DOUBLE / m.first_rank, 0) AS rr_a, m2.hits / m2.gold_size AS recall_b, coalesce(1.0::DOUBLE / m2.first_rank, 0) AS rr_b FROM m JOIN m2 USING (query_id))"""
+p AS (SELECT query_id, m.gold_size, m.hits AS hits_a, m2.hits AS hits_b, m.first_rank AS first_a, m2.first_rank AS first_b, m.hits / m.gold_size AS recall_a, coalesce(1.0::DOUBLE / m.first_rank, 0) AS rr_a, m2.hits / m2.gold_size AS recall_b, coalesce(1.0::DOUBLE / m2.first_rank, 0) AS rr_b FROM m JOIN m2 USING (query_id))"""
 
 
 def improvement_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claim rule on the mean differences of both runs."""
-    rows = el.paired(*runs(spark, sf_dir), "query_id", ["recall", "rr"])
-    mean = rows.agg(F.count("*").alias("n"), F.round(F.avg("recall_delta"), 9).alias("recall_delta"), F.round(F.avg("rr_delta"), 9).alias("rr_delta"), F.every(F.col("recall_a").isNotNull() & F.col("recall_b").isNotNull()).alias("complete"))
-    return mean.select("n", "recall_delta", "rr_delta", el.claim_decision([F.col("recall_delta"), F.col("rr_delta")], F.col("complete")).alias("decision"))
+    one, two = runs(spark, sf_dir)
+
+    def means(rows: DataFrame, run: str) -> DataFrame:
+        recall = el.exact_mean(rows, "hits", "gold_size", 8).select(F.col("n").alias(f"n_{run}"), F.col("numerator").alias(f"rp_{run}"), F.col("denominator").alias(f"rq_{run}"))
+        rr = rows.select(F.col("first_rank").isNotNull().cast("long").alias("p"), F.coalesce("first_rank", F.lit(1)).alias("q"))
+        return recall.crossJoin(el.exact_mean(rr, "p", "q", 8).select(F.col("numerator").alias(f"mp_{run}"), F.col("denominator").alias(f"mq_{run}")))  # one row each
+
+    both = means(one, "a").crossJoin(means(two, "b"))
+    col = lambda m, run: (F.col(f"{m}p_{run}"), F.col(f"{m}q_{run}"))
+    recall, rr = el.exact_delta(col("r", "a"), col("r", "b")), el.exact_delta(col("m", "a"), col("m", "b"))
+    rows = both.select(F.col("n_a").alias("n"), recall[0].alias("rp"), recall[1].alias("rq"), rr[0].alias("mp"), rr[1].alias("mq"), (F.col("n_a") == F.col("n_b")).alias("complete"))
+    return rows.select("n", ra.text(F.col("rp"), F.col("rq")).alias("recall_delta"), ra.text(F.col("mp"), F.col("mq")).alias("rr_delta"), el.claim_decision([F.col("rp"), F.col("mp")], F.col("complete")).alias("decision"))
+
+
+_FRACTION = "CAST({p} // greatest(gcd({p}, {q}), 1) AS VARCHAR) || '/' || CAST({q} // greatest(gcd({p}, {q}), 1) AS VARCHAR)"
+CLAIM_SQL = """, d AS (
+  SELECT count(*) AS n, 840 * count(*) AS q, CAST(sum(hits_b * (840 // gold_size)) - sum(hits_a * (840 // gold_size)) AS BIGINT) AS rp,
+    CAST(sum(CASE WHEN first_b IS NULL THEN 0 ELSE 840 // first_b END) - sum(CASE WHEN first_a IS NULL THEN 0 ELSE 840 // first_a END) AS BIGINT) AS mp FROM p)
+SELECT n, """ + _FRACTION.format(p="rp", q="q") + " AS recall_delta, " + _FRACTION.format(p="mp", q="q") + """ AS rr_delta,
+  CASE WHEN rp >= 0 AND mp >= 0 AND (rp > 0 OR mp > 0) THEN 'CLAIM' ELSE 'NO_QUALIFYING_DELTA' END AS decision FROM d"""
 
 
 def paired_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,36 +213,70 @@ SELECT source, count(quality) AS n, coalesce(bool_and(quality = 1), false) AS ev
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source"""
 
 
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings: the id gives the fixture (some unknown), the type the stage, value and user the stage's evidence."""
+    names = F.array(*[F.lit(x) for x in [*TAXONOMY, "fixture-unheard-of"]])
+    stages = F.create_map(*[F.lit(x) for x in ("view", "branch", "click", "fusion", "purchase", "evidence_selection")])
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.element_at(names, (F.col("event_id") % (len(TAXONOMY) + 1) + 1).cast("int")).alias("fixture"), F.element_at(stages, F.col("event_type")).alias("stage"), (F.col("value") < 50).alias("gold_present"), (F.col("user_id") % 2 == 0).alias("miss_confirmed"))
+
+
 def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by failure class, from a dimension of types."""
-    dim = spark.createDataFrame([("error", "PROVIDER", True), ("click", "LEASE", True), ("view", "INPUT", False)], "event_type string, class string, retryable boolean")
-    rows = table(spark, sf_dir, "events").join(dim, "event_type", "left")
-    return rows.groupBy(F.coalesce("class", F.lit("NONE")).alias("class")).agg(F.count("*").alias("n"), F.count_if("retryable").alias("retryable"), F.count_distinct("user_id").alias("jobs"))
+    """Findings by class of the closed taxonomy, and those refused: unknown fixtures and stages that do not fit."""
+    rows = el.classify_findings(findings(spark, sf_dir))
+    return rows.groupBy("class", "problem").agg(F.count("*").alias("n"), F.count_distinct("fixture").alias("fixtures"))
 
 
-TAXONOMY_SQL = "SELECT CASE event_type WHEN 'error' THEN 'PROVIDER' WHEN 'click' THEN 'LEASE' WHEN 'view' THEN 'INPUT' ELSE 'NONE' END AS class, count(*) AS n, CAST(count_if(event_type IN ('error', 'click')) AS BIGINT) AS retryable, count(DISTINCT user_id) AS jobs FROM events GROUP BY 1"
+_TAXONOMY = ", ".join(f"('{k}', '{v[0]}', " + (f"'{v[1]}'" if v[1] else "NULL") + ")" for k, v in TAXONOMY.items())
+TAXONOMY_SQL = f"""
+WITH t(fixture, class, wanted) AS (VALUES {_TAXONOMY}),
+e AS (SELECT event_id, [{", ".join(f"'{k}'" for k in TAXONOMY)}, 'fixture-unheard-of'][event_id % {len(TAXONOMY) + 1} + 1] AS fixture,
+  CASE event_type WHEN 'view' THEN 'branch' WHEN 'click' THEN 'fusion' WHEN 'purchase' THEN 'evidence_selection' END AS stage, value < 50 AS gold_present, user_id % 2 = 0 AS miss_confirmed FROM events),
+f AS (SELECT fixture, class, CASE WHEN class IS NULL THEN 'UNKNOWN_TAXONOMY_FIXTURE' WHEN stage IS DISTINCT FROM wanted THEN 'STAGE_PRECONDITION_INVALID'
+  WHEN wanted = 'branch' AND NOT coalesce(gold_present AND miss_confirmed, false) THEN 'STAGE_PRECONDITION_INVALID' END AS problem FROM e LEFT JOIN t USING (fixture))
+SELECT CASE WHEN problem IS NULL THEN class END AS class, problem, count(*) AS n, count(DISTINCT fixture) AS fixtures FROM f GROUP BY 1, 2"""
 
 
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severity counts of every job's events and the verdict; the terminal states exclude each other."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("blockers"), F.count_if(F.col("value") > 90).alias("majors"), F.count("*").alias("n"))
-    return rows.withColumn("verdict", F.when(F.col("blockers") > 0.3 * F.col("n"), "REJECT").when(F.col("majors") > 0.15 * F.col("n"), "CHANGES").otherwise("APPROVE"))
+    """Severity counts of every job's findings and the verdict: any critical one blocks, any major one asks for changes."""
+    severity = F.when((F.col("event_type") == "error") & (F.col("value") > 95), "critical").when(F.col("value") > 97, "major").otherwise("minor")
+    return el.review_verdict(table(spark, sf_dir, "events").select("user_id", severity.alias("severity")), "user_id")
 
 
-VERDICT_SQL = "SELECT user_id, CAST(count_if(event_type = 'error') AS BIGINT) AS blockers, CAST(count_if(value > 90) AS BIGINT) AS majors, count(*) AS n, CASE WHEN count_if(event_type = 'error') > 0.3 * count(*) THEN 'REJECT' WHEN count_if(value > 90) > 0.15 * count(*) THEN 'CHANGES' ELSE 'APPROVE' END AS verdict FROM events GROUP BY user_id"
+VERDICT_SQL = """
+WITH f AS (SELECT user_id, CASE WHEN event_type = 'error' AND value > 95 THEN 'critical' WHEN value > 97 THEN 'major' ELSE 'minor' END AS severity FROM events)
+SELECT user_id, CAST(count_if(severity = 'critical') AS BIGINT) AS criticals, CAST(count_if(severity = 'major') AS BIGINT) AS majors,
+  CASE WHEN count_if(severity = 'critical') > 0 THEN 'BLOCK' WHEN count_if(severity = 'major') > 0 THEN 'REQUEST_CHANGES' ELSE 'APPROVE' END AS verdict FROM f GROUP BY user_id"""
 
 
 def trace_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations over the traces of all hybrid questions by rule: fused scores, budgets, cardinality (none)."""
-    rows = fused(spark, sf_dir, False)
+    """Breaches by rule over the traces of all hybrid questions, some of which are damaged: scores, budgets, repeated decisions, the histogram."""
+    rows = fused(spark, sf_dir, "retrieval-m3-rrf-v1")
+    rows = rows.withColumn("fusion_score", F.col("fusion_score") + F.when(F.col("chunk_id") % 7 == 0, 1e-6).otherwise(0.0)).withColumn("similarity", F.when(F.col("chunk_id") % 11 != 0, F.col("similarity")))
+    rows = rows.withColumn("fused_rank", F.col("fused_rank") + (F.col("query_id") % 5 == 0).cast("int"))
     chosen = aq.decisions(spark, sf_dir)
+    damaged = chosen.withColumn("token_total", F.col("token_total") + (F.col("chunk_id") % 9 == 0).cast("int"))
+    key = F.concat_ws("/", "query_id", "chunk_id")
+    buckets = op.histogram(op.attempt_latencies(attempts(spark, sf_dir)), "latency_us")
     found = va.together(
-        va.violations(rows, F.concat_ws("/", "query_id", "chunk_id"), va.fused_rules()),
-        ev.reconcile_budget(chosen, aq.MAX_CHUNKS, aq.MAX_TOKENS).select(F.concat_ws("/", "query_id", "chunk_id").alias("subject"), F.lit("budget").alias("rule")),
-        va.not_once(chosen.select(F.concat_ws("/", "query_id", "chunk_id").alias("k")), "k", "decided once"),
-        va.histogram_rules(op.histogram(op.attempt_latencies(attempts(spark, sf_dir)), "latency_us")),
+        va.violations(rows, key, va.fused_rules()),
+        va.out_of_order(rows, "query_id", "fused_rank", "ranks without gaps"),
+        ev.reconcile_budget(damaged, aq.MAX_CHUNKS, aq.MAX_TOKENS).select(key.alias("subject"), F.lit("budget").alias("rule")),
+        va.not_once(chosen.union(chosen.filter("chunk_id % 10 = 0")).select(key.alias("k")), "k", "decided once"),
+        va.histogram_rules(buckets.withColumn("count", F.when(F.col("bound") == 1.0, -1).otherwise(F.col("count")))),
     )
-    return found.agg(F.count("*").alias("violations"))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+TRACE_SQL = aq.EVIDENCE_SQL.rpartition("SELECT query_id, chunk_id, n AS final_rank")[0] + """
+SELECT * FROM (
+  SELECT 'score' AS rule, count(*) AS n FROM fused WHERE chunk_id % 7 = 0
+  UNION ALL SELECT 'similarity with rank', count(*) FROM fused WHERE chunk_id % 11 = 0 AND vector_rank IS NOT NULL
+  UNION ALL SELECT 'ranks without gaps', count(DISTINCT query_id) FROM fused WHERE query_id % 5 = 0
+  UNION ALL SELECT 'budget', count(*) FROM fold WHERE n > 0 AND chunk_id % 9 = 0
+  UNION ALL SELECT 'decided once', count(*) FROM fold WHERE n > 0 AND chunk_id % 10 = 0
+  UNION ALL SELECT 'cumulative', 1
+) WHERE n > 0"""
 
 
 def reference_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,13 +373,13 @@ ORACLE_SQL = {
     "calibrated_threshold": CALIBRATION_SQL,
     "contamination_audit": CONTAMINATION_SQL,
     "paired_comparison": "WITH " + _PAIRED + " SELECT query_id, round(recall_a, 9) AS recall_a, round(rr_a, 9) AS rr_a, round(recall_b, 9) AS recall_b, round(rr_b, 9) AS rr_b, round(recall_b - recall_a, 9) AS recall_delta, round(rr_b - rr_a, 9) AS rr_delta FROM p",
-    "improvement_claim": "WITH " + _PAIRED + ", d AS (SELECT count(*) AS n, round(avg(recall_b - recall_a), 9) AS recall_delta, round(avg(rr_b - rr_a), 9) AS rr_delta FROM p) SELECT *, CASE WHEN recall_delta >= 0 AND rr_delta >= 0 AND (recall_delta > 0 OR rr_delta > 0) THEN 'CLAIM' ELSE 'NO_IMPROVEMENT' END AS decision FROM d",
+    "improvement_claim": "WITH " + _PAIRED + CLAIM_SQL,
     "paired_latency": LATENCY_SQL,
-    "usage_cost": "SELECT event_type, 'k' AS name, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, CAST(CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS DECIMAL(20,0)) * 0.15 / 1000000 AS DOUBLE) AS cost_usd FROM events GROUP BY event_type",
+    "usage_cost": "WITH u AS (SELECT event_type, props, unnest(json_keys(props)) AS name FROM events), v AS (SELECT event_type, name, CAST(json_extract_string(props, '$.\"' || name || '\"') AS BIGINT) AS n FROM u) SELECT event_type, name, CAST(sum(n) AS BIGINT) AS total, CAST(CAST(sum(n) AS DECIMAL(20,0)) * 0.15 / 1000000 AS DOUBLE) AS cost_usd FROM v GROUP BY event_type, name",
     "guardrails": GUARDRAIL_SQL,
     "failure_taxonomy": TAXONOMY_SQL,
     "verdict": VERDICT_SQL,
-    "trace_validation": "SELECT CAST(0 AS BIGINT) AS violations",
+    "trace_validation": TRACE_SQL,
     "reference_closure": CLOSURE_SQL,
     "dataset_contract": CONTRACT_SQL,
     "semantic_report": SEMANTIC_SQL,

@@ -61,14 +61,26 @@ def now_of(spark: SparkSession, sf_dir: str) -> Column:
 
 
 def ops_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metric snapshot at the last event."""
-    return op.snapshot(jobs(spark, sf_dir), attempts(spark, sf_dir), now_of(spark, sf_dir), WINDOW_S).withColumn("oldest_job_age_s", F.round("oldest_job_age_s", 6)).withColumn("retry_rate", F.round("retry_rate", 9))
+    """The metric snapshot at the last event, orders read as cleanups and parts as lifecycle work."""
+    cleanups = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("closed_at"), F.when(F.col("o_orderkey") % 3 == 0, "failed").otherwise("succeeded").alias("disposition"))
+    k = F.col("p_partkey")
+    work = table(spark, sf_dir, "part").select(
+        F.when(k % 3 == 0, "orphan").when(k % 3 == 1, "orphan_report").otherwise("chunk").alias("artifact_class"),
+        F.when(k % 4 == 0, "queued").otherwise("succeeded").alias("state"),
+        F.when(k % 5 > 0, k).alias("discovered_at"),
+        F.when(k % 7 < 2, "repaired").when(k % 7 < 4, "deleted").when(k % 7 < 5, "reported").alias("disposition"),
+    )
+    done = op.snapshot(jobs(spark, sf_dir), attempts(spark, sf_dir), now_of(spark, sf_dir), WINDOW_S, cleanups, work)
+    return done.withColumn("oldest_job_age_s", F.round("oldest_job_age_s", 6)).withColumn("retry_rate", F.round("retry_rate", 9))
 
 
 SNAPSHOT_SQL = "WITH " + _JOBS + """,
 q AS (SELECT count(*) AS queue_depth, round(coalesce(greatest(0, date_diff('microsecond', min(created_at), any_value(now)) / 1e6), 0), 6) AS oldest_job_age_s FROM due),
-c AS (SELECT count_if(closed_at BETWEEN now - INTERVAL 86400 SECONDS AND now)::BIGINT AS closures, count_if(closed_at BETWEEN now - INTERVAL 86400 SECONDS AND now AND closure = 'schedule_retry')::BIGINT AS retries, count_if(closure = 'lease_expired')::BIGINT AS recoveries FROM a, now)
-SELECT *, round(retries / nullif(closures, 0), 9) AS retry_rate FROM q, c"""
+c AS (SELECT count_if(closed_at BETWEEN now - INTERVAL 86400 SECONDS AND now)::BIGINT AS closures, count_if(closed_at BETWEEN now - INTERVAL 86400 SECONDS AND now AND closure = 'schedule_retry')::BIGINT AS retries, count_if(closure = 'lease_expired')::BIGINT AS recoveries FROM a, now),
+k AS (SELECT count(*) AS cleanup_attempts, count_if(o_orderstatus = 'F' AND o_orderkey % 3 = 0)::BIGINT AS cleanup_failures FROM orders),
+w AS (SELECT count_if(p_partkey % 3 = 0 AND p_partkey % 5 > 0)::BIGINT AS orphan_discoveries,
+  count_if(p_partkey % 4 <> 0 AND ((p_partkey % 3 = 0 AND p_partkey % 7 < 4) OR (p_partkey % 3 = 1 AND p_partkey % 7 < 2)))::BIGINT AS orphan_reconciliations FROM part)
+SELECT *, round(retries / nullif(closures, 0), 9) AS retry_rate FROM q, c, k, w"""
 
 
 def claim_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,28 +224,53 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
 
 
 def version_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next version number of every customer, with the earliest and latest order."""
+    """The next number of every customer (one above its highest order key, 1 without any), with the earliest and latest order."""
     o = table(spark, sf_dir, "orders")
     order = F.struct("o_orderdate", "o_orderkey")
-    return o.groupBy("o_custkey").agg((F.coalesce(F.count("o_orderkey"), F.lit(0)) + 1).alias("next_version"), F.min_by("o_orderkey", order).alias("earliest"), F.max_by("o_orderkey", order).alias("latest"))
+    held = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("highest"), F.min_by("o_orderkey", order).alias("earliest"), F.max_by("o_orderkey", order).alias("latest"))
+    rows = table(spark, sf_dir, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", (F.coalesce("highest", F.lit(0)) + 1).cast("long").alias("next_version"), "earliest", "latest")
 
 
-VERSION_SQL = "SELECT o_custkey, count(*) + 1 AS next_version, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS earliest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey"
+VERSION_SQL = """
+WITH h AS (SELECT o_custkey, max(o_orderkey) AS highest, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS earliest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey)
+SELECT c_custkey, CAST(coalesce(highest, 0) + 1 AS BIGINT) AS next_version, earliest, latest FROM customer LEFT JOIN h ON o_custkey = c_custkey"""
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.lit("w").alias("workspace_id"), F.col("doc_id").alias("object_key"))
 
 
+BASE_S, SPAN_S = 1_700_000_000, 200_000
+
+
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60)
+    """Documents as stored objects, made at times spread over the span whatever their number."""
+    at = F.timestamp_seconds(F.lit(BASE_S) + F.pmod(F.col("doc_id") * 7919, F.lit(SPAN_S)))
     return table(spark, sf_dir, "documents").select(F.lit("w").alias("workspace_id"), F.col("doc_id").alias("object_key"), at.alias("created_at"), "n_chars")
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that no label refers to, older than a day at a fixed now."""
-    now = F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 + 30_000))
-    return li.orphans(_objects(spark, sf_dir), now, 86_400, _references(spark, sf_dir)).select("object_key", li.orphan_disposition(F.lit("reported"), F.lit(False), F.col("n_chars") < 500).alias("disposition"))
+    """Documents that no label refers to, older than a day at the end of the span, and what a correction of them comes to."""
+    now = F.timestamp_seconds(F.lit(BASE_S + SPAN_S))
+    rows = li.orphans(_objects(spark, sf_dir), now, 86_400, _references(spark, sf_dir))
+    k = F.col("object_key")
+    kind = F.when(k % 4 == 0, "orphan_report").when(k % 29 == 0, "failed_upload_diagnostic").otherwise("orphan")
+    state = F.when(k % 5 == 0, "queued").otherwise("succeeded")
+    before = F.when(k % 3 == 0, "reported").when(k % 7 == 0, "repaired")
+    wanted = F.when(k % 13 == 0, "dropped").when(F.col("n_chars") < 500, "deleted").otherwise("repaired")
+    return rows.select("object_key", li.orphan_disposition(kind, state, before, wanted).alias("disposition"))
+
+
+ORPHANS_SQL = f"""
+WITH o AS (SELECT doc_id AS k, CASE WHEN doc_id % 4 = 0 THEN 'orphan_report' WHEN doc_id % 29 = 0 THEN 'failed_upload_diagnostic' ELSE 'orphan' END AS kind,
+    CASE WHEN doc_id % 5 = 0 THEN 'queued' ELSE 'succeeded' END AS state, CASE WHEN doc_id % 3 = 0 THEN 'reported' WHEN doc_id % 7 = 0 THEN 'repaired' END AS before,
+    CASE WHEN doc_id % 13 = 0 THEN 'dropped' WHEN n_chars < 500 THEN 'deleted' ELSE 'repaired' END AS wanted
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND {SPAN_S} - doc_id * 7919 % {SPAN_S} >= 86400)
+SELECT k AS object_key, CASE WHEN wanted = 'dropped' THEN 'UNSUPPORTED' WHEN kind = 'failed_upload_diagnostic' THEN 'NOT_ORPHAN_WORK'
+  WHEN kind = 'orphan_report' AND wanted = 'deleted' THEN 'RECORD_CANNOT_BE_DELETED' WHEN before = wanted THEN 'replayed'
+  WHEN before IS NOT NULL AND NOT (kind = 'orphan_report' AND before = 'reported' AND wanted = 'repaired') THEN 'ALREADY_BOUND'
+  WHEN state = 'queued' THEN 'NOT_COMPLETE' ELSE 'applied' END AS disposition FROM o"""
 
 
 def inconsistent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +340,7 @@ ORACLE_SQL = {
     "expired_recovery": EXPIRED_SQL,
     "job_status_projection": STATUS_SQL,
     "version_allocation": VERSION_SQL,
-    "orphans": "SELECT doc_id AS object_key, CASE WHEN n_chars < 500 THEN 'reconciled' ELSE 'reported' END AS disposition FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id * 60 <= 30000",
+    "orphans": ORPHANS_SQL,
     "inconsistent_records": "SELECT doc_id AS object_key FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars >= 300)",
     "retained_objects": "SELECT doc_id AS object_key, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) OR doc_id IN (SELECT vec_id FROM embeddings)",
     "lifecycle_states": LIFECYCLE_SQL,

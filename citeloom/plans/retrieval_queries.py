@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import PRESETS
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import retrieval as rt
@@ -42,8 +45,8 @@ def vector_norm_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexeme_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search lexemes and omitted tokens of every benchmark text."""
-    q = c.questions(spark, sf_dir)
-    return q.select("query_id", F.array_join(F.array_sort(tx.lexemes(F.col("question"))), " ").alias("lexemes"), F.array_join(F.array_sort(tx.omitted(F.col("question"))), " ").alias("omitted"))
+    q = c.questions(spark, sf_dir).withColumn("folded", tx.full_fold(F.col("question")))
+    return q.select("query_id", F.array_join(F.array_sort(tx.lexemes(F.col("folded"), True)), " ").alias("lexemes"), F.array_join(F.array_sort(tx.omitted(F.col("folded"), True)), " ").alias("omitted"))
 
 
 def tsvector_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,22 +94,28 @@ COVER_SQL = (
 )
 
 
-def branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(vector, below, full text, all matches) of the hybrid queries."""
+def branches(spark: SparkSession, sf_dir: str, preset_id: str = "retrieval-m3-rrf-v1") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(vector, below, full text, all matches) of the hybrid queries, as the preset `preset` names them.
+
+    Vector ties go by source key, ordinal and chunk (one document a key here); full-text ties by chunk under fts-v1 and by
+    source key, ordinal and chunk under fts-m3-or-v2. A preset of strategy vector has an empty full-text branch.
+    """
+    preset = PRESETS[preset_id]
     q, chunks = c.hybrid_queries(spark, sf_dir), c.hybrid_chunks(spark, sf_dir)
-    vector = rt.vector_branch(q, chunks, c.K, c.MIN_SIMILARITY, HOME)
-    below = rt.vector_below(q, chunks, c.K, c.MIN_SIMILARITY, HOME)
+    sides = rt.vector_sides(q, chunks, preset.vector_k, c.MIN_SIMILARITY, HOME, ["source_key", "ordinal", "chunk_id"])
+    vector, below = sides.filter("eligible").drop("eligible"), sides.filter("NOT eligible").drop("eligible")
     keys = chunks.select("chunk_id", "source_key", "ordinal")
     matches = rt.fts_matches(q, chunks, False, HOME).join(keys, "chunk_id")
-    return vector, below, rt.top_k(matches, [F.desc("native_rank"), F.asc("chunk_id")], c.K), matches
+    if preset.strategy == "vector":
+        matches = matches.filter("false")
+    ties = ["source_key", "ordinal", "chunk_id"] if preset.lexical_policy == "fts-m3-or-v2" else ["chunk_id"]
+    return vector, below, rt.top_k(matches, [F.desc("native_rank"), *[F.asc(t) for t in ties]], preset.fts_k), matches
 
 
-def fused(spark: SparkSession, sf_dir: str, v2: bool) -> DataFrame:
-    vector, _, fts, _ = branches(spark, sf_dir)
-    ties = ["source_key", "ordinal"]
-    if v2:
-        return rt.fuse(vector, fts, ties)
-    return rt.fuse(vector, fts)
+def fused(spark: SparkSession, sf_dir: str, preset_id: str) -> DataFrame:
+    """The candidates of a hybrid preset, ranked by its fusion policy."""
+    vector, _, fts, _ = branches(spark, sf_dir, preset_id)
+    return rt.fuse(vector, fts, ["source_key", "ordinal"] if PRESETS[preset_id].fusion_policy == "rrf-v2" else None)
 
 
 def _fused_columns(rows: DataFrame) -> DataFrame:
@@ -115,12 +124,24 @@ def _fused_columns(rows: DataFrame) -> DataFrame:
 
 def rrf_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal-rank fusion, ties by chunk."""
-    return _fused_columns(fused(spark, sf_dir, False))
+    return _fused_columns(fused(spark, sf_dir, "retrieval-m3-rrf-v1"))
 
 
 def rrf_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal-rank fusion, ties by source key, ordinal and chunk."""
-    return _fused_columns(fused(spark, sf_dir, True))
+    return _fused_columns(fused(spark, sf_dir, "retrieval-m3-rrf-v2"))
+
+
+def preset_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every preset: vector presets keep a fusion score of 0, hybrid ones fuse."""
+    rows = []
+    for preset in PRESETS.values():
+        if preset.strategy == "hybrid":
+            found = fused(spark, sf_dir, preset.id).select("query_id", "chunk_id", "fused_rank", "fusion_score")
+        else:
+            found = branches(spark, sf_dir, preset.id)[0].select("query_id", "chunk_id", F.col("branch_rank").alias("fused_rank"), F.lit(0.0).alias("fusion_score"))
+        rows.append(found.select(F.lit(preset.id).alias("preset"), "query_id", "chunk_id", F.col("fused_rank").cast("long").alias("rank"), "fusion_score"))
+    return reduce(DataFrame.union, rows)
 
 
 RRF_SQL = "WITH " + c.SQL_FUSED + " SELECT query_id, chunk_id, vector_rank, fts_rank, fused_rank, fusion_score FROM fused"
@@ -132,8 +153,15 @@ def branch_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("branch_rank", F.col("branch_rank").cast("long"))
 
 
+_RANKED = "SELECT '{p}' AS preset, query_id, chunk_id, fused_rank AS rank, fusion_score FROM ({q})"
+_NEAREST = "WITH " + c.SQL_HYBRID + " SELECT query_id, chunk_id, vector_rank AS fused_rank, 0.0::DOUBLE AS fusion_score FROM vec"
+PRESETS_SQL = " UNION ALL ".join(
+    _RANKED.format(p=p.id, q=_NEAREST.replace("{ties}", "") if p.strategy == "vector" else c.tied(RRF_SQL, "source_key, ordinal, " if p.fusion_policy == "rrf-v2" else ""))
+    for p in PRESETS.values()
+)
+
 OBSERVATIONS_SQL = (
-    "WITH " + c.SQL_HYBRID + """
+    "WITH " + c.SQL_HYBRID.replace("{ties}", "") + """
 SELECT query_id, chunk_id, 'vector' AS branch, 'ELIGIBLE' AS status, vector_rank AS branch_rank FROM vec
 UNION ALL SELECT query_id, chunk_id, 'vector', 'BELOW_THRESHOLD', NULL FROM below
 UNION ALL SELECT query_id, chunk_id, 'vector', 'NO_CONTRIBUTION', NULL FROM fts f
@@ -153,7 +181,7 @@ def fts_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "chunk_id", F.coalesce("m", F.lit(False)).alias("eligible"))
 
 
-ELIGIBLE_SQL = "WITH " + c.SQL_HYBRID + " SELECT v.query_id, v.chunk_id, m.chunk_id IS NOT NULL AS eligible FROM vec v LEFT JOIN matches m ON m.query_id = v.query_id AND m.chunk_id = v.chunk_id"
+ELIGIBLE_SQL = "WITH " + c.SQL_HYBRID.replace("{ties}", "") + " SELECT v.query_id, v.chunk_id, m.chunk_id IS NOT NULL AS eligible FROM vec v LEFT JOIN matches m ON m.query_id = v.query_id AND m.chunk_id = v.chunk_id"
 
 
 def workspace_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +193,7 @@ def workspace_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("home") != F.col("found_in")).alias("leaks"))
 
 
-ISOLATION_SQL = "WITH " + c.SQL_HYBRID + " SELECT query_id, count(*) AS candidates, CAST(0 AS BIGINT) AS leaks FROM (SELECT query_id, chunk_id FROM vec UNION ALL SELECT query_id, chunk_id FROM fts) GROUP BY query_id"
+ISOLATION_SQL = "WITH " + c.SQL_HYBRID.replace("{ties}", "") + " SELECT query_id, count(*) AS candidates, CAST(count_if(k.source <> q.source) AS BIGINT) AS leaks FROM (SELECT query_id, chunk_id FROM vec UNION ALL SELECT query_id, chunk_id FROM fts) JOIN documents q ON q.doc_id = query_id JOIN documents k ON k.doc_id = chunk_id GROUP BY query_id"
 
 
 def active_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +224,7 @@ KEYWORD_SQL = (
     "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS branch_rank FROM m QUALIFY branch_rank <= 3"
 )
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_below_threshold, vector_norm_audit, lexeme_normalize, tsvector_tokens, fts_or_topk, fts_and_topk, rrf_v1, rrf_v2, branch_observations, fts_eligibility, workspace_isolation, active_provenance, v2_gate, keyword_search)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_below_threshold, vector_norm_audit, lexeme_normalize, tsvector_tokens, fts_or_topk, fts_and_topk, rrf_v1, rrf_v2, preset_strategies, branch_observations, fts_eligibility, workspace_isolation, active_provenance, v2_gate, keyword_search)}
 
 ORACLE_SQL = {
     "vector_topk": VECTOR_SQL.replace("{op}", ">="),
@@ -206,8 +234,9 @@ ORACLE_SQL = {
     "tsvector_tokens": "SELECT doc_id, len(" + c.sql_tokens("text") + ") AS n_tokens, len(list_distinct(" + c.sql_tokens("text") + ")) AS n_distinct FROM documents",
     "fts_or_topk": FTS_SQL,
     "fts_and_topk": COVER_SQL,
-    "rrf_v1": RRF_SQL.replace("{ties}", ""),
-    "rrf_v2": RRF_SQL.replace("{ties}", "source_key, ordinal, "),
+    "rrf_v1": c.tied(RRF_SQL, ""),
+    "rrf_v2": c.tied(RRF_SQL, "source_key, ordinal, "),
+    "preset_strategies": PRESETS_SQL,
     "branch_observations": OBSERVATIONS_SQL,
     "fts_eligibility": ELIGIBLE_SQL,
     "workspace_isolation": ISOLATION_SQL,

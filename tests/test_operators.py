@@ -175,4 +175,4 @@ def test_contracts_report_each_breach(spark):
 def test_claim_rule(spark):
     rows = spark.createDataFrame([(0.1, 0.0, True), (0.1, -0.1, True), (0.0, 0.0, True), (1.0, 1.0, False)], "a double, b double, ok boolean")
     said = [r[0] for r in rows.select(el.claim_decision([F.col("a"), F.col("b")], F.col("ok"))).collect()]
-    assert said == ["CLAIM", "NO_IMPROVEMENT", "NO_IMPROVEMENT", "GUARDRAIL_FAILURE"]
+    assert said == ["CLAIM", "NO_QUALIFYING_DELTA", "NO_QUALIFYING_DELTA", "GUARDRAIL_FAILURE"]
