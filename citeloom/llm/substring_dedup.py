@@ -8,7 +8,7 @@ The work is cut down to what repeats, exactly:
    anchors found at one place only (copies of a text count once) rule all their windows out. An anchor that
    one batch of texts holds often is salted by text there: its rows survive for certain, and one marker row
    tells the anchor's other rows, so no task gets all places of a common phrase. `heavy_in_batch` rows
-   of the 10,000 texts of a batch are 0.3 % of them, so an anchor that stays whole is in fewer texts than that.
+   of the 10,000 texts of a batch are 0.6 % of them, so an anchor that stays whole is in fewer texts than that.
 2. Texts meet the surviving anchors. Later copies of a whole text are settled here; documents without a
    surviving anchor too; the others are written out.
 3. The windows of one anchor at one place form a passage of at most 34 words. Equal passages are combined
@@ -257,9 +257,9 @@ def _finish(cols: list[list]) -> list:
     for doc_id, text, spans in zip(*cols, strict=True):
         words = text.split()
         gone = np.zeros(len(words) + 1, np.int64)
-        for x in spans or ():
-            gone[x["from"]] += 1
-            gone[x["to"]] -= 1
+        packed = np.array(spans or (), np.int64)
+        np.add.at(gone, packed >> 16, 1)
+        np.add.at(gone, (packed >> 16) + (packed & 0xFFFF), -1)
         keep = np.cumsum(gone)[:-1] == 0
         kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
         for to, x in zip(out, (doc_id, len(words), len(words) - len(kept), _digest(kept)), strict=True):
@@ -268,7 +268,10 @@ def _finish(cols: list[list]) -> list:
 
 
 def _late_spans(cols: list[list]) -> list:
-    """(doc, text hash, from, to) of the words under windows that start earlier elsewhere, merged within a passage."""
+    """(doc, text hash, span) of the words under windows that start earlier elsewhere, merged within a passage.
+
+    A span is its first word times 65,536 plus its number of words, so that a document's spans are an array of longs.
+    """
     rows: list[tuple] = []
     for doc, th, start, firsts in zip(*cols, strict=True):
         late_from = -1
@@ -277,14 +280,14 @@ def _late_spans(cols: list[list]) -> list:
             if first < doc or (first == doc and firsts[k + 2] < start):
                 late_from = firsts[k] if late_from < 0 else late_from
             elif late_from >= 0:
-                rows.append((doc, th, start + late_from, start + firsts[k] - 1 + WINDOW))
+                rows.append((doc, th, start + late_from << 16 | firsts[k] - 1 + WINDOW - late_from))
                 late_from = -1
         if late_from >= 0:
-            rows.append((doc, th, start + late_from, start + firsts[0] - 1 + WINDOW))
-    return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
+            rows.append((doc, th, start + late_from << 16 | firsts[0] - 1 + WINDOW - late_from))
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
 
 
-def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows: int = 20_000, heavy_in_batch: int = 32) -> DataFrame:
+def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows: int = 20_000, heavy_in_batch: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row per document.
 
     Earlier: a smaller doc_id, or the same document and an earlier start; a null doc_id comes last. Rows that
@@ -320,9 +323,9 @@ def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows
     dealt = dealt.groupBy("s", "shard", "passage").agg(F.min(F.struct("doc", "start")).alias("f")).select("s", "shard", "passage", "f.doc", "f.start")
     located = dealt.groupBy("s").applyInPandas(locate, "shard long, key binary, firsts array<long>")
     placed = explode_text(open_docs, of, [("shard", L), ("key", B), ("doc", L), ("th", L), ("start", L)], _place_rows)
-    spans = explode_text(placed.join(located, ["shard", "key"]), ["doc", "th", "start", "firsts"], [("doc", L), ("th", L), ("from", L), ("to", L)], _late_spans)
+    spans = explode_text(placed.join(located, ["shard", "key"]), ["doc", "th", "start", "firsts"], [("doc", L), ("th", L), ("span", L)], _late_spans)
     # rows that share a doc_id are told apart by their text
-    spans = spans.groupBy(F.col("doc").alias("k"), F.col("th").alias("kt")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = spans.groupBy(F.col("doc").alias("k"), F.col("th").alias("kt")).agg(F.collect_list("span").alias("spans"))
     late = open_docs.select("doc_id", "th", "t", order).join(spans, (F.col("doc") == F.col("k")) & (F.col("th") == F.col("kt")), "left")
     done = explode_text(late, ["doc_id", "t", "spans"], [("doc_id", L), ("n_words", L), ("n_removed", L), ("kept_sha256", T.StringType())], _finish)
     return done.unionByName(settled.filter("packed IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256"))
