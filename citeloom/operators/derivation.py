@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.canonical import canonical_object
+
 
 def deterministic_vector(text: str, dimensions: int) -> np.ndarray:
     """Unit vector from the SHAKE-256 stream of the text, 16 bits a component."""
@@ -108,3 +110,70 @@ def cutover(members: DataFrame) -> DataFrame:
     counts = gaps.agg(F.count_if(F.col("gap") == "PENDING").alias("n_pending"), F.count_if(F.col("gap") != "PENDING").alias("n_violations"))
     total = members.agg(F.count("*").alias("n_members")).crossJoin(counts)
     return total.select(((F.col("n_members") > 0) & (F.col("n_pending") == 0) & (F.col("n_violations") == 0)).alias("allowed"), "n_members", "n_pending", "n_violations")
+
+
+def derivation_identity(**configuration: Column) -> Column:
+    """The identity of a derivation: SHA-256 over the canonical JSON of its configuration."""
+    return F.sha2(canonical_object(**configuration), 256)
+
+
+def derivation_breaches(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, rule: pages (doc_id, page_number, text, checksum) and chunks (doc_id, ordinal, page_number, start, end, content, checksum, token_count) that do not bear each other out."""
+    page_rules = {"page number": F.col("page_number") >= 1, "page checksum": F.col("checksum") == F.sha2("text", 256)}
+    twice = pages.groupBy("doc_id", "page_number").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit("page once").alias("rule"))
+    rows = chunks.join(pages.select("doc_id", "page_number", "text"), ["doc_id", "page_number"], "left")
+    chunk_rules = {
+        "page": F.col("text").isNotNull(),
+        "offsets": (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text")),
+        "content": F.col("content") == F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")),
+        "checksum": F.col("checksum") == F.sha2("content", 256),
+        "tokens": F.col("token_count") > 0,
+    }
+    gaps = chunks.groupBy("doc_id").agg((F.min("ordinal") == 0).alias("a"), (F.max("ordinal") == F.count("*") - 1).alias("b"), (F.count_distinct("ordinal") == F.count("*")).alias("c"))
+    said = lambda rules: F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))).alias("rule")
+    return pages.select("doc_id", said(page_rules)).union(twice).union(rows.select("doc_id", said(chunk_rules))).union(gaps.filter("NOT (a AND b AND c)").select("doc_id", F.lit("ordinals")))
+
+
+def active_corpus(documents: DataFrame, versions: DataFrame, chunk_sets: DataFrame, chunks: DataFrame, embedding_sets: DataFrame, embeddings: DataFrame, configuration: str) -> DataFrame:
+    """The chunks that can be searched: those of documents whose active, completed embedding set has this configuration.
+
+    documents (document_id, workspace_id, source_key, version_id, embedding_set_id) to versions (version_id, document_id), chunk
+    sets (chunk_set_id, version_id), embedding sets (embedding_set_id, chunk_set_id, configuration_id, status), chunks
+    (chunk_id, chunk_set_id, ordinal, content) and embeddings (chunk_id, embedding_set_id, vector): five equi-joins on keys; the
+    filters are below the joins.
+    """
+    ready = embedding_sets.filter((F.col("configuration_id") == configuration) & (F.col("status") == "completed")).select("embedding_set_id", "chunk_set_id")
+    rows = documents.join(ready, "embedding_set_id").join(chunk_sets, "chunk_set_id").join(versions, ["version_id", "document_id"])
+    return rows.join(chunks, "chunk_set_id").join(embeddings, ["chunk_id", "embedding_set_id"])
+
+
+def unresolved_candidates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Trace candidates (query_id, workspace_id, chunk_id) that the active corpus of their workspace does not hold."""
+    return candidates.join(corpus.select("workspace_id", "chunk_id"), ["workspace_id", "chunk_id"], "left_anti")
+
+
+def reembedding_plan(members: DataFrame, existing: DataFrame) -> DataFrame:
+    """by workspace: members, those still to embed, and whether activation and the gate may follow (all of them embedded, none repeated).
+
+    `members`: workspace_id, source_key, chunk_set_id; `existing`: chunk_set_id of sets embedded under the new configuration.
+    Vectors are written first (`missing` gives what to write), pointers move after all exist, the gate opens last.
+    """
+    rows = members.join(existing.select("chunk_set_id").distinct().withColumn("__has", F.lit(True)), "chunk_set_id", "left")
+    counts = rows.groupBy("workspace_id").agg(F.count("*").alias("n_members"), F.count_if(F.col("__has").isNull()).alias("to_embed"), F.count_distinct("source_key").alias("keys"))
+    return counts.select("workspace_id", "n_members", "to_embed", ((F.col("to_embed") == 0) & (F.col("keys") == F.col("n_members"))).alias("may_activate"))
+
+
+def pair_digest(pairs: DataFrame) -> DataFrame:
+    """One row: n_pairs and the digest over the pairs' digests in order; `pairs`: left_id, right_id, exact, overlap. Streamed through one task, as population digests are."""
+    said = canonical_object(calibration_item_id=F.col("left_id"), development_item_id=F.col("right_id"), exact_normalized_copy=F.col("exact"), normalized_token_overlap=F.format_string("%.12f", "overlap"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, h = 0, hashlib.sha256()
+        for f in frames:
+            for d in f["d"]:
+                h.update(("\n" if n else "").encode() + d.encode())
+                n += 1
+        yield pd.DataFrame({"n_pairs": [n], "digest": [h.hexdigest()]})
+
+    rows = pairs.select("left_id", "right_id", F.sha2(said, 256).alias("d")).repartition(1).sortWithinPartitions("left_id", "right_id")
+    return rows.mapInPandas(run, "n_pairs long, digest string")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operations import due, micros, retry_decision
+from ..config import DIAGNOSTIC_HOURS, MAX_ATTEMPTS
+from .operations import TERMINAL, due, micros, retry_decision
 
 
 def claim(jobs: DataFrame, now: Column, lease_seconds: int, by: str = "workspace_id") -> DataFrame:
@@ -122,3 +123,93 @@ def fold_work(events: DataFrame) -> DataFrame:
     rows = events.groupBy("work_id").agg(F.count_if(F.col("kind") == "failed").alias("failures"), F.max_by("kind", "seq").alias("last"), F.count("*").alias("n_events"))
     state = F.when(F.col("last") == "done", "completed").when(F.col("last") == "suppressed", "suppressed").when(F.col("failures") >= 4, "exhausted").when(F.col("last") == "claimed", "processing").otherwise("pending")
     return rows.select("work_id", "failures", "n_events", state.alias("state"))
+
+
+def lifecycle_order() -> list[Column]:
+    """First in, first out."""
+    return [F.asc("created_at"), F.asc("work_id")]
+
+
+def lifecycle_due(now: Column) -> Column:
+    """Work that can be claimed: queued or due for a retry, with attempts left, and past its retention where it has one."""
+    ready = (F.col("state") == "queued") | ((F.col("state") == "retry_scheduled") & (F.col("next_attempt_at") <= now))
+    return F.coalesce(ready, F.lit(False)) & (F.col("attempt_count") < F.col("max_attempts")) & (F.col("eligible_at").isNull() | (F.col("eligible_at") <= now))
+
+
+def work_pass(work: DataFrame, objects: DataFrame, blocked: DataFrame, now: Column) -> DataFrame:
+    """`work` (work_id, workspace_id, object_key, state, attempt_count, max_attempts, created_at, next_attempt_at, eligible_at) with the outcome of one pass over all of it.
+
+    not_eligible: not due; suppressed: something refers to the object (`blocked`); succeeded: the object is gone already;
+    deleted: it is there and goes now. Objects and references are looked up by key, whatever their number.
+    """
+    key = ["workspace_id", "object_key"]
+    mark = lambda x, name: x.select(*key).distinct().withColumn(name, F.lit(True))
+    rows = work.join(mark(objects, "__there"), key, "left").join(mark(blocked, "__kept"), key, "left")
+    outcome = F.when(~lifecycle_due(now), "not_eligible").when(F.col("__kept"), "suppressed").when(F.col("__there"), "deleted").otherwise("succeeded")
+    return rows.withColumn("outcome", outcome).drop("__there", "__kept")
+
+
+def enqueue(work: DataFrame, items: DataFrame) -> DataFrame:
+    """What `items` adds to `work`: one row for each new (workspace_id, object_key, artifact_class, generation); repeats and known ones add nothing."""
+    key = ["workspace_id", "object_key", "artifact_class", "generation"]
+    first = items.groupBy(*key).agg(F.min("work_id").alias("work_id"))
+    return first.join(work.select(*key), key, "left_anti")
+
+
+def work_rules() -> dict[str, Column]:
+    """One lifecycle item: attempts within budget; diagnostics of failed uploads are kept for 24 hours after they were classified."""
+    diagnostic = F.col("artifact_class") == "failed_upload_diagnostic"
+    kept = F.col("discovered_at").isNotNull() & F.col("eligible_at").isNotNull() & (micros(F.col("discovered_at"), F.col("eligible_at")) >= DIAGNOSTIC_HOURS * 3_600_000_000)
+    return {"attempts": F.col("attempt_count").between(0, MAX_ATTEMPTS), "retention": ~diagnostic | F.coalesce(kept, F.lit(False))}
+
+
+def fail_terminally(jobs: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """`jobs` after terminal failures (job_id, worker_id, fence, attempt, cause), with outcome where one was asked for.
+
+    applied needs the current worker, fence and attempt and a live lease; a stale one is fenced, another attempt invalid.
+    """
+    f = failures.select("job_id", F.col("worker_id").alias("__w"), F.col("fence").alias("__f"), F.col("attempt").alias("__a"), "cause")
+    rows = jobs.join(f, "job_id", "left")
+    asked = F.col("cause").isNotNull()
+    owns = (F.col("state") == "processing") & (F.col("__w") == F.col("worker_id")) & (F.col("__f") == F.col("fence")) & (F.col("lease_until") > now)
+    outcome = F.when(asked & ~F.coalesce(owns, F.lit(False)), "fenced").when(asked & (F.col("__a") != F.col("attempt_count")), "invalid").when(asked, "applied")
+    rows = rows.withColumn("outcome", outcome)
+    gone = F.coalesce(F.col("outcome") == "applied", F.lit(False))
+    clear = lambda c: F.when(~gone, F.col(c))
+    reason = F.when(gone, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TERMINAL.items() for x in kv]), F.col("cause")), F.lit("internal")))
+    return rows.withColumns({"state": F.when(gone, "failed").otherwise(F.col("state")), "worker_id": clear("worker_id"), "lease_until": clear("lease_until"), "next_attempt_at": clear("next_attempt_at"), "failure_reason": reason}).drop("__w", "__f", "__a", "cause")
+
+
+def reprocess(requests: DataFrame, current: DataFrame, sources: DataFrame, records: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """`requests` (request_id, workspace_id, key, fingerprint, document_id, version_id, configuration) with outcome and job_id.
+
+    In this order: the version must be its document's current one and have its source object; a live record of the key
+    replays its job or conflicts; else a running or finished job of the version and configuration is reused (the earliest),
+    or one is created. Every request that ends in a job is an audit row.
+    """
+    live = records.filter(F.col("expires_at") > now).select("workspace_id", "key", F.col("fingerprint").alias("__known"), F.col("job_id").alias("__replay"))
+    running = jobs.filter(F.col("state").isin("processing", "succeeded")).groupBy("version_id", "configuration").agg(F.min_by("job_id", F.struct("created_at", "job_id")).alias("__job"))
+    rows = requests.join(current.select("document_id", F.col("version_id").alias("__current")), "document_id", "left").join(sources.select("version_id", F.lit(True).alias("__source")).distinct(), "version_id", "left")
+    rows = rows.join(live, ["workspace_id", "key"], "left").join(running, ["version_id", "configuration"], "left")
+    outcome = (
+        F.when(F.col("__current").isNull(), "DOCUMENT_VERSION_NOT_FOUND")
+        .when(F.col("__current") != F.col("version_id"), "DOCUMENT_VERSION_NOT_CURRENT")
+        .when(F.col("__source").isNull(), "SOURCE_OBJECT_NOT_AVAILABLE")
+        .when(F.col("__known").isNotNull() & (F.col("__known") != F.col("fingerprint")), "IDEMPOTENCY_KEY_CONFLICT")
+        .when(F.col("__known").isNotNull(), "idempotency_replay")
+        .when(F.col("__job").isNotNull(), "reused")
+        .otherwise("created")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    job = F.when(F.col("outcome") == "idempotency_replay", F.col("__replay")).when(F.col("outcome") == "reused", F.col("__job"))
+    return rows.withColumn("job_id", job).drop("__current", "__source", "__known", "__replay", "__job")
+
+
+def correspondence_breaches(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
+    """subject, rule: processing jobs without exactly one open attempt that matches them, and others with one open."""
+    open_ = attempts.filter(F.col("closed_at").isNull()).groupBy("job_id").agg(F.count("*").alias("n"), F.max("attempt_number").alias("a"), F.max("worker_id").alias("w"), F.max("fence").alias("f"))
+    rows = jobs.join(open_, "job_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    running = F.col("state") == "processing"
+    same = F.col("a").eqNullSafe(F.col("attempt_count")) & F.col("w").eqNullSafe(F.col("worker_id")) & F.col("f").eqNullSafe(F.col("fence"))
+    rule = F.when(running & (F.col("n") != 1), "ONE_OPEN_ATTEMPT").when(running & ~same, "PROJECTION_MISMATCH").when(~running & (F.col("n") > 0), "OPEN_ATTEMPT_OF_IDLE_JOB")
+    return rows.select(F.col("job_id").cast("string").alias("subject"), rule.alias("rule")).filter(F.col("rule").isNotNull())
