@@ -1,22 +1,28 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated codes.
 
 Vectors are centred, turned to their principal axes and rotated so that signs lose least (iterative
-quantization, Gong and Lazebnik 2011); several rotations give a code of `bits` bits. Model and radius are
-fitted on a bounded sample; every row is indexed. The code is cut into 16-bit substrings, each indexed by value
-(Norouzi et al., 2012). By the pigeonhole principle a code within Hamming radius r of the query's has a
-substring within r // m of the query's; probing those retrieves every code within the radius, which is checked
-on the whole code, and the survivors are ranked by their Euclidean distance in double precision.
-
-The radius is the one that covers nearly all true neighbours of sample vectors within the sample. Neighbours in
-the whole table are closer than that, so it errs towards more candidates. Queries that find too few are run
-again with a radius that excludes nothing. Queries go in blocks of bounded size, each against all rows; each
-task returns its own best for each query.
+quantization, Gong and Lazebnik 2011); several rotations give a code of 256 bits. The code is cut into 8 substrings
+of 32 bits, and every distinct code is entered once for each substring in a table dealt by substring and the first
+bits of its value (Norouzi et al., 2012). By the pigeonhole principle a code within radius 8 (s + 1) - 1 of a query's has a
+substring within s bits of the query's: a query goes to the parts whose first bits are within s of its own, is compared
+with the values there, and the codes that the substring lets through are checked whole. A pair is reported by its
+first such substring only.
+
+Model and depth are fitted on a bounded sample: the depth is how many codes by Hamming distance have to be fetched to hold
+nearly all true neighbours, carried on to the size of the table by how it grows within the sample. Each query's radius is
+raised until it has fetched that many; what is still short is searched with a radius that excludes nothing. The nearest codes
+fetched are then ranked by the Euclidean distance of the vectors themselves.
+
+Where vectors have structure, small radii suffice and most parts are never met. Independent random vectors have none: their
+nearest neighbours differ in two fifths of all bits, any substring of such a code is compatible with nearly every value, and the
+probes pass most pairs on to the check of whole codes. Results are right either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +31,28 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SAMPLE = 8000  # vectors that model and radius are fitted on: those with the smallest hashes of their ids
-BITS = 256
-SUB = 16
-COVER = 0.97
-BLOCK = 1024  # queries of a block
-CHUNK = 4096  # rows indexed at once within a task
+SAMPLE = 8000  # vectors that model and depth are fitted on: those with the smallest hashes of their ids
+BITS, SUB = 256, 32
+TABLES = BITS // SUB
+COVER = 0.98
+PART_ROWS = 1 << 16  # codes, and queries, that a part of a table holds at once, about
 
 
 @dataclass
 class Model:
     mean: np.ndarray
     turn: np.ndarray  # dimensions x bits
-    radius: int
+    depth: int  # codes to fetch for each query, in a table as large as the sample
+    growth: float  # power of the table's size that the depth grows with
+    near: np.ndarray  # Hamming distances between sample vectors, sorted
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """Codes as rows of uint16 substrings."""
+        """Codes as rows of uint32 substrings."""
         bits = (x - self.mean) @ self.turn > 0
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint16)
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint32)
+
+    def fetch(self, n_rows: int, n_sample: int) -> int:
+        return int(np.ceil(self.depth * max(1.0, n_rows / n_sample) ** self.growth))
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -53,8 +63,19 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def depth_of(x: np.ndarray, codes: np.ndarray, k: int) -> int:
+    """How many codes by Hamming distance hold nearly all of the k nearest, over a few hundred of `x`."""
+    ranks = []
+    for i in range(0, len(x), max(1, len(x) // 400)):
+        near, d = distances(x, x[i]), hamming(codes, codes[i])
+        near[i], d[i] = np.inf, 1 << 30
+        best = np.argpartition(near, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]
+        ranks.append(np.searchsorted(np.sort(d), d[best], "right"))
+    return int(np.quantile(np.concatenate(ranks), COVER, method="higher"))
+
+
 def fit(x: np.ndarray, k: int = 10, bits: int = BITS, rounds: int = 30, seed: int = 9) -> Model:
-    """Rotations by iterative quantization and the radius, from a sample of vectors."""
+    """Rotations by iterative quantization and the depth, from a sample of vectors."""
     rng, mean = np.random.default_rng(seed), x.mean(axis=0)
     z = x - mean
     _, axes = np.linalg.eigh(z.T @ z)
@@ -69,30 +90,43 @@ def fit(x: np.ndarray, k: int = 10, bits: int = BITS, rounds: int = 30, seed: in
             r = (u @ w).T
         turns.append(axes[:, :n] @ r)
         left -= n
-    model = Model(mean, np.concatenate(turns, axis=1), bits)
+    model = Model(mean, np.concatenate(turns, axis=1), max(1, len(x)), 1.0, np.zeros(1, np.int64))
     if len(x) > 1:
-        codes, seen = model.codes(x), []
-        for i in range(0, len(x), max(1, len(x) // 400)):
-            near = distances(x, x[i])
-            near[i] = np.inf
-            best = np.argpartition(near, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]
-            seen.append(hamming(codes[best], codes[i]))
-        model.radius = int(np.quantile(np.concatenate(seen), COVER, method="higher"))
+        codes = model.codes(x)
+        model.depth = depth_of(x, codes, k)
+        model.near = np.sort(np.concatenate([hamming(codes, codes[i]) for i in range(0, len(x), max(1, len(x) // 400))]))
+        if len(x) >= 400:
+            part = depth_of(x[::4], codes[::4], k)
+            model.growth = float(np.clip(np.log(model.depth / part) / np.log(4), 0.0, 1.0))
     return model
 
 
-def probe(codes: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs of codes within the radius: substring probing, then the whole code."""
-    m = codes.shape[1]
-    reach, hit = radius // m, np.zeros((len(queries), len(codes)), bool)
-    for j in range(m):
-        values, bucket = np.unique(codes[:, j], return_inverse=True)  # the index of substring j: its buckets
-        hit |= (np.bitwise_count(values[None, :] ^ queries[:, j, None]) <= reach)[:, bucket]
-    q, r = np.nonzero(hit)
-    keep = np.zeros(len(q), bool)
-    for s in range(0, len(q), 1 << 18):
-        keep[s : s + (1 << 18)] = hamming(codes[r[s : s + (1 << 18)]].view(np.uint64), queries[q[s : s + (1 << 18)]].view(np.uint64)) <= radius
-    return q[keep], r[keep]
+def masks(bits: int, reach: int) -> list[int]:
+    """All numbers of `bits` bits with at most `reach` of them set."""
+    return [sum(1 << b for b in c) for n in range(min(bits, reach) + 1) for c in combinations(range(bits), n)]
+
+
+def probe(codes: np.ndarray, queries: np.ndarray, j: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance) of the pairs that substring j is the first to let through and that are within the radius.
+
+    The values of substring j are the table's buckets: each query meets each value once, and the codes of those within reach.
+    """
+    values, bucket = np.unique(codes[:, j], return_inverse=True)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(len(values) + 1))
+    out: list[tuple] = []
+    for s in range(0, len(queries), 64):  # few queries at once, so that what they meet stays small
+        q, v = np.nonzero(np.bitwise_count(values[None, :] ^ queries[s : s + 64, j, None]) <= reach)
+        n = bounds[v + 1] - bounds[v]
+        q = np.repeat(q, n) + s
+        c = order[np.repeat(bounds[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        for t in range(0, len(q), 1 << 18):
+            a, b = q[t : t + (1 << 18)], c[t : t + (1 << 18)]
+            parts = np.bitwise_count(codes[b] ^ queries[a])
+            d = parts.sum(axis=1, dtype=np.int32)
+            keep = (d < TABLES * (reach + 1)) & (parts[:, :j] > reach).all(axis=1)
+            out.append((a[keep], b[keep], d[keep]))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3))
 
 
 def best_of(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -110,13 +144,56 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).filter(finite & F.exists("x", lambda v: v != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _as_codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TABLES)
+
+
+def tables(codes: DataFrame, first_bits: int) -> DataFrame:
+    """j, part, code: each code once for each substring, part the first bits of the substring's value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = _as_codes(b.column(0))
+            for j in range(TABLES):
+                part = (c[:, j].astype(np.int64) >> (SUB - first_bits)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), j, np.int32)), pa.array(part), b.column(0)], names=["j", "part", "code"])
+
+    return codes.select("code").mapInArrow(run, "j int, part int, code binary")
+
+
+def fetched(table: DataFrame, queries: DataFrame, first_bits: int, reach: int, salts: int) -> DataFrame:
+    """query_id, code, d: the codes within radius TABLES (reach + 1) - 1 of each query (query_id, code)."""
+    near = masks(first_bits, reach)
+    asked = tables_of_queries(queries, first_bits).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
+    asked = asked.select("query_id", "j", F.explode(F.transform(F.array(*[F.lit(m) for m in near]), lambda m: F.col("part").bitwiseXOR(m))).alias("part"), "salt", "code")
+    held = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    schema = pa.schema([("query_id", pa.int64()), ("code", pa.binary()), ("d", pa.int32())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        codes, asked_codes = left.column("code"), _as_codes(right.column("code"))
+        q, c, d = probe(_as_codes(codes), asked_codes, right.column("j")[0].as_py(), reach)
+        return pa.table([right.column("query_id").take(pa.array(q)), codes.take(pa.array(c)), pa.array(d, pa.int32())], schema=schema)
+
+    by = ["j", "part", "salt"]
+    return held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "query_id long, code binary, d int")
+
+
+def tables_of_queries(queries: DataFrame, first_bits: int) -> DataFrame:
+    """query_id, j, part, code of each query (query_id, code) for each substring."""
+    bits = tables(queries.select("code").distinct(), first_bits)
+    return queries.select("query_id", "code").join(bits, "code")
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row where `is_query` (a condition on vec_id).
 
     Candidates are all rows with another vec_id. Vectors that are null, zero or hold null or non-finite
     components, null ids, and vectors not of the most frequent length take no part. Rows that share an id are
     one candidate, at its nearest. Ties go to the smaller id; with fewer than k candidates all are returned; an
-    empty table gives no rows. Other columns are not looked at.
+    empty table gives no rows. Of rows with equal vectors only the k + 1 smallest ids are kept, as no others can be
+    among the k nearest of anything. Other columns are not looked at.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
@@ -135,49 +212,56 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", v
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in turned.value.codes(x)], pa.binary())], names=["vec_id", "x", "code"])
 
     index = materialize(rows.mapInArrow(encode, "vec_id long, x array<double>, code binary"), "ann-index")
-    queries = index.filter(is_query)
+    queries = materialize(index.filter(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("x").alias("qx"), "code"), "ann-queries")
+    alike = Window.partitionBy("code", "x").orderBy("vec_id")
+    kept = index.distinct().withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= k + 1).drop("n")
+    kept = materialize(kept, "ann-kept")
+    codes = kept.groupBy("code").agg(F.count("*").alias("n"))
     n_rows, n_queries = index.select("vec_id").distinct().count(), queries.count()
-    blocks = max(1, -(-n_queries // BLOCK))
-
-    def search(which: DataFrame, radius: int) -> DataFrame:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-        for b in range(blocks):
-            held = which.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-            if not held:
-                continue
-            block = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in held]), np.array([r["x"] for r in held]), np.stack([np.frombuffer(r["code"], np.uint16) for r in held]), radius))
-
-            def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-                q_ids, q_x, q_codes, r = block.value
-                for whole in batches:
-                    for s in range(0, len(whole), CHUNK):
-                        part = whole.slice(s, CHUNK)
-                        ids = part.column(0).to_numpy()
-                        x = part.column(1).flatten().to_numpy().reshape(len(part), -1)
-                        codes = np.stack([np.frombuffer(c, np.uint16) for c in part.column(2).to_pylist()])
-                        out: list[tuple] = []
-                        for t in range(0, len(q_ids), 64):  # few queries at once: a ball of equal vectors stays small
-                            q, i = probe(codes, q_codes[t : t + 64], r)
-                            other = ids[i] != q_ids[t + q]
-                            q, i = q[other] + t, i[other]
-                            score = np.concatenate([distances(x[i[y : y + 65536]], q_x[q[y : y + 65536]]) for y in range(0, len(q), 65536)]) if len(q) else np.empty(0)
-                            top = best_of(q, ids[i], score, k)
-                            out.append((q_ids[q[top]], ids[i[top]], score[top]))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-            found = found.union(index.select("vec_id", "x", "code").mapInArrow(run, "query_id long, vec_id long, score double"))
-        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    one_each = queries.dropDuplicates(["vec_id"])
-    first = materialize(search(one_each, model.radius), "ann-found")
-    full = first.groupBy("query_id").count().filter(F.col("count") >= min(k, n_rows - 1)).select(F.col("query_id").alias("vec_id"))
-    short = materialize(one_each.join(full, "vec_id", "left_anti"), "ann-short")
-    if n_rows < 2 or short.isEmpty():
-        return first
-    again = search(short, BITS)
-    return first.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(*empty.columns).union(again)
+    if n_rows < 2 or not n_queries:
+        return empty
+    wanted = min(max(model.fetch(n_rows, len(sample)), k + 1), n_rows)
+    first_bits = min(SUB // 2, max(0, int(np.ceil(np.log2(max(1, n_rows / part_rows))))))
+    table = materialize(tables(codes, first_bits), "ann-tables")
+    # the least radius at which a query of the sample meets as many codes as are wanted, as a number of bits a substring
+    radius = int(model.near[min(len(model.near) - 1, int(wanted / n_rows * len(model.near)))])
+    reach = min(SUB, max(0, -(-(radius + 1) // TABLES) - 1))
+    left, found = queries.select("query_id", "code"), []
+    for s in dict.fromkeys((reach, min(SUB, reach + 2), SUB)):
+        met = len(masks(first_bits, s)) / (1 << first_bits)
+        salts = max(1, round(n_queries * met / part_rows))
+        pairs = materialize(fetched(table, left, first_bits, s, salts), "ann-pairs")
+        counted = pairs.join(codes, "code").groupBy("query_id", "d").agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy("query_id").orderBy("d")
+        counted = counted.withColumn("before", F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        # the distances that are needed to fetch as many as are wanted, the last with all its codes
+        need = counted.filter(F.col("before") < wanted).groupBy("query_id").agg(F.max("d").alias("most"), F.sum("n").alias("n"))
+        need = materialize(need.filter((F.col("n") >= wanted) | (F.lit(s) >= SUB)), "ann-need")
+        found.append(pairs.join(need.select("query_id", "most"), "query_id").filter("d <= most").select("query_id", "code"))
+        left = materialize(left.join(need.select("query_id"), "query_id", "left_anti"), "ann-left")
+        if left.isEmpty():
+            break
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, i = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x, y = (b.column(c).flatten().to_numpy().reshape(len(b), -1) for c in (2, 3))
+            score = distances(x, y)
+            order = np.lexsort((score, i, q))  # an id may occur several times: its nearest counts
+            one = np.ones(len(q), bool)
+            one[1:] = (np.diff(q[order]) != 0) | (np.diff(i[order]) != 0)
+            order = order[one]
+            top = order[best_of(q[order], i[order], score[order], k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[top]) for c in (q, i, score)], names=["query_id", "vec_id", "score"])
+
+    both = pairs.join(kept, "code").join(queries.select("query_id", "qx"), "query_id").filter("query_id <> vec_id")
+    ranked = both.select("query_id", "vec_id", "x", "qx").mapInArrow(rank, "query_id long, vec_id long, score double")
+    ranked = ranked.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,14 +204,49 @@ def test_few_candidates(spark):
     assert nn.nearest(frame.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
-def test_probing_finds_all_within_the_radius():
+@pytest.mark.parametrize("first_bits", [0, 3])
+def test_tables_find_all_within_the_radius(spark, first_bits):
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 1 << 16, (300, 4)).astype(np.uint16)
-    near = codes[:40] ^ (np.uint16(1) << rng.integers(0, 16, (40, 4)).astype(np.uint16))
-    codes = np.concatenate([codes, near])
-    q, r = nn.probe(codes, codes[:50], 6)
-    d = np.array([[int(np.bitwise_count(a ^ b).sum()) for b in codes] for a in codes[:50]])
-    assert set(zip(q.tolist(), r.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 6)), strict=True))
+    codes = rng.integers(0, 1 << 32, (200, nn.TABLES), np.uint64).astype(np.uint32)
+    near = np.repeat(codes[:40], 3, axis=0)
+    for row in near:
+        for b in rng.choice(256, rng.integers(0, 26), replace=False):
+            row[b // 32] ^= np.uint32(1 << (b % 32))
+    codes = np.unique(np.concatenate([codes, near]), axis=0)
+    frame = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "query_id long, code binary")
+    number = {c.tobytes(): i for i, c in enumerate(codes)}
+    d = np.bitwise_count(codes[:, None] ^ codes[None, :]).sum(axis=2)
+    for reach, salts in ((0, 1), (2, 3)):
+        rows = nn.fetched(nn.tables(frame, first_bits), frame.filter("query_id < 50"), first_bits, reach, salts).collect()
+        got = [(r["query_id"], number[bytes(r["code"])]) for r in rows]
+        want = {(q, c) for q, c in zip(*map(np.ndarray.tolist, np.nonzero(d < nn.TABLES * (reach + 1))), strict=True) if q < 50}
+        assert set(got) == want and len(got) == len(want)  # each pair once, by its first substring
+        assert all(r["d"] == d[r["query_id"], number[bytes(r["code"])]] for r in rows)
+
+
+def test_buckets_are_probed_by_value(spark):
+    """Clustered codes meet few buckets: the share of pairs that a substring lets through is small."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 1 << 32, (3000, nn.TABLES), np.uint64).astype(np.uint32)
+    looked = sum((np.bitwise_count(codes[:, j][None, :] ^ codes[:30, j][:, None]) <= 4).sum() for j in range(nn.TABLES))
+    assert looked / (30 * 3000 * nn.TABLES) < 0.001
+    q, c, d = nn.probe(codes, codes[:30], 0, 4)
+    assert set(zip(q.tolist(), c.tolist(), strict=True)) >= {(i, i) for i in range(30)} and len(q) < 100
+
+
+def test_recall_on_the_embeddings(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    x, ids = np.array(table["embedding"].to_pylist(), np.float64), np.array(table["vec_id"])
+    found = {}
+    for r in nn.op5_ann_search(spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = plain_nearest(list(zip(ids.tolist(), x.tolist(), strict=True)), lambda i: i % 100 == 0)
+    assert found.keys() == want.keys()
+    recall = np.mean([len({j for _, j in want[q]} & set(found[q])) / 10 for q in want])
+    print("recall", recall)
+    assert recall >= 0.9
 
 
 # --- decontamination ----------------------------------------------------------------------------------------------
