@@ -49,7 +49,7 @@ def test_base_spans_equal_the_patterns():
 @pytest.fixture(scope="module")
 def tagger():
     made = pii.Tagger()
-    made.fit(*pii.labelled_windows(1500), epochs=5)
+    made.fit(*pii.labelled_windows(2500), epochs=6)
     return made
 
 
@@ -96,6 +96,39 @@ def test_model_only_adds(spark, tagger):
     assert text and pii.detect(docs(spark, []), tagger).count() == 0
 
 
+def spelled_documents(n, seed):
+    """Texts of `documents` with an unseen spelling put between two of their words: (text, kind, start, end)."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if t and 20 < len(t) < 3000 and not re.search("[0-9@]", t)]
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < n:
+        item, kind = pii.labelled_item(rng)
+        if kind and pii.sensible(kind, item):
+            words = texts[int(rng.integers(0, len(texts)))].split(" ")
+            at = int(rng.integers(0, len(words) + 1))
+            head = " ".join(words[:at]) + " " if at else ""
+            out.append((head + item + " " + " ".join(words[at:]), kind, len(head), len(head) + len(item)))
+    return out
+
+
+def test_held_out_spellings_in_documents(tagger):
+    made = spelled_documents(400, 2026)
+    found = pii.find_spans([t.encode() for t, *_ in made], tagger)
+    base = np.mean([(k, s, e) in b for (_, k, s, e), (b, _) in zip(made, found, strict=True)])
+    both = np.mean([(k, s, e) in a for (_, k, s, e), (_, a) in zip(made, found, strict=True)])
+    precision = np.mean([x == (k, s, e) for (_, k, s, e), (_, a) in zip(made, found, strict=True) for x in a])
+    print("base", base, "with the model", both, "precision", precision)
+    assert both > base + 0.15 and both > 0.75 and precision > 0.85
+
+
+def test_no_sensible_span_lies_outside_the_stretches():
+    """Whatever kind of span makes sense, the stretches read hold it whole: nothing is lost by reading only those."""
+    for text, _, s, e in spelled_documents(600, 7):
+        assert any(a <= s and e <= b for a, b in pii.stretches(text))
+        assert text.encode().translate(None, pii.OTHERS) or pii.SPELLED.search(text.encode())
+
+
 def test_windows_are_reconciled(tagger):
     text = "call (743) 555-3824 or 4111.1111.1111.1111 " * 12
     ids = pii.char_ids(text)
