@@ -12,8 +12,9 @@ more backslash in whatever looks like a control string, with any number of backs
 So only conflicting content is changed and what is read back is identical.
 
 The operator returns one row per turn (a shard of the output file) and needs no shuffle: a conversation of any
-length stays spread over tasks. Only the digests of the query gather a conversation, since a digest of all
-its turns has to read them in order.
+length stays spread over tasks. `conversations` joins a conversation's segments into one text and `parse_conversation` reads
+that back into turns by the grammar alone. Only these and the digests of the query gather a conversation in a row (a digest
+of all its turns has to read them in order), so a conversation may have up to 2 GB.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """One row per turn: conv_id, turn, segment, level (0 plain, 1 text escaped, 2 role too), loss_start, loss_end.
 
     loss_start and loss_end are code points in the segment (end exclusive), both 0 outside the loss mask; the
-    mask holds the text of turns whose role is `loss_role`. Null role or text: the empty string. Null conv_id or
+    mask holds the text of turns whose role is `loss_role`. Texts of any length are kept whole. Null role or text: the empty string. Null conv_id or
     turn are kept; repeated rows give repeated turns. Other columns are not looked at; an empty table gives none.
     """
     base = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
@@ -68,9 +69,11 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         good, r, t = parse(segment)
         return good & (r == F.col("r")) & (t == F.col("t"))
 
-    level = F.when(same(F.col("s0")), 0).when(same(render(F.col("r"), escape_text(F.col("t")))), 1).otherwise(2)
+    last = render(escape_role(F.col("r")), escape_text(F.col("t")))
+    level = F.when(same(F.col("s0")), 0).when(same(render(F.col("r"), escape_text(F.col("t")))), 1).when(same(last), 2)
+    level = F.coalesce(level, F.raise_error(F.lit("a turn does not survive its round trip")).cast("int"))
     done = tries.withColumn("level", level)
-    done = done.withColumn("segment", F.when(F.col("level") == 0, F.col("s0")).when(F.col("level") == 1, render(F.col("r"), escape_text(F.col("t")))).otherwise(render(escape_role(F.col("r")), escape_text(F.col("t")))))
+    done = done.withColumn("segment", F.when(F.col("level") == 0, F.col("s0")).when(F.col("level") == 1, render(F.col("r"), escape_text(F.col("t")))).otherwise(last))
     masked = F.col("r") == loss_role
     start = F.lit(len(START) + len(loss_role) + 1)
     stop = F.length("segment") - len(END) - 1
@@ -84,12 +87,29 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(F.col("loss_end") > F.col("loss_start"), loss).otherwise("").alias("loss_text"), F.length("segment").cast("long").alias("n_chars"))
 
 
+def parse_conversation(whole: Column) -> Column:
+    """array<struct<role, text>> of a formatted conversation, by its control strings alone; null where the text is not in the grammar."""
+    pieces = F.split(whole, r"<\|im_end\|>\n")
+    turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.concat(p, F.lit(END + "\n")))
+    parsed = F.transform(turns, lambda s: F.struct(*[x.alias(n) for n, x in zip(("good", "role", "text"), parse(s), strict=True)]))
+    good = (F.element_at(pieces, -1) == "") & F.forall(parsed, lambda p: p["good"])
+    return F.when(good, F.transform(parsed, lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"))))
+
+
+def conversations(formatted: DataFrame) -> DataFrame:
+    """conv_id, whole (the formatted text) and masked (the texts under the loss mask, unescaped, in order); equal turn numbers are ordered by role and text, null turns come first."""
+    _, role, text = parse(F.col("segment"))
+    masked = F.substring(F.col("segment"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
+    rows = formatted.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text"), "segment", masked.alias("masked")).alias("x"))
+    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return held.select("conv_id", F.array_join(F.transform("xs", lambda x: x["segment"]), "").alias("whole"), F.transform("xs", lambda x: unescape_text(x["masked"])).alias("masked"))
+
+
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """The digest columns, a row per conversation; equal turn numbers are ordered by role and text, null turns come first."""
-    rows = read_back(formatted).select("conv_id", "n_chars", F.struct("turn", "role", "text", "loss_text").alias("x"))
-    held = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list("x")).alias("xs"), F.sum("n_chars").alias("formatted_chars"))
-    said = F.array_join(F.transform("xs", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    held = held.select("conv_id", "n_turns", "formatted_chars", said.alias("said"), F.array_join(F.transform("xs", lambda x: x["loss_text"]), "").alias("loss"))
+    """The digest columns, a row per conversation, its turns read back from the whole formatted text."""
+    held = conversations(formatted).withColumn("turns", parse_conversation(F.col("whole")))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    held = held.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.length("whole").cast("long").alias("formatted_chars"), said.alias("said"), F.array_join("masked", "").alias("loss"))
     return held.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
