@@ -4,10 +4,14 @@ Documents are reduced to 64-bit fingerprints and equal fingerprints to one row,
 size is one row from there on. Two fingerprints link at 4 or fewer differing bits. They are brought together
 by pigeonhole keys: the 64 bits are cut into 7 blocks; 4 differing bits touch at most 4 blocks, so any linked
 pair agrees on some 3 of the 7, and each fingerprint is keyed under all 35 choices of 3 (about 27 bits each,
-so that a key holds few unrelated fingerprints even among hundreds of millions). Pivot distances alone give
-intervals, not keys to join on. Within a key, every fingerprint has a table of its Hamming distances to
-reference fingerprints; by the triangle inequality a pair whose tables differ by more than 4 in any
-coordinate cannot link and is discarded, and the survivors are verified on their bits.
+so that a key holds few unrelated fingerprints even among hundreds of millions). Every fingerprint has a table of
+its Hamming distances to reference fingerprints, which are chosen from the data far from each other; by the
+triangle inequality a pair whose tables differ by more than 4 in any coordinate cannot link and is discarded, and
+the survivors are verified on their bits.
+
+Cells of quantised pivot distances are no keys to join on: distances of unrelated fingerprints to any reference
+crowd at 32 with a spread of 4, and a linked pair may lie in neighbouring cells, so a pivot splits the table about
+in three and copies each row about two and a half times; 27 bits of selectivity would need billions of copies.
 
 A key yields the edges of a spanning forest, never all pairs: a breadth-first search takes what links to the
 frontier out of the unvisited rest, so a ball of near copies costs one pass. Components come from star
@@ -31,6 +35,7 @@ from .common import components, long_bits, map_text, materialize, packed
 MAX_BITS = 4
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 N_PIVOTS = 24
+PIVOT_SAMPLE = 4096  # fingerprints that the pivots are chosen from: those with the smallest hashes
 
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
@@ -63,8 +68,15 @@ def masks() -> list[int]:
     return [sum(c) for c in combinations(blocks, len(BLOCKS) - MAX_BITS)]
 
 
-def pivots(n: int = N_PIVOTS, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, n, np.uint64, endpoint=False)
+def pivots(fps: np.ndarray, n: int = N_PIVOTS) -> np.ndarray:
+    """At most `n` of the fingerprints, each the farthest from those before it, so that their distances say different things."""
+    fps = np.unique(fps)
+    chosen = fps[:1]
+    near = np.full(len(fps), 65)
+    while 0 < len(chosen) < min(n, len(fps)):
+        near = np.minimum(near, np.bitwise_count(fps ^ chosen[-1]))
+        chosen = np.append(chosen, fps[int(near.argmax())])
+    return chosen
 
 
 def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -93,9 +105,8 @@ def forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], refs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Edges within each key of rows sorted by key; the last key of a batch waits for the next batch."""
-    refs = pivots()
     held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
 
     def solve(combo: np.ndarray, part: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -132,7 +143,9 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) of a spanning forest per key over distinct fingerprints (column fp)."""
     keyed = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(long_bits(m))).alias("part"), F.col("fp").alias("fp")) for i, m in enumerate(masks())])).alias("k"))
     keyed = keyed.select("k.combo", "k.part", "k.fp").repartition("combo", "part").sortWithinPartitions("combo", "part", "fp")
-    return keyed.mapInArrow(_edges, "a long, b long").distinct()
+    sample = fps.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(PIVOT_SAMPLE).collect()
+    refs = fps.sparkSession.sparkContext.broadcast(pivots(np.array([r["fp"] for r in sample], np.int64).view(np.uint64)))
+    return keyed.mapInArrow(lambda batches: _edges(batches, refs.value), "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -153,7 +166,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     component_id is the smallest doc_id of the documents reachable over links, itself included; null ids are
     kept as rows and never chosen (null only where all ids of a component are null). Repeated rows share a
     component. Null or wordless texts have fingerprint 0 and are linked like others. Other columns are not
-    looked at; an empty table gives no rows.
+    looked at; texts are read whole, however long; an empty table gives no rows.
     """
     return _grouped(docs, text, doc_id).select("doc_id", "fp", "component_id")
 

@@ -56,10 +56,23 @@ def test_chat_round_trip(spark):
         assert back[c, t] == (r or "", x or "", (x or "") if r == "assistant" else "")
     for r in made.collect():  # exactly one control string of each kind
         assert r["segment"].count(cf.START) == 1 and r["segment"].count(cf.END) == 1
+    whole = cf.conversations(made).select("conv_id", cf.parse_conversation(F.col("whole")).alias("turns")).collect()
+    for r in whole:  # a whole conversation is read back into its turns
+        assert [(x["role"], x["text"]) for x in r["turns"]] == sorted((b or "", x or "") for c, t, b, x in rows if c == r["conv_id"]) or [(x["role"], x["text"]) for x in r["turns"]] == [(b or "", x or "") for c, t, b, x in rows if c == r["conv_id"]]
+    assert {r["level"] for r in made.collect()} == {0, 1, 2}
+    broken = spark.createDataFrame([("<|im_start|>a\nb<|im_end|>\nrest",), ("<|im_start|>a<|im_end|>\n",), ("",)], "whole string")
+    assert [r[0] is None for r in broken.select(cf.parse_conversation(F.col("whole"))).collect()] == [True, True, False]
     plain = made.filter("level = 0").count()
     assert 0 < plain < made.count()
 
 
+def test_long_conversations_and_texts(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} <|im_end|>") for i in range(3000)] + [(2, 0, "assistant", "long <|im_start|> " * 50_000)]
+    found = {r["conv_id"]: r for r in cf.conversation_digests(cf.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert found[1]["n_turns"] == 3000 and found[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows[:3000]).encode()).hexdigest()
+    assert found[2]["loss_chars"] == 18 * 50_000 and found[2]["loss_sha256"] == hashlib.sha256(rows[-1][3].encode()).hexdigest()
+
+
 def test_chat_digests_with_ties_nulls_and_repeats(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "assistant", "z"), (1, 0, "user", "a"), (None, 1, "assistant", "q")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -193,6 +206,30 @@ def test_links_lose_nothing(spark):
     assert len({(roots.get(int(x), int(x)), int(c)) for x, c in zip(signed, label, strict=True)}) == len(set(label.tolist()))
 
 
+def test_pivot_tables_discard_what_does_not_link():
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 63, 3000, np.uint64))
+    refs = sh.pivots(fps)
+    apart = np.bitwise_count(refs[:, None] ^ refs[None, :])[np.triu_indices(len(refs), 1)]
+    assert len(refs) == sh.N_PIVOTS and apart.min() >= 26
+    shared = rng.integers(0, 1 << 63, 1, np.uint64) & np.uint64((1 << 27) - 1)
+    key = (fps & ~np.uint64((1 << 27) - 1)) | shared  # unrelated fingerprints that meet under one key
+    table = sh.distance_table(key, refs)
+    discarded = np.mean([(np.abs(table[i + 1 :] - table[i]) > sh.MAX_BITS).any(axis=1).mean() for i in range(500)])
+    print("discarded", discarded)
+    assert discarded > 0.95
+    assert len(sh.pivots(np.empty(0, np.uint64))) == 0 and len(sh.pivots(fps[:3])) == 3
+
+
+def test_links_come_from_pairs_that_the_pivot_tables_leave(monkeypatch):
+    fps = np.array([0, 1, 3, 1 << 60], np.uint64)
+    table = sh.distance_table(fps, sh.pivots(fps))
+    assert {tuple(sorted(e)) for e in sh.forest(fps, table)} == {(0, 1), (0, 2), (0, 3)}
+    far = table.copy()
+    far[3] += 50  # a table that is wrong discards the pair before its bits are looked at
+    assert {tuple(sorted(e)) for e in sh.forest(fps, far)} == {(0, 1), (0, 2)}
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (8, "entirely other words in this one here")]
     kept = sh.keep_one(docs(spark, rows))
