@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mix_sources.OP3_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_chat_formatting": chat_format.OP9_SQL,
 }

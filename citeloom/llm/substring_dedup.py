@@ -334,3 +334,16 @@ def dedup_substrings(docs: DataFrame, hot_anchor_rows: int = 100_000, shard_rows
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, removed words and the digest of the kept words of every document."""
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, r, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, r, i, array_to_string(w[i : i + 19], ' ') AS words FROM s),
+f AS (SELECT doc_id, r, i, min((coalesce(doc_id, 9223372036854775807), i)) OVER (PARTITION BY words) AS first FROM k),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS pos FROM f WHERE first < (coalesce(doc_id, 9223372036854775807), i)),
+h AS (SELECT r, list(pos) AS gone FROM g GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN h USING (r)
+"""
