@@ -7,8 +7,8 @@ index from trigrams to items counts them for each item by itself, and every stre
 verified by Sellers' algorithm on the words themselves. Nothing is sampled, so no leak is lost; random-walk
 embeddings with LSH keys, which stood here before, missed items edited at the front.
 
-The benchmark is the stated query set; it is taken in blocks of at most `block_items` items, each block a pass
-over the documents, so what a task holds is bounded.
+The benchmark is the stated query set; it is taken in blocks of about `block_items` items and `block_words` words at
+most, each block a pass over the documents, so what the driver and a task hold is bounded, but for an item longer than that.
 """
 
 from __future__ import annotations
@@ -171,21 +171,23 @@ def find_leaks(docs: list[tuple[int, bytes]], block: Block) -> list[tuple[int, i
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_000, block_words: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, distance, start, end (words): the leaks of `benchmark` (item_id, text) in `docs` (doc_id, text).
 
     A row for each stretch of a document that is within 20 % word edits of an item; the closest where several
     overlap. Null texts have none, nor have items of fewer than 3 words, which are no evidence of anything.
     Repeated items are reported each, repeated documents too; null ids stay null. Other columns are not looked
-    at; an empty table on either side gives no rows.
+    at; whole texts are read, however long; words are separated by all ASCII but letters and digits, other marks are part of
+    words. An empty table on either side gives no rows.
     """
     texts = docs.select("doc_id", F.lower("text").cast("binary").alias("t")).filter("t IS NOT NULL")
     items = benchmark.select("item_id", F.lower("text").cast("binary").alias("t")).filter("t IS NOT NULL")
-    n_items = items.count()
-    items = items.withColumn("b", F.pmod(F.xxhash64("t", "item_id"), F.lit(max(1, -(-n_items // block_items)))))
+    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_items // block_items), -(-n_bytes // (4 * block_words)))
+    items = items.withColumn("b", F.pmod(F.xxhash64("t", "item_id"), F.lit(n_blocks)))
     fields = [("doc_id", T.LongType()), ("item_id", T.LongType()), ("distance", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType())]
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start long, end long")
-    for b in range(max(1, -(-n_items // block_items))):
+    for b in range(n_blocks):
         block = docs.sparkSession.sparkContext.broadcast(Block([(r["item_id"], bytes(r["t"])) for r in items.filter(F.col("b") == b).sort("item_id", "t").collect()]))
 
         def run(cols: list[list], block=block) -> list:
