@@ -69,13 +69,14 @@ def calibrate(cases: DataFrame, hard_negatives: DataFrame, policy: Calibration |
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """left_id, right_id, common, smaller, exact: pairs of token sets that share at least `least` of the smaller set.
 
-    `left` and `right`: id, words (distinct tokens) and said (the normalized text: equal ones are exact copies). Prefix
+    `left` and `right`: id, words (distinct tokens) and said (the normalized text, where equal ones are to be told as exact). Prefix
     filtering instead of a cross join: in any fixed order of tokens, a set that shares that much of itself has one of
     its first size - ceil(least * size) + 1 tokens in common, so the prefix of the smaller set meets all tokens of the
     larger. Rare tokens come first, by how many sets hold them, so frequent ones are in hardly any prefix. Common tokens
     are counted on the pairs found; whole sets are looked at once a side.
     """
-    sized = lambda x: x.filter(F.size("words") > 0).select("id", "said", F.size("words").alias("n"), "words")
+    said = lambda x: F.col("said") if "said" in x.columns else F.array_join(F.array_sort("words"), " ")
+    sized = lambda x: x.filter(F.size("words") > 0).select("id", said(x).alias("said"), F.size("words").alias("n"), "words")
     a, b = sized(left), sized(right)
     exploded = a.select(F.explode("words").alias("token")).union(b.select(F.explode("words").alias("token")))
     often = exploded.groupBy("token").agg(F.count("*").alias("df"))

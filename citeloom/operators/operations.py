@@ -81,22 +81,42 @@ def retry_decision(cause: Column, attempt: Column, max_attempts: int = MAX_ATTEM
     return decision, reason, F.when(decision == "schedule_retry", delay)
 
 
-def alert_states(samples: DataFrame, threshold: float, recovery: float, sustain_seconds: int, by: list[str]) -> DataFrame:
+def alert_states(samples: DataFrame, threshold: float, recovery: float, sustain_seconds: int, by: list[str], bucket_seconds: int = 86_400) -> DataFrame:
     """`samples` (by, at, value) with breach_started, firing: sustained breach with hysteresis, as gaps and islands.
 
     A breach begins at a value at or above the threshold and lasts until a value at or below the recovery
     boundary or a missing one; in between it neither begins nor ends. It fires once it has lasted `sustain_seconds`
     and a sample at or above the threshold says so, and fires until it ends.
+
+    A class may hold most samples, so no window runs over a whole class: samples are looked at in buckets of time, and a
+    bucket gets from those before it the last edge and the start of the breach that is still on, which are a row a bucket.
+    A breach is known by its start; the first sample that shows it sustained is a minimum over the breach.
     """
-    w = Window.partitionBy(*by).orderBy("at")
     edge = F.when(F.col("value").isNull() | (F.col("value") <= recovery), 0).when(F.col("value") >= threshold, 1)
-    rows = samples.withColumn("__edge", edge).withColumn("__on", F.coalesce(F.last("__edge", ignorenulls=True).over(w), F.lit(0)))
-    rows = rows.withColumn("__new", F.when((F.col("__on") == 1) & (F.coalesce(F.lag("__on").over(w), F.lit(0)) == 0), 1).otherwise(0))
-    rows = rows.withColumn("__island", F.sum("__new").over(w))
-    inside = Window.partitionBy(*by, "__island").orderBy("at")
-    begun = F.min(F.when(F.col("__on") == 1, F.col("at"))).over(inside)
-    rows = rows.withColumn("breach_started", F.when(F.col("__on") == 1, begun))
+    bucket = F.floor(micros(F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at").cast("timestamp_ntz")) / (bucket_seconds * 1_000_000))
+    rows = samples.withColumns({"__edge": edge, "__bucket": bucket})
+    keyed = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]
+    alike = lambda b: reduce(Column.__and__, [*keyed, F.col("__bucket") == F.col("__b")]) if b else reduce(Column.__and__, keyed)
+
+    def carried(what: DataFrame, value: str, name: str) -> DataFrame:
+        """by and bucket as __k_ and __b, with the last non-null `value` of the buckets before."""
+        before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return what.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__bucket").alias("__b"), F.last(value, ignorenulls=True).over(before).alias(name))
+
+    last = rows.groupBy(*by, "__bucket").agg(F.max_by("__edge", F.when(F.col("__edge").isNotNull(), F.col("at"))).alias("e"))
+    names = [c for c in rows.columns]
+    rows = rows.join(carried(last, "e", "__before"), alike(True)).select(*names, F.coalesce("__before", F.lit(0)).alias("__before"))
+    w = Window.partitionBy(*by, "__bucket").orderBy("at")
+    rows = rows.withColumn("__on", F.coalesce(F.last("__edge", ignorenulls=True).over(w), "__before"))
+    new = (F.col("__on") == 1) & (F.coalesce(F.lag("__on").over(w), "__before") == 0)
+    rows = rows.withColumn("__new", F.when(new, F.col("at")))
+    starts = rows.groupBy(*by, "__bucket").agg(F.max("__new").alias("s"))
+    names = [c for c in rows.columns]
+    rows = rows.join(carried(starts, "s", "__start"), alike(True)).select(*names, "__start")
+    begun = F.when(F.col("__on") == 1, F.coalesce(F.last("__new", ignorenulls=True).over(w), "__start"))
+    rows = rows.withColumn("breach_started", begun)
     sustained = (F.col("__edge") == 1) & (micros(F.col("breach_started"), F.col("at")) >= sustain_seconds * 1_000_000)
-    fired = F.max(F.when(F.col("__on") == 1, sustained.cast("int"))).over(inside)
-    rows = rows.withColumn("firing", (F.col("__on") == 1) & (F.coalesce(fired, F.lit(0)) == 1))
-    return rows.drop("__edge", "__on", "__new", "__island")
+    hits = rows.filter(sustained).groupBy(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("breach_started").alias("__s")).agg(F.min("at").alias("__hit"))
+    done = rows.join(hits, alike(False) & (F.col("breach_started") == F.col("__s")), "left")
+    firing = F.coalesce((F.col("__on") == 1) & (F.col("at") >= F.col("__hit")), F.lit(False))
+    return done.select(*samples.columns, "breach_started", firing.alias("firing"))

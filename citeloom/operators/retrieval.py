@@ -52,30 +52,29 @@ def nearest_blocks(queries: DataFrame, chunks: DataFrame, k: int, block: int = 1
     return rows.drop("block", "part")
 
 
-def vector_branch(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str], ties: list[str] | None = None) -> DataFrame:
-    """Exact nearest neighbours at or above the threshold."""
-    rows = similarities(queries, chunks, on).filter(F.col("similarity") >= min_similarity)
-    return top_k(rows, [F.desc("similarity"), *[F.asc(t) for t in ties or ["chunk_id"]]], k)
-
-
 def vector_sides(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str], ties: list[str] | None = None) -> DataFrame:
     """The first k of each query at or above the threshold (`eligible`) and the first k below it, from one pass over the pairs.
 
-    Each side is the branch of that name; similarities are computed once for both. Chunks are dealt to `SALTS` parts by their id
-    within a workspace, each part keeps its own first k, and those meet: a workspace with a third of all chunks is many tasks.
+    Similarities are computed once for both sides. Chunks are dealt to `SALTS` parts by their id, each part meets the queries under
+    a key of its own and keeps its own first k, and those meet: a workspace with a third of all chunks is many tasks.
     """
     order = [F.desc("similarity"), *[F.asc(t) for t in ties or ["chunk_id"]]]
-    rows = similarities(queries, chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))), on)
+    q = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = similarities(q, chunks.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))), [*on, "part"])
     rows = rows.filter(F.col("similarity").isNotNull()).withColumn("eligible", F.col("similarity") >= min_similarity)
     for by in (["query_id", "eligible", "part"], ["query_id", "eligible"]):
         rows = rows.withColumn("branch_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("branch_rank") <= k)
     return rows.drop("part")
 
 
-def vector_below(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str]) -> DataFrame:
+def vector_branch(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str], ties: list[str] | None = None) -> DataFrame:
+    """Exact nearest neighbours at or above the threshold."""
+    return vector_sides(queries, chunks, k, min_similarity, on, ties).filter("eligible").drop("eligible")
+
+
+def vector_below(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float, on: list[str], ties: list[str] | None = None) -> DataFrame:
     """The nearest of those below the threshold, which observations report."""
-    rows = similarities(queries, chunks, on).filter(F.col("similarity") < min_similarity)
-    return top_k(rows, [F.desc("similarity"), F.asc("chunk_id")], k)
+    return vector_sides(queries, chunks, k, min_similarity, on, ties).filter("NOT eligible").drop("eligible")
 
 
 def postings(chunks: DataFrame, keep: list[str]) -> DataFrame:

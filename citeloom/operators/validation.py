@@ -77,3 +77,24 @@ def histogram_rules(hist: DataFrame) -> DataFrame:
     listed = hist.agg(F.array_sort(F.collect_list(F.struct("bound", "count"))).alias("h"))
     rising = F.aggregate("h", F.struct(F.lit(True).alias("ok"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct((s["ok"] & (x["count"] >= s["n"])).alias("ok"), x["count"].alias("n")), lambda s: s["ok"])
     return violations(listed, F.lit("histogram"), {"cumulative": rising, "unbounded": F.element_at("h", -1)["bound"] == float("inf")})
+
+
+def case_breaches(cases: DataFrame) -> DataFrame:
+    """subject, rule: what is wrong with evaluation cases (the nested schema of `sources.files.M3_CASE`).
+
+    An answer needs relevance, facts and evidence and no refusal; a refusal needs none of them and its reason; ids are unique.
+    """
+    answer, refusal = F.col("expected_behavior") == "ANSWER", F.col("expected_behavior") == "REFUSAL"
+    named = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    relevant, facts = F.col("retrieval_relevance.acceptable_relevant_chunks"), F.col("answer_expectations.required_facts")
+    sources, cited = F.col("evidence_expectations.expected_source_documents"), F.col("evidence_expectations.acceptable_cited_chunks")
+    applicable = F.coalesce(F.col("retrieval_relevance.applicable"), F.lit(False))
+    rules = {
+        "scalars": named("id") & named("category") & named("workspace_id") & named("question"),
+        "behavior": answer | refusal,
+        "applicability": F.col("retrieval_relevance.applicable").isNotNull(),
+        "answer": ~answer | (applicable & some(relevant) & some(facts) & some(sources) & some(cited) & F.col("refusal_expectation").isNull()),
+        "refusal": ~refusal | (~applicable & ~some(relevant) & ~some(facts) & F.coalesce(F.col("refusal_expectation") == "INSUFFICIENT_EVIDENCE", F.lit(False))),
+    }
+    return violations(cases, F.col("id"), rules).union(not_once(cases, "id", "case once"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +75,21 @@ def checksum_breaches(manifest_rows: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def publication(stored: DataFrame) -> DataFrame:
-    """One row: the number of objects, their bytes, and a digest over keys and checksums in order."""
-    held = F.array_sort(F.collect_list(F.concat_ws("  ", "sha256", "object_key")))
-    return stored.agg(F.count("*").alias("n_objects"), F.sum("length").alias("bytes"), F.sha2(F.array_join(held, "\n"), 256).alias("digest"))
+    """One row: the number of objects, their bytes, and a digest over checksums and keys in order of the lines.
+
+    The digest is one hash over all lines, so they pass through one task; they are sorted there and streamed.
+    """
+
+    def run(frames):
+        n, size, h = 0, 0, hashlib.sha256()
+        for f in frames:
+            for line, length in zip(f["line"], f["length"], strict=True):
+                h.update(("\n" if n else "").encode() + line.encode())
+                n, size = n + 1, size + int(length)
+        yield pd.DataFrame({"n_objects": [n], "bytes": [size], "digest": [h.hexdigest()]})
+
+    lines = stored.select(F.concat_ws("  ", "sha256", "object_key").alias("line"), "length").repartition(1).sortWithinPartitions("line")
+    return lines.mapInPandas(run, "n_objects long, bytes long, digest string")
 
 
 def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -92,8 +107,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pdf_pages(spark: SparkSession, path: str, max_pages: int = 500, max_page_bytes: int = 4 << 20) -> DataFrame:
-    """source_key, page_number, text of PDF files; needs the optional package pypdf on the executors."""
+def pdf_pages(spark: SparkSession, path: str, max_pages: int = 500, max_page_bytes: int = 4 << 20, max_bytes: int = 64 << 20) -> DataFrame:
+    """source_key, page_number, text of PDF files within their budgets of pages, bytes a page and bytes in all; needs the optional package pypdf on the executors."""
     try:
         import pypdf  # noqa: F401
     except ImportError as e:
@@ -103,7 +118,6 @@ def pdf_pages(spark: SparkSession, path: str, max_pages: int = 500, max_page_byt
     def run(frames):
         import io
 
-        import pandas as pd
         import pypdf
 
         for f in frames:
@@ -112,10 +126,13 @@ def pdf_pages(spark: SparkSession, path: str, max_pages: int = 500, max_page_byt
                 reader = pypdf.PdfReader(io.BytesIO(content))
                 if len(reader.pages) > max_pages:
                     raise ValueError(f"{key}: more than {max_pages} pages")
+                total = 0
                 for n, page in enumerate(reader.pages, 1):
                     text = page.extract_text() or ""
-                    if len(text.encode()) > max_page_bytes:
-                        raise ValueError(f"{key}: page {n} is too large")
+                    size = len(text.encode())
+                    total += size
+                    if size > max_page_bytes or total > max_bytes:
+                        raise ValueError(f"{key}: page {n} is too large" if size > max_page_bytes else f"{key}: the text is too large")
                     rows.append((key, n, text))
             yield pd.DataFrame(rows, columns=["source_key", "page_number", "text"])
 

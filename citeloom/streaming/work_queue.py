@@ -100,8 +100,11 @@ class Alerts(StatefulProcessor):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir), a temporary one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeloom-stream-")
+    """The folder that all executors share (spark.checkpoint.dir); where it is unset, a temporary one in local runs and an error elsewhere."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="citeloom-stream-")
 
 
 def replay(rows: DataFrame, schema: str) -> DataFrame:
