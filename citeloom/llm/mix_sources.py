@@ -51,7 +51,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return rows.select("source", "source_size", "n_docs", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", bucket_rows: int = 4096) -> DataFrame:
+def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", bucket_rows: int = 512) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) for `sized`.
 
     `sized`: doc_id, source, size (words), weight (quality, above 0; null counts as 1) and, if present, draw: what
