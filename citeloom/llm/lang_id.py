@@ -22,7 +22,6 @@ from .common import map_text, materialize
 BUCKETS = 1 << 14
 SAMPLE_PER_LANG = 400  # labelled rows per language for training: those with the smallest hashes of their text
 SAMPLE_CHARS = 100_000  # rows of longer texts are not used for training (all texts are predicted, whole)
-PARTS = 256
 LETTER = re.compile(r"[^\W\d_]")
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -108,15 +107,18 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, bytes]]:
     """The bounded training sample: of each language the rows with the smallest text hashes, not held out.
 
-    Rows are chosen by hash alone; only the texts of the chosen ones, a bounded number, are read after that. A
-    language is dealt to `PARTS` tasks by the low bits of the hash, each gives its first `per_lang`, and those
-    meet: no task gets all rows of a language.
+    Rows are chosen by hash alone; only the texts of the chosen ones, a bounded number, are read after that. Texts are
+    counted by language first, and only hashes so small that about 4 * `per_lang` are smaller are ranked: no task gets all
+    rows of a language.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    chosen = rows.select("lang", "h", F.pmod("h", F.lit(PARTS)).alias("part")).distinct()
-    for by in (["lang", "part"], ["lang"]):
-        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("k") <= per_lang)
+    hashes = materialize(rows.select("lang", "h").distinct(), "lang-hashes")
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.count("*"))
+    low = hashes.groupBy("lang").agg(share.alias("share"))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = hashes.join(low, "lang").filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
+    chosen = chosen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang)
     chosen = materialize(chosen.select("lang", "h"), "lang-sample")
     texts = rows.join(chosen, ["lang", "h"]).select("lang", "h", F.lower("text").alias("text")).dropDuplicates(["lang", "h"])
     found = texts.collect()
