@@ -35,6 +35,18 @@ TAXONOMY = {
     "fixture-infrastructure-failure": ("INFRASTRUCTURE_ERROR", None),
     "fixture-insufficient-evidence-correct": ("INSUFFICIENT_EVIDENCE_CORRECT", None),
 }
+# The failure kinds a handler may report, with the safe codes of each.
+SAFE_CODES = {
+    "invalid_input": ("invalid_input", "PDF_TEXT_INSUFFICIENT", "PDF_MALFORMED"),
+    "unsupported_input": ("unsupported_input", "PDF_ENCRYPTED", "PDF_UNSUPPORTED"),
+    "configuration_invalid": ("configuration_invalid",),
+    "resource_limit": ("resource_limit", "PDF_RESOURCE_LIMIT_EXCEEDED"),
+    "vector_mismatch": ("vector_mismatch",),
+    "provider_transient": ("provider_transient",),
+    "database_transient": ("database_transient",),
+    "storage_transient": ("storage_transient",),
+    "worker_unexpected": ("worker_unexpected", "PDF_EXTRACTOR_UNAVAILABLE"),
+}
 # The alert classes a configuration has to define, and the metrics they may watch.
 ALERT_CLASSES = ("queue_age_contention", "repeated_lease_expiry_recovery", "cleanup_backlog", "unreconciled_orphan_growth")
 METRICS = (

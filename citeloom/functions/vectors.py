@@ -24,5 +24,11 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(by > 0, dot(a, b) / by)
 
 
+def strict_cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity; a zero vector or two lengths are an error, not a null."""
+    wrong = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length"))).when((norm(a) == 0) | (norm(b) == 0), F.raise_error(F.lit("a zero vector has no direction")))
+    return F.coalesce(wrong.cast("double"), cosine(a, b))
+
+
 def finite(a: Column) -> Column:
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DIAGNOSTIC_HOURS, MAX_ATTEMPTS
+from ..functions.canonical import json_strings
 from .operations import TERMINAL, due, micros, retry_decision
 
 
@@ -56,12 +57,43 @@ def finalize(jobs: DataFrame, results: DataFrame, current: DataFrame) -> DataFra
     return rows.select("job_id", outcome.alias("outcome"))
 
 
-def submit(requests: DataFrame, records: DataFrame, now: Column) -> DataFrame:
-    """request outcomes for (workspace_id, key, fingerprint): replayed, conflict, or created; expired records do not count."""
+def submit(requests: DataFrame, records: DataFrame, now: Column, jobs: DataFrame | None = None) -> DataFrame:
+    """Outcomes of requests (workspace_id, key, fingerprint, and content with `jobs`): replayed, conflict, deduplicated or created.
+
+    A record of the key that has not expired replays or conflicts; else a job (workspace_id, content) of the same content takes
+    the request in; else it makes a job.
+    """
     live = records.filter(F.col("expires_at") > now).select("workspace_id", "key", F.col("fingerprint").alias("__known"))
     rows = requests.join(live, ["workspace_id", "key"], "left")
-    outcome = F.when(F.col("__known").isNull(), "created").when(F.col("__known") == F.col("fingerprint"), "replayed").otherwise("conflict")
-    return rows.withColumn("outcome", outcome).drop("__known")
+    alike = F.lit(False)
+    if jobs is not None:
+        rows = rows.join(jobs.select("workspace_id", "content").distinct().withColumn("__alike", F.lit(True)), ["workspace_id", "content"], "left")
+        alike = F.coalesce("__alike", F.lit(False))
+    outcome = F.when(F.col("__known") == F.col("fingerprint"), "replayed").when(F.col("__known").isNotNull(), "conflict").when(alike, "deduplicated").otherwise("created")
+    return rows.withColumn("outcome", outcome).drop("__known", "__alike")
+
+
+def heartbeat_outcomes(jobs: DataFrame, beats: DataFrame, applied: DataFrame, now: Column) -> DataFrame:
+    """operation_id, outcome of beats (operation_id, job_id, fence): replayed if it was applied before, extended under the current fence and a live lease, else fenced."""
+    known = applied.select("operation_id").distinct().withColumn("__done", F.lit(True))
+    rows = beats.withColumnRenamed("fence", "__f").join(known, "operation_id", "left").join(jobs.select("job_id", "fence", "state", "lease_until"), "job_id", "left")
+    live = (F.col("state") == "processing") & (F.col("__f") == F.col("fence")) & (F.col("lease_until") > now)
+    return rows.select("operation_id", F.when(F.col("__done"), "replayed").when(F.coalesce(live, F.lit(False)), "extended").otherwise("fenced").alias("outcome"))
+
+
+def recover_attempts(jobs: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
+    """Expired jobs with the open attempt that recovery closes: job_id, attempt_number, outcome; jobs without one are inconsistent and stay."""
+    expired = jobs.filter((F.col("state") == "processing") & (F.col("lease_until") <= now)).select("job_id", "attempt_count")
+    open_ = attempts.filter(F.col("closed_at").isNull()).select("job_id", "attempt_number")
+    rows = expired.join(open_, "job_id", "left")
+    same = F.col("attempt_number").eqNullSafe(F.col("attempt_count"))
+    return rows.select("job_id", "attempt_number", F.when(~same, "INCONSISTENT").when(F.col("attempt_count") >= MAX_ATTEMPTS, "failed").otherwise("retry_scheduled").alias("outcome"))
+
+
+def reference_ids(arrays: list[Column], maps: list[Column], texts: list[Column]) -> Column:
+    """All identifiers a row refers to, as strings: elements of arrays, values of maps, string values at any depth of JSON texts."""
+    parts = [*[a.cast("array<string>") for a in arrays], *[F.map_values(m).cast("array<string>") for m in maps], *[json_strings(t) for t in texts]]
+    return F.array_distinct(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))
 
 
 def retained(objects: DataFrame, *references: DataFrame) -> DataFrame:

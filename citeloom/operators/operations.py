@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import LATENCY_BOUNDS, MAX_ATTEMPTS, RETRY_WINDOW_MICROS
+from ..config import LATENCY_BOUNDS, MAX_ATTEMPTS, RETRY_WINDOW_MICROS, SAFE_CODES
 
 RETRYABLE = ("provider_transient", "database_transient", "storage_transient", "worker_unexpected", "attempt_timeout", "lease_expired")
 TERMINAL = {"invalid_input": "terminal_input", "unsupported_input": "terminal_input", "configuration_invalid": "terminal_config", "resource_limit": "resource_limit", "vector_mismatch": "terminal_config"}
@@ -81,6 +81,12 @@ def retry_decision(cause: Column, attempt: Column, max_attempts: int = MAX_ATTEM
     return decision, reason, F.when(decision == "schedule_retry", delay)
 
 
+def failure_cause(kind: Column, code: Column) -> Column:
+    """The cause that a handler's failure kind and safe code stand for; null where the code is none of the kind's."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, codes in SAFE_CODES.items() for c in codes])
+    return F.when(F.exists(pairs, lambda p: (p["k"] == kind) & (p["c"] == code)), kind)
+
+
 def alert_states(samples: DataFrame, threshold: float, recovery: float, sustain_seconds: int, by: list[str], bucket_seconds: int = 86_400) -> DataFrame:
     """`samples` (by, at, value) with breach_started, firing: sustained breach with hysteresis, as gaps and islands.
 

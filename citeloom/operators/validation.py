@@ -36,6 +36,11 @@ def set_difference(a: DataFrame, b: DataFrame, key: str, rules: tuple[str, str])
     return dangling(a, key, b, rules[0]).union(dangling(b, key, a, rules[1]))
 
 
+def disjoint(a: DataFrame, b: DataFrame, key: str, rule: str) -> DataFrame:
+    """Keys that two sets which must be apart have in common."""
+    return a.select(key).distinct().join(b.select(key), key, "left_semi").select(F.col(key).cast("string").alias("subject"), F.lit(rule).alias("rule"))
+
+
 def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ALERT_CLASSES, METRICS, PRESETS
+from ..config import ALERT_CLASSES, METRICS, PRESETS, SAFE_CODES
 from ..functions import canonical as ca
 from ..operators import answering as an
 from ..operators import derivation as de
 from ..operators import lifecycle as li
+from ..operators import operations as op
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..operators import traces as tr
@@ -21,6 +22,7 @@ from ..sources.files import table
 from . import answering_queries as aq
 from . import common as c
 from . import evaluation_queries as eq
+from .operations_queries import ALERT_SQL
 from .retrieval_queries import OBSERVATIONS_SQL, branches
 
 PRESET = "retrieval-m3-rrf-v1"
@@ -643,6 +645,95 @@ d AS (SELECT doc_id, item_id, sha256('{"calibration_item_id":' || doc_id || ',"d
 SELECT count(*) AS n_pairs, sha256(coalesce(string_agg(d, chr(10) ORDER BY doc_id, item_id), '')) AS digest FROM d"""
 
 
+# --- more coordination -------------------------------------------------------------------------------------------
+
+
+def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Causes of failures made from the events, by kind and code; codes that are none of their kind's have none."""
+    kinds, codes = list(SAFE_CODES), [x for v in SAFE_CODES.values() for x in v]
+    k = F.col("event_id")
+    pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), (at % len(names)).cast("int"))
+    rows = table(spark, sf_dir, "events").select(pick(kinds, k).alias("kind"), pick(codes, F.floor(k / 3)).alias("code"))
+    return rows.withColumn("cause", op.failure_cause(F.col("kind"), F.col("code"))).groupBy("kind", "cause").agg(F.count("*").alias("n"))
+
+
+_KINDS = "[" + ", ".join(f"'{k}'" for k in SAFE_CODES) + "]"
+_CODES = "[" + ", ".join(f"'{c}'" for v in SAFE_CODES.values() for c in v) + "]"
+_OWNERS = "[" + ", ".join(f"'{k}'" for k, v in SAFE_CODES.items() for _ in v) + "]"
+CAUSES_SQL = f"WITH e AS (SELECT {_KINDS}[event_id % {len(SAFE_CODES)} + 1] AS kind, {_OWNERS}[(event_id // 3) % len({_CODES}) + 1] AS owner FROM events) SELECT kind, CASE WHEN kind = owner THEN kind END AS cause, count(*) AS n FROM e GROUP BY ALL"
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as submissions: every third key has a record, every second customer a job of the same content."""
+    k = F.col("o_orderkey")
+    requests = table(spark, sf_dir, "orders").select(k.alias("request_id"), (k % 3).alias("workspace_id"), k.alias("key"), F.col("o_orderpriority").alias("fingerprint"), F.col("o_custkey").alias("content"))
+    records = requests.filter("request_id % 6 = 0").select("workspace_id", "key", F.when(mod("request_id", 12), "other").otherwise(F.col("fingerprint")).alias("fingerprint"), F.when(mod("request_id", 18), F.lit("2020-01-01")).otherwise("2030-01-01").cast("timestamp").alias("expires_at"))
+    jobs = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.lit(1).cast("long").alias("workspace_id"), F.col("c_custkey").alias("content"))
+    return li.submit(requests, records, F.lit("2024-01-01").cast("timestamp"), jobs).select("request_id", "outcome")
+
+
+SUBMISSIONS_SQL = """
+SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 18 > 0 THEN CASE WHEN o_orderkey % 12 = 0 THEN 'conflict' ELSE 'replayed' END
+  WHEN o_orderkey % 3 = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'deduplicated' ELSE 'created' END AS outcome FROM orders"""
+
+
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a beat of every order read as a job, some sent before, some with a stale fence."""
+    jobs, k = _held(spark, sf_dir), F.col("job_id")
+    beats = jobs.select((k * 2).alias("operation_id"), "job_id", (F.col("fence") + (k % 7 == 0).cast("int")).alias("fence"))
+    applied = beats.filter("job_id % 5 = 0").select("operation_id")
+    return li.heartbeat_outcomes(jobs, beats, applied, F.timestamp_seconds(F.lit(NOW_S))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+BEATS_SQL = "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'replayed' WHEN o_orderkey % 3 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 50 > 10 THEN 'extended' ELSE 'fenced' END AS outcome, count(*) AS n FROM orders GROUP BY 1"
+
+
+def attempt_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recovery does with the open attempts of expired jobs, by outcome."""
+    jobs = _held(spark, sf_dir)
+    attempts = jobs.filter("job_id % 7 > 0").select("job_id", F.when(mod("job_id", 11), 9).otherwise(F.col("attempt_count")).alias("attempt_number"), F.when(mod("job_id", 13), F.lit("2020-01-01")).cast("timestamp").alias("closed_at"))
+    return li.recover_attempts(jobs, attempts, F.timestamp_seconds(F.lit(NOW_S))).groupBy("outcome").agg(F.count("*").alias("n"), F.count("attempt_number").alias("attempts"))
+
+
+RECOVERY_SQL = """
+WITH e AS (SELECT o_orderkey AS k, o_orderkey % 7 > 0 AND o_orderkey % 13 > 0 AS opened FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 50 <= 10)
+SELECT CASE WHEN NOT opened OR k % 11 = 0 THEN 'INCONSISTENT' WHEN k % 4 + 1 >= 4 THEN 'failed' ELSE 'retry_scheduled' END AS outcome, count(*) AS n, CAST(count_if(opened) AS BIGINT) AS attempts FROM e GROUP BY 1"""
+
+
+def nested_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the events' traces refer to in arrays, map values and nested metadata, and those nothing refers to."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    said = F.format_string('{"a": [{"%s": {"deep": "%s"}}]}', (k % 31).cast("string"), (k % 37).cast("string"))
+    ids = li.reference_ids([F.array(k % 11, F.col("user_id") % 13)], [F.create_map(F.lit("E1"), k % 17 + 20)], [said])
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return li.blockers(docs, "doc_id", {"traces": e.select(ids.alias("ids"))})
+
+
+NESTED_SQL = """
+WITH r AS (SELECT event_id, unnest(list_distinct([event_id % 11, user_id % 13, event_id % 17 + 20, event_id % 37])) AS id FROM events), c AS (SELECT CAST(id AS VARCHAR) AS id, count(*) AS n FROM r GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(n, 0) AS traces, n IS NULL AS deletable FROM documents LEFT JOIN c ON c.id = CAST(doc_id AS VARCHAR)"""
+
+
+def split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that a training and a test half of the documents have in common, which have to be apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return va.disjoint(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), "digest", "halves apart")
+
+
+SPLIT_SQL = "SELECT DISTINCT sha256(text) AS subject, 'halves apart' AS rule FROM documents WHERE doc_id % 2 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 1)"
+
+
+def alert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert states by class and configuration version: users' samples under two versions do not mix."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 2).alias("version"), "event_id", F.col("ts").alias("at"), "value")
+    rows = op.alert_states(e, 60.0, 30.0, 3600, ["event_type", "version"])
+    return rows.groupBy("event_type", "version").agg(F.count("*").alias("n"), F.count("breach_started").alias("breached"), F.count_if("firing").alias("firing"))
+
+
+VERSIONS_SQL = "WITH f AS (" + ALERT_SQL.replace("FROM events", "FROM (SELECT user_id % 2 AS version, event_type || '/' || user_id % 2 AS event_type, event_id, ts, value FROM events)").replace("SELECT event_id, epoch_us", "SELECT event_type, event_id, epoch_us") + """)
+SELECT split_part(event_type, '/', 1) AS event_type, CAST(split_part(event_type, '/', 2) AS BIGINT) AS version, count(*) AS n, count(breach_started_us) AS breached, CAST(count_if(firing) AS BIGINT) AS firing FROM f GROUP BY 1, 2"""
+
+
 _PAIRS = {
     canonical_digests: CANONICAL_SQL, json_references: JSON_SQL, next_threshold: NEXT_SQL, provenance_differences: DIFFERENCES_SQL, trace_assembly: ASSEMBLY_SQL, trace_contracts: TRACE_RULES_SQL,
     observation_contracts: OBSERVATION_SQL, timing_contracts: TIMING_SQL, query_embeddings: QUERY_EMBEDDING_SQL, response_contracts: RESPONSE_SQL, citation_contracts: CITATION_SQL, structural_report: STRUCTURAL_SQL,
@@ -650,6 +741,7 @@ _PAIRS = {
     report_guardrails: GUARDRAILS_SQL, improvement_selection: SELECTION_SQL, canonical_references: REFERENCES_SQL, calibration_contracts: CALIBRATION_RULES_SQL, corpus_closure: CLOSURE_RULES_SQL, alert_configuration: ALERT_RULES_SQL,
     lifecycle_pass: PASS_SQL, lifecycle_queue: QUEUE_SQL, lifecycle_enqueue: ENQUEUE_SQL, terminal_failures: FAILURES_SQL, reprocess_outcomes: REPROCESS_SQL, attempt_correspondence: CORRESPONDENCE_SQL,
     derivation_contracts: DERIVATION_SQL, active_corpus: CORPUS_SQL, unresolved_candidates: UNRESOLVED_SQL, reembedding: REEMBEDDING_SQL, pair_population: PAIR_SQL,
+    failure_causes: CAUSES_SQL, submissions: SUBMISSIONS_SQL, heartbeats: BEATS_SQL, attempt_recovery: RECOVERY_SQL, nested_blockers: NESTED_SQL, split_leaks: SPLIT_SQL, alert_versions: VERSIONS_SQL,
 }
 QUERIES = {f.__name__: f for f in _PAIRS}
 ORACLE_SQL = {f.__name__: sql for f, sql in _PAIRS.items()}

@@ -74,6 +74,14 @@ def checksum_breaches(manifest_rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.filter(~F.col("sha256").eqNullSafe(F.col("expected")))
 
 
+def sealed_totals(entries: DataFrame, stored: DataFrame, items: int, size: int) -> DataFrame:
+    """One row: items, bytes and matches of manifest entries (path, sha256) against stored objects, and whether they are the sealed totals."""
+    keyed = entries.select(tx.basename(F.col("path")).alias("object_key"), F.col("sha256").alias("expected"))
+    rows = keyed.join(stored.select("object_key", "length", "sha256"), "object_key", "left")
+    done = rows.agg(F.count("*").alias("items"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(F.col("sha256").eqNullSafe(F.col("expected"))).alias("matches"))
+    return done.withColumn("sealed", (F.col("items") == items) & (F.col("bytes") == size) & (F.col("matches") == F.col("items")))
+
+
 def publication(stored: DataFrame) -> DataFrame:
     """One row: the number of objects, their bytes, and a digest over checksums and keys in order of the lines.
 

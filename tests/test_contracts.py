@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import canonical as ca
 from citeloom.functions import text as tx
+from citeloom.functions import vectors as vx
 from citeloom.operators import derivation as de
 from citeloom.operators import evaluation as el
 from citeloom.operators import lifecycle as li
@@ -182,3 +183,29 @@ def test_manifests_datasets_and_publications(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         (tmp_path / "bad.jsonl").write_text("{")
         files.cases(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_strict_cosine(spark):
+    frame = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    assert frame.select(vx.strict_cosine(F.col("a"), F.col("b"))).first()[0] == pytest.approx(math.sqrt(0.5))
+    for a, b in (([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])):
+        with pytest.raises(Exception, match="direction|length"):
+            spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(vx.strict_cosine(F.col("a"), F.col("b"))).collect()
+
+
+def test_full_jitter_stays_within_its_window(spark):
+    rows = spark.range(500).select((F.col("id") % 4 + 1).alias("n"), (F.col("id") / 500).alias("u"))
+    decision, _, delay = op.retry_decision(F.lit("lease_expired"), F.col("n"), jitter=F.col("u"))
+    most = {1: 5_000_000, 2: 30_000_000, 3: 120_000_000}
+    found = rows.select("n", decision.alias("d"), delay.alias("us")).collect()
+    assert all(0 <= r["us"] <= most[r["n"]] for r in found if r["n"] < 4) and all(r["us"] is None and r["d"] == "retry_exhausted" for r in found if r["n"] == 4)
+    assert len({r["us"] for r in found}) > 300
+
+
+def test_sealed_totals(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_bytes(name.encode() * 3)
+    stored = files.objects(spark, str(tmp_path))
+    entries = spark.createDataFrame([("x/a", sha(b"aaa")), ("x/b", sha(b"bbb"))], "path string, sha256 string")
+    assert files.sealed_totals(entries, stored, 2, 6).first()["sealed"] and not files.sealed_totals(entries, stored, 2, 7).first()["sealed"]
+    assert files.sealed_totals(entries.union(entries.limit(1).selectExpr("'x/c' AS path", "sha256")), stored, 3, 6).first()["matches"] == 2
