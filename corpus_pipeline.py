@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm.common import materialize
+from citeloom.llm.common import discard, materialize
 from citeloom.llm.decontaminate import drop_leaked
 from citeloom.llm.line_dedup import drop_duplicate_lines
 from citeloom.llm.mix_sources import mix, sized_documents
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources", mixing),
 ]
 
-#: Classifier, alignment and random walks have no SQL form; tests hold each stage against a brute-force version.
+#: Classifier, fingerprints and edit distances have no SQL form; a test holds each stage against a plain version.
 ORACLE_SQL = None
 
 
@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)  # only what a stage wrote
     return docs
