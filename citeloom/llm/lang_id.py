@@ -22,6 +22,7 @@ from .common import map_text, materialize
 BUCKETS = 1 << 14
 SAMPLE_PER_LANG = 400  # labelled rows per language for training: those with the smallest hashes of their text
 SAMPLE_CHARS = 100_000  # rows of longer texts are not used for training (all texts are predicted, whole)
+PARTS = 256  # that a language's hashes meet its share in
 LETTER = re.compile(r"[^\W\d_]")
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -113,11 +114,11 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str,
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    hashes = materialize(rows.select("lang", "h").distinct(), "lang-hashes")
+    hashes = materialize(rows.select("lang", "h").distinct(), "lang-hashes").withColumn("part", F.pmod("h", F.lit(PARTS)))
     share = F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.count("*"))
-    low = hashes.groupBy("lang").agg(share.alias("share"))
+    low = hashes.groupBy("lang").agg(share.alias("share")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
     first = Window.partitionBy("lang").orderBy("h")
-    chosen = hashes.join(low, "lang").filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
+    chosen = hashes.join(low, ["lang", "part"]).filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
     chosen = chosen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang)
     chosen = materialize(chosen.select("lang", "h"), "lang-sample")
     texts = rows.join(chosen, ["lang", "h"]).select("lang", "h", F.lower("text").alias("text")).dropDuplicates(["lang", "h"])
