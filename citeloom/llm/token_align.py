@@ -34,10 +34,11 @@ from .common import materialize
 TOKENIZERS = "/opt/tokenizers"
 BROADCAST_PAIRS = 8_000_000
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
-SLICE = 4 << 20  # bytes that are cut and looked up at a time
+SLICE = 2 << 20  # bytes that are cut and looked up at a time
 SPACES = re.compile(r"\s ")
+LINKS = 1 << 20  # links that are looked up at a time
 WHOLE = "\ud800"  # no text holds a lone surrogate
-MOST_PIECES, MOST_POINTS = 800_000, 16 << 20  # that a worker knows at a time
+MOST_PIECES, MOST_POINTS = 300_000, 8 << 20  # that a worker knows at a time
 #: Fixed value: how the byte-level tokenizer cuts text before its merges.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -277,13 +278,15 @@ def _summed(batches: Iterator[pa.RecordBatch], counts: tuple[np.ndarray, np.ndar
     """Each text's links that are best and the sum of their counts, from the sorted table of all pairs."""
     pairs, n, best = counts
     values = np.stack([best.astype(np.int64), n])
-    for batch in batches:
-        links = batch.column(6)
-        at = np.searchsorted(pairs, links.flatten().to_numpy(zero_copy_only=False))
-        upto = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values[:, at], axis=1)], axis=1)
-        ends = np.append(0, np.cumsum(batch.column(4).to_numpy(zero_copy_only=False)))
-        sums = upto[:, ends[1:]] - upto[:, ends[:-1]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:6], *map(pa.array, sums)], names=["doc_id", *FIGURES, "groups_sha256", "n_best", "count_sum"])
+    for whole in batches:
+        part = np.cumsum(whole.column(4).to_numpy(zero_copy_only=False)) // LINKS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
+        for batch in (whole.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False)):
+            at = np.searchsorted(pairs, batch.column(6).flatten().to_numpy(zero_copy_only=False))
+            upto = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values[:, at], axis=1)], axis=1)
+            ends = np.append(0, np.cumsum(batch.column(4).to_numpy(zero_copy_only=False)))
+            sums = upto[:, ends[1:]] - upto[:, ends[:-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *map(pa.array, sums)], names=["doc_id", *FIGURES, "groups_sha256", "n_best", "count_sum"])
 
 
 def align_tokens(docs: DataFrame, byte_level: str = f"{TOKENIZERS}/byte_bpe_50k.json", pieces: str = f"{TOKENIZERS}/piece_bpe_32k.model", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
