@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
-STRINGS = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'  # a JSON string, with the colon if it is a key
 
 
 def canonical_object(**fields: Column) -> Column:
@@ -41,10 +41,24 @@ def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
     return F.concat(piece(1, 8), F.lit("-"), piece(9, 4), F.lit("-5"), piece(14, 3), F.lit("-"), variant, piece(18, 3), F.lit("-"), piece(21, 12))
 
 
-def json_strings(text: Column) -> Column:
-    """All string values of a JSON text, at any depth, keys left out; for identifiers, which hold no escapes."""
-    values = F.filter(F.regexp_extract_all(text, F.lit(STRINGS), F.lit(0)), lambda s: ~s.endswith(":"))
-    return F.transform(values, lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+def string_values(text: str | None) -> list[str] | None:
+    """The string values of a JSON text in order. In JSON a quote opens or closes a string and nothing else, so the text is read from
+    string to string by the decoder of the standard library, without recursion, and a string before a colon is a key."""
+    if text is None:
+        return None
+    found, at = [], text.find('"')
+    while at >= 0:
+        value, end = scanstring(text, at + 1)
+        at = text.find('"', end)
+        if text[end : end + 1] != ":" and not text[end : at if at >= 0 else len(text)].lstrip().startswith(":"):
+            found.append(value)
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_strings(text: pd.Series) -> pd.Series:
+    """All string values of a JSON text, escapes decoded, at any depth and of any length, keys left out. A text with a string that does not end is an error; null gives null."""
+    return text.map(string_values)
 
 
 def next_up(x: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +28,41 @@ def retrieval_scores(cases: DataFrame, by: list[str] | None = None) -> DataFrame
     return cases.filter("gold_size > 0").groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(recall).alias("recall"), F.avg(rr).alias("mrr"), F.avg(F.col("first_rank").isNotNull().cast("double")).alias("hit_rate"))
 
 
-def exact_mean(rows: DataFrame, numerator: str, denominator: str, most: int) -> DataFrame:
-    """n, numerator, denominator: the mean of fractions whose denominators are at most `most`, as a reduced fraction.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the fractions p/q and of n, as one row."""
+    sys.set_int_max_str_digits(0)
+    n, total = 0, Fraction(0)
+    for b in batches:
+        for k, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n, total = n + k, total + Fraction(int(p), int(q))
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([str(total.numerator)]), pa.array([str(total.denominator)])], names=["n", "p", "q"])
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _fold(batches):
+        n, p, q = (c[0].as_py() for c in b.columns)
+        if n:
+            mean = Fraction(int(p), int(q)) / n
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([str(mean.numerator)]), pa.array([str(mean.denominator)])], names=b.schema.names)
 
-    The common denominator is the least common multiple of 1..most, so the sum is one of longs.
+
+def exact_mean_text(rows: DataFrame, numerator: str, denominator: str) -> DataFrame:
+    """n, numerator, denominator (decimal digits): the mean of fractions as a reduced fraction, exact for any denominators.
+
+    Numerators are added by denominator first, so what is folded in big integers is a row for each different denominator; each
+    task folds its own, and one task the folds. A null or a denominator below 1 is an error; no rows give no row.
     """
-    from math import lcm
+    bad = F.col(numerator).isNull() | F.col(denominator).isNull() | (F.col(denominator) < 1)
+    checked = F.when(bad, F.raise_error(F.lit("a fraction needs a numerator and a denominator of 1 or more"))).otherwise(F.col(denominator).cast("long"))
+    added = rows.groupBy(checked.alias("q")).agg(F.count("*").alias("n"), F.sum(F.col(numerator).cast("decimal(38,0)")).alias("p"))
+    folds = added.select("n", F.col("p").cast("string").alias("p"), F.col("q").cast("string").alias("q")).mapInArrow(_fold, "n long, p string, q string")
+    done = folds.repartition(1).mapInArrow(_mean, "n long, p string, q string")
+    return done.select("n", F.col("p").alias("numerator"), F.col("q").alias("denominator"))
+
 
-    common = lcm(*range(1, most + 1))
-    total = rows.agg(F.count("*").alias("n"), F.sum(F.col(numerator) * F.expr(f"{common}L div {denominator}")).alias("s"))
-    p, q = ra.reduced(F.col("s"), F.col("n") * F.lit(common))
-    return total.select("n", p.alias("numerator"), q.alias("denominator"))
+def exact_mean(rows: DataFrame, numerator: str, denominator: str) -> DataFrame:
+    """`exact_mean_text` in longs; a mean that does not fit is an error, never another number."""
+    return exact_mean_text(rows, numerator, denominator).select("n", *[F.col(c).cast("decimal(38,0)").cast("long").alias(c) for c in ("numerator", "denominator")])
 
 
 def breakdown(rows: DataFrame, by: str, aggregates: list[Column]) -> DataFrame:

@@ -57,20 +57,29 @@ def finalize(jobs: DataFrame, results: DataFrame, current: DataFrame) -> DataFra
     return rows.select("job_id", outcome.alias("outcome"))
 
 
-def submit(requests: DataFrame, records: DataFrame, now: Column, jobs: DataFrame | None = None) -> DataFrame:
-    """Outcomes of requests (workspace_id, key, fingerprint, and content with `jobs`): replayed, conflict, deduplicated or created.
+def submit(requests: DataFrame, records: DataFrame, now: Column, order: str, jobs: DataFrame | None = None) -> DataFrame:
+    """Outcomes of requests (workspace_id, key, fingerprint, `order`, and content with `jobs`): replayed, conflict, deduplicated or created.
 
-    A record of the key that has not expired replays or conflicts; else a job (workspace_id, content) of the same content takes
-    the request in; else it makes a job.
+    Requests come in the order of a unique column. A record of the key that has not expired answers them: the same fingerprint is
+    replayed, another conflicts. Without one the key's first request makes the record that answers the others. Such a first
+    request is taken in by a job (workspace_id, content) of the same content, whether it was there before or an earlier request
+    created it; else it creates the job. First requests are minima, combined before the shuffle.
     """
-    live = records.filter(F.col("expires_at") > now).select("workspace_id", "key", F.col("fingerprint").alias("__known"))
-    rows = requests.join(live, ["workspace_id", "key"], "left")
+    key = ["workspace_id", "key"]
+    live = records.filter(F.col("expires_at") > now).groupBy(*key).agg(F.first("fingerprint").alias("__known"))
+    first = requests.groupBy(*key).agg(F.min(F.struct(order, "fingerprint")).alias("__first"))
+    rows = requests.join(live, key, "left").join(first, key)
+    opens = F.col("__known").isNull() & (F.col(order) == F.col(f"__first.{order}"))
     alike = F.lit(False)
     if jobs is not None:
-        rows = rows.join(jobs.select("workspace_id", "content").distinct().withColumn("__alike", F.lit(True)), ["workspace_id", "content"], "left")
-        alike = F.coalesce("__alike", F.lit(False))
-    outcome = F.when(F.col("__known") == F.col("fingerprint"), "replayed").when(F.col("__known").isNotNull(), "conflict").when(alike, "deduplicated").otherwise("created")
-    return rows.withColumn("outcome", outcome).drop("__known", "__alike")
+        content = ["workspace_id", "content"]
+        there = jobs.select(*content).distinct().withColumn("__there", F.lit(True))
+        maker = rows.filter(opens).groupBy(*content).agg(F.min(order).alias("__maker"))
+        rows = rows.join(there, content, "left").join(maker, content, "left")
+        alike = F.coalesce("__there", F.lit(False)) | (F.col("__maker") < F.col(order))
+    same = F.coalesce("__known", F.col("__first.fingerprint")) == F.col("fingerprint")
+    outcome = F.when(opens & alike, "deduplicated").when(opens, "created").when(same, "replayed").otherwise("conflict")
+    return rows.withColumn("outcome", outcome).select(*requests.columns, "outcome")
 
 
 def heartbeat_outcomes(jobs: DataFrame, beats: DataFrame, applied: DataFrame, now: Column) -> DataFrame:

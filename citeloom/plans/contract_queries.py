@@ -669,12 +669,14 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "orders").select(k.alias("request_id"), (k % 3).alias("workspace_id"), k.alias("key"), F.col("o_orderpriority").alias("fingerprint"), F.col("o_custkey").alias("content"))
     records = requests.filter("request_id % 6 = 0").select("workspace_id", "key", F.when(mod("request_id", 12), "other").otherwise(F.col("fingerprint")).alias("fingerprint"), F.when(mod("request_id", 18), F.lit("2020-01-01")).otherwise("2030-01-01").cast("timestamp").alias("expires_at"))
     jobs = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.lit(1).cast("long").alias("workspace_id"), F.col("c_custkey").alias("content"))
-    return li.submit(requests, records, F.lit("2024-01-01").cast("timestamp"), jobs).select("request_id", "outcome")
+    return li.submit(requests, records, F.lit("2024-01-01").cast("timestamp"), "request_id", jobs).select("request_id", "outcome")
 
 
 SUBMISSIONS_SQL = """
-SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 18 > 0 THEN CASE WHEN o_orderkey % 12 = 0 THEN 'conflict' ELSE 'replayed' END
-  WHEN o_orderkey % 3 = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'deduplicated' ELSE 'created' END AS outcome FROM orders"""
+WITH r AS (SELECT *, o_orderkey % 3 AS ws, o_orderkey % 6 = 0 AND o_orderkey % 18 > 0 AS live FROM orders),
+f AS (SELECT *, row_number() OVER (PARTITION BY ws, o_custkey, live ORDER BY o_orderkey) AS nth FROM r)
+SELECT o_orderkey AS request_id, CASE WHEN live THEN CASE WHEN o_orderkey % 12 = 0 THEN 'conflict' ELSE 'replayed' END
+  WHEN nth > 1 OR ws = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) THEN 'deduplicated' ELSE 'created' END AS outcome FROM f"""
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,9 +79,9 @@ _SCORES = "count(*) AS n, round(avg(hits / gold_size), 9) AS recall, round(avg(c
 def exact_rational_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean recall and mean reciprocal rank as reduced fractions."""
     rows = metrics(spark, sf_dir).filter("gold_size > 0")
-    recall = el.exact_mean(rows, "hits", "gold_size", 8).withColumn("metric", F.lit("recall"))
+    recall = el.exact_mean(rows, "hits", "gold_size").withColumn("metric", F.lit("recall"))
     rr = rows.select(F.when(F.col("first_rank").isNull(), 0).otherwise(1).alias("p"), F.coalesce("first_rank", F.lit(1)).alias("q"))
-    both = recall.unionByName(el.exact_mean(rr, "p", "q", 8).withColumn("metric", F.lit("mrr")))
+    both = recall.unionByName(el.exact_mean(rr, "p", "q").withColumn("metric", F.lit("mrr")))
     return both.select("metric", "n", "numerator", "denominator", ra.text(F.col("numerator"), F.col("denominator")).alias("said"))
 
 
@@ -160,9 +160,9 @@ def improvement_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = runs(spark, sf_dir)
 
     def means(rows: DataFrame, run: str) -> DataFrame:
-        recall = el.exact_mean(rows, "hits", "gold_size", 8).select(F.col("n").alias(f"n_{run}"), F.col("numerator").alias(f"rp_{run}"), F.col("denominator").alias(f"rq_{run}"))
+        recall = el.exact_mean(rows, "hits", "gold_size").select(F.col("n").alias(f"n_{run}"), F.col("numerator").alias(f"rp_{run}"), F.col("denominator").alias(f"rq_{run}"))
         rr = rows.select(F.col("first_rank").isNotNull().cast("long").alias("p"), F.coalesce("first_rank", F.lit(1)).alias("q"))
-        return recall.crossJoin(el.exact_mean(rr, "p", "q", 8).select(F.col("numerator").alias(f"mp_{run}"), F.col("denominator").alias(f"mq_{run}")))  # one row each
+        return recall.crossJoin(el.exact_mean(rr, "p", "q").select(F.col("numerator").alias(f"mp_{run}"), F.col("denominator").alias(f"mq_{run}")))  # one row each
 
     both = means(one, "a").crossJoin(means(two, "b"))
     col = lambda m, run: (F.col(f"{m}p_{run}"), F.col(f"{m}q_{run}"))

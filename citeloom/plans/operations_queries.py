@@ -321,12 +321,13 @@ def idempotent_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("workspace_id"), F.col("o_orderstatus").alias("key"), F.col("o_orderpriority").alias("fingerprint"))
     first = o.groupBy("workspace_id", "key").agg(F.min_by(F.struct("o_orderkey", "fingerprint"), "o_orderkey").alias("f"))
     records = first.select("workspace_id", "key", F.col("f.fingerprint").alias("fingerprint"), F.when(F.col("f.o_orderkey") % 2 == 0, F.lit("2030-01-01")).otherwise("2000-01-01").cast("timestamp").alias("expires_at"))
-    return li.submit(o, records, F.lit("2024-01-01").cast("timestamp")).select("o_orderkey", "outcome")
+    return li.submit(o, records, F.lit("2024-01-01").cast("timestamp"), "o_orderkey").select("o_orderkey", "outcome")
 
 
 SUBMIT_SQL = """
-WITH f AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS k, arg_min(o_orderpriority, o_orderkey) AS fp FROM orders GROUP BY ALL)
-SELECT o_orderkey, CASE WHEN k % 2 <> 0 THEN 'created' WHEN fp = o_orderpriority THEN 'replayed' ELSE 'conflict' END AS outcome FROM orders JOIN f USING (o_custkey, o_orderstatus)"""
+WITH n AS (SELECT *, lag(o_orderkey) OVER w IS NULL AS opens, first_value(o_orderkey) OVER w % 2 = 0 AS live, first_value(o_orderpriority) OVER w AS known
+  FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey))
+SELECT o_orderkey, CASE WHEN opens AND NOT live THEN 'created' WHEN known = o_orderpriority THEN 'replayed' ELSE 'conflict' END AS outcome FROM n"""
 
 QUERIES = {f.__name__: f for f in (ops_snapshot, claim_latency, claim_histogram, retry_decisions, due_queue, claim_step, expired_recovery, job_status_projection, version_allocation, orphans, inconsistent_records, retained_objects, lifecycle_states, alert_islands, idempotent_submit, heartbeat_step, finalize_outcomes, job_matrix, replacement_jobs)}
 

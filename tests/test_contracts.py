@@ -62,6 +62,13 @@ def test_json_strings(spark):
     assert {r["i"]: r["s"] for r in rows} == {i: strings(v) for i, v in enumerate(values)}
 
 
+def test_json_strings_of_any_length_and_depth(spark):
+    long, deep = "x\\n\u00e9\"" * 200_000, "end"
+    texts = [json.dumps({"k": long}), "[" * 50_000 + json.dumps(deep) + "]" * 50_000, json.dumps({'a"b': 'c"d\\', "u": "\u2028\U0001f600"}), '{"a"  :\n"b" , "c":[ "d" ,"e:"]}', "3", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, j string").select("i", ca.json_strings(F.col("j")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in rows} == {0: [long], 1: [deep], 2: ['c"d\\', "\u2028\U0001f600"], 3: ["b", "d", "e:"], 4: [], 5: None}
+
+
 def test_differences_and_projections(spark):
     a = spark.createDataFrame([(1, "x", 2, "p"), (2, "y", 3, "p"), (3, "z", 1, "p")], "k long, m string, n int, id string")
     b = spark.createDataFrame([(1, "x", 2, "q"), (2, "y", 4, "q"), (4, "z", 1, "q")], "k long, m string, n int, id string")

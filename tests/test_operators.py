@@ -1,6 +1,7 @@
 """Golden values and edge cases of evidence, fusion, calibration, lifecycle and contracts."""
 
 import datetime as dt
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,7 +105,32 @@ def test_calibration_golden(spark):
 
 def test_exact_mean(spark):
     rows = spark.createDataFrame([(1, 2), (1, 3), (0, 1)], "p long, q long")
-    assert tuple(el.exact_mean(rows, "p", "q", 8).first()) == (3, 5, 18)
+    assert tuple(el.exact_mean(rows, "p", "q").first()) == (3, 5, 18)
+    assert tuple(el.exact_mean(spark.createDataFrame([(1, 11), (1, 3)], "p long, q long"), "p", "q").first()) == (2, 7, 33)
+    assert el.exact_mean(rows.filter("false"), "p", "q").collect() == []
+
+
+def test_exact_mean_of_any_denominators(spark):
+    fractions = [Fraction(i % 7, 1000 + i % 900) for i in range(2500)]
+    rows = spark.createDataFrame([(i % 7, 1000 + i % 900) for i in range(2500)], "p long, q long").repartition(4)
+    want = sum(fractions) / len(fractions)
+    n, p, q = el.exact_mean_text(rows, "p", "q").first()
+    assert (n, int(p), int(q)) == (2500, want.numerator, want.denominator) and len(q) > 38
+    with pytest.raises(Exception, match="(?i)cast|overflow|range"):
+        el.exact_mean(rows, "p", "q").collect()
+    with pytest.raises(Exception, match="needs a numerator"):
+        el.exact_mean(spark.createDataFrame([(1, 0)], "p long, q long"), "p", "q").collect()
+
+
+def test_submit_creates_once(spark):
+    """Of several requests of a new key in one batch the first creates, the others replay or conflict; an expired record counts as none."""
+    requests = spark.createDataFrame([(1, 7, "k", "a", "c1"), (2, 7, "k", "a", "c1"), (3, 7, "k", "b", "c2"), (4, 7, "old", "x", "c3"), (5, 7, "old", "x", "c3"), (6, 7, "live", "y", "c4"), (7, 7, "live", "z", "c4"), (8, 7, "new", "q", "c1"), (9, 8, "k", "a", "c1"), (10, 7, "job", "r", "c9")], "id long, workspace_id long, key string, fingerprint string, content string")
+    records = spark.createDataFrame([(7, "old", "w", "2020-01-01"), (7, "live", "y", "2030-01-01")], "workspace_id long, key string, fingerprint string, at string").withColumn("expires_at", F.col("at").cast("timestamp"))
+    now, jobs = F.lit("2024-01-01").cast("timestamp"), spark.createDataFrame([(7, "c9")], "workspace_id long, content string")
+    found = {r["id"]: r["outcome"] for r in li.submit(requests, records, now, "id", jobs).collect()}
+    assert found == {1: "created", 2: "replayed", 3: "conflict", 4: "created", 5: "replayed", 6: "replayed", 7: "conflict", 8: "deduplicated", 9: "created", 10: "deduplicated"}
+    found = {r["id"]: r["outcome"] for r in li.submit(requests, records, now, "id").collect()}
+    assert found[8] == "created" and found[10] == "created" and found[2] == "replayed"
 
 
 def test_overlap_pairs_equal_the_cross_join(spark):
