@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answering_queries, contract_queries, evaluation_queries, operations_queries, retrieval_queries
+from .plans import answering_queries, contract_queries, derivation_queries, evaluation_queries, operations_queries, retrieval_queries
 from .streaming import work_queue
 
 FLAGSHIP = "rrf_v2"
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **operations_queries.QUERIES,
     **evaluation_queries.QUERIES,
     **contract_queries.QUERIES,
+    **derivation_queries.QUERIES,
     **work_queue.QUERIES,
 }
 
@@ -26,6 +27,7 @@ ORACLE_SQL: dict[str, str] = {
     **operations_queries.ORACLE_SQL,
     **evaluation_queries.ORACLE_SQL,
     **contract_queries.ORACLE_SQL,
+    **derivation_queries.ORACLE_SQL,
     # the streams end in the states of the batch folds
     "queue_stream": operations_queries.LIFECYCLE_SQL,
     "alert_stream": f"SELECT event_id, firing FROM ({operations_queries.ALERT_SQL})",

@@ -6,7 +6,6 @@ by timers. Replayed over a finished stream the results equal the batch folds in
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.versions import shared_folder
+
 WORK_STATE = "failures long, n_events long, last string, lease_until long"
 WORK_OUT = "work_id long, failures long, n_events long, state string, batch_time long"
 KINDS = {"signup": "enqueued", "view": "claimed", "purchase": "done", "error": "failed", "click": "suppressed"}
@@ -99,14 +100,6 @@ class Alerts(StatefulProcessor):
         pass
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where it is unset, a temporary one in local runs and an error elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or tempfile.mkdtemp(prefix="citeloom-stream-")
-
-
 def replay(rows: DataFrame, schema: str) -> DataFrame:
     """Run a stream to the end of its present input and return what it appended."""
     spark = rows.sparkSession
