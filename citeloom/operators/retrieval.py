@@ -77,11 +77,6 @@ def vector_below(queries: DataFrame, chunks: DataFrame, k: int, min_similarity:
     return vector_sides(queries, chunks, k, min_similarity, on, ties).filter("NOT eligible").drop("eligible")
 
 
-def postings(chunks: DataFrame, keep: list[str]) -> DataFrame:
-    """The inverted index: token, chunk columns, tf; duplicates are combined before the shuffle."""
-    return chunks.select(*keep, F.explode(tx.tokens(F.col("content"))).alias("token")).groupBy(*keep, "token").agg(F.count("*").alias("tf"))
-
-
 def query_lexemes(queries: DataFrame) -> DataFrame:
     """query columns with lexemes; queries without any match nothing and are dropped here."""
     return queries.withColumn("lexemes", tx.lexemes(tx.full_fold(F.col("question")), folded=True)).filter(F.size("lexemes") > 0)

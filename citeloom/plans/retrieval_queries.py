@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..config import PRESETS
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..operators import index as ix
 from ..operators import retrieval as rt
 from ..sources.files import table
+from ..sources.versions import shared_folder
 from . import common as c
 
 HOME = ["workspace_id"]
@@ -69,6 +72,24 @@ def fts_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.fts_branch(c.questions(spark, sf_dir), _whole(spark, sf_dir), c.K, True, []).select("query_id", "chunk_id", "native_rank", F.col("branch_rank").cast("long").alias("branch_rank"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
+    """The same from an index that is written to the shared folder first and read by the questions' buckets."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    ix.write_index(_whole(spark, sf_dir), path)
+    found = ix.search(ix.read_index(spark, path), c.questions(spark, sf_dir), c.K, every)
+    return found.select("query_id", "chunk_id", "native_rank", F.col("branch_rank").cast("long").alias("branch_rank"))
+
+
+def index_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`fts_or_topk` from the kept index."""
+    return _indexed(spark, sf_dir, False)
+
+
+def index_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`fts_and_topk` from the kept index."""
+    return _indexed(spark, sf_dir, True)
+
+
 FTS_SQL = (
     "WITH lex AS (SELECT item_id AS query_id, unnest(" + c.sql_lexemes("text") + ") AS token FROM benchmark), "
     "said AS (SELECT doc_id AS chunk_id, unnest(" + c.sql_tokens("text") + ") AS token FROM documents), "
@@ -224,7 +245,7 @@ KEYWORD_SQL = (
     "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS branch_rank FROM m QUALIFY branch_rank <= 3"
 )
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_below_threshold, vector_norm_audit, lexeme_normalize, tsvector_tokens, fts_or_topk, fts_and_topk, rrf_v1, rrf_v2, preset_strategies, branch_observations, fts_eligibility, workspace_isolation, active_provenance, v2_gate, keyword_search)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_below_threshold, vector_norm_audit, lexeme_normalize, tsvector_tokens, fts_or_topk, fts_and_topk, index_or_topk, index_and_topk, rrf_v1, rrf_v2, preset_strategies, branch_observations, fts_eligibility, workspace_isolation, active_provenance, v2_gate, keyword_search)}
 
 ORACLE_SQL = {
     "vector_topk": VECTOR_SQL.replace("{op}", ">="),
@@ -234,6 +255,8 @@ ORACLE_SQL = {
     "tsvector_tokens": "SELECT doc_id, len(" + c.sql_tokens("text") + ") AS n_tokens, len(list_distinct(" + c.sql_tokens("text") + ")) AS n_distinct FROM documents",
     "fts_or_topk": FTS_SQL,
     "fts_and_topk": COVER_SQL,
+    "index_or_topk": FTS_SQL,
+    "index_and_topk": COVER_SQL,
     "rrf_v1": c.tied(RRF_SQL, ""),
     "rrf_v2": c.tied(RRF_SQL, "source_key, ordinal, "),
     "preset_strategies": PRESETS_SQL,
