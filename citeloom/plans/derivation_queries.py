@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import table
-from ..sources.versions import VersionedTable, activate, derive, shared_folder
+from ..sources.versions import VersionedTable, activate, derive, once, shared_folder
+from ..streaming.work_queue import event_stream
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,18 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS s, doc_id % 2 = 1 AND do
 SELECT doc_id AS document_id, CASE WHEN stale THEN 'r1-' ELSE 'r2-' END || s AS set_id, NOT stale AS activation_changed FROM d"""
 
 
-QUERIES = {f.__name__: f for f in (derivation_commits, activations)}
+def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type after a stream of them has run into the exactly-once sink twice, the second time without its checkpoint."""
+    base, kept = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}", _table(spark, "event_id long, event_type string")
+    for run in range(2):  # the second run hands in the same batches again
+        query = event_stream(spark, sf_dir).select("event_id", "event_type").writeStream.foreachBatch(once(kept, "events")).option("checkpointLocation", f"{base}/{run}").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return kept.read().groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_distinct"))
 
-ORACLE_SQL = {"derivation_commits": COMMITS_SQL, "activations": ACTIVATIONS_SQL}
+
+ONCE_SQL = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events GROUP BY event_type"
+
+
+QUERIES = {f.__name__: f for f in (derivation_commits, activations, events_once)}
+
+ORACLE_SQL = {"derivation_commits": COMMITS_SQL, "activations": ACTIVATIONS_SQL, "events_once": ONCE_SQL}

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -120,7 +121,7 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def commit(self, rows: DataFrame | None, after: int, replace: bool = False, said: dict | None = None) -> int:
-        """Make the version that follows `after`: its rows and `rows`, or `rows` alone with `replace`. `said` is kept in the manifest.
+        """Make the version that follows `after`: its rows and `rows`, or `rows` alone with `replace`. `said` is added to what the manifest before says.
 
         Raises Conflict if `after` is not the last version any more; the data files written for it are deleted. What a writer
         leaves that dies in between is read by nobody and goes with `vacuum`.
@@ -132,7 +133,7 @@ class VersionedTable:
         if rows is not None:
             rows.select(names).to(self.schema).write.parquet(f"{self.root}/{folder}")
             data.append(folder)
-        manifest = {"version": after + 1, "data": data, "said": said or {}}
+        manifest = {"version": after + 1, "data": data, "said": self.manifest(after)["said"] | (said or {})}
         staged = f"{self.root}/versions/.staged-{uuid.uuid4().hex}"
         self.files.write(staged, json.dumps(manifest, sort_keys=True, separators=(",", ":")))
         if not self.files.publish(staged, f"{self.root}/versions/{after + 1:020d}.json"):
@@ -141,6 +142,11 @@ class VersionedTable:
             raise Conflict(f"version {after + 1} was made by another writer")
         return after + 1
 
+    def compact(self) -> int:
+        """A version with the rows of the last one in one folder; a version that is made meanwhile is a Conflict."""
+        after = self.latest()
+        return self.commit(self.read(after), after, replace=True) if after else 0
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete data folders that none of the last `keep` versions names, and staged manifests; returns their names. Only while no writer runs."""
         used = {d for v in self.versions()[-keep:] for d in self.manifest(v)["data"]}
@@ -151,6 +157,29 @@ class VersionedTable:
         return gone
 
 
+def once(table: VersionedTable, stream: str) -> Callable[[DataFrame, int], None]:
+    """A writer for foreachBatch that adds each batch of a stream once, however often it is handed in.
+
+    The rows of a batch and its number become visible in one step, as both are in the manifest of the version: a crash before it
+    leaves neither, a replay after it finds the number and adds nothing. Several streams, and other writers, may share a table.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        for _ in range(TRIES):
+            after = table.latest()
+            done = table.manifest(after)["said"].get("batches", {})
+            if done.get(stream, -1) >= batch:
+                return
+            try:
+                table.commit(rows, after, said={"batches": done | {stream: batch}})
+                return
+            except Conflict:
+                continue
+        raise Conflict(f"{TRIES} conflicts in a row")
+
+    return write
+
+
 def derive(table: VersionedTable, prepared: DataFrame, key: list[str]) -> tuple[int, DataFrame]:
     """The derivation sink: append the prepared rows whose key the table does not hold, and say of each key what was done.
 

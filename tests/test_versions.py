@@ -142,3 +142,25 @@ def test_a_folder_behind_another_file_system(spark, tmp_path):
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.root.toUri(), files.conf)
     context.rename(files.path(f"file://{tmp_path}/t/a"), files.path(f"file://{tmp_path}/t/b"), files._no_overwrite())
     assert files.read(f"file://{tmp_path}/t/b") == "1"
+
+
+def test_a_replayed_batch_adds_nothing(spark, table, monkeypatch):
+    write = ve.once(table, "s")
+    write(frame(spark, 1), 0)
+    write(frame(spark, 1), 0)
+    write(frame(spark, 2), 1)
+    write(frame(spark, 1), 0)
+    ve.once(table, "other")(frame(spark, 7), 0)  # another stream counts for itself
+    assert ids(table.read()) == [1, 2, 7]
+    ve.derive(table, frame(spark, 8), ["k"])  # other writers keep what is said
+    write(frame(spark, 2), 1)
+    with monkeypatch.context() as m:  # the crash between the rows and their number
+        m.setattr(ve.Files, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            write(frame(spark, 3), 2)
+    assert ids(table.read()) == [1, 2, 7, 8]
+    write(frame(spark, 3), 2)
+    assert ids(table.read()) == [1, 2, 3, 7, 8]
+    assert table.compact() == table.latest() and len(table.manifest(table.latest())["data"]) == 1
+    write(frame(spark, 3), 2)
+    assert ids(table.read()) == [1, 2, 3, 7, 8]
