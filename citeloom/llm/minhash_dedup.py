@@ -12,7 +12,7 @@ left is verified on the full sets, which are made anew from the texts of the set
 
 Groups of near copies of any size are taken apart without all pairs. First each set is verified against one hub, the
 member of its bands that meets most others. Bands whose members lie in several components then tell each set its
-closest members in other components, eight at first, eight times as many in each round until none is left
+closest members in other components, of which the closest of each set go first while there are many, until none is left
 untried: only links between components can change the result. A band of many sets is dealt in parts of bounded size.
 """
 
@@ -149,8 +149,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and its set (sorted 64-bit hashes, binary) for nodes (node, th, digest), from the texts of the documents."""
-    texts = docs.join(nodes.select("node", "th", "digest"), "th").select("node", "digest", "text")
+    """node and its set (sorted 64-bit hashes, binary) for nodes (node, rep, digest), each from the text of one of its documents."""
+    chosen = nodes.select("node", "digest", F.col("rep.th").alias("k"), F.col("rep.doc_id").alias("id"))
+    texts = docs.join(chosen, (F.col("th") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "digest", "text")
 
     def make(texts: list[bytes | None]) -> list:
         words = Words()
@@ -158,7 +159,8 @@ def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         return [made, [hashlib.blake2b(m, digest_size=16).digest() for m in made]]
 
     made = map_text(texts, "text", [("set", T.BinaryType()), ("own", T.BinaryType())], make, ("node", "digest"))
-    return made.filter("own = digest").select("node", "set")  # texts whose hash agrees by chance are others
+    # texts whose hash agrees by chance are others; rows may repeat
+    return made.filter("own = digest").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _closest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def _closest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
     side 0 and 1 are compared with one another, side 2 within itself. `left`: whether there were more than `most`.
     """
-    names, held = ["a", "b", "left"], None
+    names, held = ["a", "b", "share", "left"], None
 
     def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         side, node, comp = (rows.column(c).to_numpy() for c in ("side", "node", "comp"))
@@ -182,7 +184,7 @@ def _closest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
                 order = np.lexsort((node[other], -share))[:most]
                 to = node[other[order]]
                 low, high = np.minimum(to, node[x]), np.maximum(to, node[x])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.full(len(to), len(other) > most))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(share[order]), pa.array(np.full(len(to), len(other) > most))], names=names)
 
     def blocks(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
         keys = [rows.column(c).to_numpy() for c in ("band", "key", "i", "j")]
@@ -207,7 +209,7 @@ def _closest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 
 def across(members: DataFrame, nodes: DataFrame, roots: DataFrame, most: int, part: int = PART) -> DataFrame:
-    """Candidates (a, b, left) between components within the bands of `members` (band, key, node).
+    """Candidates (a, b, share, left) between components within the bands of `members` (band, key, node).
 
     The largest component of a band only meets the others, in parts of at most about `part` sets.
     """
@@ -227,8 +229,8 @@ def across(members: DataFrame, nodes: DataFrame, roots: DataFrame, most: int, pa
     side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
     dealt = dealt.union(pairs.select(*own, (-1 - F.least("p", "q")).alias("i"), (-1 - F.greatest("p", "q")).alias("j"), side.alias("side")))
     dealt = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node")
-    found = dealt.mapInArrow(lambda b: _closest(b, most), "a long, b long, left boolean")
-    return found.groupBy("a", "b").agg(F.max("left").alias("left"))
+    found = dealt.mapInArrow(lambda b: _closest(b, most), "a long, b long, share double, left boolean")
+    return found.groupBy("a", "b").agg(F.max("share").alias("share"), F.max("left").alias("left"))
 
 
 def near_sets(nodes: DataFrame, docs: DataFrame, part: int = PART) -> DataFrame:
@@ -244,8 +246,8 @@ def near_sets(nodes: DataFrame, docs: DataFrame, part: int = PART) -> DataFrame:
     star = members.select("band", "key", "node").join(hubs, ["band", "key"]).groupBy("node").agg(F.max("hub").alias("hub"))
     pairs = star.select(F.least("node", -F.col("hub.minus")).alias("a"), F.greatest("node", -F.col("hub.minus")).alias("b")).filter("a <> b").distinct()
     tried = materialize(likely(pairs, nodes), "minhash-tried")
-    described, sets, links, candidates = nodes.select("node", "th", "digest"), None, None, None
-    fresh, most, roots = tried, FIRST, None
+    described, sets, links = nodes.select("node", "rep", "digest"), None, None
+    fresh, most, many, open_pairs = tried, FIRST, met.count(), None
     while True:
         wanted = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")
@@ -255,14 +257,29 @@ def near_sets(nodes: DataFrame, docs: DataFrame, part: int = PART) -> DataFrame:
         if links is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             roots = materialize(components(links), "minhash-roots")
-        elif candidates.filter("left").isEmpty():
-            return roots
+        elif fresh is open_pairs:  # all that are known have been tried and none links
+            if open_pairs.filter("left").isEmpty():
+                return roots
+            most *= FIRST
         placed = members.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        candidates = materialize(across(members.select("band", "key", "node"), nodes, placed, most, part), "minhash-candidates")
-        fresh = materialize(candidates.join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-fresh")
-        if fresh.isEmpty() and candidates.filter("left").isEmpty():
-            return roots
-        tried, most = tried.union(fresh), most * FIRST
+        while True:
+            candidates = across(members.select("band", "key", "node"), nodes, placed, most, part)
+            open_pairs = materialize(candidates.join(tried, ["a", "b"], "left_anti"), "minhash-open")
+            n = open_pairs.count()
+            if n:
+                break
+            if not candidates.filter("left").limit(1).count():
+                return roots
+            most *= FIRST
+        # no more pairs than bands with candidates are verified at once; beyond, the closest of each set go first
+        fresh = open_pairs if n <= many else materialize(closest_of_each(open_pairs), "minhash-fresh")
+        tried = tried.union(fresh.select("a", "b"))
+
+
+def closest_of_each(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, share, left) those that are the closest of one of their sets."""
+    best = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("share", "a", "b", "left").alias("p")).groupBy("node").agg(F.max("p").alias("p"))
+    return best.select("p.a", "p.b", "p.left").distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int = PART) -> DataFrame:
@@ -277,9 +294,9 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", par
     L, B = T.LongType(), T.BinaryType()
     fields = [("n_shingles", L), ("digest", B), ("keys", T.ArrayType(L)), ("tail", B)]
     rows = materialize(map_text(docs, "text", fields, _described, ("doc_id", "th")), "minhash-docs")
-    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.min("tail").alias("tail"), F.min("keys").alias("keys"))
+    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("tail").alias("tail"), F.min("keys").alias("keys"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
-    roots = near_sets(nodes, docs.select("text", "th"), part)
+    roots = near_sets(nodes, docs, part)
     member = nodes.select("node", "digest", "low").join(roots, "node", "left").select("digest", "low", F.coalesce("root", "node").alias("root"))
     member = materialize(member, "minhash-groups")
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
