@@ -13,7 +13,9 @@ left is verified on the full sets, which are made anew from the texts of the set
 Groups of near copies of any size are taken apart without all pairs. First each set is verified against one hub, the
 member of its bands that meets most others. Bands whose members lie in several components then tell each set its
 closest members in other components, of which the closest of each set go first while there are many, until none is left
-untried: only links between components can change the result. A band of many sets is dealt in parts of bounded size.
+untried: only links between components can change the result. New links contract the graph of the components so far;
+bands are dealt again only once every known pair is tried and some set had more candidates than it told. A band of many
+sets is dealt in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -246,36 +248,44 @@ def near_sets(nodes: DataFrame, docs: DataFrame, part: int = PART) -> DataFrame:
     star = members.select("band", "key", "node").join(hubs, ["band", "key"]).groupBy("node").agg(F.max("hub").alias("hub"))
     pairs = star.select(F.least("node", -F.col("hub.minus")).alias("a"), F.greatest("node", -F.col("hub.minus")).alias("b")).filter("a <> b").distinct()
     tried = materialize(likely(pairs, nodes), "minhash-tried")
-    described, sets, links = nodes.select("node", "rep", "digest"), None, None
-    fresh, most, many, open_pairs = tried, FIRST, met.count(), None
+    described, sets, roots = nodes.select("node", "rep", "digest"), None, None
+    fresh, most, many, open_pairs, n, left = tried, FIRST, met.count(), None, 0, True
     while True:
         wanted = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")
         made = materialize(sets_of(described.join(wanted, "node", "left_semi"), docs), "minhash-sets")
         sets = made if sets is None else sets.union(made)
         found = materialize(verified(fresh, sets), "minhash-links")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = materialize(components(links), "minhash-roots")
-        elif fresh is open_pairs:  # all that are known have been tried and none links
-            if open_pairs.filter("left").isEmpty():
-                return roots
-            most *= FIRST
-        placed = members.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        while True:
-            candidates = across(members.select("band", "key", "node"), nodes, placed, most, part)
-            open_pairs = materialize(candidates.join(tried, ["a", "b"], "left_anti"), "minhash-open")
+        if roots is None:
+            roots = materialize(components(found), "minhash-roots")
+        elif not found.isEmpty():
+            roots = materialize(contracted(roots, found), "minhash-roots")
+        if n:  # what is known and not tried stays open where it still lies between components
+            apart = open_pairs.join(fresh.select("a", "b"), ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+            open_pairs = materialize(apart.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "share", "left"), "minhash-open")
             n = open_pairs.count()
-            if n:
-                break
-            if not candidates.filter("left").limit(1).count():
+        while not n:
+            if not left:  # the last deal told every pair, and all of them have been tried or lie within a component
                 return roots
-            most *= FIRST
+            placed = members.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            dealt = materialize(across(members.select("band", "key", "node"), nodes, placed, most, part), "minhash-dealt")
+            left = not dealt.filter("left").isEmpty()
+            open_pairs = materialize(dealt.join(tried, ["a", "b"], "left_anti"), "minhash-open")
+            n = open_pairs.count()
+            most = most if n else most * FIRST
         # no more pairs than bands with candidates are verified at once; beyond, the closest of each set go first
         fresh = open_pairs if n <= many else materialize(closest_of_each(open_pairs), "minhash-fresh")
         tried = tried.union(fresh.select("a", "b"))
 
 
+def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node and root after `links` (a, b) are added to the components `roots`: only the graph of roots is contracted."""
+    ends = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    moved = materialize(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "minhash-moved")
+    old = roots.join(moved.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return old.union(moved.join(roots.select("node"), "node", "left_anti"))
+
+
 def closest_of_each(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, share, left) those that are the closest of one of their sets."""
     best = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("share", "a", "b", "left").alias("p")).groupBy("node").agg(F.max("p").alias("p"))
