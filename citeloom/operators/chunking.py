@@ -1,21 +1,24 @@
 """Chunkers: lines and token windows as column expressions, heading paragraphs and page blocks in Arrow batches.
 
 The tokenizer is pluggable: a function from a text to its token spans [(start, end), ...]. The default takes
-whitespace-separated words, since a byte-pair vocabulary is not part of the library.
+whitespace-separated words; `citeloom.functions.tokens.BytePairs` takes the tokens of a public vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Chunking
 from ..functions import text as tx
+from ..functions.tokens import BytePairs
 
 Spans = Callable[[str], list[tuple[int, int]]]
 CHUNKS = "doc_id long, ordinal int, heading_path array<string>, start_line int, end_line int, content string, content_checksum string, token_count int"
@@ -72,11 +75,15 @@ def paragraphs(text: str, markdown: bool) -> Iterator[tuple[tuple[str, ...], int
 
 
 def heading_chunks(docs: DataFrame, config: Chunking | None = None, spans: Spans = word_spans) -> DataFrame:
-    """Chunks of markdown and plain documents (doc_id, text, media_type), oversize paragraphs as token windows."""
+    """Chunks of markdown and plain documents (doc_id, text, media_type), oversize paragraphs as token windows.
+
+    A window of byte pairs is what its ids decode to: a character cut by its ends is U+FFFD there.
+    """
     config = config or Chunking()
 
     def cut(content: str) -> Iterator[tuple[str, int]]:
-        at = spans(content)
+        ids = isinstance(spans, BytePairs)
+        at = spans.encode(content) if ids else spans(content)
         if len(at) <= config.max_tokens:
             yield content, len(at)
             return
@@ -84,7 +91,7 @@ def heading_chunks(docs: DataFrame, config: Chunking | None = None, spans: Spans
         for s in starts:
             if s == 0 or len(at) - s > config.overlap_tokens:
                 piece = at[s : s + config.target_tokens]
-                yield content[piece[0][0] : piece[-1][1]], len(piece)
+                yield spans.decode(piece) if ids else content[piece[0][0] : piece[-1][1]], len(piece)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -100,65 +107,74 @@ def heading_chunks(docs: DataFrame, config: Chunking | None = None, spans: Spans
     return docs.select("doc_id", "text", "media_type").mapInPandas(run, CHUNKS)
 
 
-def blocks(text: str, spans: Spans) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of the stretches between empty lines."""
-    out = []
-    for m in re.finditer(r"(?:(?!\n{2,}).)+", text, re.S):
-        piece = m[0]
-        start = m.start() + len(piece) - len(piece.lstrip())
-        end = m.end() - (len(piece) - len(piece.rstrip()))
-        if start < end:
-            out.append((start, end, len(spans(text[start:end]))))
-    return out
+def blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the stretches between empty lines, without the white space around them."""
+    at = 0
+    for gap in re.finditer(r"\n{2,}|\Z", text):
+        piece = text[at : gap.start()]
+        bare = piece.strip()
+        if bare:
+            start = at + len(piece) - len(piece.lstrip())
+            yield start, start + len(bare)
+        at = gap.end()
 
 
 def pack(text: str, config: Chunking, spans: Spans = word_spans) -> list[tuple[int, int]]:
-    """Ranges of a page: blocks packed up to the target, with whole blocks of overlap; oversize blocks are split."""
-    tokens = lambda s, e: len(spans(text[s:e]))
+    """Ranges of a page: blocks packed up to the target, with whole blocks of overlap; oversize blocks are split.
+
+    The page is tokenized once. A range has the tokens that start in it, so sizes are differences of token numbers, and the
+    block that the next range starts with is found by bisection: all is linear in the page, but for that search. Oversize
+    blocks are cut between characters; a character of more tokens than the limit is a range of its own.
+    """
+    tokens = spans(text)
+    starts = [s for s, _ in tokens]
+    numbered = [(s, e, bisect_left(starts, s), bisect_left(starts, e)) for s, e in blocks(text)]
     out: list[tuple[int, int]] = []
-    held: list[tuple[int, int, int]] = []
-    for block in blocks(text, spans):
-        start, end, n = block
-        if n > config.max_tokens:
-            if held:
-                out.append((held[0][0], held[-1][1]))
-            held = []
-            at = spans(text[start:end])
-            step = max(1, config.max_tokens - config.overlap_tokens)
-            for s in range(0, n, step):
-                piece = at[s : s + config.max_tokens]
-                out.append((start + piece[0][0], start + piece[-1][1]))
-                if s + config.max_tokens >= n:
-                    break
-        elif not held or tokens(held[0][0], end) <= config.target_tokens:
-            held.append(block)
-        else:
-            out.append((held[0][0], held[-1][1]))
-            keep = len(held)
-            while keep and tokens(held[keep - 1][0], held[-1][1]) <= config.overlap_tokens:
-                keep -= 1
-            held = [*held[keep:], block]
-            while len(held) > 1 and tokens(held[0][0], end) > config.max_tokens:
-                held = held[1:]
-    if held:
-        out.append((held[0][0], held[-1][1]))
+    for oversize, group in groupby(numbered, lambda b: b[3] - b[2] > config.max_tokens):
+        run = list(group)
+        if oversize:
+            for _, end, first, last in run:
+                whole = lambda t, last=last: next(x for x in range(t, -1, -1) if x in (0, last) or starts[x] >= tokens[x - 1][1])
+                while True:
+                    stop = min(first + config.max_tokens, last)
+                    stop = whole(stop) if whole(stop) > first else next(x for x in range(stop, last + 1) if x == last or starts[x] >= tokens[x - 1][1])
+                    out.append((starts[first], end if stop == last else tokens[stop - 1][1]))
+                    if stop == last:
+                        break
+                    after = whole(max(stop - config.overlap_tokens, first + 1))
+                    first = after if after > first else stop
+            continue
+        firsts, low = [b[2] for b in run], 0
+        for i in range(1, len(run) + 1):
+            if i < len(run) and run[i][3] - firsts[low] <= config.target_tokens:
+                continue
+            out.append((run[low][0], run[i - 1][1]))
+            if i < len(run):  # the next begins with the last blocks that fit the overlap, as far as it stays within the limit
+                fits = max(run[i - 1][3] - config.overlap_tokens, run[i][3] - config.max_tokens)
+                low = bisect_left(firsts, fits, low, i)
     return out
 
 
 def page_chunks(pages: DataFrame, config: Chunking | None = None, spans: Spans = word_spans) -> DataFrame:
     """Chunks of normalized pages (doc_id, page_number, text) with their offsets in the page, ordinals over the document.
 
-    A document's pages are ordered within its own group; one document is bounded by the page and size limits of
-    ingestion.
+    Pages are cut where they are read, one at a time; the ordinals take one sort of a document's chunks, which spills.
+    A null text has no chunks.
     """
     config = config or Chunking()
+    names = [c.split()[0] for c in PAGE_CHUNKS.split(", ") if not c.startswith("ordinal")]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for doc_id, number, text in f.sort_values("page_number")[["doc_id", "page_number", "text"]].itertuples(index=False):
-            for s, e in pack(text or "", config, spans):
-                piece = text[s:e]
-                rows.append((doc_id, number, len(rows), s, e, piece, hashlib.sha256(piece.encode()).hexdigest(), len(spans(piece))))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_CHUNKS.split(", ")])
-
-    return pages.select("doc_id", "page_number", "text").groupBy("doc_id").applyInPandas(run, PAGE_CHUNKS)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows: list[tuple] = []
+            for doc_id, number, text in f.itertuples(index=False):
+                text = text or ""
+                starts = [s for s, _ in spans(text)]
+                for s, e in pack(text, config, spans):
+                    piece = text[s:e]
+                    rows.append((doc_id, number, s, e, piece, hashlib.sha256(piece.encode()).hexdigest(), bisect_left(starts, e) - bisect_left(starts, s)))
+            yield pd.DataFrame(rows, columns=names)
+
+    made = pages.select("doc_id", "page_number", "text").mapInPandas(run, ", ".join(c for c in PAGE_CHUNKS.split(", ") if not c.startswith("ordinal")))
+    order = Window.partitionBy("doc_id").orderBy("page_number", "start_offset", "end_offset", "content_checksum")
+    return made.withColumn("ordinal", F.row_number().over(order) - 1).select(*[c.split()[0] for c in PAGE_CHUNKS.split(", ")])

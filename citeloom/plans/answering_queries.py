@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Chunking
 from ..functions import text as tx
+from ..functions import tokens as tk
 from ..operators import answering as an
 from ..operators import chunking as ch
 from ..operators import derivation as de
@@ -220,6 +221,36 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.page_chunks(pages, WINDOWS).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "start_offset", "end_offset", "token_count", "content_checksum")
 
 
+HEADINGS_SQL = r"""
+WITH p AS (SELECT doc_id, unnest(string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n')) AS t FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(t, '\S+')) AS n FROM p),
+w AS (SELECT doc_id, CASE WHEN n <= 650 THEN [n] ELSE list_transform(list_filter(range(0, n, 425), lambda s: s = 0 OR n - s > 75), lambda s: least(500, n - s)) END AS w FROM n WHERE n > 0)
+SELECT doc_id, CAST(sum(len(w)) AS BIGINT) AS n_chunks, CAST(sum(list_sum(w)) AS BIGINT) AS n_tokens FROM w GROUP BY doc_id"""
+
+
+def byte_pairs(spark: SparkSession) -> tk.BytePairs:
+    """The byte-pair vocabulary that the session names."""
+    return tk.BytePairs.load(spark, spark.conf.get("spark.citeloom.ranks", tk.RANKS))
+
+
+def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte pairs of every whole document: their number, a digest of the ids and whether they spell the text again."""
+    rows = tk.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", byte_pairs(spark))
+    return rows.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "exact")
+
+
+def bpe_heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents, sized and cut in byte pairs."""
+    docs = table(spark, sf_dir, "documents").withColumn("media_type", F.lit("text/plain"))
+    return ch.heading_chunks(docs, WINDOWS, byte_pairs(spark)).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "token_count", "content_checksum")
+
+
+def bpe_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the normalized pages, packed by their number of byte pairs."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), tx.page_text(F.col("html")).alias("text"))
+    return ch.page_chunks(pages, WINDOWS, byte_pairs(spark)).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "start_offset", "end_offset", "token_count", "content_checksum")
+
+
 def corpus_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the corpus of line chunks can be cut over to the vectors that exist."""
     sets = chunk_set_digest(spark, sf_dir).select(F.col("doc_id"), F.col("digest").alias("before_digest"))
@@ -228,7 +259,7 @@ def corpus_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return de.cutover(rows)
 
 
-QUERIES = {f.__name__: f for f in (evidence_selection, answers, citations, refusals, marker_parse, paragraph_chunks, token_windows, page_normalize, chunk_set_digest, population_digest, dedupe_identity, reuse_outcome, deterministic_embedding, heading_chunks, page_chunks, corpus_cutover)}
+QUERIES = {f.__name__: f for f in (evidence_selection, answers, citations, refusals, marker_parse, paragraph_chunks, token_windows, page_normalize, chunk_set_digest, population_digest, dedupe_identity, reuse_outcome, deterministic_embedding, heading_chunks, page_chunks, bpe_tokens, bpe_heading_chunks, bpe_page_chunks, corpus_cutover)}
 
 ORACLE_SQL = {
     "evidence_selection": EVIDENCE_SQL,
@@ -238,6 +269,7 @@ ORACLE_SQL = {
     "marker_parse": MARKERS_SQL,
     "paragraph_chunks": "SELECT doc_id, ordinal, sha256(content) AS checksum, length(content) AS n_chars FROM (" + _LINES + ")",
     "token_windows": WINDOWS_SQL,
+    "heading_chunks": HEADINGS_SQL,
     "page_normalize": PAGES_SQL,
     "chunk_set_digest": _DIGEST + "SELECT * FROM d",
     "population_digest": _DIGEST + "SELECT source AS workspace_id, count(*) AS n_documents, sha256(string_agg('doc/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(0) || 'set-' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || chr(0) || digest || chr(10), '' ORDER BY doc_id)) AS digest FROM d JOIN documents USING (doc_id) GROUP BY source",

@@ -46,10 +46,13 @@ class WorkQueue(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failures, n, last, _ = self.state.get() or (0, 0, "", 0)
-        events = pd.concat(list(rows)).sort_values(["at", "seq"])
+        failures, n, newest = int(failures), int(n), None
         now = timerValues.getCurrentProcessingTimeInMs() if self.lease_ms else 0
-        failures, n = int(failures) + int((events["kind"] == "failed").sum()), int(n) + len(events)
-        last = str(events["kind"].iloc[-1])
+        for f in rows:  # frames come in no order; what is kept of each is its counts and its newest event
+            failures, n = failures + int((f["kind"] == "failed").sum()), n + len(f)
+            at, seq, kind = f[["at", "seq", "kind"]].sort_values(["at", "seq"]).iloc[-1]
+            newest = max(newest, (at, seq, str(kind))) if newest else (at, seq, str(kind))
+        last = newest[2]
         lease = 0
         if last == "claimed" and self.lease_ms:
             lease = now + self.lease_ms
