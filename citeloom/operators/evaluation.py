@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import TAXONOMY, Calibration
 from ..functions import rational as ra
+from ..sources.versions import shared_folder
 
 
 def case_metrics(cases: DataFrame, k: int = 8) -> DataFrame:
@@ -95,31 +97,42 @@ def calibrate(cases: DataFrame, hard_negatives: DataFrame, policy: Calibration |
     return done.select(passed.alias("passed"), F.when(passed, F.col("threshold")).alias("threshold"), "gate_1", "gate_2", "gate_3", "gate_4")
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` written to the shared folder and read back, for steps that read them several times."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
     """left_id, right_id, common, smaller, exact: pairs of token sets that share at least `least` of the smaller set.
 
     `left` and `right`: id, words (distinct tokens) and said (the normalized text, where equal ones are to be told as exact). Prefix
-    filtering instead of a cross join: in any fixed order of tokens, a set that shares that much of itself has one of
-    its first size - ceil(least * size) + 1 tokens in common, so the prefix of the smaller set meets all tokens of the
-    larger. Rare tokens come first, by how many sets hold them, so frequent ones are in hardly any prefix. Common tokens
-    are counted on the pairs found; whole sets are looked at once a side.
+    filtering instead of a cross join: in any order of its tokens, a set that shares that much of itself has one of its
+    first size - ceil(least * size) + 1 tokens in common, so the prefix of the smaller set meets all tokens of the larger.
+    Tokens that are rare on the other side come first. Only the smaller set of a pair is ranked: of the left side those that are
+    smaller than some set of the right side, so a large left side is counted by token but never sorted. Sets are folded
+    once and written; whole ones are looked at for the pairs found, and texts are compared by their hash.
     """
     said = lambda x: F.col("said") if "said" in x.columns else F.array_join(F.array_sort("words"), " ")
-    sized = lambda x: x.filter(F.size("words") > 0).select("id", said(x).alias("said"), F.size("words").alias("n"), "words")
-    a, b = sized(left), sized(right)
-    exploded = a.select(F.explode("words").alias("token")).union(b.select(F.explode("words").alias("token")))
-    often = exploded.groupBy("token").agg(F.count("*").alias("df"))
-
-    def side(x: DataFrame, name: str) -> DataFrame:
-        rows = x.select("id", "n", F.explode("words").alias("token")).join(often, "token")
+    sized = lambda x: x.filter(F.size("words") > 0).select("id", F.sha2(said(x), 256).alias("said"), F.size("words").alias("n"), "words")
+    a, b = stored(sized(left), "overlap-left"), stored(sized(right), "overlap-right")
+    tokens = lambda x: x.select("id", "n", F.explode("words").alias("token"))
+    one, two = tokens(a), tokens(b)
+    in_right = two.groupBy("token").agg(F.count("*").alias("df"))
+    in_left = one.join(in_right.select("token"), "token").groupBy("token").agg(F.count("*").alias("df"))
+
+    def prefixes(rows: DataFrame, elsewhere: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
         need = F.col("n") - F.ceil(F.round(F.col("n") * least, 9)).cast("int") + 1
-        return rows.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), "token", (place <= need).alias(f"{name}_prefix"))
-
-    one, two = side(a, "left"), side(b, "right")
-    from_left = one.filter("left_prefix").join(two, "token").filter("left_n <= right_n").select("left_id", "right_id")
-    from_right = two.filter("right_prefix").join(one, "token").filter("right_n < left_n").select("left_id", "right_id")
-    pairs = from_left.union(from_right).distinct()
+        ranked = rows.join(elsewhere, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("in_prefix", place <= need)
+        return ranked.filter("in_prefix AND df > 0").select("id", "n", "token")
+
+    largest = F.broadcast(b.agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest")))  # one row
+    short = tokens(a.crossJoin(largest).filter("n < largest"))
+    from_right = prefixes(two, in_left).toDF("right_id", "right_n", "token").join(one.toDF("left_id", "left_n", "token"), "token").filter("right_n <= left_n")
+    from_left = prefixes(short, in_right).toDF("left_id", "left_n", "token").join(two.toDF("right_id", "right_n", "token"), "token").filter("left_n < right_n")
+    pairs = from_right.select("left_id", "right_id").union(from_left.select("left_id", "right_id")).distinct()
     full = pairs.join(a.select(F.col("id").alias("left_id"), F.col("words").alias("wa"), F.col("said").alias("sa")), "left_id")
     full = full.join(b.select(F.col("id").alias("right_id"), F.col("words").alias("wb"), F.col("said").alias("sb")), "right_id")
     full = full.select("left_id", "right_id", F.size(F.array_intersect("wa", "wb")).alias("common"), F.least(F.size("wa"), F.size("wb")).alias("smaller"), (F.col("sa") == F.col("sb")).alias("exact"))
