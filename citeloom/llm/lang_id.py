@@ -21,7 +21,6 @@ from .common import map_text, materialize
 
 BUCKETS = 1 << 14
 SAMPLE_PER_LANG = 400  # labelled rows per language for training: those with the smallest hashes of their text
-SAMPLE_CHARS = 100_000  # rows of longer texts are not used for training (all texts are predicted, whole)
 PARTS = 256  # that a language's hashes meet its share in
 LETTER = re.compile(r"[^\W\d_]")
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -56,14 +55,18 @@ class Model:
         return e / e.sum()
 
 
-def train(rows: list[tuple[str, bytes]], dim: int = 16, epochs: int = 6, rate: float = 2.0, seed: int = 3) -> Model | None:
-    """SGD on (lang, lower-cased text) rows; None without rows. Every fifth row calibrates."""
+def counted(text: bytes) -> np.ndarray:
+    """Buckets of a whole lower-cased text with the number of its grams in each, as two rows."""
+    return np.stack(np.unique(grams(text), return_counts=True)).astype(np.int64)
+
+
+def train(rows: list[tuple[str, np.ndarray]], dim: int = 16, epochs: int = 6, rate: float = 2.0, seed: int = 3) -> Model | None:
+    """SGD on (lang, buckets and counts of a text) rows; None without rows. Every fifth row calibrates."""
     if not rows:
         return None
     langs = sorted({x for x, _ in rows})
     rng = np.random.default_rng(seed)
-    data = [(langs.index(x), *np.unique(grams(t), return_counts=True)) for x, t in rows if t.strip()]
-    data = [(y, u, (n / n.sum()).astype(np.float32)) for y, u, n in data if len(u)]
+    data = [(langs.index(x), u, (n / n.sum()).astype(np.float32)) for x, (u, n) in rows if len(u)]
     order = rng.permutation(len(data))
     held, fit = order[: len(data) // 5], order[len(data) // 5 :]
     e = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
@@ -105,14 +108,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, bytes]]:
+def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, np.ndarray]]:
     """The bounded training sample: of each language the rows with the smallest text hashes, not held out.
 
     Rows are chosen by hash alone; only the texts of the chosen ones, a bounded number, are read after that. Texts are
     counted by language first, and only hashes so small that about 4 * `per_lang` are smaller are ranked: no task gets all
-    rows of a language.
+    rows of a language. Texts of any length take part, whole: tasks turn them into counts by bucket, and only these, at
+    most one for each bucket, come to the driver.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.withColumn("h", F.xxhash64("text"))
     hashes = materialize(rows.select("lang", "h").distinct(), "lang-hashes").withColumn("part", F.pmod("h", F.lit(PARTS)))
     share = F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.count("*"))
@@ -121,9 +125,12 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str,
     chosen = hashes.join(low, ["lang", "part"]).filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
     chosen = chosen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang)
     chosen = materialize(chosen.select("lang", "h"), "lang-sample")
-    texts = rows.join(chosen, ["lang", "h"]).select("lang", "h", F.lower("text").alias("text")).dropDuplicates(["lang", "h"])
-    found = texts.collect()
-    return [(r["lang"], r["text"].encode()) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))]
+    texts = rows.join(chosen, ["lang", "h"]).select("lang", "h", F.lower("text").alias("text"))
+    # blank texts teach nothing; of rows with one hash the counts of one stand for all, as their texts are equal
+    made = map_text(texts, "text", [("counts", T.BinaryType())], lambda ts: [[counted(t).tobytes() if t.strip() else b"" for t in ts]], ("lang", "h"))
+    found = made.groupBy("lang", "h").agg(F.min("counts").alias("counts")).collect()
+    found.sort(key=lambda r: (r["lang"], r["h"]))
+    return [(r["lang"], np.frombuffer(r["counts"], np.int64).reshape(2, -1)) for r in found]
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
