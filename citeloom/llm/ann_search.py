@@ -189,19 +189,31 @@ def tables_of_queries(queries: DataFrame, first_bits: int) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row where `is_query` (a condition on vec_id).
 
-    Candidates are all rows with another vec_id. Vectors that are null, zero or hold null or non-finite
-    components, null ids, and vectors not of the most frequent length take no part. Rows that share an id are
+    Candidates are all rows with another vec_id whose vector is as long as the query's: between others there is no
+    distance. Each length has an index of its own, so a table of many lengths takes a search for each. Vectors that are
+    null, zero or hold null or non-finite components, and null ids, take no part. Rows that share an id are
     one candidate, at its nearest. Ties go to the smaller id; with fewer than k candidates all are returned; an
     empty table gives no rows. Of rows with equal vectors only the k + 1 smallest ids are kept, as no others can be
     among the k nearest of anything. Other columns are not looked at.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
-    size = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    lengths = [r["n"] for r in rows.select(F.size("x").alias("n")).distinct().orderBy("n").collect()]
+    found = [_nearest_alike(rows.filter(F.size("x") == n), is_query, k, part_rows) for n in lengths]
+    if len(found) == 1:
+        return found[0]
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for f in found:
+        out = out.union(f)
+    # an id may have rows of several lengths
+    best = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_alike(rows: DataFrame, is_query, k: int, part_rows: int) -> DataFrame:
+    """`nearest` of the rows (vec_id, x), whose vectors are all of one length."""
+    spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not size:
-        return empty
-    rows = rows.filter(F.size("x") == size["n"])
     sample = [r["x"] for r in rows.select(F.xxhash64("vec_id").alias("h"), "vec_id", "x").orderBy("h", "vec_id").limit(SAMPLE).collect()]
     model = fit(np.array(sample), k)
     turned = spark.sparkContext.broadcast(model)

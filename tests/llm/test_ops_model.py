@@ -165,6 +165,18 @@ def test_language(spark):
     assert la.train([]) is None and la.predict(frame, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_long_texts_teach_whole(spark):
+    """A language that only texts of over 100,000 characters hold, in words that stand at their ends, is learned."""
+    rng = random.Random(4)
+    rows = [(i, speech(rng, "xx", 30), "xx", None) for i in range(120)] + [(500 + i, "12 " * 40_000 + speech(rng, "zz", 60), "zz", None) for i in range(60)]
+    frame = docs(spark, rows)
+    taught = la.sample(frame)
+    assert {x for x, _ in taught} == {"xx", "zz"} and all(c.shape[0] == 2 and c.shape[1] <= la.BUCKETS for _, c in taught)
+    model = la.train(taught)
+    asked = docs(spark, [(i, speech(rng, "zz" if i % 2 else "xx", 20), None, None) for i in range(60)])
+    assert all(r["lang_pred"] == ("zz" if r["doc_id"] % 2 else "xx") for r in la.predict(asked, model).collect())
+
+
 # --- quality ------------------------------------------------------------------------------------------------------
 
 
@@ -237,6 +249,26 @@ def test_few_candidates(spark):
     assert nn.nearest(frame.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3 + i % 3).tolist()) for i in range(90)] + [(300, [1.0] * 7), (301, [2.0] * 7), (302, [1.0] * 9), (301, [0.5] * 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found, hits = {}, []
+    for r in nn.nearest(frame, F.col("vec_id") % 3 == 0, 4).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q in [i for i in range(0, 90, 3)] + [300]:
+        near = {}
+        for x in [v for i, v in rows if i == q]:
+            for j, y in rows:
+                if j != q and len(x) == len(y):
+                    near[j] = min(near.get(j, np.inf), float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())))
+        want = sorted((s, j) for j, s in near.items())[:4]
+        scores = dict((j, s) for s, j in ((s, j) for j, s in near.items()))
+        assert len(found[q]) == len(want) and found[q] == sorted(found[q]) and all(abs(scores[j] - s) < 1e-12 for s, j in found[q])
+        hits += [len({j for _, j in found[q]} & {j for _, j in want}) / len(want)]
+    assert set(found) == {*range(0, 90, 3), 300} and np.mean(hits) >= 0.95
+
+
 @pytest.mark.parametrize("first_bits", [0, 3])
 def test_tables_find_all_within_the_radius(spark, first_bits):
     rng = np.random.default_rng(1)
