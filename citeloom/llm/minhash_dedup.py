@@ -12,10 +12,10 @@ left is verified on the full sets, which are made anew from the texts of the set
 
 Groups of near copies of any size are taken apart without all pairs. First each set is verified against one hub, the
 member of its bands that meets most others. Bands whose members lie in several components then tell each set its
-closest members in other components, of which the closest of each set go first while there are many, until none is left
-untried: only links between components can change the result. New links contract the graph of the components so far;
-bands are dealt again only once every known pair is tried and some set had more candidates than it told. A band of many
-sets is dealt in parts of bounded size.
+closest members in other components, and all pairs told are verified in cells where a set travels once for many of its
+pairs: only links between components can change the result. New links contract the graph of the components so far; bands
+are dealt again, for eight times as many, while some set had more candidates than it told. A band of many sets is dealt in
+parts of bounded size. Sets that are alike but under the limit, in crowds, are told pair by pair in the end.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ LEAST_EQUAL = 0.64  # of coordinates, for a pair to be verified
 MOST_WORDS = 1 << 20  # word hashes that a task remembers
 FIRST = 8  # closest sets of other components that a set tries first
 PART = 4096  # sets of a band that are compared in one task
+CELL_BYTES, CELL_PAIRS = 1 << 23, 1 << 18  # of sets, and pairs, that are verified in one group, about
 
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -150,6 +151,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def verified_in_cells(pairs: DataFrame, sets: DataFrame, cell_bytes: int = CELL_BYTES, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """The pairs (a, b) whose full sets link, where many pairs lie among few sets: a set travels once to a cell of pairs.
+
+    Pairs are placed by the smallest node that their first one has a pair with, so that those of one crowd meet. A place of
+    more than about `cell_bytes` of sets, or more than about `cell_pairs` pairs, is split in parts by node and its pairs go to
+    cells of two parts; small places share a cell.
+    """
+    near = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("a", "y").groupBy("a").agg(F.least("a", F.min("y")).alias("place"))
+    placed = pairs.select("a", "b").join(near, "a")
+    lengths = sets.select("node", F.octet_length("set").alias("bytes"))
+    ends = placed.select("place", F.explode(F.array("a", "b")).alias("node")).groupBy("place", "node").agg(F.count("*").alias("n"))
+    sums = ends.join(lengths, "node").groupBy("place").agg(F.sum("bytes").alias("bytes"), (F.sum("n") / 2).alias("n"))
+    parts = F.greatest(F.ceil(F.col("bytes") / cell_bytes), F.ceil(F.sqrt(F.col("n") / cell_pairs)), F.lit(1)).cast("long")
+    sums = materialize(sums.select("place", "bytes", parts.alias("parts")), "minhash-places")
+    small = sums.filter("parts = 1").agg(F.sum("bytes")).first()[0] or 0
+    shared = -1 - F.pmod(F.xxhash64("place"), F.lit(max(1, -(-small // cell_bytes))))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    cell = F.struct(F.when(F.col("parts") > 1, F.col("place")).otherwise(shared).alias("at"), F.least(part("a"), part("b")).alias("i"), F.greatest(part("a"), part("b")).alias("j"))
+    asked = materialize(placed.join(sums.select("place", "parts"), "place").select(cell.alias("cell"), "a", "b"), "minhash-asked")
+    held = asked.select(F.col("cell").alias("of"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+
+    def check(asked: pa.Table, held: pa.Table) -> pa.Table:
+        at = {n: np.frombuffer(s.as_buffer(), np.uint64) for n, s in zip(held.column("node").to_pylist(), held.column("set"), strict=True)}
+        a, b = asked.column("a"), asked.column("b")
+        ok = [x in at and y in at and linked(at[x], at[y]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        return pa.table({"a": a, "b": b}).filter(pa.array(ok, pa.bool_()))
+
+    return asked.groupBy("cell").cogroup(held.groupBy("of")).applyInArrow(check, "a long, b long")
+
+
 def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node and its set (sorted 64-bit hashes, binary) for nodes (node, rep, digest), each from the text of one of its documents."""
     chosen = nodes.select("node", "digest", F.col("rep.th").alias("k"), F.col("rep.doc_id").alias("id"))
@@ -249,33 +280,27 @@ def near_sets(nodes: DataFrame, docs: DataFrame, part: int = PART) -> DataFrame:
     pairs = star.select(F.least("node", -F.col("hub.minus")).alias("a"), F.greatest("node", -F.col("hub.minus")).alias("b")).filter("a <> b").distinct()
     tried = materialize(likely(pairs, nodes), "minhash-tried")
     described, sets, roots = nodes.select("node", "rep", "digest"), None, None
-    fresh, most, many, open_pairs, n, left = tried, FIRST, met.count(), None, 0, True
+    fresh, most, left = tried, FIRST, True
     while True:
         wanted = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")
         made = materialize(sets_of(described.join(wanted, "node", "left_semi"), docs), "minhash-sets")
         sets = made if sets is None else sets.union(made)
-        found = materialize(verified(fresh, sets), "minhash-links")
+        # a hub's pairs are one to a set, those between components many
+        found = materialize(verified(fresh, sets) if roots is None else verified_in_cells(fresh, sets), "minhash-links")
         if roots is None:
             roots = materialize(components(found), "minhash-roots")
         elif not found.isEmpty():
             roots = materialize(contracted(roots, found), "minhash-roots")
-        if n:  # what is known and not tried stays open where it still lies between components
-            apart = open_pairs.join(fresh.select("a", "b"), ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-            open_pairs = materialize(apart.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "share", "left"), "minhash-open")
-            n = open_pairs.count()
-        while not n:
+        fresh = None
+        while fresh is None or fresh.isEmpty():
             if not left:  # the last deal told every pair, and all of them have been tried or lie within a component
                 return roots
             placed = members.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
             dealt = materialize(across(members.select("band", "key", "node"), nodes, placed, most, part), "minhash-dealt")
-            left = not dealt.filter("left").isEmpty()
-            open_pairs = materialize(dealt.join(tried, ["a", "b"], "left_anti"), "minhash-open")
-            n = open_pairs.count()
-            most = most if n else most * FIRST
-        # no more pairs than bands with candidates are verified at once; beyond, the closest of each set go first
-        fresh = open_pairs if n <= many else materialize(closest_of_each(open_pairs), "minhash-fresh")
-        tried = tried.union(fresh.select("a", "b"))
+            left, most = not dealt.filter("left").isEmpty(), most * FIRST
+            fresh = materialize(dealt.join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-open")
+        tried = tried.union(fresh)
 
 
 def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -286,12 +311,6 @@ def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
     return old.union(moved.join(roots.select("node"), "node", "left_anti"))
 
 
-def closest_of_each(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, share, left) those that are the closest of one of their sets."""
-    best = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("share", "a", "b", "left").alias("p")).groupBy("node").agg(F.max("p").alias("p"))
-    return best.select("p.a", "p.b", "p.left").distinct()
-
-
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per document.
 

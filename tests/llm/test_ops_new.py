@@ -186,6 +186,18 @@ def test_near_groups_equal_all_pairs(spark, part):
     check_near(spark, rows, part=part)
 
 
+@pytest.mark.parametrize("cell_bytes, cell_pairs", [(1 << 23, 1 << 18), (200, 1 << 18), (1 << 23, 3), (64, 2)])
+def test_cells_of_any_size_verify_the_same_pairs(spark, cell_bytes, cell_pairs):
+    r = np.random.default_rng(cell_pairs)
+    crowds = [r.integers(0, 1 << 62, 40) for _ in range(3)]
+    sets = {i: np.unique(np.concatenate([r.permutation(crowds[i % 3])[:36], r.integers(0, 1 << 62, r.integers(0, 5))]).astype(np.uint64)) for i in range(45)}
+    pairs = [(i, j) for i, j in combinations(range(45), 2) if i % 3 == j % 3 or r.random() < 0.05] + [(3, 99)]  # 99 has no set
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, set binary")
+    found = mh.verified_in_cells(spark.createDataFrame(pairs, "a long, b long").repartition(3), frame, cell_bytes, cell_pairs).collect()
+    want = {(i, j) for i, j in pairs if j in sets and 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+    assert len(found) == len(want) and {(x["a"], x["b"]) for x in found} == want and 0 < len(want) < len(pairs)
+
+
 def test_near_groups_of_nothing(spark):
     assert mh.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     check_near(spark, [(5, None), (6, "x y z w v"), (7, "")])
