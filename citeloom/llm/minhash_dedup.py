@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, discard, map_text, materialize
+from .common import components, map_text, materialize
 
 BANDS, ROWS, WIDTH, SIMILARITY = 48, 5, 4, 80
 SIZE = BANDS * ROWS
