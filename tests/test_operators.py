@@ -1,12 +1,16 @@
 """Golden values and edge cases of evidence, fusion, calibration, lifecycle and contracts."""
 
 import datetime as dt
+import random
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeloom.config import Calibration
+from citeloom.functions import vectors as vx
 from citeloom.operators import answering as an
 from citeloom.operators import evaluation as el
 from citeloom.operators import evidence as ev
@@ -202,3 +206,28 @@ def test_claim_rule(spark):
     rows = spark.createDataFrame([(0.1, 0.0, True), (0.1, -0.1, True), (0.0, 0.0, True), (1.0, 1.0, False)], "a double, b double, ok boolean")
     said = [r[0] for r in rows.select(el.claim_decision([F.col("a"), F.col("b")], F.col("ok"))).collect()]
     assert said == ["CLAIM", "NO_QUALIFYING_DELTA", "NO_QUALIFYING_DELTA", "GUARDRAIL_FAILURE"]
+
+
+def test_vector_rankings_equal_plain_pairs(spark):
+    """The rankings of all pairs by `vx.cosine`: copies, ties at the threshold, odd vectors and lengths."""
+    rng = random.Random(7)
+    rows = [(i, i % 2, [rng.choice((-1.0, -0.5, 0.25, 1.0, 3.0)) for _ in range(4)]) for i in range(150)]
+    rows += [(i, 0, rows[0][2]) for i in range(150, 180)] + [(180, 0, [0.0] * 4), (181, 0, [1.0, 2.0]), (182, 1, None), (183, 0, [1.0, None, 1.0, 1.0]), (184, 0, [float("nan"), 1.0, 1.0, 1.0]), (185, 0, [1e200, 1.0, 0.0, 0.0]), (186, None, [1.0, 1.0, 1.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, workspace_id int, chunk_vector array<double>")
+    queries = chunks.filter("chunk_id % 5 = 0 OR chunk_id > 179").toDF("query_id", "workspace_id", "query_vector")
+    score = F.round(vx.cosine(F.col("query_vector"), F.col("chunk_vector")), rt.DECIMALS)
+    said = lambda x, *more: sorted(map(str, x.select("query_id", "chunk_id", "similarity", "branch_rank", *more).collect()))
+    cross = queries.drop("workspace_id").crossJoin(chunks).filter("query_id <> chunk_id").withColumn("similarity", score).filter("similarity IS NOT NULL")
+    assert said(rt.nearest_blocks(queries, chunks, 3, block=20, part=9)) == said(rt.top_k(cross, [F.desc("similarity"), F.asc("chunk_id")], 3))
+    home = queries.join(chunks, "workspace_id").withColumn("similarity", score).filter("similarity IS NOT NULL").withColumn("eligible", F.col("similarity") >= 0.5)
+    home = home.withColumn("branch_rank", F.row_number().over(Window.partitionBy("query_id", "eligible").orderBy(F.desc("similarity"), "chunk_id"))).filter("branch_rank <= 3")
+    assert said(rt.vector_sides(queries, chunks, 3, 0.5, ["workspace_id"]), "eligible") == said(home, "eligible")
+
+
+def test_vector_rankings_compute_few_pairs(spark):
+    """What tasks pass on to the ranking is near k a query and part, not all pairs, also among copies."""
+    rng = random.Random(8)
+    chunks = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(8)] if i % 2 else [1.0] * 8) for i in range(2000)], "chunk_id long, chunk_vector array<float>")
+    queries = chunks.filter("chunk_id % 20 < 2").toDF("query_id", "query_vector")
+    found = rt._candidates(4, ["chunk_id"], None, ["query_id", "chunk_id", "similarity"], True)(pa.Table.from_pandas(queries.toPandas()), pa.Table.from_pandas(chunks.toPandas()))
+    assert found.num_rows <= 200 * (4 + 2)
