@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -71,13 +71,20 @@ class BytePairs:
         return out
 
 
+def few_rows(batches: Iterable[pa.RecordBatch], rows: int = 32) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what Python makes of texts is held for those only, however full a batch is."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def token_ids(rows: DataFrame, key: str, text: str, tokenizer: BytePairs) -> DataFrame:
     """key, n_tokens, ids, exact (whether the ids spell the text again) of every row; a null text has no ids and is exact."""
     source = rows.select(F.col(key), F.coalesce(text, F.lit("")).alias("text"))
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             texts = b.column(1).to_pylist()
             ids = [tokenizer.encode(t) for t in texts]
             exact = [tokenizer.decode(i) == t for i, t in zip(ids, texts, strict=True)]
