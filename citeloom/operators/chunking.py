@@ -12,19 +12,27 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Chunking
 from ..functions import text as tx
-from ..functions.tokens import BytePairs
+from ..functions.tokens import BytePairs, few_rows
 
 Spans = Callable[[str], list[tuple[int, int]]]
 CHUNKS = "doc_id long, ordinal int, heading_path array<string>, start_line int, end_line int, content string, content_checksum string, token_count int"
 PAGE_CHUNKS = "doc_id long, page_number int, ordinal int, start_offset int, end_offset int, content string, content_checksum string, token_count int"
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as one Arrow batch of a schema of this module."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
 def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\S+", text)]
 
@@ -93,18 +101,18 @@ def heading_chunks(docs: DataFrame, config: Chunking | None = None, spans: Spans
                 piece = at[s : s + config.target_tokens]
                 yield spans.decode(piece) if ids else content[piece[0][0] : piece[-1][1]], len(piece)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few_rows(batches):
             rows = []
-            for doc_id, text, kind in zip(f["doc_id"], f["text"], f["media_type"], strict=True):
+            for doc_id, text, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n = 0
                 for path, first, last, content in paragraphs((text or "").replace("\r\n", "\n").replace("\r", "\n"), kind == "text/markdown"):
                     for piece, count in cut(content):
                         rows.append((doc_id, n, list(path), first, last, piece, hashlib.sha256(piece.encode()).hexdigest(), count))
                         n += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+            yield _batch(rows, CHUNKS)
 
-    return docs.select("doc_id", "text", "media_type").mapInPandas(run, CHUNKS)
+    return docs.select(F.col("doc_id").cast("long"), "text", "media_type").mapInArrow(run, CHUNKS)
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -162,19 +170,19 @@ def page_chunks(pages: DataFrame, config: Chunking | None = None, spans: Spans =
     A null text has no chunks.
     """
     config = config or Chunking()
-    names = [c.split()[0] for c in PAGE_CHUNKS.split(", ") if not c.startswith("ordinal")]
+    schema = ", ".join(c for c in PAGE_CHUNKS.split(", ") if not c.startswith("ordinal"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few_rows(batches):
             rows: list[tuple] = []
-            for doc_id, number, text in f.itertuples(index=False):
+            for doc_id, number, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = text or ""
                 starts = [s for s, _ in spans(text)]
                 for s, e in pack(text, config, spans):
                     piece = text[s:e]
                     rows.append((doc_id, number, s, e, piece, hashlib.sha256(piece.encode()).hexdigest(), bisect_left(starts, e) - bisect_left(starts, s)))
-            yield pd.DataFrame(rows, columns=names)
+            yield _batch(rows, schema)
 
-    made = pages.select("doc_id", "page_number", "text").mapInPandas(run, ", ".join(c for c in PAGE_CHUNKS.split(", ") if not c.startswith("ordinal")))
+    made = pages.select(F.col("doc_id").cast("long"), F.col("page_number").cast("int"), "text").mapInArrow(run, schema)
     order = Window.partitionBy("doc_id").orderBy("page_number", "start_offset", "end_offset", "content_checksum")
     return made.withColumn("ordinal", F.row_number().over(order) - 1).select(*[c.split()[0] for c in PAGE_CHUNKS.split(", ")])

@@ -5,7 +5,9 @@ import hashlib
 import os
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.config import Chunking
 from citeloom.functions import tokens as tk
@@ -125,3 +127,17 @@ def test_vocabulary_size_is_checked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tk, "MOST_BYTES", 3)
     with pytest.raises(ValueError):
         tk.BytePairs.load(spark, str(tmp_path / "r"))
+
+
+def test_texts_are_held_a_few_at_a_time(spark, pairs):
+    """A full batch goes in parts, in order and whole; chunks and ids of many documents in one batch are those of each alone."""
+    batch = pa.RecordBatch.from_pydict({"k": list(range(100))})
+    parts = list(tk.few_rows([batch, batch.slice(0, 0)], 32))
+    assert [p.num_rows for p in parts] == [32, 32, 32, 4] and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(100))
+    texts = [None if i == 40 else f"# h{i}\n\n" + f"word{i} " * (i * 3) for i in range(100)]
+    docs = spark.createDataFrame([(i, 1, t, "text/markdown") for i, t in enumerate(texts)], "doc_id long, page_number int, text string, media_type string").coalesce(1)
+    ids = {r["doc_id"]: r["ids"] for r in tk.token_ids(docs, "doc_id", "text", pairs).collect()}
+    assert ids == {i: pairs.encode(t or "") for i, t in enumerate(texts)}
+    cut = ch.heading_chunks(docs, spans=pairs).groupBy("doc_id").agg(F.sum("token_count"), F.max("ordinal"), F.max("start_line")).collect()
+    assert {r[0]: tuple(r[1:]) for r in cut} == {i: (len(pairs.encode((f"word{i} " * (i * 3)).strip())), 0, 3) for i in range(1, 100) if i != 40}
+    assert {r["doc_id"] for r in ch.page_chunks(docs, spans=pairs).collect()} == set(range(100)) - {40}
