@@ -1,9 +1,9 @@
 """A positional inverted index that is kept: postings in blocks, in buckets by lexeme, read by the buckets of a query.
 
-A row is a block of the chunks that hold one token: their ids, less the first of them, and the places of the token in each. Blocks lie in folders by the hash of their token and are sorted by token within
+A row is one token in a block of chunks: the ids of those that hold it, less the first of them, and its places in each. Rows lie in folders by the hash of their token and are sorted by token within
 a folder, so a query reads the folders of its lexemes (partition pruning) and of those the row groups whose range of tokens holds one
-(a pushed-down filter). A block holds chunks of one range of hashes, at most about `BLOCK`, so that a token that most
-chunks hold is many rows and no task gathers it whole.
+(a pushed-down filter). A block is a slice of at most `BLOCK` chunks of one input partition with all their tokens, so nothing is gathered to make it, a token
+that most chunks hold is many rows, and the rows of a block answer for its chunks alone.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .retrieval import DECIMALS, covers, query_lexemes, top_k
+from . import postings as po
+from .retrieval import DECIMALS, answer_schema, covers, lexeme_rows, ranked_answers, top_k
 
 BUCKETS, BLOCK = 64, 1024
 SCHEMA = "token string, block int, first_id long, ids array<long>, places array<array<int>>, bucket int"
@@ -22,21 +23,10 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """token, chunk_id, places (ascending) of chunks (chunk_id, content); made of a chunk's own tokens before any shuffle."""
-    told = chunks.select("chunk_id", F.posexplode(tx.tokens(F.col("content"))).alias("place", "token"))
-    return told.groupBy("token", "chunk_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-
-
 def blocks(chunks: DataFrame, buckets: int = BUCKETS, block: int = BLOCK) -> DataFrame:
-    """The rows of the index. Ids of chunks must be distinct; null contents have no tokens."""
-    rows = postings(chunks)
-    counted = rows.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    rows = rows.join(counted, "token").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("chunk_id", "places")))
-    made = rows.groupBy("token", "block").agg(held.alias("held")).withColumn("first_id", F.col("held")[0]["chunk_id"])
-    ids, places = F.transform("held", lambda h: h["chunk_id"] - F.col("first_id")), F.transform("held", lambda h: h["places"])
-    made = made.select("token", "block", "first_id", ids.alias("ids"), places.alias("places"))
+    """The rows of the index, made where the chunks are read. Ids of chunks must be distinct longs; null contents have no tokens."""
+    told = chunks.select(F.col("chunk_id").cast("long"), tx.tokens(F.col("content")).alias("tokens"))
+    made = told.mapInArrow(po.indexed(block), SCHEMA.removesuffix(", bucket int"))
     return made.withColumn("bucket", bucket_of(F.col("token"), buckets))
 
 
@@ -50,11 +40,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def wanted_tokens(queries: DataFrame) -> DataFrame:
-    """query_id, n, lex, token of the queries' lexemes."""
-    return query_lexemes(queries).select("query_id", F.size("lexemes").alias("n"), F.posexplode("lexemes").alias("lex", "token"))
-
-
 def rows_of(index: DataFrame, tokens: list[str], buckets: list[int]) -> DataFrame:
     """The blocks of these tokens: other folders, and row groups whose range of tokens holds none of them, are not read."""
     return index.filter(F.col("bucket").isin(buckets) & F.col("token").isin(tokens)) if tokens else index.filter("false")
@@ -66,7 +51,7 @@ def lookup(index: DataFrame, queries: DataFrame, buckets: int = BUCKETS, most_to
     While the different lexemes are few (`most_tokens`; the driver gets one more at most) they prune folders and row groups; beyond
     that the folders are nearly all needed, and the join picks the lexemes.
     """
-    wanted = wanted_tokens(queries)
+    wanted = lexeme_rows(queries)
     tokens = wanted.select("token").distinct()
     few = tokens.select("token", bucket_of(F.col("token"), buckets).alias("b")).limit(most_tokens + 1).collect()
     rows = rows_of(index, [r["token"] for r in few], sorted({r["b"] for r in few})) if len(few) <= most_tokens else index
@@ -75,7 +60,17 @@ def lookup(index: DataFrame, queries: DataFrame, buckets: int = BUCKETS, most_to
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, every: bool, buckets: int = BUCKETS) -> DataFrame:
-    """query_id, chunk_id, native_rank, branch_rank as `retrieval.fts_branch` has them, from the index alone."""
+    """query_id, chunk_id, native_rank, branch_rank as `retrieval.fts_branch` has them, from the index alone.
+
+    While the queries' lexemes are few, the rows of a block meet in one task, which has all tokens of the block's chunks, and only the first
+    k or the matches go on; beyond that by `lookup`.
+    """
+    wanted = po.Wanted.of(lexeme_rows(queries))
+    if wanted:
+        places = F.col("places") if every else F.transform("places", F.size)
+        rows = rows_of(index, wanted.tokens, sorted({r[0] for r in lexeme_rows(queries).select(bucket_of(F.col("token"), buckets)).distinct().collect()}))
+        kind = answer_schema(queries.schema["query_id"], index.schema["first_id"], every)
+        return ranked_answers(rows.select("block", "token", "first_id", "ids", places.alias("held")).groupBy("block").applyInArrow(po.from_index(wanted, None if every else k, kind), kind), k, every)
     found = lookup(index, queries, buckets).groupBy("query_id", "chunk_id", "n")
     if not every:
         rows = found.agg(F.sum(F.size("places")).alias("native_rank"))

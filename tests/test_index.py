@@ -1,9 +1,11 @@
 """The kept index: equal to search over texts, edge cases, and how little a query reads."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import index as ix
+from citeloom.operators import postings as po
 from citeloom.operators import retrieval as rt
 
 TEXTS = ["alpha beta alpha", "beta, gamma! beta beta", None, "", "delta " * 40, "alpha gamma delta epsilon alpha beta", "the of and", "ALPHA Beta"]
@@ -69,3 +71,24 @@ def test_a_query_reads_its_folders_only(spark, tmp_path):
     buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(ix.bucket_of(F.col("t"), ix.BUCKETS)).collect()})
     part, rows = read(ix.rows_of(index, tokens, buckets).select("token", "ids"))
     assert part * 15 < all_bytes and rows * 15 < all_rows
+
+
+@pytest.mark.parametrize("tokens", [1 << 20, 5])
+def test_answers_where_chunks_are_read_equal_joins(spark, monkeypatch, chunks, queries, tokens):
+    """Slices of any size give what joins of all tokens give; ids may be strings; only the first k of a slice are passed on."""
+    monkeypatch.setattr(po, "SLICE_TOKENS", tokens)
+    named = chunks.withColumn("chunk_id", F.concat(F.lit("c"), "chunk_id"))
+    for held in (chunks, named):
+        order = [F.desc("native_rank"), F.asc("chunk_id")]
+        assert rows_of(rt.fts_branch(queries, held, 5, False, [])) == rows_of(rt.top_k(rt.fts_matches(queries, held, False, []), order, 5))
+        assert rows_of(rt.fts_branch(queries, held, 5, True, [])) == rows_of(rt.top_k(rt.cover_matches(queries, held, []), order, 5))
+    wanted = po.Wanted.of(rt.lexeme_rows(queries))
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(500)), "tokens": [["alpha", "beta"]] * 500})
+    kind = rt.answer_schema(queries.schema["query_id"], chunks.schema["chunk_id"], False)
+    parts = list(po.from_texts(wanted, 5, 100, kind)(iter([batch])))
+    assert len(parts) >= 5 and max(p.num_rows for p in parts) <= 5 and max(ids[-1].as_py() - ids[0].as_py() for ids, _, _ in po.slices([batch], 100)) < 100
+    assert po.Wanted.of(rt.lexeme_rows(queries), 3) is None  # joins then
+
+
+def test_the_index_is_made_without_a_shuffle(chunks):
+    assert "Exchange" not in ix.blocks(chunks)._jdf.queryExecution().executedPlan().toString()
