@@ -12,10 +12,11 @@ left is verified on the full sets, which are made anew from the texts of the set
 
 Groups of near copies of any size are taken apart without all pairs. First each set is verified against one hub, the
 member of its bands that meets most others. Bands whose members lie in several components then tell each set its
-closest members in other components, and all pairs told are verified in cells where a set travels once for many of its
-pairs: only links between components can change the result. New links contract the graph of the components so far; bands
-are dealt again, for eight times as many, while some set had more candidates than it told. A band of many sets is dealt in
-parts of bounded size. Sets that are alike but under the limit, in crowds, are told pair by pair in the end.
+candidates in other components, and all pairs told are verified in cells where a set travels once for many of its
+pairs: only links between components can change the result. Where a set has more than eight candidates in a band, none is told:
+the full sets come to the band, all intersections are counted there as matrix products, and only links that join components
+leave the task, so the rows of a crowd, linked or alike but under the limit, grow with its sets and not with its pairs. New
+links contract the graph of the components so far. A band of many sets is dealt in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ BANDS, ROWS, WIDTH, SIMILARITY = 48, 5, 4, 80
 SIZE = BANDS * ROWS
 LEAST_EQUAL = 0.64  # of coordinates, for a pair to be verified
 MOST_WORDS = 1 << 20  # word hashes that a task remembers
-FIRST = 8  # closest sets of other components that a set tries first
+MOST = 8  # candidates of a set in a block that are told as pairs
 PART = 4096  # sets of a band that are compared in one task
 CELL_BYTES, CELL_PAIRS = 1 << 23, 1 << 18  # of sets, and pairs, that are verified in one group, about
+DENSE, SLICE = 4, 1 << 21  # one set in how many holds an element of the matrix, and pairs that are counted at once
 
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -196,35 +198,37 @@ def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return made.filter("own = digest").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def _closest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """For rows (band, key, i, j, side, node, comp, tail) sorted by block: each set's closest in other components.
+def _met(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """For rows (band, key, i, j, side, node, comp, held) sorted by block, `held` a sketch: its candidates between components.
 
-    side 0 and 1 are compared with one another, side 2 within itself. `left`: whether there were more than `most`.
+    side 0 and 1 are compared with one another, side 2 within itself. A block in which a set has more than `most` of them
+    names its band and key instead, once.
     """
-    names, held = ["a", "b", "share", "left"], None
+    names, held = ["a", "b", "band", "key"], None
 
-    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        side, node, comp = (rows.column(c).to_numpy() for c in ("side", "node", "comp"))
-        tail = np.frombuffer(b"".join(rows.column("tail").to_pylist()), np.uint8).reshape(-1, SIZE)
-        few, many = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side != 2).any() else (np.arange(len(side)),) * 2
-        few, many = (few, many) if len(few) <= len(many) else (many, few)
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        few, many = facing(rows.column("side").to_numpy())
+        node, comp = (rows.column(c).to_numpy() for c in ("node", "comp"))
+        tail = np.frombuffer(b"".join(rows.column("held").to_pylist()), np.uint8).reshape(-1, SIZE)
+        low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x in few.tolist():
             other = many[comp[many] != comp[x]]
-            share = equal_share(tail[x], tail[other])
-            near = share >= LEAST_EQUAL
-            other, share = other[near], share[near]
-            if len(other):
-                order = np.lexsort((node[other], -share))[:most]
-                to = node[other[order]]
-                low, high = np.minimum(to, node[x]), np.maximum(to, node[x])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(share[order]), pa.array(np.full(len(to), len(other) > most))], names=names)
+            to = node[other[equal_share(tail[x], tail[other]) >= LEAST_EQUAL]]
+            if len(to) > most:
+                crowd = [rows.column(c)[0].as_py() for c in ("band", "key")]
+                return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(crowd[:1], pa.int32()), pa.array(crowd[1:], pa.int64())], names=names)
+            low.append(np.minimum(to, node[x]))
+            high.append(np.maximum(to, node[x]))
+        low, high = np.concatenate(low), np.concatenate(high)
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.nulls(len(low), pa.int32()), pa.nulls(len(low), pa.int64())], names=names)
 
     def blocks(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
         keys = [rows.column(c).to_numpy() for c in ("band", "key", "i", "j")]
         new = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
         cuts = [0, *new.tolist(), rows.num_rows]
         for s, e in zip(cuts, cuts[1:] if last else cuts[1:-1], strict=False):
-            yield from block(rows.slice(s, e - s))
+            if (found := block(rows.slice(s, e - s))).num_rows:
+                yield found
         if not last:
             yield rows.slice(cuts[-2])
 
@@ -241,29 +245,107 @@ def _closest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield from blocks(held, True)
 
 
-def across(members: DataFrame, nodes: DataFrame, roots: DataFrame, most: int, part: int = PART) -> DataFrame:
-    """Candidates (a, b, share, left) between components within the bands of `members` (band, key, node).
+def facing(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block that are compared with one another, the fewer first; all with all where the sides are 2."""
+    if (side == 2).all():
+        return (np.arange(len(side)),) * 2
+    few, many = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return (few, many) if len(few) <= len(many) else (many, few)
 
-    The largest component of a band only meets the others, in parts of at most about `part` sets.
+
+def in_blocks(placed: DataFrame, held: DataFrame, part: int) -> DataFrame:
+    """Rows (band, key, i, j, side, node, comp, held) that bring together the components of each band in `placed`
+    (band, key, node, comp, bytes), with what `held` (node, held) has of them.
+
+    The largest component of a band only meets the others, in parts of at most about `part` sets and `CELL_BYTES`.
     """
-    placed = members.join(roots.select("node", F.col("root").alias("comp")), "node")
-    sizes = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-    of = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
-    of = of.select("band", "key", F.col("main.comp").alias("main"), F.ceil(F.col("main.n") / part).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / part).cast("int").alias("rests"))
-    rows = placed.join(of, ["band", "key"]).join(nodes.select("node", "tail"), "node")
+    sizes = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    of = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "bytes", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps")).filter("comps > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / part), F.ceil(size / CELL_BYTES)).cast("int")
+    mains, rests = parts(F.col("main.n"), F.col("main.bytes")), parts(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
+    of = of.select("band", "key", F.col("main.comp").alias("main"), mains.alias("mains"), rests.alias("rests"))
+    rows = placed.join(of, ["band", "key"]).join(held, "node")
     at_main, at_rest = F.pmod(F.xxhash64("node"), F.col("mains")).cast("int"), F.pmod(F.xxhash64("node"), F.col("rests")).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["band", "key", "node", "comp", "tail"]
+    own = ["band", "key", "node", "comp", "held"]
     main, rest = rows.filter("comp = main"), rows.filter("comp <> main")
     dealt = main.select(*own, at_main.alias("i"), spread("rests").alias("j"), F.lit(0).alias("side"))
     dealt = dealt.union(rest.select(*own, spread("mains").alias("i"), at_rest.alias("j"), F.lit(1).alias("side")))
     # the others among themselves: parts below the diagonal; negative numbers keep them apart from the blocks above
     pairs = rest.select(*own, at_rest.alias("p"), spread("rests").alias("q"))
     side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
-    dealt = dealt.union(pairs.select(*own, (-1 - F.least("p", "q")).alias("i"), (-1 - F.greatest("p", "q")).alias("j"), side.alias("side")))
+    return dealt.union(pairs.select(*own, (-1 - F.least("p", "q")).alias("i"), (-1 - F.greatest("p", "q")).alias("j"), side.alias("side")))
+
+
+def across(placed: DataFrame, nodes: DataFrame, most: int, part: int = PART) -> DataFrame:
+    """Candidates (a, b) between components within the bands of `placed` (band, key, node, comp), at most `most` of a set in
+    a block, and (band, key) of the bands that hold more, where a and b are null."""
+    dealt = in_blocks(placed.withColumn("bytes", F.lit(SIZE)), nodes.select("node", F.col("tail").alias("held")), part)
     dealt = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node")
-    found = dealt.mapInArrow(lambda b: _closest(b, most), "a long, b long, share double, left boolean")
-    return found.groupBy("a", "b").agg(F.max("share").alias("share"), F.max("left").alias("left"))
+    return dealt.mapInArrow(lambda b: _met(b, most), "a long, b long, band int, key long").distinct()
+
+
+def common(sets: list[np.ndarray], few: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Sizes of intersections, slice by slice: rows of `few`, the first of `many` that they are counted with, a matrix.
+
+    Elements that many of the sets hold are counted by a matrix product, those of a few sets by lookup. Where `few` is
+    `many`, each pair is counted once.
+    """
+    lengths = np.array([len(s) for s in sets])
+    _, x = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(x)
+    dense = DENSE * held >= len(sets)
+    column, of = np.cumsum(dense) - 1, np.repeat(np.arange(len(sets)), lengths)
+    product = np.zeros((len(sets), int(dense.sum())), np.float32 if lengths.max() < 1 << 24 else np.float64)  # exact to 2 ** 24
+    product[of[dense[x]], column[x[dense[x]]]] = 1
+    rare = (held > 1) & ~dense
+    of, x = of[rare[x]], x[rare[x]]
+    starts = np.searchsorted(of, np.arange(len(sets) + 1))
+    at = np.full(len(sets), -1)
+    at[many] = np.arange(len(many))
+    to, other = at[of[at[of] >= 0]], x[at[of] >= 0]
+    has, step = np.zeros(len(held), bool), max(1, SLICE // len(many))
+    for s in range(0, len(few), step):
+        rows, first = few[s : s + step], s if few is many else 0
+        both = (product[rows] @ product[many[first:]].T).astype(np.int64)
+        for k, r in enumerate(rows.tolist()):
+            own = x[starts[r] : starts[r + 1]]
+            if len(own):
+                has[own] = True
+                both[k] += np.bincount(to[has[other]], minlength=len(many))[first:]
+                has[own] = False
+        yield rows, first, both
+
+
+def _crowd_links(rows: pa.Table) -> pa.Table:
+    """Links (a, b) that join the components of a block (side, node, comp, held), `held` full sets; no more than join them."""
+    few, many = facing(rows.column("side").to_numpy())
+    node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy().copy()
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("held")]
+    size, a, b = np.array([len(s) for s in sets]), [], []
+    for chosen, first, both in common(sets, few, many) if len(few) else ():
+        other = many[first:]
+        near = 100 * both >= SIMILARITY * (size[chosen][:, None] + size[other] - both)
+        for x, close in zip(chosen.tolist(), near, strict=True):
+            to = other[close & (comp[other] != comp[x])]
+            joined, at = np.unique(comp[to], return_index=True)
+            if len(joined):
+                a += [node[x]] * len(joined)
+                b += node[to[at]].tolist()
+                comp[np.isin(comp, joined)] = comp[x]
+        if (comp == comp[0]).all():
+            break
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def linked_crowds(placed: DataFrame, sets: DataFrame, part: int = PART) -> DataFrame:
+    """Links (a, b) that join the components within each band of `placed` (band, key, node, comp) as all links of its sets would.
+
+    The sets come to the block that their sketches came to; pairs are counted there and are never rows.
+    """
+    placed = placed.join(sets.select("node", F.octet_length("set").alias("bytes")), "node")
+    dealt = in_blocks(placed, sets.select("node", F.col("set").alias("held")), part)
+    return dealt.groupBy("band", "key", "i", "j").applyInArrow(_crowd_links, "a long, b long")
 
 
 def near_sets(nodes: DataFrame, docs: DataFrame, part: int = PART) -> DataFrame:
@@ -279,28 +361,29 @@ def near_sets(nodes: DataFrame, docs: DataFrame, part: int = PART) -> DataFrame:
     star = members.select("band", "key", "node").join(hubs, ["band", "key"]).groupBy("node").agg(F.max("hub").alias("hub"))
     pairs = star.select(F.least("node", -F.col("hub.minus")).alias("a"), F.greatest("node", -F.col("hub.minus")).alias("b")).filter("a <> b").distinct()
     tried = materialize(likely(pairs, nodes), "minhash-tried")
-    described, sets, roots = nodes.select("node", "rep", "digest"), None, None
-    fresh, most, left = tried, FIRST, True
-    while True:
-        wanted = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti")
-        made = materialize(sets_of(described.join(wanted, "node", "left_semi"), docs), "minhash-sets")
-        sets = made if sets is None else sets.union(made)
-        # a hub's pairs are one to a set, those between components many
-        found = materialize(verified(fresh, sets) if roots is None else verified_in_cells(fresh, sets), "minhash-links")
-        if roots is None:
-            roots = materialize(components(found), "minhash-roots")
-        elif not found.isEmpty():
+    described = nodes.select("node", "rep", "digest")
+    sets = materialize(sets_of(described.join(ends_of(tried), "node", "left_semi"), docs), "minhash-sets")
+    roots = materialize(components(materialize(verified(tried, sets), "minhash-links")), "minhash-roots")
+    dealt = materialize(across(in_components(members, roots), nodes, MOST, part), "minhash-dealt")
+    told = materialize(dealt.filter("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "minhash-told")
+    crowds = materialize(members.select("band", "key", "node").join(dealt.filter("a is null").select("band", "key"), ["band", "key"], "left_semi"), "minhash-crowds")
+    wanted = ends_of(told).union(crowds.select("node")).distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.union(materialize(sets_of(described.join(wanted, "node", "left_semi"), docs), "minhash-sets"))
+    for links in (lambda: verified_in_cells(told, sets), lambda: linked_crowds(in_components(crowds, roots), sets, part)):
+        found = materialize(links(), "minhash-links")
+        if not found.isEmpty():
             roots = materialize(contracted(roots, found), "minhash-roots")
-        fresh = None
-        while fresh is None or fresh.isEmpty():
-            if not left:  # the last deal told every pair, and all of them have been tried or lie within a component
-                return roots
-            placed = members.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-            dealt = materialize(across(members.select("band", "key", "node"), nodes, placed, most, part), "minhash-dealt")
-            left, most = not dealt.filter("left").isEmpty(), most * FIRST
-            fresh = materialize(dealt.join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-open")
-        tried = tried.union(fresh)
+    return roots
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b), each once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def in_components(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, key, node and comp of `members`, the component of a node without a link being its own."""
+    return members.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp"))
 
 
 def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:

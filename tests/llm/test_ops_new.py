@@ -198,6 +198,54 @@ def test_cells_of_any_size_verify_the_same_pairs(spark, cell_bytes, cell_pairs):
     assert len(found) == len(want) and {(x["a"], x["b"]) for x in found} == want and 0 < len(want) < len(pairs)
 
 
+def test_a_crowd_under_the_limit_is_not_told_pair_by_pair(spark, monkeypatch):
+    r, told, verified_in_cells = random.Random(4), [], mh.verified_in_cells
+    base = prose(r, 200)
+    crowd = [edited(r, base, 4) for _ in range(160)]  # about 0.72 with one another
+    rows = [" ".join(w) for w in crowd + [edited(r, w, 2) for w in crowd[:5]]]
+
+    def counted(pairs, *rest):
+        told.append(pairs.count())
+        return verified_in_cells(pairs, *rest)
+
+    monkeypatch.setattr(mh, "verified_in_cells", counted)
+    check_near(spark, list(enumerate(rows)))
+    assert sum(told) <= 16 * len(rows)  # of some 13,000 pairs
+
+
+@pytest.mark.parametrize("dense, slice_, side", [(4, 1 << 21, 2), (4, 7, 2), (1, 50, 2), (10**6, 50, 2), (4, 7, 0), (1, 1, 0), (10**6, 1 << 21, 0)])
+def test_links_of_a_crowd_join_what_all_links_join(monkeypatch, dense, slice_, side):
+    import pyarrow as pa
+
+    monkeypatch.setattr(mh, "DENSE", dense)
+    monkeypatch.setattr(mh, "SLICE", slice_)
+    r = np.random.default_rng(slice_ + dense)
+    crowds = [r.integers(0, 1 << 62, 60) for _ in range(3)]
+    sets = [np.unique(np.concatenate([r.permutation(crowds[i % 3])[: r.integers(50, 60)], r.integers(0, 1 << 62, r.integers(0, 8))]).astype(np.uint64)) for i in range(50)] + [np.array([7], np.uint64)]
+    sides, comp = [side or int(x) for x in r.integers(0, 2, 51)], [int(x) for x in np.arange(51) - np.arange(51) % 5 * (np.arange(51) < 10)]
+
+    def joined(links):
+        label = list(comp)
+        for x, y in links:
+            label = [label[x] if c == label[y] else c for c in label]
+        return {frozenset(i for i, c in enumerate(label) if c == k) for k in label}
+
+    links = [(x, y) for x, y in combinations(range(51), 2) if (side or sides[x] != sides[y]) and 100 * len({*sets[x]} & {*sets[y]}) >= 80 * len({*sets[x]} | {*sets[y]})]
+    found = mh._crowd_links(pa.table({"side": sides, "node": list(range(51)), "comp": comp, "held": [s.tobytes() for s in sets]})).to_pylist()
+    assert len(links) > len(found) > 3 and {(min(x.values()), max(x.values())) for x in found} <= set(links)
+    assert joined([(x["a"], x["b"]) for x in found]) == joined(links)
+
+
+@pytest.mark.parametrize("part, cell_bytes", [(4096, 1 << 23), (4096, 2000), (3, 1 << 23)])
+def test_crowds_of_any_part_join_the_same_sets(spark, monkeypatch, part, cell_bytes):
+    monkeypatch.setattr(mh, "CELL_BYTES", cell_bytes)
+    monkeypatch.setattr(mh, "MOST", 0)  # every band that holds a candidate is a crowd
+    r = random.Random(part)
+    base = prose(r, 90)
+    rows = [" ".join(edited(r, base, r.randint(0, 4))) for _ in range(25)]
+    check_near(spark, list(enumerate(rows)), part=part)
+
+
 def test_near_groups_of_nothing(spark):
     assert mh.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     check_near(spark, [(5, None), (6, "x y z w v"), (7, "")])
